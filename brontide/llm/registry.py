@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from brontide.llm import decontam
+from brontide.llm import decontam, linededup
 
 QUERIES = {
     "op2_decontamination": decontam.op2_decontamination,
+    "op10_line_dedup": linededup.op10_line_dedup,
 }
 
 ORACLES = {
     "op2_decontamination": decontam.OP2_SQL,
+    "op10_line_dedup": linededup.OP10_SQL,
 }
