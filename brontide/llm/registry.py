@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from brontide.llm import decontam, linededup
+from brontide.llm import decontam, langid, linededup
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_decontamination": decontam.op2_decontamination,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
