@@ -10,10 +10,10 @@ that share a variant and a position differ there alone; a variant that equals a
 insertion away. So equal keys of 128 bits prove the distance, the earliest line of each key comes
 from an aggregation, and no pairs are made inside a group, however large it is.
 
-A line first posts four half-line keys: one edit leaves the first or the second half of the shorter
-line whole. Only lines that share a half with another distinct line emit variants, and those only at
-positions outside the shared half. Exact copies are merged before. Texts are dealt by doc_id once;
-the same exchange serves the variants and the final removal.
+A line first posts the keys of its start and its end, each just under half of it: one edit leaves one
+of them whole. Only lines that share such a part with another distinct line emit variants, and those
+only at positions outside it. Exact copies are merged before. Texts are dealt by doc_id once; the same
+exchange serves the variants and the final removal.
 
 Edge cases: a null text stays null, an empty one empty, and an empty table gives an empty one. Rows of
 one doc_id and the same line number are never earlier than each other, so repeated rows keep the same
@@ -76,93 +76,91 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), pa.int64())
 
 
+def _part(n: np.ndarray) -> np.ndarray:
+    """Words in the shared part of a line whose shorter partner has ``n``: at most half of them, and mostly the same for n + 1."""
+    return n // 8 * 4
+
+
 def _scan(min_words: int, near_words: int):
     def run(batches):
         for batch in batches:
             for first, flat, offs in wh.slices(batch.column(1)):
                 lines = _Lines(flat, offs)
                 lines.keep(np.flatnonzero(lines.n >= min_words))
-                halves = []
+                keys = []
                 for less in (0, 1):  # as the shorter line or one as long as the other; as the longer one
-                    short = lines.n - less
-                    p = short // 2
-                    for kind, start, size in ((1, lines.first, p), (2, lines.first + lines.n - (short - p), short - p)):
-                        key = wh.mix(lines.hashes(0, start, size) + short.astype(np.uint64) * _C + np.uint64(kind))
-                        halves.append(pa.array(key.view(np.int64), pa.int64(), mask=short + 1 < near_words))
+                    p = _part(lines.n - less)
+                    none = (lines.n + 1 - less < near_words) | ((p == _part(lines.n)) if less else False)
+                    for kind, start in ((1, lines.first), (2, lines.first + lines.n - p)):
+                        key = wh.mix(lines.hashes(0, start, p) + p.astype(np.uint64) * _C + np.uint64(kind))
+                        keys.append(pa.array(key.view(np.int64), pa.int64(), mask=none))
                 own = [_i64(lines.hashes(k, lines.first, lines.n)) for k in (0, 1)]
                 ids = batch.column(0).take(pa.array(lines.doc + first))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number, pa.int32()), *own, *halves], names=["doc_id", "line_no", "h1", "h2", "k0", "k1", "k2", "k3"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number, pa.int32()), *own, *keys], names=["doc_id", "line_no", "h1", "h2", "k0", "k1", "k2", "k3"])
 
     return run
 
 
-def _variants(min_words: int, near_words: int):
+def _variants(near_words: int):
     def run(batches):
         for batch in batches:
             wanted = [dict((x["line_no"], x["mask"]) for x in row) for row in batch.column(2).to_pylist()]
             for first, flat, offs in wh.slices(batch.column(1)):
                 lines = _Lines(flat, offs)
                 mask = np.array([wanted[first + d].get(k, 0) for d, k in zip(lines.doc.tolist(), lines.number.tolist(), strict=True)], dtype=np.int64)
-                rows = np.flatnonzero((mask > 0) & (lines.n >= min_words))
-                lines.keep(rows)
-                mask = mask[rows]
-                n = lines.n
-                # a shared first half leaves positions from the shorter half's end on, a shared second half those before it
+                lines.keep(np.flatnonzero(mask))
+                mask, n = mask[mask > 0], lines.n
                 line = np.repeat(np.arange(len(n)), n)
                 at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 use = np.zeros(len(at), dtype=bool)
-                for less in (0, 1):
-                    short = n - less
-                    p = (short // 2)[line]
+                for less in (0, 1):  # the edit lies outside the shared part
+                    p = _part(n - less)[line]
                     use |= ((mask[line] >> (2 * less)) & 1 > 0) & (at >= p)
-                    use |= ((mask[line] >> (2 * less + 1)) & 1 > 0) & (at < p + less)
+                    use |= ((mask[line] >> (2 * less + 1)) & 1 > 0) & (at < n[line] - p)
                 use &= n[line] >= near_words
                 line, at = line[use], at[use]
-                whole = np.arange(len(n))
                 keys = [np.concatenate([lines.without(k, line, at), lines.hashes(k, lines.first, n)]) for k in (0, 1)]
-                own = [lines.hashes(k, lines.first, n) for k in (0, 1)]
-                line = np.concatenate([line, whole])
-                at = np.concatenate([at, np.full(len(whole), -1)])
+                line = np.concatenate([line, np.arange(len(n))])
+                at = np.concatenate([at, np.full(len(n), -1)])
                 ids = batch.column(0).take(pa.array(lines.doc[line] + first))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(lines.number[line], pa.int32()), *[_i64(k) for k in keys], pa.array(at, pa.int32()), *[_i64(k[line]) for k in own]],
-                    names=["doc_id", "line_no", "v1", "v2", "pos", "h1", "h2"],
-                )
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[line], pa.int32()), *[_i64(k) for k in keys], pa.array(at, pa.int32())], names=["doc_id", "line_no", "v1", "v2", "pos"])
 
     return run
 
 
-def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, dealt: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc_id and the sorted numbers (from 0) of its lines that go, for each document that loses some.
 
-    docs: doc_id, text, dealt by doc_id if it is to share that exchange with other reads.
+    docs: doc_id, text; dealt: the same rows dealt by doc_id, so that its exchange serves other reads too.
     """
-    docs = docs.select("doc_id", "text")
+    docs, dealt = docs.select("doc_id", "text"), dealt.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     lines = docs.mapInArrow(_scan(min_words, near_words), f"doc_id {kind}, line_no int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("o"), *[F.min(f"k{k}").alias(f"k{k}") for k in range(4)])
-    halves = distinct.select("o", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("which", "key")).where("key is not null")
-    shared = halves.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("o"), F.count("*").alias("c"), *[F.min(f"k{k}").alias(f"k{k}") for k in range(4)])
+    keys = distinct.select("o.*", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("which", "key")).where("key is not null")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     near = (
-        halves.join(shared, "key")
-        .groupBy("o.doc_id", "o.line_no")
+        keys.join(shared, "key")
+        .groupBy("doc_id", "line_no")
         .agg(F.bit_or(F.expr("shiftleft(1, which)")).alias("mask"))
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("line_no", "mask")).alias("wanted"))
     )
-    chosen = docs.join(near, docs["doc_id"].eqNullSafe(near["doc_id"])).select(docs["doc_id"], "text", "wanted")
-    variants = chosen.mapInArrow(_variants(min_words, near_words), f"doc_id {kind}, line_no int, v1 long, v2 long, pos int, h1 long, h2 long")
+    # dealt once more, a small part of the texts, so that both reads below share the join's outcome
+    chosen = dealt.join(near, dealt["doc_id"].eqNullSafe(near["doc_id"])).select(dealt["doc_id"], "text", "wanted").repartition("doc_id", "wanted")
+    variants = chosen.mapInArrow(_variants(near_words), f"doc_id {kind}, line_no int, v1 long, v2 long, pos int")
     order = F.struct("doc_id", "line_no")
-    by_place = variants.groupBy("v1", "v2", "pos").agg(F.min(order).alias("m"), F.count("*").alias("c"))
+    by_place = variants.groupBy("v1", "v2", "pos").agg(F.min(order).alias("m"), F.count("*").alias("n"))
     by_key = (
         by_place.groupBy("v1", "v2")
-        .agg(F.min(F.when(F.col("pos") < 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.col("m"))).alias("part"), F.sum("c").alias("n"))
+        .agg(F.min(F.when(F.col("pos") < 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.col("m"))).alias("part"), F.sum("n").alias("n"))
         .where("n > 1")
+        .drop("n")
     )
     best = by_place.join(by_key, ["v1", "v2"]).select("v1", "v2", "pos", F.when(F.col("pos") < 0, F.col("part")).otherwise(_earlier(F.col("m"), F.col("whole"))).alias("best"))
-    later = variants.join(best, ["v1", "v2", "pos"]).where(F.col("best") < order).select("h1", "h2").distinct().withColumn("near", F.lit(True))
-    fate = distinct.select("h1", "h2", "o").join(later, ["h1", "h2"], "left")
-    gone = lines.select("doc_id", "line_no", "h1", "h2").join(fate, ["h1", "h2"]).where(F.coalesce(F.col("near"), F.lit(False)) | (F.col("o") < F.struct("doc_id", "line_no")))
+    late = variants.join(best, ["v1", "v2", "pos"]).where(F.col("best") < order).select(order.alias("o")).distinct().withColumn("near", F.lit(True))
+    fate = distinct.select("h1", "h2", "o", "c").join(late, "o", "left").where("near or c > 1").select("h1", "h2", "o", "near")
+    gone = lines.select("doc_id", "line_no", "h1", "h2").join(fate, ["h1", "h2"]).where(F.coalesce(F.col("near"), F.lit(False)) | (F.col("o") < order))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
 
 
@@ -178,7 +176,7 @@ def dedup_lines(docs: DataFrame, **params) -> DataFrame:
     dealt = docs.repartition("doc_id")
     names = {c.lower() for c in docs.columns}
     fresh = lambda c: c if c not in names else fresh("_" + c)
-    gone = dropped_lines(dealt, **params).select(F.col("doc_id").alias(fresh("gone_id")), F.col("lines").alias(fresh("gone_lines")))
+    gone = dropped_lines(docs, dealt, **params).select(F.col("doc_id").alias(fresh("gone_id")), F.col("lines").alias(fresh("gone_lines")))
     lines, drop = F.split("text", "\n", -1), F.col(fresh("gone_lines"))
     left = F.concat_ws("\n", F.filter(lines, lambda x, k: ~F.array_contains(drop, k)))
     return dealt.join(gone, F.col("doc_id").eqNullSafe(F.col(fresh("gone_id"))), "left").select(
