@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from brontide.llm import decontam, langid, linededup
+from brontide.llm import decontam, langid, linededup, minhash
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_decontamination": decontam.op2_decontamination,
+    "op5_minhash_dedup": minhash.op5_minhash_dedup,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 
 ORACLES = {
     "op2_decontamination": decontam.OP2_SQL,
+    "op5_minhash_dedup": minhash.OP5_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
 }
