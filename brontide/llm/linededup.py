@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brontide.llm import wordhash as wh
+from brontide.llm.shared import written
 
 MIN_WORDS, NEAR_WORDS = 5, 10
 _C = np.uint64(0xA0761D6478BD642F)
@@ -101,15 +102,28 @@ def _scan(min_words: int, near_words: int):
     return run
 
 
+def _pick(batches):
+    """The wanted lines of each document."""
+    for batch in batches:
+        numbers, masks, texts, rows = [], [], [], []
+        for row, (text, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            lines = text.split("\n")
+            for w in wanted:
+                rows.append(row)
+                numbers.append(w["line_no"])
+                masks.append(w["mask"])
+                texts.append(lines[w["line_no"]])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(masks, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "line_no", "mask", "line"])
+
+
 def _variants(near_words: int):
     def run(batches):
         for batch in batches:
-            wanted = [dict((x["line_no"], x["mask"]) for x in row) for row in batch.column(2).to_pylist()]
-            for first, flat, offs in wh.slices(batch.column(1)):
+            masks = np.array(batch.column(2), dtype=np.int64)
+            for first, flat, offs in wh.slices(batch.column(3)):
                 lines = _Lines(flat, offs)
-                mask = np.array([wanted[first + d].get(k, 0) for d, k in zip(lines.doc.tolist(), lines.number.tolist(), strict=True)], dtype=np.int64)
-                lines.keep(np.flatnonzero(mask))
-                mask, n = mask[mask > 0], lines.n
+                lines.keep(np.arange(len(lines.n)))
+                mask, n = masks[lines.doc + first], lines.n
                 line = np.repeat(np.arange(len(n)), n)
                 at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 use = np.zeros(len(at), dtype=bool)
@@ -120,35 +134,33 @@ def _variants(near_words: int):
                 use &= n[line] >= near_words
                 line, at = line[use], at[use]
                 keys = [np.concatenate([lines.without(k, line, at), lines.hashes(k, lines.first, n)]) for k in (0, 1)]
-                line = np.concatenate([line, np.arange(len(n))])
+                rows = pa.array(lines.doc[np.concatenate([line, np.arange(len(n))])] + first)
                 at = np.concatenate([at, np.full(len(n), -1)])
-                ids = batch.column(0).take(pa.array(lines.doc[line] + first))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[line], pa.int32()), *[_i64(k) for k in keys], pa.array(at, pa.int32())], names=["doc_id", "line_no", "v1", "v2", "pos"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *[_i64(k) for k in keys], pa.array(at, pa.int32())], names=["doc_id", "line_no", "v1", "v2", "pos"])
 
     return run
 
 
-def dropped_lines(docs: DataFrame, dealt: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def _dropped(docs: DataFrame, dealt: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """doc_id and the sorted numbers (from 0) of its lines that go, for each document that loses some.
 
-    docs: doc_id, text; dealt: the same rows dealt by doc_id, so that its exchange serves other reads too.
+    docs: doc_id, text; dealt: the same rows with one more column, dealt by doc_id.
     """
-    docs, dealt = docs.select("doc_id", "text"), dealt.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     lines = docs.mapInArrow(_scan(min_words, near_words), f"doc_id {kind}, line_no int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("o"), F.count("*").alias("c"), *[F.min(f"k{k}").alias(f"k{k}") for k in range(4)])
+    distinct = written(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("o"), F.count("*").alias("c"), *[F.min(f"k{k}").alias(f"k{k}") for k in range(4)]))
     keys = distinct.select("o.*", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("which", "key")).where("key is not null")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = (
+    near = written(
         keys.join(shared, "key")
         .groupBy("doc_id", "line_no")
         .agg(F.bit_or(F.expr("shiftleft(1, which)")).alias("mask"))
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("line_no", "mask")).alias("wanted"))
     )
-    # dealt once more, a small part of the texts, so that both reads below share the join's outcome
-    chosen = dealt.join(near, dealt["doc_id"].eqNullSafe(near["doc_id"])).select(dealt["doc_id"], "text", "wanted").repartition("doc_id", "wanted")
-    variants = chosen.mapInArrow(_variants(near_words), f"doc_id {kind}, line_no int, v1 long, v2 long, pos int")
+    # the join reads all of dealt, so that its exchange is the one that the final join reads; the few lines it leaves are dealt again and read twice
+    chosen = dealt.join(near, dealt["doc_id"].eqNullSafe(near["doc_id"])).select(dealt["doc_id"], "text", "rest", "wanted")
+    variants = chosen.mapInArrow(_pick, f"doc_id {kind}, line_no int, mask int, line string").dropDuplicates(["doc_id", "line_no"]).mapInArrow(_variants(near_words), f"doc_id {kind}, line_no int, v1 long, v2 long, pos int")
     order = F.struct("doc_id", "line_no")
     by_place = variants.groupBy("v1", "v2", "pos").agg(F.min(order).alias("m"), F.count("*").alias("n"))
     by_key = (
@@ -168,20 +180,24 @@ def _earlier(a: Column, b: Column) -> Column:
     return F.when(b.isNull() | (a <= b), a).otherwise(b)
 
 
-def dedup_lines(docs: DataFrame, **params) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs with the dropped lines taken out of text; two more columns, n_lines and n_removed, at the end.
 
     A table that has columns of these names already keeps its own: the new ones then get a leading underscore.
     """
-    dealt = docs.repartition("doc_id")
+    if near_words < 9:
+        raise ValueError("near_words must be 9 or more: shorter lines have no shared part to go by")
     names = {c.lower() for c in docs.columns}
     fresh = lambda c: c if c not in names else fresh("_" + c)
-    gone = dropped_lines(docs, dealt, **params).select(F.col("doc_id").alias(fresh("gone_id")), F.col("lines").alias(fresh("gone_lines")))
-    lines, drop = F.split("text", "\n", -1), F.col(fresh("gone_lines"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    dealt = docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("rest")).repartition("doc_id")
+    gone = _dropped(docs.select("doc_id", "text"), dealt, min_words, near_words).select(F.col("doc_id").alias("gone_id"), F.col("lines").alias("gone_lines"))
+    lines, drop = F.split("text", "\n", -1), F.col("gone_lines")
     left = F.concat_ws("\n", F.filter(lines, lambda x, k: ~F.array_contains(drop, k)))
-    return dealt.join(gone, F.col("doc_id").eqNullSafe(F.col(fresh("gone_id"))), "left").select(
-        *[F.when(drop.isNull(), F.col("text")).otherwise(left).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(fresh("n_lines")),
+    made = {"doc_id": F.col("doc_id"), "text": F.when(drop.isNull(), F.col("text")).otherwise(left)}
+    return dealt.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").select(
+        *[made.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(fresh("n_lines")),
         F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(fresh("n_removed")),
     )
 
