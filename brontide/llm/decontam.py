@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brontide.llm import wordhash as wh
+from brontide.llm.shared import keyed
 
 WINDOW, GRAM = 10, 5
 #: Words of the benchmark that one pass over the documents holds: about 60 MB a task.
 BLOCK_WORDS = 1_000_000
-_SPANS = "doc_id {id}, n_words long, starts array<int>, ends array<int>, items array<string>"
+_SPANS = "n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
 def winnow(grams: np.ndarray, width: int) -> np.ndarray:
@@ -114,7 +115,7 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(at, len(table) - 1)] == values
 
 
-def _spans_of(index, id_type):
+def _spans_of(index):
     def run(batches):
         index_here = index.value
         for batch in batches:
@@ -149,13 +150,13 @@ def contamination_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
     total = sizes.agg(F.sum("w")).first()[0] or 0
     blocks = max(1, int(-(-total // block_words)))
     docs = docs.select("doc_id", "text")
-    schema = _SPANS.format(id=docs.schema["doc_id"].dataType.simpleString())
+    schema = keyed(docs, _SPANS)
     parts = []
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         rows = sorted({(r[0], r[1]) for r in own.collect()})
         index = spark.sparkContext.broadcast(_Index(rows, window, gram))
-        parts.append(docs.mapInArrow(_spans_of(index, schema), schema))
+        parts.append(docs.mapInArrow(_spans_of(index), schema))
     if blocks == 1:
         return parts[0]
     out = parts[0]
@@ -186,8 +187,7 @@ def _digest(batches):
 def decontaminate(docs: DataFrame, bench: DataFrame, **params) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     spans = contamination_spans(docs, bench, **params)
-    schema = f"doc_id {spans.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return spans.mapInArrow(_digest, schema)
+    return spans.mapInArrow(_digest, keyed(spans, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"))
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

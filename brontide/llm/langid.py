@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brontide.llm import wordhash as wh
+from brontide.llm.shared import keyed
 
 STEPS, UNITS = 48, 8
 SAMPLE_DOCS, SAMPLE_RUNS = 2400, 12
@@ -232,8 +233,7 @@ def identify(docs: DataFrame, model: tuple[Network | None, list[str]]) -> DataFr
     """doc_id, lang_pred, score: a row for each of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"doc_id {kind}, lang_pred string, score double")
+    return docs.mapInArrow(_predict(spark.sparkContext.broadcast(model)), keyed(docs, "lang_pred string, score double"))
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
