@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from brontide.llm import decontam, langid, linededup, minhash, mixing, mpeg
+from brontide.llm import decontam, langid, linededup, minhash, mixing, mpeg, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_mpeg_audio": mpeg.op3_mpeg_audio,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_minhash_dedup": minhash.op5_minhash_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op10_line_dedup": linededup.op10_line_dedup,
