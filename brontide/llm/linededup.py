@@ -17,7 +17,8 @@ exchange serves the variants and the final removal.
 
 Edge cases: a null text stays null, an empty one empty, and an empty table gives an empty one. Rows of
 one doc_id and the same line number are never earlier than each other, so repeated rows keep the same
-lines. A null doc_id orders first. Extra columns pass through, whatever their names.
+lines. A document with a null doc_id comes first in order and loses no line. Extra columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -159,10 +160,11 @@ def _dropped(docs: DataFrame, dealt: DataFrame, min_words: int, near_words: int)
         .agg(F.collect_list(F.struct("line_no", "mask")).alias("wanted"))
     )
     # the join reads all of dealt, so that its exchange is the one that the final join reads; the few lines it leaves are dealt again and read twice
-    chosen = dealt.join(near, dealt["doc_id"].eqNullSafe(near["doc_id"])).select(dealt["doc_id"], "text", "rest", "wanted")
+    chosen = dealt.join(near, "doc_id").select("doc_id", "text", "rest", "wanted")
     variants = chosen.mapInArrow(_pick, f"doc_id {kind}, line_no int, mask int, line string").dropDuplicates(["doc_id", "line_no"]).mapInArrow(_variants(near_words), f"doc_id {kind}, line_no int, v1 long, v2 long, pos int")
     order = F.struct("doc_id", "line_no")
-    by_place = variants.groupBy("v1", "v2", "pos").agg(F.min(order).alias("m"), F.count("*").alias("n"))
+    # the filter keeps n in both uses, which so share one exchange
+    by_place = variants.groupBy("v1", "v2", "pos").agg(F.min(order).alias("m"), F.count("*").alias("n")).where("n > 0")
     by_key = (
         by_place.groupBy("v1", "v2")
         .agg(F.min(F.when(F.col("pos") < 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.col("m"))).alias("part"), F.sum("n").alias("n"))
@@ -191,11 +193,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     fresh = lambda c: c if c not in names else fresh("_" + c)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     dealt = docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("rest")).repartition("doc_id")
-    gone = _dropped(docs.select("doc_id", "text"), dealt, min_words, near_words).select(F.col("doc_id").alias("gone_id"), F.col("lines").alias("gone_lines"))
+    gone = _dropped(docs.select("doc_id", "text"), dealt, min_words, near_words).select(F.col("doc_id").alias("gone_id"), F.col("lines").alias("gone_lines"))  # plain equality, which the deal by doc_id serves
     lines, drop = F.split("text", "\n", -1), F.col("gone_lines")
     left = F.concat_ws("\n", F.filter(lines, lambda x, k: ~F.array_contains(drop, k)))
     made = {"doc_id": F.col("doc_id"), "text": F.when(drop.isNull(), F.col("text")).otherwise(left)}
-    return dealt.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").select(
+    return dealt.join(gone, F.col("doc_id") == F.col("gone_id"), "left").select(
         *[made.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(fresh("n_lines")),
         F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(fresh("n_removed")),
