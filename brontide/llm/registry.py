@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brontide.llm import decontam, langid, linededup, minhash, mixing, mpeg, pii, substrings, toxicity
+from brontide.llm import decontam, langid, licenses, linededup, minhash, mixing, mpeg, pii, substrings, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_minhash_dedup": minhash.op5_minhash_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_substring_dedup": substrings.op7_substring_dedup,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_pii": pii.op9_pii,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
@@ -20,5 +21,6 @@ ORACLES = {
     "op2_decontamination": decontam.OP2_SQL,
     "op5_minhash_dedup": minhash.OP5_SQL,
     "op7_substring_dedup": substrings.OP7_SQL,
+    "op8_license_scan": licenses.OP8_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
 }
