@@ -163,18 +163,14 @@ def _dropped(docs: DataFrame, dealt: DataFrame, min_words: int, near_words: int)
     chosen = dealt.join(near, "doc_id").select("doc_id", "text", "rest", "wanted")
     variants = chosen.mapInArrow(_pick, f"doc_id {kind}, line_no int, mask int, line string").dropDuplicates(["doc_id", "line_no"]).mapInArrow(_variants(near_words), f"doc_id {kind}, line_no int, v1 long, v2 long, pos int")
     order = F.struct("doc_id", "line_no")
-    # the filter keeps n in both uses, which so share one exchange
-    by_place = variants.groupBy("v1", "v2", "pos").agg(F.min(order).alias("m"), F.count("*").alias("n")).where("n > 0")
-    by_key = (
-        by_place.groupBy("v1", "v2")
-        .agg(F.min(F.when(F.col("pos") < 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.col("m"))).alias("part"), F.sum("n").alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
+    by_place = variants.groupBy("v1", "v2", "pos").agg(F.min(order).alias("m"))
+    by_key = by_place.groupBy("v1", "v2").agg(F.min(F.when(F.col("pos") < 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.col("m"))).alias("part"))
     best = by_place.join(by_key, ["v1", "v2"]).select("v1", "v2", "pos", F.when(F.col("pos") < 0, F.col("part")).otherwise(_earlier(F.col("m"), F.col("whole"))).alias("best"))
-    late = variants.join(best, ["v1", "v2", "pos"]).where(F.col("best") < order).select(order.alias("o")).distinct().withColumn("near", F.lit(True))
-    fate = distinct.select("h1", "h2", "o", "c").join(late, "o", "left").where("near or c > 1").select("h1", "h2", "o", "near")
-    gone = lines.select("doc_id", "line_no", "h1", "h2").join(fate, ["h1", "h2"]).where(F.coalesce(F.col("near"), F.lit(False)) | (F.col("o") < order))
+    # a near copy's first place goes here, its other places go as copies of the first
+    late = variants.join(best, ["v1", "v2", "pos"]).where(F.col("best") < order).select("doc_id", "line_no")
+    again = distinct.where("c > 1").select("h1", "h2", "o")
+    copies = lines.select("doc_id", "line_no", "h1", "h2").join(again, ["h1", "h2"]).where(F.col("o") < order).select("doc_id", "line_no")
+    gone = copies.unionByName(late)
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
 
 
@@ -192,12 +188,16 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     names = {c.lower() for c in docs.columns}
     fresh = lambda c: c if c not in names else fresh("_" + c)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    dealt = docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("rest")).repartition("doc_id")
-    gone = _dropped(docs.select("doc_id", "text"), dealt, min_words, near_words).select(F.col("doc_id").alias("gone_id"), F.col("lines").alias("gone_lines"))  # plain equality, which the deal by doc_id serves
+    rows = docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("rest"))
+    # without null ids here, both joins below read the same exchange
+    dealt = rows.where("doc_id is not null").repartition("doc_id")
+    gone = _dropped(docs.select("doc_id", "text"), dealt, min_words, near_words).select(F.col("doc_id").alias("gone_id"), F.col("lines").alias("gone_lines"))
     lines, drop = F.split("text", "\n", -1), F.col("gone_lines")
     left = F.concat_ws("\n", F.filter(lines, lambda x, k: ~F.array_contains(drop, k)))
     made = {"doc_id": F.col("doc_id"), "text": F.when(drop.isNull(), F.col("text")).otherwise(left)}
-    return dealt.join(gone, F.col("doc_id") == F.col("gone_id"), "left").select(
+    joined = dealt.join(gone, F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id")
+    joined = joined.unionByName(rows.where("doc_id is null").withColumn("gone_lines", F.lit(None).cast("array<int>")))
+    return joined.select(
         *[made.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(fresh("n_lines")),
         F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(fresh("n_removed")),
