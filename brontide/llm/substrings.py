@@ -6,17 +6,18 @@ of what it stands for, so the rounds agree over the whole corpus without a dicti
 substrings get equal symbols in their interior. Each symbol keeps the words its parse depended on: if
 these lie inside a window, every copy of that window holds the symbol at the same place.
 
-* Reveal: every window chooses, among the symbols of round ``LOW`` whose whole parse it determines, the
-  one of least hash; equal windows choose alike. Spark counts the chosen symbols' places: a window whose
-  symbol occurs once can't repeat, the others are candidates. A window without such a symbol is counted
-  by a hash of itself.
-* Verify: a repeated symbol of ``window`` words or more, from the rounds ``HIGH`` or a whole text's root,
-  proves all windows inside it at once. They are posted by the symbol's first place alone, as repeated
-  ones, so a group of copies costs about what one copy does. The other candidates are posted under two
-  independent 64-bit hashes of their words and counted.
-
-Counting is by aggregation and equi-joins, never by pairs. Texts are dealt by row once; the candidates'
-pass and the last one read that exchange.
+* Reveal: every window chooses, among the symbols whose whole parse and neighbours of ``MARGIN`` words it
+  determines, the one of least hash; equal windows choose alike. Spark counts the places chosen, by name: a
+  window whose symbol occurs once can't repeat, the others are candidates. A window without such a symbol
+  is counted by a hash of itself.
+* Verify: neighbouring windows that chose one place make a run. Runs with the same symbol and the same
+  words prove all their windows repeated at once. Where a symbol's runs differ, as at the ends of a
+  repeated passage, windows are posted under two independent 64-bit hashes and counted: each window of a
+  run that occurs once, and those of a repeated run from its first place alone, as two. So the interior of
+  copies costs one row for each run and a large group of copies little more than its ends.
+
+Counting is by aggregation and equi-joins, never by pairs. Texts are dealt by row once; the passes that
+post windows and that remove words read that exchange.
 
 Edge cases: a null or empty text, or one of fewer words than a window, loses nothing; the SHA-256 is that
 of the words left, joined by one space. Rows with equal doc_id and text are copies of each other like
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from brontide.llm import wordhash as wh
 from brontide.llm.shared import keyed, written
 
-WINDOW, LOW, HIGH = 35, 3, (14, 18)
-_PAIR, _RUN, _ROOT = np.uint64(0xB5AD4ECEDA1CE2A9), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
+WINDOW, ROUNDS, MARGIN = 35, 3, 3
+_PAIR, _RUN = np.uint64(0xB5AD4ECEDA1CE2A9), np.uint64(0x2545F4914F6CDD1D)
 _SECOND = np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -65,6 +66,15 @@ class Parse:
             self._pairs()
         self.round += 1
 
+    def widen(self, woffs: np.ndarray, sums: np.ndarray, shift: np.ndarray, margin: int) -> None:
+        """Take ``margin`` words on both sides into each name: longer names repeat less by chance, while there are as many to choose from."""
+        doc = np.searchsorted(woffs, self.a, "right") - 1
+        a, b = self.a - margin, np.append(self.a[1:], self.total) + margin
+        self.lo = np.minimum(self.lo, np.where(a < woffs[doc], woffs[doc] - 1, a))
+        self.hi = np.maximum(self.hi, np.where(b > woffs[doc + 1], woffs[doc + 1] + 1, b))
+        a, b = np.maximum(a, woffs[doc]), np.minimum(b, woffs[doc + 1])
+        self.name = wh.mix(self.name + (sums[b] - sums[a]) * shift[a])
+
     def _runs(self) -> None:
         same = (self.name[1:] == self.name[:-1]) & ~self.last[:-1]
         start = np.flatnonzero(np.append(True, ~same))
@@ -103,104 +113,91 @@ class Parse:
         self.name, self.a, self.lo, self.hi, self.last = name[keep], self.a[keep], lo[keep], hi[keep], last[keep]
 
 
-class Level:
-    """Symbols that may be counted: names, places in words, sizes in words."""
-
-    def __init__(self, at: Parse, level: int):
-        self.name = wh.mix(at.name + np.uint64(level * int(_RUN) % (1 << 64)))
-        self.a, self.lo, self.hi = at.a, at.lo, at.hi
-        self.size = np.diff(np.append(at.a, at.total))
+def _least(order: np.ndarray, first: np.ndarray, stop: np.ndarray, most: int) -> np.ndarray:
+    """The least of order[first:stop] for each pair, the largest value for an empty one; no range is longer than ``most``."""
+    count, width, table = stop - first, 1, order
+    out = np.full(len(first), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    while width <= most and len(table):
+        k = np.flatnonzero((count >= width) & (count < 2 * width))
+        out[k] = np.minimum(table[first[k]], table[stop[k] - width])
+        table, width = np.minimum(table[:-width], table[width:]), 2 * width
+    return out
 
 
-def chosen(fine: Level, starts: np.ndarray, window: int) -> np.ndarray:
-    """For the window at each start: the symbol of least hash among those whose whole parse it determines, -1 if there is none.
+def chosen(at: Parse, starts: np.ndarray, window: int) -> np.ndarray:
+    """For the window at each start: the symbol of least hash among those that it determines, -1 if there is none.
 
     Equal windows hold the same such symbols at the same places, so they choose alike.
     """
-    first, stop = np.searchsorted(fine.lo, starts, "left"), np.searchsorted(fine.hi, starts + window, "right")
-    count = stop - first
-    table = (wh.mix(fine.name ^ _SECOND) & ~np.uint64(0xFFFFFFFF)) | np.arange(len(fine.name), dtype=np.uint64)
-    out = np.full(len(starts), -1, dtype=np.int64)
-    width = 1
-    while width <= window:
-        k = np.flatnonzero((count >= width) & (count < 2 * width))
-        if len(k):
-            best = np.minimum(table[first[k]], table[stop[k] - width])
-            out[k] = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        if len(table) > width:
-            table = np.minimum(table[:-width], table[width:])
-        elif not (count >= 2 * width).any():
-            break
-        width *= 2
-    return out
+    first, stop = np.searchsorted(at.lo, starts, "left"), np.searchsorted(at.hi, starts + window, "right")
+    low = np.uint64(0xFFFFFFFF)
+    order = (wh.mix(at.name ^ _SECOND) & ~low) | np.arange(len(at.name), dtype=np.uint64)
+    best = _least(order, first, stop, window)
+    return np.where(stop > first, (best & low).astype(np.int64), -1)
 
 
-def parse(column: pa.Array, window: int, low: int, high: tuple[int, ...]):
-    """(first row, word hashes, offsets, starts of windows, fine symbols, coarse levels) of each slice."""
+def _tokens(column: pa.Array):
     for first, flat, offs in wh.slices(column):
         starts, ends, woffs = wh.word_spans(flat, offs, wh.SPACE_WORDS)
-        words = wh.word_hashes(flat, starts, ends)
-        at, levels = Parse(words, woffs), []
-        for k in range(1, max((low, *high)) + 1):
-            at.step()
-            if k == low:
-                fine = Level(at, 0)
-            if k in high:
-                levels.append(Level(at, k))
-        yield first, words, woffs, np.flatnonzero(wh.window_starts(woffs, window)), fine, levels
-
-
-def _places(window, low, high):
-    """The places to count: chosen symbols (size 0), windows without any symbol (size -1), and symbols of a window's length or more."""
-
+        yield first, wh.word_hashes(flat, starts, ends), woffs
+
+
+def groups(words: np.ndarray, woffs: np.ndarray, window: int, rounds: int, margin: int):
+    """Runs of windows that chose one place: the symbol's name, a hash of all words of the run and where the symbol
+    stands in it, the first window and the number of windows. A window without a symbol is a run of its own."""
+    at = Parse(words, woffs)
+    for _ in range(rounds):
+        at.step()
+    starts = np.flatnonzero(wh.window_starts(woffs, window))
+    if not len(starts):
+        return (np.zeros(0, np.uint64),) * 2 + (starts,) * 2
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * wh.powers(wh._SEQ, len(words)), out=sums[1:])
+    shift = wh.powers(wh._SEQ_INV, len(words) + 1)
+    at.widen(woffs, sums, shift, margin)
+    pick = chosen(at, starts, window)
+    fresh = np.append(True, (pick[1:] != pick[:-1]) | (pick[1:] < 0) | (starts[1:] != starts[:-1] + 1))
+    head = np.flatnonzero(fresh)
+    count = np.diff(np.append(head, len(starts)))
+    first, symbol = starts[head], pick[head]
+    whole = wh.mix((sums[first + count + window - 1] - sums[first]) * shift[first] + count.astype(np.uint64) * _RUN)
+    k = np.maximum(symbol, 0)
+    name = np.where(symbol < 0, wh.mix(whole ^ _RUN), at.name[k])
+    span = wh.mix(whole + np.where(symbol < 0, 0, at.a[k] - first).astype(np.uint64) * _PAIR)
+    return name, span, first, count
+
+
+def _places(window, rounds, margin):
     def run(batches):
         for batch in batches:
-            for first, words, woffs, starts, fine, levels in parse(batch.column(2), window, low, high):
-                pick = chosen(fine, starts, window)
-                own = np.unique(pick[pick >= 0])
-                none = starts[pick < 0]
-                parts = [(fine.name[own], fine.a[own], np.zeros(len(own))), (wh.mix(wh.window_hashes(words, window)[none] ^ _RUN), none, np.full(len(none), -1))]
-                for x in levels:
-                    long = np.flatnonzero(x.size >= window)
-                    parts.append((x.name[long], x.a[long], x.size[long]))
-                whole = np.flatnonzero(np.diff(woffs) >= window)
-                parts.append((wh.mix(wh.whole_hashes(words, woffs)[whole] ^ _ROOT), woffs[whole], np.diff(woffs)[whole]))
-                name, at, size = (np.concatenate(p) for p in zip(*parts, strict=True))
+            for first, words, woffs in _tokens(batch.column(2)):
+                name, span, at, count = groups(words, woffs, window, rounds, margin)
                 doc = np.searchsorted(woffs, at, "right") - 1
                 rows = pa.array(doc + first)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at - woffs[doc], pa.int32()), pa.array(size, pa.int32())], names=["name", "r", "c", "at", "size"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name.view(np.int64)), pa.array(span.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at - woffs[doc], pa.int32()), pa.array(count, pa.int32())],
+                    names=["name", "span", "r", "c", "at", "n"],
+                )
 
     return run
 
 
-def _post(window, low, high):
-    """The candidate windows, each counted once; those that a long symbol proves by its first place alone, counted twice."""
+def _post(window):
+    """The windows of runs that are not proved, each counted once, and those of a proved run's first place, counted twice."""
 
     def run(batches):
         for batch in batches:
             marks = batch.column(4).to_pylist()
-            for first, words, woffs, starts, fine, _ in parse(batch.column(3), window, low, ()):
-                again, alone = np.zeros(len(fine.name), dtype=bool), np.zeros(len(words) + 1, dtype=bool)
-                proved, posted = alone.copy(), alone.copy()
-                for d in range(len(woffs) - 1):
-                    for m in marks[first + d]:
-                        a = woffs[d] + m["at"]
-                        if m["size"] == 0:
-                            again[np.searchsorted(fine.a, a)] = True
-                        elif m["size"] < 0:
-                            alone[a] = True
-                        else:
-                            proved[a : a + m["size"] - window + 1] = True
-                            if m["head"]:
-                                posted[a : a + m["size"] - window + 1] = True
-                pick = chosen(fine, starts, window)
-                use = starts[np.where(pick >= 0, again[pick], alone[starts]) & (~proved[starts] | posted[starts])]
+            for first, words, woffs in _tokens(batch.column(3)):
+                spans = [(woffs[d] + m["at"], m["n"], m["kind"]) for d in range(len(woffs) - 1) for m in marks[first + d] if m["kind"]]
+                use = np.concatenate([np.arange(a, a + n) for a, n, _ in spans]) if spans else np.zeros(0, np.int64)
+                times = np.repeat([k for _, _, k in spans], [n for _, n, _ in spans]) if spans else use
                 doc = np.searchsorted(woffs, use, "right") - 1
                 rows = pa.array(doc + first)
                 h1, h2 = (wh.window_hashes(w, window)[use] if len(use) else np.zeros(0, np.uint64) for w in (words, wh.mix(words ^ _SECOND)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.where(proved[use], 2, 1), pa.int32()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(use - woffs[doc], pa.int32())],
-                    names=["h1", "h2", "n", "r", "c", "at"],
+                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(times, pa.int32()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(use - woffs[doc], pa.int32())],
+                    names=["h1", "h2", "times", "r", "c", "at"],
                 )
 
     return run
@@ -213,12 +210,11 @@ def _kept(window):
             for text, marks, found in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 n = len(words)
-                if marks or found:
+                proved = [(m["at"], m["at"] + m["n"] - 1) for m in marks or () if m["kind"] != 1]
+                if proved or found:
                     edge = np.zeros(n + 1, dtype=np.int64)
-                    a = np.array([m["at"] for m in marks or () if m["size"] > 0] + (found or []), dtype=np.int64)
-                    b = np.array([m["at"] + m["size"] for m in marks or () if m["size"] > 0] + [x + window for x in found or ()], dtype=np.int64)
-                    np.add.at(edge, a, 1)
-                    np.add.at(edge, b, -1)
+                    np.add.at(edge, [a for a, _ in proved] + (found or []), 1)
+                    np.add.at(edge, [b + window for _, b in proved] + [x + window for x in found or ()], -1)
                     words = [words[k] for k in np.flatnonzero(np.cumsum(edge[:n]) == 0).tolist()]
                 n_words.append(n)
                 n_removed.append(n - len(words))
@@ -228,25 +224,26 @@ def _kept(window):
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, low: int = LOW, high: tuple[int, ...] = HIGH) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, margin: int = MARGIN) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: a row for each of docs (doc_id, text)."""
-    how = window, low, tuple(high)
     whole = docs.schema["doc_id"].dataType.typeName() in ("long", "integer", "short", "byte")
     r = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) if whole else F.xxhash64("doc_id")
     # a row goes by its id and a hash of its text: rows of one id and one text share all marks, as they must
     rows = docs.select(r.alias("r"), F.hash("text").alias("c"), "doc_id", "text")
-    places = written(rows.select("r", "c", "text").mapInArrow(_places(*how), "name long, r long, c int, at int, size int"))
-    # equal rows have equal places: counted, they are two
+    places = rows.select("r", "c", "text").mapInArrow(_places(window, rounds, margin), "name long, span long, r long, c int, at int, n int")
+    shared = places.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    candidates = written(places.join(shared, "name"))
     place = F.struct("r", "c", "at")
-    counts = places.groupBy("name").agg(F.count("*").alias("n"), F.min(F.when(F.col("size") > 0, place)).alias("head")).where("n > 1").drop("n")
-    marks = written(
-        places.join(counts, "name")
-        .groupBy("r", "c")
-        .agg(F.collect_set(F.struct("at", "size", F.coalesce(F.col("head") == place, F.lit(False)).alias("head"))).alias("marks"))
-    )
+    alike = candidates.groupBy("name").agg((F.min("span") == F.max("span")).alias("alike"))
+    candidates = candidates.join(alike, "name")
+    mixed = candidates.where("not alike")
+    spans = mixed.groupBy("name", "span").agg(F.count("*").alias("k"), F.min(place).alias("head"))
+    kind = F.when(F.col("k") == 1, 1).when(F.col("head") == place, 2).otherwise(0)
+    known = mixed.join(spans, ["name", "span"]).select("r", "c", "at", "n", kind.alias("kind")).unionByName(candidates.where("alike").select("r", "c", "at", "n", F.lit(0).alias("kind")))
+    marks = written(known.groupBy("r", "c").agg(F.collect_set(F.struct("at", "n", "kind")).alias("marks")))
     dealt = rows.repartition("r", "c").join(marks, ["r", "c"], "left").select("r", "c", "doc_id", "text", "marks")
-    posts = dealt.where("marks is not null").mapInArrow(_post(*how), "h1 long, h2 long, n int, r long, c int, at int")
-    twice = posts.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
+    posts = dealt.where(F.exists("marks", lambda m: m["kind"] > 0)).mapInArrow(_post(window), "h1 long, h2 long, times int, r long, c int, at int")
+    twice = posts.groupBy("h1", "h2").agg(F.sum("times").alias("total")).where("total > 1").drop("total")
     found = posts.join(twice, ["h1", "h2"]).groupBy("r", "c").agg(F.collect_set("at").alias("found"))
     return dealt.join(found, ["r", "c"], "left").select("r", "c", "doc_id", "text", "marks", "found").mapInArrow(_kept(window), keyed(docs, "n_words long, n_removed long, kept_sha256 string"))
 
