@@ -409,9 +409,10 @@ def op9_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = find_pii(docs, fit(docs))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[number(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(text("base"), 256).alias("base_sha256"),
         text("spans").alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
