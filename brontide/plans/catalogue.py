@@ -1,10 +1,483 @@
-"""All registered queries over sensor readings and their SQL."""
+"""All registered queries over sensor readings: each an operator on the driver's tables, with its SQL."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from brontide.config import CONFIG, VARIABLES
+from brontide.functions.scalars import by_variable, dewpoint_c, severity, trust_band
+from brontide.operators import climatology, evaluate, fusion, geo, heal, history, ingest, inject, physics, spatial, summary
+from brontide.operators import features as feats
+from brontide.operators import forest as trees
+from brontide.plans import detect
+from brontide.plans.oracles import TS, sql
+from brontide.sources import readings as src
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def flagship(spark, sf_dir):
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+def query(select: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if select is not None:
+            ORACLES[f.__name__] = sql(select)
+        return f
+
+    return add
+
+
+def _table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _readings(spark, sf_dir: str) -> DataFrame:
+    return src.events_as_readings(_table(spark, sf_dir, "events"))
+
+
+def _stations(spark, sf_dir: str, below: int | None = 8) -> DataFrame:
+    return src.suppliers_as_stations(_table(spark, sf_dir, "supplier"), below)
+
+
+def _edges(spark, sf_dir: str) -> DataFrame:
+    return geo.neighbour_edges(_stations(spark, sf_dir))
+
+
+def _long(spark, sf_dir: str) -> DataFrame:
+    return ingest.long_form(_readings(spark, sf_dir), ("event_id",))
+
+
+def _clim(spark, sf_dir: str) -> DataFrame:
+    return climatology.fit_climatology(_long(spark, sf_dir))
+
+
+def _anomalies(spark, sf_dir: str) -> DataFrame:
+    return climatology.with_climatology(_long(spark, sf_dir), _clim(spark, sf_dir))
+
+
+def _history(spark, sf_dir: str) -> DataFrame:
+    return history.sensor_history(_readings(spark, sf_dir), ("event_id",))
+
+
+def _physics(spark, sf_dir: str) -> DataFrame:
+    return physics.check_physics(physics.rule_flags(_history(spark, sf_dir)))
+
+
+def _signals(spark, sf_dir: str) -> DataFrame:
+    """All signals with a fixed stand-in for the model's score."""
+    s = detect.signals(_readings(spark, sf_dir), _clim(spark, sf_dir), _edges(spark, sf_dir), ("event_id",))
+    return s.withColumn("ml_score", ((F.col("event_id") * 7919 + by_variable(dict(zip(VARIABLES, (0, 1, 2), strict=True))) * 613) % 1000) / 1000.0)
+
+
+def _results(spark, sf_dir: str) -> DataFrame:
+    """RESULT-shaped rows with statuses, labels and events by fixed rules, so that summaries are tested apart from the detector."""
+    x = _long(spark, sf_dir)
+    vi = by_variable(dict(zip(VARIABLES, (0, 1, 2), strict=True)))
+    hk, e = F.dayofmonth("ts") * 24 + F.hour("ts"), F.col("event_id")
+    g = (F.floor(hk / 5) + 3 * F.substring("station_id", 4, 9).cast("int") + vi) % 11
+    third, storm = F.floor(hk / 5) % 3, F.floor(hk / 7) % 9 == 2
+    return x.select(
+        "station_id", "ts", "variable", "value",
+        F.when(g == 0, "SENSOR_FAULT").when(g == 1, "SUSPECT").when(storm & (vi < 2), "GENUINE_EVENT").otherwise("NORMAL").alias("status"),
+        F.when(third == 0, "SPIKE").when(third == 1, "FROZEN").alias("fault_type"),
+        F.element_at(F.array(*map(F.lit, ("LOW", "MEDIUM", "HIGH", "CRITICAL"))), (e % 4 + 1).cast("int")).alias("severity"),
+        ((e % 50) / 64).alias("confidence"), (F.col("value") + (e % 7) / 8).alias("corrected_value"), ((e * 13 + vi * 29) % 101).cast("double").alias("trust"),
+        F.when(e % 10 < 3, F.when(third == 0, "SPIKE").when(third == 1, "FROZEN").otherwise("DRIFT")).otherwise("NONE").alias("label"),
+        F.when(storm, "STORM_001").when(e % 10 < 3, F.concat(F.lit("F_"), F.floor(hk / 5).cast("string"))).otherwise("").alias("event_id"),
+        (F.col("value") - 0.25).alias("true_value"),
+    )
+
+
+def _now(results: DataFrame):
+    return F.lit(results.agg(F.max("ts")).first()[0])
+
+
+def _out(df: DataFrame, *columns, ts: str | None = "ts") -> DataFrame:
+    time = [F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("ts")] if ts else []
+    return df.select(*[c for c in ("station_id",) if c in df.columns and ts], *time, *columns)
+
+
+def _r(name: str, as_name: str | None = None, digits: int = 6):
+    return F.round(name, digits).alias(as_name or name)
+
+
+TIME = "yyyy-MM-dd HH:mm:ss"
+
+
+def _time(c: str):
+    return F.date_format(c, TIME).alias(c)
+
+
+@query(rf"select station_id, {TS}, temp_c, pressure_hpa, rh_pct from readings where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-13'")
+def q_split_filter(spark, d):
+    return _out(ingest.select_split(_readings(spark, d), "2024-01-05", "2024-01-12"), *VARIABLES)
+
+
+@query(rf"select station_id, {TS}, event_id from readings")
+def q_dedupe_first(spark, d):
+    return _out(_readings(spark, d), "event_id")
+
+
+_GRID = """, grid as (select station_id, unnest(generate_series(min(ts), max(ts), interval 1 hour)) ts from readings group by 1), g as (select grid.station_id, grid.ts, temp_c, pressure_hpa, rh_pct from grid left join readings using (station_id, ts)),
+gl as (select *, count(*) over (partition by station_id, run) gap0 from (select *, sum(case when lag_missing = (temp_c is null) then 0 else 1 end) over (partition by station_id order by ts) run from (select *, lag(temp_c is null) over (partition by station_id order by ts) lag_missing from g)))"""
+
+
+@query(_GRID + rf" select station_id, {TS}, temp_c, rh_pct from g")
+def q_hourly_grid(spark, d):
+    return _out(ingest.hourly_grid(_readings(spark, d)), "temp_c", "rh_pct")
+
+
+@query(_GRID + rf" select station_id, {TS}, case when temp_c is null then gap0 else 0 end gap from gl")
+def q_gap_length(spark, d):
+    return _out(ingest.gap_lengths(ingest.hourly_grid(_readings(spark, d)), "temp_c"), F.col("gap").cast("long").alias("gap"))
+
+
+@query(_GRID + rf""", n as (select *, row_number() over (partition by station_id order by ts) n from gl),
+p as (select *, last_value(case when temp_c is not null then struct_pack(n := n, v := temp_c) end ignore nulls) over (partition by station_id order by ts rows between unbounded preceding and current row) a, first_value(case when temp_c is not null then struct_pack(n := n, v := temp_c) end ignore nulls) over (partition by station_id order by ts rows between current row and unbounded following) b from n)
+select station_id, {TS}, round(case when temp_c is not null then temp_c when gap0 <= 2 then a.v + (b.v - a.v) * (n - a.n) / (b.n - a.n) end, 6) temp_c from p""")
+def q_interpolate(spark, d):
+    return _out(ingest.interpolate(ingest.hourly_grid(_readings(spark, d))), _r("temp_c"))
+
+
+@query("select station_id, round(count(temp_c) / count(*), 6) temp_c, round(count(pressure_hpa) / count(*), 6) pressure_hpa, round(count(rh_pct) / count(*), 6) rh_pct, least(count(temp_c), count(pressure_hpa), count(rh_pct)) / count(*) >= 0.8 kept from readings group by 1")
+def q_coverage(spark, d):
+    return src.coverage(_readings(spark, d)).select("station_id", *[_r(v) for v in VARIABLES], "kept")
+
+
+@query("select station_id, m as month, hr as hour, variable, round(mean, 6) mean, round(std, 9) std from clim")
+def q_climatology(spark, d):
+    return _clim(spark, d).select("station_id", F.col("month").cast("long").alias("month"), F.col("hour").cast("long").alias("hour"), "variable", _r("mean"), _r("std", digits=9))
+
+
+@query(rf"select station_id, {TS}, variable, round(anomaly, 6) anomaly from anom")
+def q_anomaly(spark, d):
+    return _out(_anomalies(spark, d), "variable", _r("anomaly"))
+
+
+@query(rf"select station_id, {TS}, variable, round(dev_sigma, 6) dev_sigma from anom")
+def q_dev_sigma(spark, d):
+    return _out(_anomalies(spark, d), "variable", _r("dev_sigma"))
+
+
+@query("select station_id, case when abs(coalesce(dev_sigma, 0)) >= 10 then 'CRITICAL' when abs(coalesce(dev_sigma, 0)) >= 6 then 'HIGH' when abs(coalesce(dev_sigma, 0)) >= 3 then 'MEDIUM' else 'LOW' end severity, count(*) n from anom group by all")
+def q_severity(spark, d):
+    return _anomalies(spark, d).groupBy("station_id", severity(F.col("dev_sigma")).alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query("select station_id, neighbour_id, round(km, 1) distance_km from pairs where km <= 20")
+def q_haversine_edges(spark, d):
+    return geo.neighbour_edges(_stations(spark, d, None), 20.0)
+
+
+@query("select distinct least(station_id, neighbour_id) a, greatest(station_id, neighbour_id) b from (select * from (select *, round(km, 1) d from edges) qualify row_number() over (partition by station_id order by d, neighbour_id) <= 3)")
+def q_knn_links(spark, d):
+    return geo.nearest_links(_edges(spark, d))
+
+
+@query(rf"select station_id, {TS}, round(dewpoint, 6) dewpoint from wide")
+def q_dewpoint(spark, d):
+    return _out(_readings(spark, d).withColumn("dewpoint", dewpoint_c(F.col("temp_c"), F.col("rh_pct"))), _r("dewpoint"))
+
+
+@query(rf"select station_id, {TS}, variable, value - lag1 diff_1, value - lag3 diff_3 from hist")
+def q_deltas(spark, d):
+    return _out(_history(spark, d), "variable", (F.col("value") - F.col("lag1")).alias("diff_1"), (F.col("value") - F.col("lag3")).alias("diff_3"))
+
+
+@query(rf"select station_id, {TS}, variable, round(stddev_samp(value) over (partition by station_id, variable order by ts rows 5 preceding), 6) std_6, round(stddev_samp(value) over (partition by station_id, variable order by ts rows 23 preceding), 6) std_24 from lng")
+def q_rolling_std(spark, d):
+    s = lambda n: F.round(F.stddev_samp("value").over(history.SENSOR.rowsBetween(1 - n, 0)), 6).alias(f"std_{n}")
+    return _out(_long(spark, d), "variable", s(6), s(24))
+
+
+_RUN = ", rc as (select *, case when coalesce(value = lag(value) over (partition by station_id, variable order by ts), false) then 0 else 1 end fresh from lng), rn as (select *, sum(fresh) over (partition by station_id, variable order by ts) run from rc), rl as (select *, row_number() over (partition by station_id, variable, run order by ts) run_length from rn)"
+
+
+@query(_RUN + rf" select station_id, {TS}, variable, run_length run from rl")
+def q_same_value_run(spark, d):
+    return _out(history.same_value_run(_long(spark, d)), "variable", F.col("run").cast("long").alias("run"))
+
+
+@query(_RUN + rf""" select h.station_id, strftime(h.ts, '%Y-%m-%d %H:%M:%S') ts, h.variable, coalesce(h.value, 0) as value, coalesce(h.value - lag1, 0) diff_1, coalesce(h.value - lag3, 0) diff_3, run_length::double run_length, round(coalesce(dev_sigma, 0), 6) dev_sigma,
+round(coalesce(h.dewpoint, 0), 6) dewpoint_value, round(coalesce(h.dewpoint - h.prev_dewpoint, 0), 6) dewpoint_delta, round(sin(2 * pi() * (hour(h.ts) + minute(h.ts) / 60) / 24), 6) hour_sin from hist h join rl using (station_id, ts, variable)""")
+def q_feature_frame(spark, d):
+    f = feats.feature_frame(_readings(spark, d), _clim(spark, d))
+    return _out(f, "variable", "value", "diff_1", "diff_3", "run_length", _r("dev_sigma"), _r("dewpoint_value"), _r("dewpoint_delta"), _r("hour_sin"))
+
+
+def _rule(name: str, columns: tuple):
+    select = rf"select station_id, {TS}, variable, {', '.join(columns)} from phys where {' or '.join(columns)}"
+
+    def run(spark, d):
+        return _out(physics.rule_flags(_history(spark, d)).where(reduce(lambda a, b: a | b, [F.col(c) for c in columns])), "variable", *columns)
+
+    run.__name__ = name
+    query(select)(run)
+
+
+for _name, _columns in (("q_rule_missing", ("missing",)), ("q_rule_range", ("out_of_range",)), ("q_rule_roc", ("roc_soft", "roc_hard")), ("q_rule_dewpoint", ("dewpoint_max", "dewpoint_jump")), ("q_rule_flatline", ("flatline",)), ("q_rule_decoupled", ("apart",))):
+    _rule(_name, _columns)
+
+
+@query(rf"select station_id, {TS}, variable, is_hard, is_soft, rule_ids, fault_hint from phys")
+def q_physics(spark, d):
+    return _out(_physics(spark, d), "variable", F.col("hard").alias("is_hard"), F.col("soft").alias("is_soft"), F.array_join("rule_ids", ",").alias("rule_ids"), "fault_hint")
+
+
+@query(rf"select station_id, {TS}, variable, round(z, 6) z, n::bigint n, off::bigint as off, consistent from spat")
+def q_spatial_z(spark, d):
+    a = _anomalies(spark, d)
+    return _out(spatial.spatial_check(a, spatial.around(a, _edges(spark, d))), "variable", _r("z"), F.col("n").cast("long").alias("n"), F.col("offset").cast("long").alias("off"), "consistent")
+
+
+@query(rf"select e.station_id, strftime(n.ts, '%Y-%m-%d %H:%M:%S') ts, n.variable, quantile_cont(n.value, 0.5) median from edges e join lng n on n.station_id = e.neighbour_id join limits l on l.variable = n.variable where n.value between lo and hi group by all")
+def q_neighbour_median(spark, d):
+    return _out(spatial.neighbour_median(_long(spark, d).drop("event_id"), _edges(spark, d)), "variable", "median")
+
+
+@query(rf"select station_id, {TS}, variable, round(residual6, 6) residual6, round(std6, 6) std6 from pat where residual6 is not null and value > -999 and lag1 > -999 and lag2 > -999 and lag3 > -999 and std6 < 1000")
+def q_detrend_noise(spark, d):
+    p = history.pattern_columns(_history(spark, d)).where("residual6 is not null and value > -999 and lag1 > -999 and lag2 > -999 and lag3 > -999 and std6 < 1000")
+    return _out(p, "variable", _r("residual6"), _r("std6"))
+
+
+@query(rf"select station_id, {TS}, variable, baseline from pat")
+def q_baseline_median(spark, d):
+    return _out(history.pattern_columns(_history(spark, d)), "variable", "baseline")
+
+
+@query(rf"select station_id, {TS}, variable, round(usual, 6) usual from pat2")
+def q_usual_spread(spark, d):
+    return _out(history.usual_spread(history.pattern_columns(_history(spark, d))), "variable", _r("usual"))
+
+
+@query(rf"select station_id, {TS}, variable, max_step, net_day from pat where full_day and max_step < soft and net_day > drift")
+def q_drift(spark, d):
+    p = history.pattern_columns(_history(spark, d))
+    soft = by_variable({v: CONFIG["rate"][v][0] for v in VARIABLES})
+    return _out(p.where(F.col("full_day") & (F.col("max_step") < soft) & (F.col("net_day") > by_variable(CONFIG["drift"]))), "variable", "max_step", "net_day")
+
+
+@query(rf"select station_id, {TS}, variable, status, round(confidence, 4) confidence, severity from dec")
+def q_decide(spark, d):
+    return _out(fusion.decide(_signals(spark, d)), "variable", "status", "confidence", "severity")
+
+
+@query(rf"select station_id, {TS}, variable, fault_type from fing where status <> 'NORMAL'")
+def q_fingerprint(spark, d):
+    return _out(fusion.fingerprint(fusion.decide(_signals(spark, d))).where("status <> 'NORMAL'"), "variable", "fault_type")
+
+
+@query(rf"select station_id, {TS}, variable, round(corrected, 4) corrected_value from imp where status in ('SENSOR_FAULT', 'SUSPECT')")
+def q_impute(spark, d):
+    x = heal.impute(heal.extrapolate(fusion.decide(_signals(spark, d))))
+    return _out(x.where("status in ('SENSOR_FAULT', 'SUSPECT')"), "variable", _r("corrected_value", digits=4))
+
+
+@query(rf"select station_id, {TS}, variable, trust from trust")
+def q_trust(spark, d):
+    return _out(heal.trust_scores(fusion.decide(_signals(spark, d))), "variable", "trust")
+
+
+@query("select case when trust >= 80 then 'HEALTHY' when trust >= 50 then 'WATCH' when trust >= 25 then 'DEGRADED' else 'FAILED' end band, count(*) n from trust group by 1")
+def q_trust_band(spark, d):
+    return heal.trust_scores(fusion.decide(_signals(spark, d))).groupBy(trust_band(F.col("trust")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query(rf"""select f.station_id, strftime(f.ts, '%Y-%m-%d %H:%M:%S') ts, f.variable, f.status, case when f.status <> 'NORMAL' then f.fault_type end fault_type, f.severity, case when f.status in ('SENSOR_FAULT', 'SUSPECT') then round(f.corrected, 4) end corrected_value, t.trust, case when is_hard then 1.0 when is_soft then 0.5 else 0.0 end physics
+from imp f join trust t using (station_id, ts, variable)""")
+def q_detect(spark, d):
+    r = detect.verdicts(_signals(spark, d))
+    return _out(r, "variable", "status", "fault_type", "severity", _r("corrected_value", digits=4), "trust", F.col("scores.physics").alias("physics"))
+
+
+@query("select station_id, ['NORMAL', 'GENUINE_EVENT', 'SUSPECT', 'SENSOR_FAULT'][max(case status when 'NORMAL' then 1 when 'GENUINE_EVENT' then 2 when 'SUSPECT' then 3 else 4 end)] status, min(trust) trust from res, now where ts = t group by 1")
+def q_station_status(spark, d):
+    r = _results(spark, d)
+    return summary.station_status(r, _now(r))
+
+
+@query("select station_id, variable, fault_type, status, severity, confidence, peak.v as value, peak.c corrected, strftime(s, '%Y-%m-%d %H:%M:%S') as start, strftime(e, '%Y-%m-%d %H:%M:%S') as \"end\", trust_before, trust_after from fruns")
+def q_fault_runs(spark, d):
+    return summary.fault_runs(_results(spark, d)).select("station_id", "variable", "fault_type", "status", "severity", "confidence", "value", "corrected", _time("start"), _time("end"), "trust_before", "trust_after")
+
+
+@query("select station_id, strftime(s, '%Y-%m-%d %H:%M:%S') as start, strftime(e, '%Y-%m-%d %H:%M:%S') as \"end\", confidence, parts, stations from wev")
+def q_weather_events(spark, d):
+    return summary.weather_events(_results(spark, d)).select("station_id", _time("start"), _time("end"), "confidence", "parts", "stations")
+
+
+_ITEMS = ", items as (select 'fault' kind, station_id, variable, fault_type, status, confidence, s, e from fruns union all select 'weather', station_id, null, null, 'GENUINE_EVENT', confidence, s, e from wev)"
+
+
+@query(_ITEMS + " select kind, status, count(*) n, round(sum(confidence), 6) confidence from items group by all")
+def q_union_feed(spark, d):
+    return summary.alerts(_results(spark, d)).groupBy("kind", "status").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
+
+
+@query(_ITEMS + """, a as (select *, e = t active from items, now), k as (select count(*) filter (active) n from a),
+f as (select *, row_number() over (partition by active order by s desc, kind, station_id, variable nulls first, fault_type nulls first) rn from a)
+select kind, station_id, variable, fault_type, status, active, strftime(s, '%Y-%m-%d %H:%M:%S') as start from f, k where active or rn <= greatest(30 - k.n, 0)""")
+def q_alert_feed(spark, d):
+    r = _results(spark, d)
+    return summary.alert_feed(r, _now(r)).select("kind", "station_id", "variable", "fault_type", "status", "active", _time("start"))
+
+
+@query("""select (select min(trust) from res, now where ts = t) lowest_trust, (select count(*) from fruns where status = 'SENSOR_FAULT') runs_all, (select count(*) from wev) events_all""")
+def q_kpis(spark, d):
+    r = _results(spark, d)
+    whole = summary.fault_runs(r).where("status = 'SENSOR_FAULT'").agg(F.count("*").alias("runs_all")).crossJoin(summary.weather_events(r).agg(F.count("*").alias("events_all")))
+    return summary.kpis(r, _now(r)).select("lowest_trust").crossJoin(whole)
+
+
+@query("""select r.station_id, r.variable, r.trust, l.fault_type last_fault from res r join now on r.ts = t left join (select station_id, variable, arg_max(fault_type, ts) fault_type from res where status = 'SENSOR_FAULT' and fault_type is not null group by all) l on l.station_id = r.station_id and l.variable = r.variable where r.trust < 50""")
+def q_maintenance(spark, d):
+    r = _results(spark, d)
+    return summary.maintenance(r, _now(r))
+
+
+@query("""select strftime(s, '%Y-%m-%d %H:%M') as start, strftime(e, '%Y-%m-%d %H:%M') as "end", cast((epoch(e) - epoch(s)) / 3600 + 1 as bigint) as hours, r.station_id || ' ' || coalesce(st.name, '') station, variable sensor, status, coalesce(fault_type, '') fault_type, coalesce(severity, '') severity, peak.v reported, peak.c corrected from fruns r left join stations st on st.station_id = r.station_id and st.s_suppkey < 8
+union all select strftime(s, '%Y-%m-%d %H:%M'), strftime(e, '%Y-%m-%d %H:%M'), cast((epoch(e) - epoch(s)) / 3600 + 1 as bigint), stations, '', 'GENUINE_EVENT', '', '', null, null from wev""")
+def q_alert_log(spark, d):
+    return summary.alert_log(_results(spark, d), _stations(spark, d)).drop("confidence")
+
+
+@query("""select s.station_id, v.variable, strftime(r.ts, '%Y-%m-%d %H:%M:%S') ts, r.status from stations s cross join limits v left join (select * from res, now where ts > t - interval 72 hour and ts <= t) r on r.station_id = s.station_id and r.variable = v.variable where s.s_suppkey < 8""")
+def q_health_matrix(spark, d):
+    r = _results(spark, d)
+    return _out(summary.health_matrix(r, _stations(spark, d), _now(r)), "variable", "status")
+
+
+@query("""select x.a, x.b, case when sa = 'SENSOR_FAULT' or sb = 'SENSOR_FAULT' then 'fault' when sa = 'GENUINE_EVENT' and sb = 'GENUINE_EVENT' then 'weather' else 'plain' end state from (select l.a, l.b, p.status sa, q.status sb from (select distinct least(station_id, neighbour_id) a, greatest(station_id, neighbour_id) b from (select * from (select *, round(km, 1) d from edges) qualify row_number() over (partition by station_id order by d, neighbour_id) <= 3)) l
+left join (select station_id, ['NORMAL', 'GENUINE_EVENT', 'SUSPECT', 'SENSOR_FAULT'][max(case status when 'NORMAL' then 1 when 'GENUINE_EVENT' then 2 when 'SUSPECT' then 3 else 4 end)] status from res, now where ts = t group by 1) p on p.station_id = l.a
+left join (select station_id, ['NORMAL', 'GENUINE_EVENT', 'SUSPECT', 'SENSOR_FAULT'][max(case status when 'NORMAL' then 1 when 'GENUINE_EVENT' then 2 when 'SUSPECT' then 3 else 4 end)] status from res, now where ts = t group by 1) q on q.station_id = l.b) x""")
+def q_link_states(spark, d):
+    r = _results(spark, d)
+    return summary.link_states(r, geo.nearest_links(_edges(spark, d)), _now(r))
+
+
+@query(rf"select station_id, {TS}, variable, label, event_name event_id, true_value, status from res where status <> 'NORMAL'")
+def q_align(spark, d):
+    r = _results(spark, d)
+    wide = r.groupBy("station_id", "ts", "event_id").agg(*[F.max(F.when(F.col("variable") == v, F.col(c))).alias(f"{p}_{v}") for v in VARIABLES for p, c in (("label", "label"), ("orig", "true_value"))])
+    return _out(evaluate.align(r.drop("label", "event_id", "true_value"), wide).where("status <> 'NORMAL'"), "variable", "label", "event_id", "true_value", "status")
+
+
+@query("""select f.fault_type, coalesce(tp, 0) tp, coalesce(fp, 0) fp, coalesce(fn, 0) fn, round(case when coalesce(tp, 0) + coalesce(fp, 0) > 0 then tp / (tp + coalesce(fp, 0)) else 0 end, 3) as precision, round(case when coalesce(tp, 0) + coalesce(fn, 0) > 0 then tp / (tp + fn) else 0 end, 3) recall
+from (values ('SPIKE'), ('FROZEN'), ('DRIFT'), ('DROPOUT'), ('NOISE'), ('OUT_OF_RANGE')) f(fault_type)
+left join (select label, count(*) filter (hit) tp, count(*) filter (not hit) fn from (select label, variable, event_name, bool_or(status in ('SUSPECT', 'SENSOR_FAULT')) hit from res where label <> 'NONE' group by all) group by 1) h on h.label = f.fault_type
+left join (select fault_type, sum(fresh)::bigint fp from (select fault_type, case when ts - lag(ts) over (partition by station_id, variable, fault_type order by ts) = interval 1 hour then 0 else 1 end fresh from res where status in ('SUSPECT', 'SENSOR_FAULT') and label = 'NONE' and fault_type is not null) group by 1) p on p.fault_type = f.fault_type""")
+def q_scorecard(spark, d):
+    return evaluate.fault_scores(_results(spark, d)).select("fault_type", "tp", "fp", "fn", _r("precision", digits=3), _r("recall", digits=3))
+
+
+@query("""select round(count(*) filter (status = 'SENSOR_FAULT' and label = 'NONE' and not storm) / greatest(count(*) filter (label = 'NONE' and not storm), 1), 3) far_normal, round(count(*) filter (status = 'SENSOR_FAULT' and label = 'NONE' and storm) / greatest(count(*) filter (label = 'NONE' and storm), 1), 3) far_storm,
+round(count(*) filter (flagged and label <> 'NONE' and fault_type = label) / nullif(count(*) filter (flagged and label <> 'NONE'), 0), 3) accuracy from (select *, event_name like 'STORM%' storm, status in ('SUSPECT', 'SENSOR_FAULT') flagged from res)""")
+def q_false_alarms(spark, d):
+    o = evaluate.overall_rates(_results(spark, d))
+    return o.select(_r("false_alarm_rate_normal", "far_normal", 3), _r("false_alarm_rate_storm", "far_storm", 3), _r("fault_type_accuracy", "accuracy", 3))
+
+
+@query("select l.variable, round(avg(abs(corrected_value - true_value)), 3) mae from limits l left join (select * from res where status in ('SUSPECT', 'SENSOR_FAULT') and label <> 'NONE' and corrected_value is not null and true_value is not null) r on r.variable = l.variable group by 1")
+def q_impute_mae(spark, d):
+    return evaluate.impute_error(_results(spark, d)).select("variable", _r("mae", digits=3))
+
+
+_SCORES = ", sc as (select *, ((eid * 7919 + vi * 613) % 1000) / 1000.0::double ml from res)"
+
+
+@query(_SCORES + """ select high, suspect, count(*) filter (ml >= suspect and label <> 'NONE') tp, count(*) filter (ml < suspect and label <> 'NONE') fn, round(count(*) filter (ml >= suspect and label <> 'NONE') / count(*) filter (label <> 'NONE'), 3) recall
+from sc cross join (values (0.97::double), (0.98), (0.985), (0.99), (0.995)) h(high) cross join (values (0.9::double), (0.93), (0.95), (0.97)) s(suspect) where suspect < high group by all""")
+def q_threshold_sweep(spark, d):
+    r = _results(spark, d).join(_long(spark, d).select("station_id", "ts", "variable", F.col("event_id").alias("eid")), ["station_id", "ts", "variable"])
+    r = r.withColumn("ml_score", ((F.col("eid") * 7919 + by_variable(dict(zip(VARIABLES, (0, 1, 2), strict=True))) * 613) % 1000) / 1000.0).withColumn("is_storm", F.col("event_id").startswith("STORM"))
+    return evaluate.sweep(r).select("high", "suspect", "tp", "fn", _r("recall", digits=3))
+
+
+@query(_SCORES + rf", cal as (select variable, ml score from sc where eid % 3 = 0) select s.station_id, strftime(s.ts, '%Y-%m-%d %H:%M:%S') ts, s.variable, round((select count(*) from cal c where c.variable = s.variable and c.score <= s.ml) / (select count(*) from cal c where c.variable = s.variable), 6) ml_score from sc s where s.eid % 50 = 0")
+def q_percentile_rank(spark, d):
+    r = _long(spark, d).withColumn("raw", ((F.col("event_id") * 7919 + by_variable(dict(zip(VARIABLES, (0, 1, 2), strict=True))) * 613) % 1000) / 1000.0)
+    cal = r.where("event_id % 3 = 0").select("variable", F.col("raw").alias("score"))
+    return _out(trees.percentile_rank(r.where("event_id % 50 = 0"), cal), "variable", _r("ml_score"))
+
+
+_T0 = "2024-01-08 00:00:00"
+
+
+def _injected(fault: str, hours: int, magnitude: str):
+    def run(spark, d):
+        events = spark.createDataFrame([("E_001", "ST-4", "temp_c", fault, hours, None if magnitude == "null" else float(magnitude))], "event_id string, station_id string, variable string, fault string, hours int, magnitude double").withColumn("start", F.to_timestamp(F.lit(_T0)))
+        out = inject.inject_faults(inject.add_labels(_readings(spark, d).drop("event_id")), events)
+        return _out(out.where("station_id = 'ST-4'"), _r("temp_c"), "label_temp_c", "event_id")
+
+    hit = f"ts >= timestamp '{_T0}' and ts < timestamp '{_T0}' + interval {hours} hour"
+    value = {
+        "SPIKE": f"temp_c + {magnitude}",
+        "FROZEN": f"first_value(temp_c ignore nulls) over (partition by {hit} order by ts rows between unbounded preceding and unbounded following)",
+        "DRIFT": f"temp_c + {magnitude} * (row_number() over (partition by {hit} order by ts) - 1) / greatest(count(*) over (partition by {hit}) - 1, 1)",
+    }.get(fault, f"cast({magnitude} as double)")
+    run.__name__ = f"q_inject_{fault.lower()}"
+    query(rf"select station_id, {TS}, round(case when {hit} then {value} else temp_c end, 6) temp_c, case when {hit} then '{fault}' else 'NONE' end label_temp_c, case when {hit} then 'E_001' else '' end event_id from readings where station_id = 'ST-4'")(run)
+
+
+for _fault in (("SPIKE", 2, "12.5"), ("FROZEN", 20, "0"), ("DRIFT", 73, "4"), ("DROPOUT", 8, "null"), ("OUT_OF_RANGE", 10, "60")):
+    _injected(*_fault)
+
+
+@query(rf"""select r.station_id, strftime(r.ts, '%Y-%m-%d %H:%M:%S') ts, round(case when sh is not null then temp_c - 7 * sh else temp_c end, 6) temp_c, round(case when sh is not null then pressure_hpa + 2.5 * sh else pressure_hpa end, 6) pressure_hpa, round(case when sh is not null then greatest(least(rh_pct + 25 * sh, 100), 0) else rh_pct end, 6) rh_pct, case when sh is not null then 'STORM_001' else '' end event_id
+from readings r left join (select station_id, timestamp '{_T0}' + to_hours(cast(round(km / 30) as int) + k) ts, case when k < 2 then (k + 1) / 2 else exp(-(k - 1) / 3) end sh from (select neighbour_id station_id, km from edges where station_id = 'ST-1' and km <= 80 union all select 'ST-1', 0) s cross join (select unnest(range(0, 8)) k)) w on w.station_id = r.station_id and w.ts = r.ts""")
+def q_inject_storm(spark, d):
+    out = inject.inject_storm(inject.add_labels(_readings(spark, d).drop("event_id")), _stations(spark, d), "ST-1", _T0)
+    return _out(out, *[_r(v) for v in VARIABLES], "event_id")
+
+
+@query()
+def q_inject_noise(spark, d):
+    events = spark.createDataFrame([("NOISE_001", "ST-4", "temp_c", "NOISE", 24, 3.0)], "event_id string, station_id string, variable string, fault string, hours int, magnitude double").withColumn("start", F.to_timestamp(F.lit(_T0)))
+    return _out(inject.inject_faults(inject.add_labels(_readings(spark, d).drop("event_id")), events).where("label_temp_c = 'NOISE'"), "temp_c", "label_temp_c", "event_id")
+
+
+@query()
+def q_build_test_set(spark, d):
+    rows = inject.plan_test_set([f"ST-{k}" for k in range(1, 9)], 1704067200, 720, per_fault=4)
+    events = spark.createDataFrame(rows, "event_id string, station_id string, variable string, fault string, at long, hours int, magnitude double").withColumn("start", F.timestamp_seconds("at")).drop("at")
+    out = inject.inject_faults(inject.add_labels(_readings(spark, d).drop("event_id")), events)
+    return out.where("event_id <> ''").groupBy("event_id").agg(F.count("*").alias("hours")).orderBy("event_id")
+
+
+@query()
+def q_iforest_score(spark, d):
+    f = feats.feature_frame(_readings(spark, d), _clim(spark, d))
+    forest = trees.Forest(trees.fit_forest(f, trees=25))
+    return _out(trees.score_forest(f, forest, trees.calibrate(f, forest)), "variable", "raw", "ml_score")
+
+
+@query()
+def q_explain(spark, d):
+    x = fusion.explain(fusion.decide(_signals(spark, d))).where("status <> 'NORMAL'")
+    return _out(x, "variable", "status", F.array_join("reasons", " | ").alias("reasons"))
+
+
+@query()
+def q_stream_replay(spark, d):
+    """Trust by keyed state over a stream of the fixed results, one file at a time."""
+    import tempfile
+    import uuid
+
+    from brontide.streaming.replay import replay
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    base = f"{folder}/{uuid.uuid4().hex}"
+    _results(spark, d).select("station_id", "variable", "ts", "status", "severity").write.parquet(f"{base}/in")
+    out = replay(spark, f"{base}/in", "station_id string, variable string, ts timestamp, status string, severity string", f"{base}/check", f"{base}/out")
+    return _out(out, "variable", "trust")
+
+
+def flagship(spark, d):
+    """Stations by severity of their deviation from the climatology."""
+    return q_severity(spark, d)
+
+
