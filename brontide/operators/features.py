@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brontide.config import FEATURES
 from brontide.operators.climatology import with_climatology
-from brontide.operators.history import SENSOR, same_value_run, sensor_history
+from brontide.operators.history import by_sensor, same_value_run, sensor_history
 
 
 def feature_frame(readings: DataFrame, clim: DataFrame, keep: tuple = ()) -> DataFrame:
@@ -17,8 +17,8 @@ def feature_frame(readings: DataFrame, clim: DataFrame, keep: tuple = ()) -> Dat
     x = x.withColumns({
         "diff_1": v - F.col("lag1"),
         "diff_3": v - F.col("lag3"),
-        "std_6": F.stddev_samp(v).over(SENSOR.rowsBetween(-5, 0)),
-        "std_24": F.stddev_samp(v).over(SENSOR.rowsBetween(-23, 0)),
+        "std_6": F.stddev_samp(v).over(by_sensor().rowsBetween(-5, 0)),
+        "std_24": F.stddev_samp(v).over(by_sensor().rowsBetween(-23, 0)),
         "run_length": F.col("run").cast("double"),
         "dewpoint_value": F.col("dewpoint"),
         "dewpoint_delta": F.col("dewpoint") - F.col("prev_dewpoint"),

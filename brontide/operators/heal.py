@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from brontide.config import CONFIG
 from brontide.functions.scalars import in_range
-from brontide.operators.history import SENSOR
+from brontide.operators.history import by_sensor
 
 
 def extrapolate(long: DataFrame) -> DataFrame:
     """long with temporal: a line through the last two in-range values before the row, or the last one."""
     ok = F.when(in_range(F.col("value")), F.col("value"))
-    before = SENSOR.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_sensor().rowsBetween(Window.unboundedPreceding, -1)
     x = long.withColumn("_prev", F.last(ok, True).over(before))
     pair = F.when(ok.isNotNull(), F.struct(F.col("value").alias("v"), F.col("_prev").alias("p")))
     x = x.withColumn("_last", F.last(pair, True).over(before))

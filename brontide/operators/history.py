@@ -13,8 +13,13 @@ from brontide.config import CONFIG, VARIABLES
 from brontide.functions.scalars import by_variable, dewpoint_c
 from brontide.operators.ingest import long_form
 
-STATION = Window.partitionBy("station_id").orderBy("ts")
-SENSOR = Window.partitionBy("station_id", "variable").orderBy("ts")
+
+def by_station():
+    return Window.partitionBy("station_id").orderBy("ts")
+
+
+def by_sensor():
+    return Window.partitionBy("station_id", "variable").orderBy("ts")
 
 
 def sensor_history(readings: DataFrame, keep: tuple = ()) -> DataFrame:
@@ -24,7 +29,7 @@ def sensor_history(readings: DataFrame, keep: tuple = ()) -> DataFrame:
     """
     r = readings.repartition("station_id")
     r = r.withColumn("dewpoint", dewpoint_c(F.col("temp_c"), F.col("rh_pct")))
-    lag = lambda c, k=1: F.lag(c, k).over(STATION)
+    lag = lambda c, k=1: F.lag(c, k).over(by_station())
     step = {v: F.abs(F.col(v) - lag(v)) for v in VARIABLES}
     t, p, h = (CONFIG["decoupled"][v] for v in VARIABLES)
     r = r.withColumns({
@@ -33,16 +38,16 @@ def sensor_history(readings: DataFrame, keep: tuple = ()) -> DataFrame:
         "decoupled": F.coalesce((step["temp_c"] > t) & (step["pressure_hpa"] <= p) & (step["rh_pct"] <= h), F.lit(False)),
     })
     x = long_form(r, (*keep, "dewpoint", "prev_dewpoint", "prev_ts", "decoupled"))
-    back = lambda n: SENSOR.rowsBetween(1 - n, 0)
+    back = lambda n: by_sensor().rowsBetween(1 - n, 0)
     v = F.col("value")
 
     def flat(n):
         w = back(n)
         return (F.count("*").over(w) == n) & (F.count(v).over(w) == n) & (F.min(v).over(w) == F.max(v).over(w))
 
-    lags = {f"lag{k}": F.lag(v, k).over(SENSOR) for k in (1, 2, 3)}
+    lags = {f"lag{k}": F.lag(v, k).over(by_sensor()) for k in (1, 2, 3)}
     steps = CONFIG["flat_steps"]
-    x = x.withColumns(lags | {"seen": F.row_number().over(SENSOR), "flat_short": flat(steps["temp_c"]), "flat_long": flat(steps["pressure_hpa"])})
+    x = x.withColumns(lags | {"seen": F.row_number().over(by_sensor()), "flat_short": flat(steps["temp_c"]), "flat_long": flat(steps["pressure_hpa"])})
     still = F.when(F.col("variable") == "pressure_hpa", F.col("flat_long")).otherwise(F.col("flat_short"))
     return x.withColumn("flat", F.coalesce(still & ~((F.col("variable") == "rh_pct") & (v >= CONFIG["flat_ignore_rh"])), F.lit(False))).drop("flat_short", "flat_long")
 
@@ -50,16 +55,16 @@ def sensor_history(readings: DataFrame, keep: tuple = ()) -> DataFrame:
 def same_value_run(long: DataFrame) -> DataFrame:
     """run: how many equal readings in a row end here; a null counts 1."""
     v = F.col("value")
-    fresh = F.coalesce((v != F.lag(v).over(SENSOR)), F.lit(True)).cast("int")
-    out = long.withColumn("_run", F.sum(fresh).over(SENSOR))
+    fresh = F.coalesce((v != F.lag(v).over(by_sensor())), F.lit(True)).cast("int")
+    out = long.withColumn("_run", F.sum(fresh).over(by_sensor()))
     return out.withColumn("run", F.row_number().over(Window.partitionBy("station_id", "variable", "_run").orderBy("ts"))).drop("_run")
 
 
 def pattern_columns(history: DataFrame) -> DataFrame:
     """What naming a fault needs beyond the rules: spread, detrended spread, baseline, drift."""
     v = F.col("value")
-    back = lambda n: SENSOR.rowsBetween(1 - n, 0)
-    six, day, steps, past = back(6), back(24), SENSOR.rowsBetween(-22, 0), SENSOR.rowsBetween(-26, -3)
+    back = lambda n: by_sensor().rowsBetween(1 - n, 0)
+    six, day, steps, past = back(6), back(24), by_sensor().rowsBetween(-22, 0), by_sensor().rowsBetween(-26, -3)
     n = F.col("seen").cast("double")
     full = F.count(v).over(six) == 6
     rest = F.regr_syy(v, n).over(six) - F.try_divide(F.pow(F.regr_sxy(v, n).over(six), F.lit(2)), F.regr_sxx(v, n).over(six))
@@ -68,10 +73,10 @@ def pattern_columns(history: DataFrame) -> DataFrame:
         "loose6": F.when(F.count(v).over(six) >= 4, F.stddev_samp(v).over(six)),
         "residual6": F.when(full, F.sqrt(F.greatest(rest, F.lit(0.0)) / 5)),
         "baseline": F.when(F.count(v).over(past) >= 3, F.percentile(v, F.lit(0.5)).over(past)),
-        "all_std": F.stddev_samp(v).over(SENSOR.rowsBetween(Window.unboundedPreceding, 0)),
+        "all_std": F.stddev_samp(v).over(by_sensor().rowsBetween(Window.unboundedPreceding, 0)),
         "full_day": F.count(v).over(day) == 24,
         "max_step": F.max(F.abs(v - F.col("lag1"))).over(steps),
-        "net_day": F.abs(v - F.lag(v, 23).over(SENSOR)),
+        "net_day": F.abs(v - F.lag(v, 23).over(by_sensor())),
     })
 
 

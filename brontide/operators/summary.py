@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brontide.config import FLAGGED, VARIABLES
 from brontide.functions.scalars import worst_severity, worst_status
-from brontide.operators.history import SENSOR
+from brontide.operators.history import by_sensor
 
 HOUR = 3600
 RUN = "kind string, station_id string, variable string, status string, fault_type string, severity string, confidence double, value double, corrected double, start timestamp, end timestamp, trust_before double, trust_after double"
@@ -32,7 +32,7 @@ def run_numbers(df: DataFrame, window, *keys: str) -> DataFrame:
 def fault_runs(results: DataFrame) -> DataFrame:
     """One row for each stretch of consecutive flagged hours of a sensor with one kind of fault."""
     flagged = results.where(F.col("status").isin(*FLAGGED)).withColumn("kind_of", F.coalesce("fault_type", F.lit("")))
-    runs = run_numbers(flagged, SENSOR, "kind_of")
+    runs = run_numbers(flagged, by_sensor(), "kind_of")
     gap = F.abs(F.col("value") - F.col("corrected_value"))
     # the plainest hour: the widest gap, the earliest of equal ones; without any gap the last hour
     order = F.struct(F.coalesce(gap, F.lit(0.0)).alias("gap"), F.when(gap > 0, -_seconds("ts")).otherwise(_seconds("ts")).alias("at"))

@@ -189,7 +189,7 @@ def q_deltas(spark, d):
 
 @query(rf"select station_id, {TS}, variable, round(stddev_samp(value) over (partition by station_id, variable order by ts rows 5 preceding), 6) std_6, round(stddev_samp(value) over (partition by station_id, variable order by ts rows 23 preceding), 6) std_24 from lng")
 def q_rolling_std(spark, d):
-    s = lambda n: F.round(F.stddev_samp("value").over(history.SENSOR.rowsBetween(1 - n, 0)), 6).alias(f"std_{n}")
+    s = lambda n: F.round(F.stddev_samp("value").over(history.by_sensor().rowsBetween(1 - n, 0)), 6).alias(f"std_{n}")
     return _out(_long(spark, d), "variable", s(6), s(24))
 
 
