@@ -2,8 +2,8 @@
 
 A classifier fitted on the labelled table gives every document a posterior over the domains; its tokens
 count for each domain by that share. Nonnegative document rates are fitted so that the expected tokens
-of every domain meet the targets: minimise the sum over domains of (mass / target - 1)^2 by projected
-gradient from rates of one. The gradient is scaled by the document's tokens, so the rate depends on the
+of every domain meet the targets: minimise the sum over domains of (mass - target)^2 / target by
+accelerated projected gradient from rates of one. The gradient is scaled by the document's tokens, so the rate depends on the
 posterior alone: posteriors are kept to a hundredth, and tokens are summed for each distinct one before
 the iterations. Each step sums the masses on the executors and brings one number a domain back.
 
@@ -122,53 +122,61 @@ def _soft(model):
     return run
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Of posteriors (N, K), after the steps so far: each moves against its K numbers and is cut at zero."""
-    w = np.ones(len(p))
-    for s in steps:
-        w = np.maximum(0, w - p @ s)
-    return w
+def rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of posteriors (N, K), after the steps so far: each moves against its K numbers from the point ahead and is cut at zero.
+    Also the next point ahead, from which the next gradient is taken."""
+    w = ahead = np.ones(len(p))
+    for move, momentum in steps:
+        new = np.maximum(0, ahead - p @ move)
+        w, ahead = new, new + momentum * (new - w)
+    return w, ahead
 
 
 def _masses(steps):
     def run(batches):
-        total = np.zeros(len(DOMAINS))
+        total = np.zeros((2, len(DOMAINS)))
         for batch in batches:
             p = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(-1, len(DOMAINS))
-            total += (np.array(batch.column(1), dtype=np.float64) * rates(p, steps)) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(DOMAINS)), pa.int32()), pa.array(total)], names=["domain", "mass"])
+            total += np.stack([(np.array(batch.column(1), dtype=np.float64) * w) @ p for w in rates(p, steps)])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(DOMAINS)), pa.int32()), pa.array(total[0]), pa.array(total[1])], names=["domain", "mass", "ahead"])
 
     return run
 
 
-def fit_rates(bins: DataFrame, targets: dict[str, float], iterations: int = ITERATIONS, close: float = CLOSE) -> list[np.ndarray]:
-    """The steps of projected gradient descent. bins: posteriors, tokens."""
+def fit_rates(bins: DataFrame, targets: dict[str, float], iterations: int = ITERATIONS, close: float = CLOSE) -> list[tuple[np.ndarray, float]]:
+    """The steps of accelerated projected gradient descent, begun anew where the error grows. bins: posteriors, tokens."""
 
     def masses(steps):
-        rows = bins.mapInArrow(_masses(steps), "domain int, mass double").groupBy("domain").agg(F.sum("mass").alias("mass")).collect()
-        out = np.zeros(len(DOMAINS))
+        rows = bins.mapInArrow(_masses(steps), "domain int, mass double, ahead double").groupBy("domain").agg(F.sum("mass").alias("mass"), F.sum("ahead").alias("ahead")).collect()
+        out = np.zeros((2, len(DOMAINS)))
         for r in rows:
-            out[r["domain"]] = r["mass"]
+            out[:, r["domain"]] = r["mass"], r["ahead"]
         return out
 
-    now = masses([])
+    now, ahead = masses([])
     total = now.sum()
     aim = np.array([targets.get(d, 0.0) if m > 0 else 0.0 for d, m in zip(DOMAINS, now, strict=True)])
     if total <= 0 or aim.sum() <= 0:
         return []
     want = aim / aim.sum() * total
-    scale = np.where(want > 0, want, total / 100)  # a domain to be left out is pushed to zero on this scale
-    # the curvature in the metric of tokens: sum of tokens p p' over both scales, at most its trace
-    gram = bins.select(F.sum(F.col("tokens") * F.expr("aggregate(transform(posteriors, x -> x * x), 0d, (a, x) -> a + x)")).alias("g"), *[F.sum(F.col("tokens") * F.col("posteriors")[k] * F.col("posteriors")[j]).alias(f"g{k}{j}") for k in range(len(DOMAINS)) for j in range(len(DOMAINS))]).first()
+    least = np.where(want > 0, want, total / 100)  # a domain to be left out is pushed to zero on this scale
+    scale = np.sqrt(least)
+    # the curvature in the metric of tokens: the sum of tokens p p', over both scales
+    gram = bins.select(*[F.sum(F.col("tokens") * F.col("posteriors")[k] * F.col("posteriors")[j]).alias(f"g{k}{j}") for k in range(len(DOMAINS)) for j in range(len(DOMAINS))]).first()
     curve = np.array([[gram[f"g{k}{j}"] / (scale[k] * scale[j]) for j in range(len(DOMAINS))] for k in range(len(DOMAINS))])
     rate = 1.0 / np.linalg.eigvalsh(curve).max()
-    steps: list[np.ndarray] = []
+    steps: list[tuple[np.ndarray, float]] = []
+    pace, last = 1.0, np.inf
     for _ in range(iterations):
-        miss = (now - want) / scale
-        if np.abs(miss).max() < close:
+        error = np.abs((now - want) / least).max()
+        if error < close:
             break
-        steps.append(rate * miss / scale)
-        now = masses(steps)
+        if error > last:
+            pace = 1.0
+        last, faster = error, (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        steps.append((rate * (ahead - want) / scale / scale, (pace - 1) / faster))
+        pace = faster
+        now, ahead = masses(steps)
     return steps
 
 
@@ -176,7 +184,7 @@ def _rated(steps):
     def run(batches):
         for batch in batches:
             p = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(-1, len(DOMAINS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rates(p, steps))], names=["posteriors", "rate"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rates(p, steps)[0])], names=["posteriors", "rate"])
 
     return run
 
