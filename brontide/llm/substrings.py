@@ -144,39 +144,40 @@ def _tokens(column: pa.Array):
 
 def groups(words: np.ndarray, woffs: np.ndarray, window: int, rounds: int, margin: int):
     """Runs of windows that chose one place: the symbol's name, a hash of all words of the run and where the symbol
-    stands in it, the first window and the number of windows. A window without a symbol is a run of its own."""
+    stands in it, the first window, the number of windows and for how many places it counts. Windows without a symbol
+    make a run while they are equal, as in one word said over and over, and count for each."""
     at = Parse(words, woffs)
     for _ in range(rounds):
         at.step()
     starts = np.flatnonzero(wh.window_starts(woffs, window))
     if not len(starts):
-        return (np.zeros(0, np.uint64),) * 2 + (starts,) * 2
+        return (np.zeros(0, np.uint64),) * 2 + (starts,) * 3
     sums = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(words * wh.powers(wh._SEQ, len(words)), out=sums[1:])
     shift = wh.powers(wh._SEQ_INV, len(words) + 1)
     at.widen(woffs, sums, shift, margin)
     pick = chosen(at, starts, window)
-    fresh = np.append(True, (pick[1:] != pick[:-1]) | (pick[1:] < 0) | (starts[1:] != starts[:-1] + 1))
-    head = np.flatnonzero(fresh)
+    own = np.where(pick < 0, wh.mix((sums[starts + window] - sums[starts]) * shift[starts] ^ _RUN), np.uint64(0))
+    head = np.flatnonzero(np.append(True, (pick[1:] != pick[:-1]) | (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)))
     count = np.diff(np.append(head, len(starts)))
-    first, symbol = starts[head], pick[head]
+    first, symbol, own = starts[head], pick[head], own[head]
     whole = wh.mix((sums[first + count + window - 1] - sums[first]) * shift[first] + count.astype(np.uint64) * _RUN)
     k = np.maximum(symbol, 0)
-    name = np.where(symbol < 0, wh.mix(whole ^ _RUN), at.name[k])
-    span = wh.mix(whole + np.where(symbol < 0, 0, at.a[k] - first).astype(np.uint64) * _PAIR)
-    return name, span, first, count
+    name = np.where(symbol < 0, own, at.name[k])
+    span = np.where(symbol < 0, own, wh.mix(whole + (at.a[k] - first).astype(np.uint64) * _PAIR))
+    return name, span, first, count, np.where(symbol < 0, count, 1)
 
 
 def _places(window, rounds, margin):
     def run(batches):
         for batch in batches:
             for first, words, woffs in _tokens(batch.column(2)):
-                name, span, at, count = groups(words, woffs, window, rounds, margin)
+                name, span, at, count, times = groups(words, woffs, window, rounds, margin)
                 doc = np.searchsorted(woffs, at, "right") - 1
                 rows = pa.array(doc + first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name.view(np.int64)), pa.array(span.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at - woffs[doc], pa.int32()), pa.array(count, pa.int32())],
-                    names=["name", "span", "r", "c", "at", "n"],
+                    [pa.array(name.view(np.int64)), pa.array(span.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at - woffs[doc], pa.int32()), pa.array(count, pa.int32()), pa.array(times, pa.int32())],
+                    names=["name", "span", "r", "c", "at", "n", "times"],
                 )
 
     return run
@@ -230,9 +231,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     r = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) if whole else F.xxhash64("doc_id")
     # a row goes by its id and a hash of its text: rows of one id and one text share all marks, as they must
     rows = docs.select(r.alias("r"), F.hash("text").alias("c"), "doc_id", "text")
-    places = rows.select("r", "c", "text").mapInArrow(_places(window, rounds, margin), "name long, span long, r long, c int, at int, n int")
-    shared = places.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    candidates = written(places.join(shared, "name"))
+    places = rows.select("r", "c", "text").mapInArrow(_places(window, rounds, margin), "name long, span long, r long, c int, at int, n int, times int")
+    shared = places.groupBy("name").agg(F.sum("times").alias("k")).where("k > 1").drop("k")
+    candidates = written(places.drop("times").join(shared, "name"))
     place = F.struct("r", "c", "at")
     alike = candidates.groupBy("name").agg((F.min("span") == F.max("span")).alias("alike"))
     candidates = candidates.join(alike, "name")
