@@ -3,9 +3,10 @@
 A classifier fitted on the labelled table gives every document a posterior over the domains; its tokens
 count for each domain by that share. Nonnegative document rates are fitted so that the expected tokens
 of every domain meet the targets: minimise the sum over domains of (mass - target)^2 / target by
-accelerated projected gradient from rates of one. The gradient is scaled by the document's tokens, so the rate depends on the
-posterior alone: posteriors are kept to a hundredth, and tokens are summed for each distinct one before
-the iterations. Each step sums the masses on the executors and brings one number a domain back.
+accelerated projected gradient from rates of one. The gradient is scaled by the document's tokens, so
+the rate depends on the posterior alone: posteriors are kept to a hundredth, and tokens are summed for
+each distinct one before the iterations. Each step sums the masses on the executors and brings one number
+a domain back.
 
 The labelled table: doc_id, quality, toxic. Domains: ``toxic`` where toxic is 1, else ``good`` or
 ``poor`` by quality. A hash of doc_id picks about ``SAMPLE`` labelled rows to fit on.
