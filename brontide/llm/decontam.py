@@ -142,19 +142,19 @@ def _spans_of(index):
 def contamination_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, hit spans (word starts and ends, sorted by start) and the items that occur, one row per document.
 
-    docs: doc_id, text; bench: item_id, text. With more than one block, rows are merged on doc_id.
+    docs: doc_id, text; bench: item_id, text. With more than one block, the passes over a row are merged by its id and text.
     """
     spark = docs.sparkSession
     items = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     sizes = items.select("item_id", "text", (F.length("text") / 2 + 1).alias("w"))
     total = sizes.agg(F.sum("w")).first()[0] or 0
     blocks = max(1, int(-(-total // block_words)))
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text") if blocks == 1 else docs.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("doc_id"), "text")
     schema = keyed(docs, _SPANS)
     parts = []
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        rows = sorted({(r[0], r[1]) for r in own.collect()})
+        rows = sorted({(r[0], r[1]) for r in own.select("item_id", "text").collect()})
         index = spark.sparkContext.broadcast(_Index(rows, window, gram))
         parts.append(docs.mapInArrow(_spans_of(index), schema))
     if blocks == 1:
@@ -163,11 +163,14 @@ def contamination_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
     for p in parts[1:]:
         out = out.unionByName(p)
     span = F.arrays_zip("starts", "ends")
-    return (
-        out.groupBy("doc_id")
-        .agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(span)))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .select("doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
+    merged = out.groupBy("doc_id").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(span)))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        (F.count("*") / blocks).cast("int").alias("copies"),
     )
+    # equal rows were merged: each gets its row again
+    return merged.select("doc_id.doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def _digest(batches):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+#: Folders made for applications that name none, by application.
+_own: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a temporary folder in local mode only, where all tasks see it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder}/{spark.sparkContext.applicationId}"
+        folder = _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{folder}/{app}"
 
 
 def written(df: DataFrame) -> DataFrame:

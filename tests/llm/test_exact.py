@@ -106,6 +106,7 @@ def test_benchmark_in_several_blocks(spark):
     items = [prose(rng, 30, [f"w{k}" for k in range(900)]) for _ in range(12)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     docs = docs_of(spark, [f"{a} filler {b}" for a, b in zip(items, items[1:], strict=False)] + ["clean text", None])
+    docs = docs.unionAll(docs.limit(2))
     one = decontam.decontaminate(docs, bench).toPandas().sort_values("doc_id", ignore_index=True)
     more = decontam.decontaminate(docs, bench, block_words=60).toPandas().sort_values("doc_id", ignore_index=True)
-    assert one.equals(more) and one["contaminated"].sum() == 11
+    assert one.equals(more) and len(one) == 15 and one["contaminated"].sum() == 13
