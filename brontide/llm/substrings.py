@@ -165,7 +165,11 @@ def groups(words: np.ndarray, woffs: np.ndarray, window: int, rounds: int, margi
     k = np.maximum(symbol, 0)
     name = np.where(symbol < 0, own, at.name[k])
     span = np.where(symbol < 0, own, wh.mix(whole + (at.a[k] - first).astype(np.uint64) * _PAIR))
-    return name, span, first, count, np.where(symbol < 0, count, 1)
+    times = np.where(symbol < 0, count, 1)
+    # a text that repeats itself period after period makes equal runs in a row: they are one, of so many places
+    same = (name[1:] == name[:-1]) & (span[1:] == span[:-1]) & (count[1:] == count[:-1]) & (first[1:] == first[:-1] + count[:-1])
+    head = np.flatnonzero(np.append(True, ~same))
+    return name[head], span[head], first[head], np.add.reduceat(count, head), np.add.reduceat(times, head)
 
 
 def _places(window, rounds, margin):
@@ -190,7 +194,7 @@ def _post(window):
         for batch in batches:
             marks = batch.column(4).to_pylist()
             for first, words, woffs in _tokens(batch.column(3)):
-                spans = [(woffs[d] + m["at"], m["n"], m["kind"]) for d in range(len(woffs) - 1) for m in marks[first + d] if m["kind"]]
+                spans = [(woffs[d] + m["at"], m["post"], m["kind"]) for d in range(len(woffs) - 1) for m in marks[first + d] if m["kind"]]
                 use = np.concatenate([np.arange(a, a + n) for a, n, _ in spans]) if spans else np.zeros(0, np.int64)
                 times = np.repeat([k for _, _, k in spans], [n for _, n, _ in spans]) if spans else use
                 doc = np.searchsorted(woffs, use, "right") - 1
@@ -233,15 +237,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     rows = docs.select(r.alias("r"), F.hash("text").alias("c"), "doc_id", "text")
     places = rows.select("r", "c", "text").mapInArrow(_places(window, rounds, margin), "name long, span long, r long, c int, at int, n int, times int")
     shared = places.groupBy("name").agg(F.sum("times").alias("k")).where("k > 1").drop("k")
-    candidates = written(places.drop("times").join(shared, "name"))
+    candidates = written(places.join(shared, "name"))
     place = F.struct("r", "c", "at")
     alike = candidates.groupBy("name").agg((F.min("span") == F.max("span")).alias("alike"))
     candidates = candidates.join(alike, "name")
     mixed = candidates.where("not alike")
-    spans = mixed.groupBy("name", "span").agg(F.count("*").alias("k"), F.min(place).alias("head"))
+    spans = mixed.groupBy("name", "span").agg(F.sum("times").alias("k"), F.min(place).alias("head"))
     kind = F.when(F.col("k") == 1, 1).when(F.col("head") == place, 2).otherwise(0)
-    known = mixed.join(spans, ["name", "span"]).select("r", "c", "at", "n", kind.alias("kind")).unionByName(candidates.where("alike").select("r", "c", "at", "n", F.lit(0).alias("kind")))
-    marks = written(known.groupBy("r", "c").agg(F.collect_set(F.struct("at", "n", "kind")).alias("marks")))
+    known = mixed.join(spans, ["name", "span"]).select("r", "c", "at", "n", (F.col("n") / F.col("times")).cast("int").alias("post"), kind.alias("kind")).unionByName(candidates.where("alike").select("r", "c", "at", "n", F.lit(0).alias("post"), F.lit(0).alias("kind")))
+    marks = written(known.groupBy("r", "c").agg(F.collect_set(F.struct("at", "n", "post", "kind")).alias("marks")))
     dealt = rows.repartition("r", "c").join(marks, ["r", "c"], "left").select("r", "c", "doc_id", "text", "marks")
     posts = dealt.where(F.exists("marks", lambda m: m["kind"] > 0)).mapInArrow(_post(window), "h1 long, h2 long, times int, r long, c int, at int")
     twice = posts.groupBy("h1", "h2").agg(F.sum("times").alias("total")).where("total > 1").drop("total")
