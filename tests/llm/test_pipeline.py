@@ -19,8 +19,9 @@ def test_stages(spark, tmp_path):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice(("the", "an", "or", "ing", "wh")) for _ in range(3))
     clean = ["\n".join(" ".join(word() for _ in range(12)) for _ in range(4)) for _ in range(30)]
-    copy = clean[0]
-    texts = [*clean, copy, copy, None, "", "123", clean[1] + "\n" + "One two three four five six seven, eight nine ten eleven twelve."]
+    clean[2] += "\nShort. End."
+    clean[3] = "Too short."
+    texts = [*clean, clean[0], clean[0], clean[2], clean[2], None, "", "123", clean[1] + "\n" + "One two three four five six seven, eight nine ten eleven twelve."]
     out = corpus_pipeline.run(spark, tables(spark, tmp_path, texts))
     kept = {r["doc_id"]: r["text"] for r in out.collect()}
     assert set(range(30)) <= set(kept) and set(kept) <= set(range(30))
