@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,8 @@ from brontide.operators import forest as trees
 from brontide.plans import detect
 from brontide.plans.oracles import TS, sql
 from brontide.sources import readings as src
+from brontide.sources.folders import shared_folder
+from brontide.streaming.replay import replay
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -464,13 +467,7 @@ def q_explain(spark, d):
 @query()
 def q_stream_replay(spark, d):
     """Trust by keyed state over a stream of the fixed results, one file at a time."""
-    import tempfile
-    import uuid
-
-    from brontide.streaming.replay import replay
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    base = f"{folder}/{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     _results(spark, d).select("station_id", "variable", "ts", "status", "severity").write.parquet(f"{base}/in")
     out = replay(spark, f"{base}/in", "station_id string, variable string, ts timestamp, status string, severity string", f"{base}/check", f"{base}/out")
     return _out(out, "variable", "trust")
