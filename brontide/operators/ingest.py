@@ -10,7 +10,8 @@ from brontide.config import CONFIG, VARIABLES
 
 def long_form(readings: DataFrame, keep: tuple = ()) -> DataFrame:
     """One row for each station, hour and variable."""
-    return readings.unpivot(["station_id", "ts", *keep], list(VARIABLES), "variable", "value")
+    parts = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("value")) for v in VARIABLES])
+    return readings.select("station_id", "ts", *keep, F.inline(parts))
 
 
 def select_split(readings: DataFrame, first: str, last: str) -> DataFrame:
