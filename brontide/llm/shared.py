@@ -10,6 +10,7 @@ from pyspark.sql.types import StructField, StructType
 
 from brontide.sources.folders import shared_folder
 
+
 def written(df: DataFrame) -> DataFrame:
     """df as a written table, read again: later reads neither compute it anew nor need the executors that made it."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
