@@ -2,15 +2,16 @@
 
 A document's set is its distinct shingles; equal sets form one class, kept by its smallest doc_id. A
 signature has ``COORDS`` coordinates, the least value of the set under as many hash functions. Classes
-are posted under runs of ``RUN`` coordinates with their values: at the similarity of 0.85 one of the 25
-runs agrees but for one pair in two million. A posting list is merged as follows.
+are posted under runs of coordinates with their values, the longest runs (of ``LONGEST`` at most) of which
+none agrees for a share of ``MISS`` of the pairs at the least similarity, or fewer: 25 runs of five at 0.85,
+31 of four at 0.80. A posting list is merged as follows.
 
 * Prefix: every member is joined to the list's first one alone, so a list of n makes n - 1 pairs. Pairs
   of several lists count once. The pairs' whole sets are compared, and links give first components.
 * Skip: lists whose members are all in one component need no more work; what remains are pairs across
   components. In lists of up to ``SMALL`` members they are counted over all coordinates of their
-  signatures, and only those with ``MATCHES`` agreeing ones (5 standard deviations under the mean at
-  0.85) are retained and compared on whole sets. Longer lists are dealt in blocks; a task compares two
+  signatures, and only those with so many agreeing ones that a share of ``MISS`` of the links or fewer
+  has less (86 at 0.85, 78 at 0.80) are retained and compared on whole sets. Longer lists are dealt in blocks; a task compares two
   blocks by one product of their shingle incidence matrices and returns a spanning forest of their
   links, so nothing is emitted for each pair however long the list is.
 
@@ -24,6 +25,8 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,12 +35,24 @@ from pyspark.sql import functions as F
 from brontide.llm import wordhash as wh
 from brontide.llm.shared import written
 
-COORDS, RUN, MATCHES = 125, 5, 86
+COORDS, LONGEST, MISS = 125, 5, 2e-6
 SMALL, BLOCK, BLOCK_SHINGLES = 24, 512, 1 << 21
 SHINGLE, OVER, UNDER = 3, 85, 100
 _FACTORS = np.random.default_rng(20240501).integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def spread(over: int, under: int) -> tuple[int, int]:
+    """The length of the runs, and the number of agreeing coordinates below which a pair is not compared, for a least similarity."""
+    s = over / under
+    runs = [r for r in range(1, LONGEST + 1) if (1 - s**r) ** (COORDS // r) <= MISS]
+    if not runs or s > 1:
+        raise ValueError(f"no runs of {COORDS} coordinates find pairs of a similarity of {s}")
+    tail, matches = 0.0, 0
+    while matches < COORDS and (tail := tail + math.comb(COORDS, matches) * s**matches * (1 - s) ** (COORDS - matches)) <= MISS:
+        matches += 1
+    return max(runs), matches
+
+
 def shingle_sets(column: pa.Array, size: int):
     """The sorted distinct shingle hashes of each text; a null is an empty text."""
     for _, flat, offs in wh.slices(column):
@@ -58,15 +73,15 @@ def signature(own: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def _postings(sig: np.ndarray) -> np.ndarray:
-    runs = sig.reshape(-1, COORDS // RUN, RUN).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, COORDS // RUN + 1, dtype=np.uint64), runs.shape[:2])
-    for j in range(RUN):
+def _postings(sig: np.ndarray, length: int) -> np.ndarray:
+    runs = sig[:, : COORDS // length * length].reshape(-1, COORDS // length, length).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, COORDS // length + 1, dtype=np.uint64), runs.shape[:2])
+    for j in range(length):
         key = wh.mix(key * wh._SEQ + runs[:, :, j])
     return key.view(np.int64)
 
 
-def _scan(size: int):
+def _scan(size: int, length: int):
     def run(batches):
         for batch in batches:
             ns, d1, d2, keys = [], [], [], []
@@ -75,8 +90,8 @@ def _scan(size: int):
                 d1.append(int(own.sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
                 d2.append(int(wh.mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
                 keys.append(signature(own))
-            flat = _postings(np.array(keys)).ravel() if keys else np.zeros(0, dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ns) + 1) * (COORDS // RUN), pa.int32()), pa.array(flat))
+            flat = _postings(np.array(keys), length).ravel() if keys else np.zeros(0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ns) + 1) * (COORDS // length), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], names=["doc_id", "n", "d1", "d2", "keys"])
 
     return run
@@ -110,14 +125,18 @@ def _confirm(over: int, under: int):
     return run
 
 
-def _alike(batches):
+def _alike(matches: int):
     """Pairs whose signatures agree in enough coordinates."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDS) for k in (2, 3))
-        ok = (x == y).sum(axis=1) >= MATCHES
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDS) for k in (2, 3))
+            ok = (x == y).sum(axis=1) >= matches
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    return run
 
 
 def overlaps(sets: list[np.ndarray], half: int) -> np.ndarray:
@@ -197,7 +216,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, over: int = OVER, unde
     """doc_id, n_shingles, component_id, kept: a row for each of docs (doc_id, text); links have under * both >= over * either."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = docs.mapInArrow(_scan(size), f"doc_id {kind}, n long, d1 long, d2 long, keys array<long>")
+    length, matches = spread(over, under)
+    scanned = docs.mapInArrow(_scan(size, length), f"doc_id {kind}, n long, d1 long, d2 long, keys array<long>")
     named = scanned.where("n > 0 and doc_id is not null")
     reps = written(named.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "keys")).alias("x")).select(F.col("x.doc_id").alias("rep"), "n", "d1", "d2", F.col("x.keys").alias("keys")))
     posted = reps.select("rep", "n", F.explode("keys").alias("key"))
@@ -216,7 +236,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, over: int = OVER, unde
 
     ends = f"a {kind}, b {kind}"
     confirm = lambda pairs: with_both(pairs, "own").mapInArrow(_confirm(over, under), ends)
-    first = written(confirm(with_both(pairs, "sig").mapInArrow(_alike, ends)))
+    first = written(confirm(with_both(pairs, "sig").mapInArrow(_alike(matches), ends)))
     comps = components(first)
     labelled = written(lists.join(comps, lists["rep"] == comps["node"], "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
     open_lists = labelled.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
@@ -224,7 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, over: int = OVER, unde
     short = rest.where(F.col("c") <= SMALL).select("key", "rep", "comp")
     x, y = short.alias("x"), short.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    second = confirm(with_both(cross, "sig").mapInArrow(_alike, ends))
+    second = confirm(with_both(cross, "sig").mapInArrow(_alike(matches), ends))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
     dealt = (
         rest.where(F.col("c") > SMALL)

@@ -33,9 +33,13 @@ def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where((F.col("n_removed") == 0) | F.col("text").rlike(WHOLE_LINE)).select(*docs.columns)
 
 
+#: Near copies share this part of their shingles of so many words; op5's own figures bind that query alone.
+NEAR_SHINGLE, NEAR_OVER, NEAR_UNDER = 5, 80, 100
+
+
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id_kept")).distinct()
+    kept = minhash.near_duplicates(docs, NEAR_SHINGLE, NEAR_OVER, NEAR_UNDER).where("kept").select(F.col("doc_id").alias("id_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id_kept")), "left_semi")
 
 

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from brontide.llm import linededup
+from brontide.llm import linededup, minhash
 from tests.llm.util import docs_of, put
 
 
@@ -44,3 +44,18 @@ def test_whole_run_on_an_empty_table(spark, tmp_path):
 
 def test_docs_helper(spark):
     assert docs_of(spark, ["a"]).count() == 1
+
+
+def test_near_stage_drops_copies_with_a_passage_added_cut_or_replaced(spark):
+    words = [f"w{k}" for k in range(200)]
+    added, cut, other = words + [f"x{k}" for k in range(44)], words[:100] + words[130:], words[:90] + [f"y{k}" for k in range(16)] + words[106:]
+    far = words + [f"z{k}" for k in range(52)]
+    docs = docs_of(spark, [" ".join(w) for w in (words, added, cut, other, far)])
+    assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == {0, 4}
+
+
+def test_signatures_are_read_by_the_least_similarity():
+    assert minhash.spread(85, 100) == (5, 86) and minhash.spread(80, 100) == (4, 78)
+    for over in range(20, 100, 5):
+        length, matches = minhash.spread(over, 100)
+        assert (1 - (over / 100) ** length) ** (minhash.COORDS // length) <= minhash.MISS and matches < over / 100 * minhash.COORDS
