@@ -1,22 +1,22 @@
 """Operator 8 - license scans, with DataFrame functions only.
 
 A template matches a text if a window holds at least ``CONTAINED`` of the template's shingles of five
-words. Windows of twice a size class overlap by half, so any run of words up to the class, the least
+words; one of fewer words is a single shingle of its whole sequence. Windows of twice a size class overlap by half, so any run of words up to the class, the least
 power of two that holds the template, lies whole in one of them.
 
 * Gate: for each template some words are picked whose shingles are more than the fifth that a match may
   lack; a text without any of these words can't match. This is a test of whole texts and loses nothing.
-* Bands: of a window's shingles those of any template are kept and get a MinHash signature of 128
-  values in bands of two. A window that holds one template has a similarity of 0.8 or more with it and
-  shares a band with a probability of 1 - 4e-13; beside as many shingles of others it is 0.99999 at 0.4.
+* Bands: of a window's shingles those of each template are kept apart and get a MinHash signature of 128
+  values in bands of two, so that the similarity is the containment, whatever else the window holds: at 0.8
+  a band is shared but for one window in 1e28.
 * Containment: each retrieved template's shingles are counted in the window exactly.
 
 The templates are a parameter; their table is small by its kind, and is refused beyond ``MOST_SHINGLES``
 shingles, up to which it is broadcast.
 
 Edge cases: a null or empty text has no license. Copies of a row get equal rows; rows of one doc_id but
-different texts are scanned apart. A null doc_id is like any other. A template of fewer words than a
-shingle is refused. Extra columns are ignored.
+different texts are scanned apart. A null doc_id is like any other. A template without words is refused.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,12 +62,12 @@ def template_table(templates: dict[str, list[str]]) -> list[tuple[str, int, int,
     for name, texts in templates.items():
         for k, text in enumerate(texts):
             words = words_of(text)
-            if len(words) < SHINGLE:
-                raise ValueError(f"a template of {name} has fewer than {SHINGLE} words")
-            size = LEAST_CLASS
+            if not words:
+                raise ValueError(f"a template of {name} has no words")
+            width, size = min(SHINGLE, len(words)), LEAST_CLASS
             while size < len(words):
                 size *= 2
-            out.append((name, k, size, sorted({" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)})))
+            out.append((name, k, size, sorted({" ".join(words[i : i + width]) for i in range(len(words) - width + 1)})))
     if sum(len(t[3]) for t in out) > MOST_SHINGLES:
         raise ValueError(f"more than {MOST_SHINGLES} shingles of templates")
     return out
@@ -101,25 +101,26 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     for w in gate_words(table):
         gate |= F.contains(lower, F.lit(w))
     words = F.filter(F.split(lower, _GAPS), lambda w: w != "")
-    sizes = F.array(*[F.lit(s) for s in sorted({t[2] for t in table})])
+    wanted = known.select("license", "k", "size", F.explode("wanted").alias("shingle"))
+    widths = sorted({s.count(" ") + 1 for t in table for s in t[3]})
+    grams = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.struct((i - 1).alias("at"), F.concat_ws(" ", F.slice("w", i, n)).alias("shingle"), F.lit(n).alias("width"))))
     hits = (
         rows.where(gate)
         .select(F.struct("doc_id", "t").alias("row"), words.alias("w"))
-        .where(F.size("w") >= SHINGLE)
-        .select("row", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - (SHINGLE - 1)), lambda i: F.concat_ws(" ", F.slice("w", i, SHINGLE)))).alias("at", "shingle"))
-        .join(F.broadcast(known.select(F.explode("wanted").alias("shingle")).distinct()), "shingle", "left_semi")
-        .select("row", "at", "shingle", F.explode(sizes).alias("size"))
+        .select("row", F.explode(F.flatten(F.filter(F.array(*map(grams, widths)), lambda g: g.isNotNull()))).alias("g"))
+        .select("row", "g.*")
+        .join(F.broadcast(wanted), "shingle")
     )
     last = F.floor(F.col("at") / F.col("size"))
     windows = (
-        hits.select("row", "at", "shingle", "size", F.explode(F.array(last, last - 1)).alias("window"))
-        .where((F.col("window") >= 0) & (F.col("at") + SHINGLE <= (F.col("window") + 2) * F.col("size")))
-        .groupBy("row", "size", "window")
+        hits.select("row", "at", "shingle", "width", "license", "k", "size", F.explode(F.array(last, last - 1)).alias("window"))
+        .where((F.col("window") >= 0) & (F.col("at") + F.col("width") <= (F.col("window") + 2) * F.col("size")))
+        .groupBy("row", "license", "k", "size", "window")
         .agg(F.collect_set("shingle").alias("held"))
     )
-    keyed = windows.select("row", "size", "window", "held", F.explode(_bands(F.col("held"))).alias("band"))
-    posted = known.select("license", "k", "size", "wanted", F.explode(_bands(F.col("wanted"))).alias("band"))
-    met = keyed.join(F.broadcast(posted), ["size", "band"]).groupBy("row", "size", "window", "license", "k").agg(F.first("held").alias("held"), F.first("wanted").alias("wanted"))
+    keyed = windows.select("row", "license", "k", "window", "held", F.explode(_bands(F.col("held"))).alias("band"))
+    posted = known.select("license", "k", "wanted", F.explode(_bands(F.col("wanted"))).alias("band"))
+    met = keyed.join(F.broadcast(posted), ["license", "k", "band"]).groupBy("row", "window", "license", "k").agg(F.first("held").alias("held"), F.first("wanted").alias("wanted"))
     share = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
     found = met.select("row", "license", share.alias("share")).where(F.col("share") >= CONTAINED)
     by_row = found.groupBy("row").agg(F.array_sort(F.collect_set("license")).alias("names"), F.max("share").alias("best"))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from brontide.llm import langid, mixing, mpeg, pii, substrings, toxicity
+from brontide.llm import langid, licenses, mixing, mpeg, pii, substrings, toxicity
 from tests.llm.util import docs_of, put
 
 
@@ -263,3 +263,21 @@ def test_equal_windows_choose_the_same_symbol():
                         k = substrings.chosen(at, np.array([woffs[1] + i]), 35)[0]
                         seen.add(None if k < 0 else (int(at.name[k]), int(at.a[k] - woffs[1] - i)))
         assert len(seen) == 1
+
+
+def test_short_notices_between_long_ones(spark):
+    texts = licenses.TEMPLATES
+    long = [max(t, key=len) for t in texts.values()]
+    short = ["Licensed under CC BY 4.0.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0."]
+    names = ["cc-by-4.0", "mit", "cc-by-nc-4.0"]
+    docs = docs_of(spark, [f"{' '.join(a.split()[-12:])} {s} {' '.join(b.split()[:12])}" for s in short for a in long for b in long])
+    rows = {r["doc_id"]: r["licenses"].split(",") for r in licenses.scan_licenses(docs).collect()}
+    per = len(long) ** 2
+    assert [k for k in rows if names[k // per] not in rows[k]] == []
+
+
+def test_notices_under_five_words(spark):
+    templates = {"reserved": ["All rights reserved."], "mit": ["Released under the MIT License."], "one": ["Proprietary"]}
+    docs = docs_of(spark, ["all rights, reserved", "All rights", "x " * 40 + "ALL RIGHTS RESERVED. Released under the MIT License.", "proprietary", "nonproprietary stuff", None, "y " * 29 + "all rights reserved"])
+    rows = {r["doc_id"]: (r["licenses"], r["best"]) for r in licenses.scan_licenses(docs, templates).collect()}
+    assert rows == {0: ("reserved", 1.0), 1: ("", 0.0), 2: ("mit,reserved", 1.0), 3: ("one", 1.0), 4: ("", 0.0), 5: ("", 0.0), 6: ("reserved", 1.0)}
