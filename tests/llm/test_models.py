@@ -243,6 +243,23 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_small_posteriors_count_as_they_are(spark):
+    small, large = np.array([0.6961, 0.3, 0.0039]), np.array([0.1, 0.1, 0.8])
+    model = mixing.Classifier(3)
+    x, _ = mixing.features(np.frombuffer(b"zz", np.uint8), np.array([0, 2]))
+    model.b, model.W[np.flatnonzero(x[0, : mixing.DIMS])[0]] = np.log(small).astype(np.float32), np.log(large / small)
+    old, mixing.fit_classifier = mixing.fit_classifier, lambda *_: model
+    try:
+        out = mixing.mix(docs_of(spark, ["aa bb cc"] * 300 + ["zz"] * 50), None, {"good": 0.6, "poor": 0.35, "toxic": 0.05}).toPandas()
+    finally:
+        mixing.fit_classifier = old
+    p = np.array(out["posteriors"].tolist())
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-12) and np.allclose(np.sort(p[:, 2])[[0, -1]], [0.0039, 0.8], atol=1e-5)
+    mass = (out["rate"].to_numpy() * out["n_tokens"].to_numpy()) @ p
+    assert abs(mass[2] / out["n_tokens"].sum() - 0.05) < 0.002
+    assert len(set(mixing.bin_of(np.array([[0.996, 0.0, 0.004], [0.9963, 0.0, 0.0037], [0.999, 0.0, 0.001]])).tolist())) == 2
+
+
 def test_equal_windows_choose_the_same_symbol():
     rng = np.random.default_rng(3)
     for _ in range(120):
