@@ -19,6 +19,8 @@ scores; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,6 +96,7 @@ def grammar() -> Transducer:
 
 
 _SYMBOL = "oITYNR"
+_STRETCH = re.compile("o{%d,}" % (SPAN + 2))
 
 
 class Scorer:
@@ -116,7 +119,7 @@ class Scorer:
                         continue
                     n[{"A": "aimed", "i": "denied", "q": "quoted", "T": "threat", "t": "threat_denied", "s": "threat_quoted"}[s]] += 1
             found = tuple(n.values())
-            if len(self.known) < 100_000:
+            if len(self.known) < 100_000 and len(symbols) < 1000:
                 self.known[symbols] = found
         return found
 
@@ -172,11 +175,9 @@ def count_patterns(column: pa.Array, lexicon: Lexicon, scorer: Scorer) -> np.nda
             for c in np.unique(parts[(own == INS) | (own == THR)]):
                 a, b = np.searchsorted(parts, [c, c + 1])
                 symbols = "".join(_SYMBOL[m] for m in own[a:b])
-                head = min(x for x in (symbols.find("I"), symbols.find("T")) if x >= 0)
                 tail = max(symbols.rfind("I"), symbols.rfind("T"))
-                # plain words far from any insult or threat don't matter, openers before one do
-                before = "".join(s for s in symbols[: max(0, head - 8)] if s == "R")
-                out[first + d] += scorer.clause(before + symbols[max(0, head - 8) : tail + 2 + SPAN])
+                # no pattern looks further than SPAN + 1 plain words in a row, so longer stretches count as so many
+                out[first + d] += scorer.clause(_STRETCH.sub("o" * (SPAN + 1), symbols[: tail + 2 + SPAN]))
     return out
 
 

@@ -195,6 +195,16 @@ def test_grammar():
     assert names("ToY") == {"threat": 1} and names("To") == {} and names("NToY") == {"threat_denied": 1}
 
 
+def test_long_clauses_count_as_a_whole():
+    lexicon, scorer = toxicity.Lexicon(np.zeros(0, np.uint64)), toxicity.Scorer()
+    word = dict(zip("oITYNR", "plain stupid kill you not said".split(), strict=True))
+    cases = [a + "o" * n + b for a in ("Y", "N", "R", "YN", "RY", "NYYYYYYYYYY", "oooooooY") for n in range(21) for b in ("T", "I", "ToI", "TooooooooooY", "IoooooY")]
+    got = toxicity.count_patterns(pa.array([" ".join(word[s] for s in c) for c in cases]), lexicon, scorer)
+    want = np.array([toxicity.Scorer().clause(c) for c in cases])
+    assert (got == want).all(), [c for c, g, w in zip(cases, got, want, strict=True) if (g != w).any()]
+    assert got[cases.index("Y" + "o" * 20 + "T"), toxicity.FEATURES.index("threat")] == 1
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rows, marks = [], []
