@@ -32,6 +32,8 @@ from brontide.llm import wordhash as wh
 from brontide.llm.shared import written
 
 MIN_WORDS, NEAR_WORDS = 5, 10
+#: A text of which some word is left.
+WORD = r"[^\x20\x09-\x0D]"
 _C = np.uint64(0xA0761D6478BD642F)
 _SECOND = np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -142,8 +144,15 @@ def _variants(near_words: int):
     return run
 
 
-def _dropped(docs: DataFrame, dealt: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    """doc_id and the sorted numbers (from 0) of its lines that go, for each document that loses some.
+def _whole_copies(docs: DataFrame) -> DataFrame:
+    """doc_id and the hash of each text with words that an earlier document has too."""
+    texts = docs.where(F.col("text").rlike(WORD)).select("doc_id", F.md5("text").alias("hash"))
+    first = texts.groupBy("hash").agg(F.min(F.struct("doc_id")).alias("o"), F.count("*").alias("c")).where("c > 1")
+    return texts.join(first, "hash").where(F.col("o") < F.struct("doc_id")).select("doc_id", "hash")
+
+
+def _dropped(docs: DataFrame, dealt: DataFrame, min_words: int, near_words: int, whole_copies: bool) -> DataFrame:
+    """doc_id, the sorted numbers (from 0) of its lines that go and the hashes of its texts that go whole, for each document that loses some.
 
     docs: doc_id, text; dealt: the same rows with one more column, dealt by doc_id.
     """
@@ -171,16 +180,21 @@ def _dropped(docs: DataFrame, dealt: DataFrame, min_words: int, near_words: int)
     again = distinct.where("c > 1").select("h1", "h2", "o")
     copies = lines.select("doc_id", "line_no", "h1", "h2").join(again, ["h1", "h2"]).where(F.col("o") < order).select("doc_id", "line_no")
     gone = copies.unionByName(late)
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+    if not whole_copies:
+        return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+    gone = gone.unionByName(_whole_copies(docs), allowMissingColumns=True)
+    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("lines"), F.collect_set("hash").alias("hashes"))
 
 
 def _earlier(a: Column, b: Column) -> Column:
     return F.when(b.isNull() | (a <= b), a).otherwise(b)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, whole_copies: bool = False) -> DataFrame:
     """docs with the dropped lines taken out of text; two more columns, n_lines and n_removed, at the end.
 
+    With ``whole_copies`` a text that an earlier document has too loses all its lines, the short ones as well.
+
     A table that has columns of these names already keeps its own: the new ones then get a leading underscore.
     """
     if near_words < 9:
@@ -191,16 +205,21 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     rows = docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("rest"))
     # without null ids here, both joins below read the same exchange
     dealt = rows.where("doc_id is not null").repartition("doc_id")
-    gone = _dropped(docs.select("doc_id", "text"), dealt, min_words, near_words).select(F.col("doc_id").alias("gone_id"), F.col("lines").alias("gone_lines"))
+    gone = _dropped(docs.select("doc_id", "text"), dealt, min_words, near_words, whole_copies)
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("lines").alias("gone_lines"), *([F.col("hashes").alias("gone_hashes")] if whole_copies else []))
     lines, drop = F.split("text", "\n", -1), F.col("gone_lines")
     left = F.concat_ws("\n", F.filter(lines, lambda x, k: ~F.array_contains(drop, k)))
+    removed = F.coalesce(F.size(drop), F.lit(0))
+    if whole_copies:
+        whole = F.when(F.size("gone_hashes") > 0, F.array_contains("gone_hashes", F.md5("text"))).otherwise(False)
+        left, removed = F.when(whole, F.lit("")).otherwise(left), F.when(whole, F.size(lines)).otherwise(removed)
     made = {"doc_id": F.col("doc_id"), "text": F.when(drop.isNull(), F.col("text")).otherwise(left)}
     joined = dealt.join(gone, F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id")
-    joined = joined.unionByName(rows.where("doc_id is null").withColumn("gone_lines", F.lit(None).cast("array<int>")))
+    joined = joined.unionByName(rows.where("doc_id is null").withColumn("gone_lines", F.lit(None).cast("array<int>")), allowMissingColumns=True)
     return joined.select(
         *[made.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(fresh("n_lines")),
-        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(fresh("n_removed")),
+        removed.cast("long").alias(fresh("n_removed")),
     )
 
 

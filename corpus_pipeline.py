@@ -23,14 +23,10 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(whole_rows(docs), langid.fit(docs)).where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select("doc_id.*")
 
 
-#: A line of as many words as line dedup looks at.
-WHOLE_LINE = r"[^\x20\x09-\x0D]++(?:[\x20\x09\x0B-\x0D]++[^\x20\x09-\x0D]++){%d}" % (linededup.MIN_WORDS - 1)
-
-
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents that lose some and have nothing left but lines too short to be looked at."""
-    out = linededup.dedup_lines(docs)
-    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(WHOLE_LINE)).select(*docs.columns)
+    """Repeated lines go, later copies of whole texts too, and documents that lose some and have no word left."""
+    out = linededup.dedup_lines(docs, whole_copies=True)
+    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(linededup.WORD)).select(*docs.columns)
 
 
 #: Near copies share this part of their shingles of so many words; op5's own figures bind that query alone.

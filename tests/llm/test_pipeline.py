@@ -59,3 +59,12 @@ def test_signatures_are_read_by_the_least_similarity():
     for over in range(20, 100, 5):
         length, matches = minhash.spread(over, 100)
         assert (1 - (over / 100) ** length) ** (minhash.COORDS // length) <= minhash.MISS and matches < over / 100 * minhash.COORDS
+
+
+def test_line_stage_keeps_what_is_left_of_short_lines(spark):
+    foot = "a footer of seven words or so"
+    page = "\n".join(f"clean {k}" for k in range(200))
+    verse = "\n".join("漢字" * 20 + str(k) for k in range(5))
+    texts = [foot, f"{page}\n{foot}", f"{foot}\n{verse}", foot, f" \n{foot}\n", f"{page}\n{foot}", None, ""]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs_of(spark, texts), "").collect()}
+    assert got == {0: foot, 1: page, 2: verse, 6: None, 7: ""}
