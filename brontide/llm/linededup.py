@@ -1,24 +1,27 @@
 """Operator 10 - line dedup by a deletion-neighbourhood join.
 
 Two lines are near copies if one word inserted, deleted or replaced turns one into the other. A line
-goes if an earlier one (by doc_id, then line number) has the same words or, where the longer of the
-two has ``near_words`` words or more, is a near copy. Lines under ``min_words`` words stay: they are
-too short to tell a copy from chance.
+goes if an earlier one (by doc_id, then text, then line number) has the same words or, where the longer
+of the two has ``near_words`` words or more, is a near copy. Lines of fewer than ``min_words`` words stay
+if they have fewer than ``min_chars`` characters too: they are too short to tell a copy from chance. So a
+line of Chinese, one word by its spaces, is looked at like others.
 
 Every line's variants are the line without one of its words, each with the position it lacks. Lines
 that share a variant and a position differ there alone; a variant that equals a whole line is one
-insertion away. So equal keys of 128 bits prove the distance, the earliest line of each key comes
-from an aggregation, and no pairs are made inside a group, however large it is.
+insertion away. The earliest line of each key of 128 bits comes from an aggregation, so no pairs are made
+inside a group, however large it is; each line that has an earlier one is then compared with it, word by
+word, and goes only if their edit distance is one.
 
-A line first posts the keys of its start and its end, each just under half of it: one edit leaves one
+A line first posts the keys of its start and its end, each at most half of it: one edit leaves one
 of them whole. Only lines that share such a part with another distinct line emit variants, and those
-only at positions outside it. Exact copies are merged before. Texts are dealt by doc_id once; the same
+only at positions outside it. Exact copies are merged before. Texts are dealt by row once; the same
 exchange serves the variants and the final removal.
 
-Edge cases: a null text stays null, an empty one empty, and an empty table gives an empty one. Rows of
-one doc_id and the same line number are never earlier than each other, so repeated rows keep the same
-lines. A document with a null doc_id comes first in order and loses no line. Extra columns pass through,
-whatever their names.
+Edge cases: a null text stays null, an empty one empty, and an empty table gives an empty one. A row goes
+by its doc_id and 128 bits of its text's hash: rows equal in both are never earlier than each other and
+keep the same lines; rows of one doc_id with other texts are documents of their own, in the order of the
+hashes. A null doc_id is like any other, the first in order. Extra columns pass through, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from brontide.llm import wordhash as wh
 from brontide.llm.shared import written
 
-MIN_WORDS, NEAR_WORDS = 5, 10
+MIN_WORDS, MIN_CHARS, NEAR_WORDS = 5, 20, 5
 #: A text of which some word is left.
 WORD = r"[^\x20\x09-\x0D]"
 _C = np.uint64(0xA0761D6478BD642F)
@@ -53,6 +56,8 @@ class _Lines:
         self.offs = np.append(first, len(starts))
         self.n = np.diff(self.offs)
         self.doc, self.number = doc[first], number[first]
+        seen = np.append(0, np.cumsum(wh.SPACE_WORDS[flat] & (flat & 0xC0 != 0x80)))
+        self.chars = seen[ends[self.offs[1:] - 1]] - seen[starts[first]] if len(first) else first
         self.sums = []
         for words in (self.words, wh.mix(self.words ^ _SECOND)):
             s = np.zeros(len(words) + 1, dtype=np.uint64)
@@ -82,15 +87,15 @@ def _i64(x: np.ndarray) -> pa.Array:
 
 def _part(n: np.ndarray) -> np.ndarray:
     """Words in the shared part of a line whose shorter partner has ``n``: at most half of them, and mostly the same for n + 1."""
-    return n // 8 * 4
+    return np.where(n < 16, n // 4 * 2, n // 8 * 4)
 
 
-def _scan(min_words: int, near_words: int):
+def _scan(min_words: int, min_chars: int, near_words: int):
     def run(batches):
         for batch in batches:
             for first, flat, offs in wh.slices(batch.column(1)):
                 lines = _Lines(flat, offs)
-                lines.keep(np.flatnonzero(lines.n >= min_words))
+                lines.keep(np.flatnonzero((lines.n >= min_words) | (lines.chars >= min_chars)))
                 keys = []
                 for less in (0, 1):  # as the shorter line or one as long as the other; as the longer one
                     p = _part(lines.n - less)
@@ -100,7 +105,7 @@ def _scan(min_words: int, near_words: int):
                         keys.append(pa.array(key.view(np.int64), pa.int64(), mask=none))
                 own = [_i64(lines.hashes(k, lines.first, lines.n)) for k in (0, 1)]
                 ids = batch.column(0).take(pa.array(lines.doc + first))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number, pa.int32()), *own, *keys], names=["doc_id", "line_no", "h1", "h2", "k0", "k1", "k2", "k3"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number, pa.int32()), *own, *keys], names=["row", "line_no", "h1", "h2", "k0", "k1", "k2", "k3"])
 
     return run
 
@@ -116,7 +121,7 @@ def _pick(batches):
                 numbers.append(w["line_no"])
                 masks.append(w["mask"])
                 texts.append(lines[w["line_no"]])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(masks, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "line_no", "mask", "line"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(masks, pa.int32()), pa.array(texts, pa.string())], names=["row", "line_no", "mask", "line"])
 
 
 def _variants(near_words: int):
@@ -139,84 +144,104 @@ def _variants(near_words: int):
                 keys = [np.concatenate([lines.without(k, line, at), lines.hashes(k, lines.first, n)]) for k in (0, 1)]
                 rows = pa.array(lines.doc[np.concatenate([line, np.arange(len(n))])] + first)
                 at = np.concatenate([at, np.full(len(n), -1)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *[_i64(k) for k in keys], pa.array(at, pa.int32())], names=["doc_id", "line_no", "v1", "v2", "pos"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *[_i64(k) for k in keys], pa.array(at, pa.int32())], names=["row", "line_no", "v1", "v2", "pos"])
 
     return run
 
 
+def _one_edit(x: str, y: str) -> bool:
+    """Whether one word inserted, deleted or replaced turns one line into the other."""
+    a, b = sorted((x.encode().split(), y.encode().split()), key=len)
+    if len(b) - len(a) > 1:
+        return False
+    start = 0
+    while start < len(a) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < len(a) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    return start + end >= len(b) - 1
+
+
+def _verified(batches):
+    """row, line_no where the lines x and y are one edit apart."""
+    for batch in batches:
+        ok = [_one_edit(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["row", "line_no"]).filter(pa.array(ok, pa.bool_()))
+
+
 def _whole_copies(docs: DataFrame) -> DataFrame:
-    """doc_id and the hash of each text with words that an earlier document has too."""
-    texts = docs.where(F.col("text").rlike(WORD)).select("doc_id", F.md5("text").alias("hash"))
-    first = texts.groupBy("hash").agg(F.min(F.struct("doc_id")).alias("o"), F.count("*").alias("c")).where("c > 1")
-    return texts.join(first, "hash").where(F.col("o") < F.struct("doc_id")).select("doc_id", "hash")
+    """The rows whose text has words and stands in an earlier row too."""
+    texts = docs.where(F.col("text").rlike(WORD)).select("row")
+    first = texts.groupBy("row.t1", "row.t2").agg(F.min("row").alias("o"), F.count("*").alias("c")).where("c > 1")
+    texts = texts.select("row", "row.t1", "row.t2")
+    return texts.join(first, ["t1", "t2"]).where(F.col("o") < F.col("row")).select("row")
 
 
-def _dropped(docs: DataFrame, dealt: DataFrame, min_words: int, near_words: int, whole_copies: bool) -> DataFrame:
-    """doc_id, the sorted numbers (from 0) of its lines that go and the hashes of its texts that go whole, for each document that loses some.
+def _dropped(docs: DataFrame, dealt: DataFrame, limits: tuple[int, int, int], whole_copies: bool) -> DataFrame:
+    """row, the sorted numbers (from 0) of its lines that go, and whether it goes whole, for each row that loses some.
 
-    docs: doc_id, text; dealt: the same rows with one more column, dealt by doc_id.
+    docs: row, text; dealt: the same rows with one more column, dealt by row.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = docs.mapInArrow(_scan(min_words, near_words), f"doc_id {kind}, line_no int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
-    distinct = written(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("o"), F.count("*").alias("c"), *[F.min(f"k{k}").alias(f"k{k}") for k in range(4)]))
+    kind = docs.schema["row"].dataType.simpleString()
+    lines = docs.mapInArrow(_scan(*limits), f"row {kind}, line_no int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long")
+    distinct = written(lines.groupBy("h1", "h2").agg(F.min(F.struct("row", "line_no")).alias("o"), F.count("*").alias("c"), *[F.min(f"k{k}").alias(f"k{k}") for k in range(4)]))
     keys = distinct.select("o.*", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("which", "key")).where("key is not null")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     near = written(
         keys.join(shared, "key")
-        .groupBy("doc_id", "line_no")
+        .groupBy("row", "line_no")
         .agg(F.bit_or(F.expr("shiftleft(1, which)")).alias("mask"))
-        .groupBy("doc_id")
+        .groupBy("row")
         .agg(F.collect_list(F.struct("line_no", "mask")).alias("wanted"))
     )
-    # the join reads all of dealt, so that its exchange is the one that the final join reads; the few lines it leaves are dealt again and read twice
-    chosen = dealt.join(near, "doc_id").select("doc_id", "text", "rest", "wanted")
-    variants = chosen.mapInArrow(_pick, f"doc_id {kind}, line_no int, mask int, line string").dropDuplicates(["doc_id", "line_no"]).mapInArrow(_variants(near_words), f"doc_id {kind}, line_no int, v1 long, v2 long, pos int")
-    order = F.struct("doc_id", "line_no")
+    # the join reads all of dealt, so that its exchange is the one that the final join reads; the few lines it leaves are written
+    chosen = dealt.join(near, "row").select("row", "text", "rest", "wanted")
+    picked = written(chosen.mapInArrow(_pick, f"row {kind}, line_no int, mask int, line string").dropDuplicates(["row", "line_no"]))
+    variants = picked.mapInArrow(_variants(limits[2]), f"row {kind}, line_no int, v1 long, v2 long, pos int")
+    order = F.struct("row", "line_no")
     by_place = variants.groupBy("v1", "v2", "pos").agg(F.min(order).alias("m"))
     by_key = by_place.groupBy("v1", "v2").agg(F.min(F.when(F.col("pos") < 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.col("m"))).alias("part"))
     best = by_place.join(by_key, ["v1", "v2"]).select("v1", "v2", "pos", F.when(F.col("pos") < 0, F.col("part")).otherwise(_earlier(F.col("m"), F.col("whole"))).alias("best"))
     # a near copy's first place goes here, its other places go as copies of the first
-    late = variants.join(best, ["v1", "v2", "pos"]).where(F.col("best") < order).select("doc_id", "line_no")
+    pairs = variants.join(best, ["v1", "v2", "pos"]).where(F.col("best") < order).groupBy("row", "line_no").agg(F.min("best").alias("best"))
+    earlier = picked.select(order.alias("best"), F.col("line").alias("y"))
+    late = pairs.join(picked.select("row", "line_no", F.col("line").alias("x")), ["row", "line_no"]).join(earlier, "best").select("row", "line_no", "x", "y").mapInArrow(_verified, f"row {kind}, line_no int")
     again = distinct.where("c > 1").select("h1", "h2", "o")
-    copies = lines.select("doc_id", "line_no", "h1", "h2").join(again, ["h1", "h2"]).where(F.col("o") < order).select("doc_id", "line_no")
+    copies = lines.select("row", "line_no", "h1", "h2").join(again, ["h1", "h2"]).where(F.col("o") < order).select("row", "line_no")
     gone = copies.unionByName(late)
     if not whole_copies:
-        return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
-    gone = gone.unionByName(_whole_copies(docs), allowMissingColumns=True)
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("lines"), F.collect_set("hash").alias("hashes"))
+        return gone.groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+    gone = gone.withColumn("whole", F.lit(False)).unionByName(_whole_copies(docs).withColumn("whole", F.lit(True)), allowMissingColumns=True)
+    return gone.groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("lines"), F.max("whole").alias("whole"))
 
 
 def _earlier(a: Column, b: Column) -> Column:
     return F.when(b.isNull() | (a <= b), a).otherwise(b)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, whole_copies: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, near_words: int = NEAR_WORDS, whole_copies: bool = False) -> DataFrame:
     """docs with the dropped lines taken out of text; two more columns, n_lines and n_removed, at the end.
 
-    With ``whole_copies`` a text that an earlier document has too loses all its lines, the short ones as well.
+    With ``whole_copies`` a text that an earlier row has too loses all its lines, the short ones as well.
 
     A table that has columns of these names already keeps its own: the new ones then get a leading underscore.
     """
-    if near_words < 9:
-        raise ValueError("near_words must be 9 or more: shorter lines have no shared part to go by")
+    if near_words < 5:
+        raise ValueError("near_words must be 5 or more: shorter lines have no shared part to go by")
     names = {c.lower() for c in docs.columns}
     fresh = lambda c: c if c not in names else fresh("_" + c)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("rest"))
-    # without null ids here, both joins below read the same exchange
-    dealt = rows.where("doc_id is not null").repartition("doc_id")
-    gone = _dropped(docs.select("doc_id", "text"), dealt, min_words, near_words, whole_copies)
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("lines").alias("gone_lines"), *([F.col("hashes").alias("gone_hashes")] if whole_copies else []))
+    row = F.struct("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).alias("row")
+    dealt = docs.select(row, "text", (F.struct(*others) if others else F.lit(0)).alias("rest")).repartition("row")
+    gone = _dropped(docs.select(row, "text"), dealt, (min_words, min_chars, near_words), whole_copies)
+    gone = gone.select("row", F.col("lines").alias("gone_lines"), (F.col("whole") if whole_copies else F.lit(False)).alias("gone_whole"))
     lines, drop = F.split("text", "\n", -1), F.col("gone_lines")
-    left = F.concat_ws("\n", F.filter(lines, lambda x, k: ~F.array_contains(drop, k)))
-    removed = F.coalesce(F.size(drop), F.lit(0))
-    if whole_copies:
-        whole = F.when(F.size("gone_hashes") > 0, F.array_contains("gone_hashes", F.md5("text"))).otherwise(False)
-        left, removed = F.when(whole, F.lit("")).otherwise(left), F.when(whole, F.size(lines)).otherwise(removed)
-    made = {"doc_id": F.col("doc_id"), "text": F.when(drop.isNull(), F.col("text")).otherwise(left)}
-    joined = dealt.join(gone, F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id")
-    joined = joined.unionByName(rows.where("doc_id is null").withColumn("gone_lines", F.lit(None).cast("array<int>")), allowMissingColumns=True)
-    return joined.select(
+    whole = F.coalesce("gone_whole", F.lit(False))
+    left = F.when(whole, F.lit("")).otherwise(F.concat_ws("\n", F.filter(lines, lambda x, k: ~F.array_contains(drop, k))))
+    removed = F.when(whole, F.size(lines)).otherwise(F.coalesce(F.size(drop), F.lit(0)))
+    made = {"doc_id": F.col("row.doc_id"), "text": F.when(drop.isNull(), F.col("text")).otherwise(left)}
+    return dealt.join(gone, "row", "left").select(
         *[made.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(fresh("n_lines")),
         removed.cast("long").alias(fresh("n_removed")),
@@ -231,7 +256,7 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP10_SQL = rf"""
 with l as (select doc_id, k - 1 line_no, t from (select doc_id, unnest(string_split(text, chr(10))) t, unnest(range(1, len(string_split(text, chr(10))) + 1)) k from documents where text is not null)),
-w as (select *, len(w) n, array_to_string(w, ' ') s from (select doc_id, line_no, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w from l) where len(w) >= {MIN_WORDS}),
+w as (select *, len(w) n, array_to_string(w, ' ') s from (select doc_id, line_no, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w from l) where len(w) >= {MIN_WORDS} or length(array_to_string(w, '')) >= {MIN_CHARS}),
 f as (select s, min(struct_pack(d := doc_id, l := line_no)) o, any_value(w) w, any_value(n) n from w group by s),
 v as (select s, o, i - 1 pos, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') v from (select *, unnest(range(1, n + 1)) i from f where n >= {NEAR_WORDS})),
 m as (select v, pos, min(o) m from v group by 1, 2),
