@@ -1,26 +1,31 @@
 """Operator 5 - MinHash near-dedup by a signature-coordinate inverted join.
 
-A document's set is its distinct shingles; equal sets form one class, kept by its smallest doc_id. A
-signature has ``COORDS`` coordinates, the least value of the set under as many hash functions. Classes
-are posted under runs of coordinates with their values, the longest runs (of ``LONGEST`` at most) of which
-none agrees for a share of ``MISS`` of the pairs at the least similarity, or fewer: 25 runs of five at 0.85,
-31 of four at 0.80. A posting list is merged as follows.
-
-* Prefix: every member is joined to the list's first one alone, so a list of n makes n - 1 pairs. Pairs
-  of several lists count once. The pairs' whole sets are compared, and links give first components.
-* Skip: lists whose members are all in one component need no more work; what remains are pairs across
-  components. In lists of up to ``SMALL`` members they are counted over all coordinates of their
-  signatures, and only those with so many agreeing ones that a share of ``MISS`` of the links or fewer
-  has less (86 at 0.85, 78 at 0.80) are retained and compared on whole sets. Longer lists are dealt in blocks; a task compares two
-  blocks by one product of their shingle incidence matrices and returns a spanning forest of their
-  links, so nothing is emitted for each pair however long the list is.
+A document's set is its distinct shingles; equal sets form one class. A signature has ``COORDS``
+coordinates, the least value of the set under as many hash functions. Every class is posted under each
+coordinate with its value. Two classes collide as often as their coordinates agree; a pair is retained from
+a number of collisions on that a share of ``MISS`` of the links at the least similarity, or fewer, stays below
+(39 of 64 at 0.85, 35 at 0.80), and retained pairs are compared on whole sets.
+
+* Skip: a posting list of one member makes no collision. A class with fewer lists of two or more than the
+  match threshold asks for can't reach it, and takes no further part.
+* Prefix: the lists of a class are ordered from the shortest on. Pairs that reach the threshold t meet in the
+  first (lists - t + 1) of both classes, so only these are merged: long lists, as of a passage that many
+  documents hold, are mostly left to the end and never opened. Collisions in the prefixes are counted per
+  pair, those behind them from the two signatures.
+* Merging: every member of a list meets the list's first and last member, which makes 2 n pairs for n
+  members. Links give first components. Lists whose members are all in one component need no more work; in the
+  others the members outside the list's largest component are its strays, and what remains are pairs of a
+  stray and a member of another component. Up to ``STRAYS`` strays of a list meet all its members as pairs.
+  Where there are more, strays and members are dealt in blocks, and a task compares a block of each
+  by one product of their shingle incidence matrices and returns a spanning forest of their links, so
+  nothing is emitted for each pair however many strays there are.
 
 Components are the smallest doc_id reachable, by repeated minimum over links with pointer jumping.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing.
-Fewer words than a shingle make one shingle of the whole sequence. Repeated rows of one doc_id get a
-row each and one component. A null doc_id takes no part: it gets a null component and is kept.
-An empty table gives an empty result.
+Fewer words than a shingle make one shingle of the whole sequence. Every row gets a row; rows of one
+doc_id are one document, linked with what any of its texts is linked with. A null doc_id takes no part: it
+gets a null component and is kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,22 +40,22 @@ from pyspark.sql import functions as F
 from brontide.llm import wordhash as wh
 from brontide.llm.shared import written
 
-COORDS, LONGEST, MISS = 125, 5, 2e-6
-SMALL, BLOCK, BLOCK_SHINGLES = 24, 512, 1 << 21
+COORDS, MISS = 64, 2e-6
+STRAYS, BLOCK, BLOCK_SHINGLES = 24, 512, 1 << 21
 SHINGLE, OVER, UNDER = 3, 85, 100
 _FACTORS = np.random.default_rng(20240501).integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = np.arange(COORDS, dtype=np.uint64) << np.uint64(32)
 
 
-def spread(over: int, under: int) -> tuple[int, int]:
-    """The length of the runs, and the number of agreeing coordinates below which a pair is not compared, for a least similarity."""
+def least_matches(over: int, under: int) -> int:
+    """The number of agreeing coordinates that all but a share of MISS of the pairs at the least similarity reach."""
     s = over / under
-    runs = [r for r in range(1, LONGEST + 1) if (1 - s**r) ** (COORDS // r) <= MISS]
-    if not runs or s > 1:
-        raise ValueError(f"no runs of {COORDS} coordinates find pairs of a similarity of {s}")
     tail, matches = 0.0, 0
     while matches < COORDS and (tail := tail + math.comb(COORDS, matches) * s**matches * (1 - s) ** (COORDS - matches)) <= MISS:
         matches += 1
-    return max(runs), matches
+    if matches < 1 or s > 1:
+        raise ValueError(f"{COORDS} coordinates don't find pairs of a similarity of {s}")
+    return matches
 
 
 def shingle_sets(column: pa.Array, size: int):
@@ -66,33 +71,30 @@ def shingle_sets(column: pa.Array, size: int):
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """The upper halves of the least hash under each function."""
+    """A key for each coordinate: its number, then the upper half of the least hash under its function."""
     least = np.full(COORDS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     for a in range(0, len(own), 512):
         np.minimum(least, (own[a : a + 512, None] * _FACTORS).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return (least >> np.uint64(32) | _PLACE).view(np.int64)
 
 
-def _postings(sig: np.ndarray, length: int) -> np.ndarray:
-    runs = sig[:, : COORDS // length * length].reshape(-1, COORDS // length, length).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, COORDS // length + 1, dtype=np.uint64), runs.shape[:2])
-    for j in range(length):
-        key = wh.mix(key * wh._SEQ + runs[:, :, j])
-    return key.view(np.int64)
+def _digests(own: np.ndarray) -> tuple[int, int]:
+    if not len(own):
+        return 0, 0
+    return int(own.sum(dtype=np.uint64).view(np.int64)), int(wh.mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
 
 
-def _scan(size: int, length: int):
+def _scan(size: int):
     def run(batches):
         for batch in batches:
-            ns, d1, d2, keys = [], [], [], []
+            ns, digests, keys = [], [], []
             for own in shingle_sets(batch.column(1), size):
                 ns.append(len(own))
-                d1.append(int(own.sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
-                d2.append(int(wh.mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
+                digests.append(_digests(own))
                 keys.append(signature(own))
-            flat = _postings(np.array(keys), length).ravel() if keys else np.zeros(0, dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ns) + 1) * (COORDS // length), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], names=["doc_id", "n", "d1", "d2", "keys"])
+            flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ns) + 1) * COORDS, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), lists], names=["doc_id", "n", "d1", "d2", "keys"])
 
     return run
 
@@ -100,11 +102,11 @@ def _scan(size: int, length: int):
 def _sets(size: int):
     def run(batches):
         for batch in batches:
-            sets, sigs = [], []
+            sets, digests = [], []
             for own in shingle_sets(batch.column(1), size):
                 sets.append(own.tobytes())
-                sigs.append(signature(own).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], names=["rep", "own", "sig"])
+                digests.append(_digests(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), pa.array(sets, pa.binary())], names=["id", "d1", "d2", "own"])
 
     return run
 
@@ -125,14 +127,12 @@ def _confirm(over: int, under: int):
     return run
 
 
-def _alike(matches: int):
-    """Pairs whose signatures agree in enough coordinates."""
+def _retained(matches: int):
+    """Pairs whose signatures collide often enough."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDS) for k in (2, 3))
+            x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDS) for k in (2, 3))
             ok = (x == y).sum(axis=1) >= matches
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
@@ -161,12 +161,11 @@ def overlaps(sets: list[np.ndarray], half: int) -> np.ndarray:
 
 def _forest(over: int, under: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """Links that join components among one block or between two."""
+        """Links that join components between a block of strays and one of members."""
         reps, comps = table["rep"].to_pylist(), table["comp"].to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in table["own"].to_pylist()]
-        block = np.array(table["block"].to_pylist())
-        x = np.flatnonzero(block == key[1].as_py())
-        y = np.flatnonzero(block == key[2].as_py())
+        stray = np.array(table["stray"].to_pylist(), dtype=bool)
+        x, y = np.flatnonzero(stray), np.flatnonzero(~stray)
         parent = {c: c for c in comps}
 
         def root(c):
@@ -185,8 +184,7 @@ def _forest(over: int, under: int):
                 if a != b:
                     parent[max(a, b)] = min(a, b)
                     found.append((reps[x[i]], reps[y[j]]))
-        kind = table.schema.field("rep").type
-        return pa.table({"a": pa.array([a for a, _ in found], kind), "b": pa.array([b for _, b in found], kind)})
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
@@ -212,52 +210,73 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def prefix_lists(reps: DataFrame, matches: int) -> DataFrame:
+    """key, rep, n for the posting lists that are merged: for each class (rep, n, keys) that can reach ``matches`` the shortest of its lists."""
+    posted = reps.select("rep", F.explode("keys").alias("key"))
+    lengths = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    lists = posted.join(lengths, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("lists")).where(F.size("lists") >= matches)
+    lists = lists.select("rep", F.explode(F.slice("lists", F.lit(1), F.size("lists") - (matches - 1))).alias("l")).select("rep", "l.key")
+    return lists.join(reps.select("rep", "n"), "rep")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, over: int = OVER, under: int = UNDER) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each of docs (doc_id, text); links have under * both >= over * either."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    length, matches = spread(over, under)
-    scanned = docs.mapInArrow(_scan(size, length), f"doc_id {kind}, n long, d1 long, d2 long, keys array<long>")
+    matches = least_matches(over, under)
+    scanned = written(docs.mapInArrow(_scan(size), f"doc_id {kind}, n long, d1 long, d2 long, keys array<long>"))
     named = scanned.where("n > 0 and doc_id is not null")
-    reps = written(named.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "keys")).alias("x")).select(F.col("x.doc_id").alias("rep"), "n", "d1", "d2", F.col("x.keys").alias("keys")))
-    posted = reps.select("rep", "n", F.explode("keys").alias("key"))
-    heads = posted.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("c")).where("c > 1")
-    lists = written(posted.join(heads.select("key", "head"), "key"))
-    pairs = lists.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    members = lists.select(F.col("rep").alias("id")).distinct()
-    texts = docs.join(members, docs["doc_id"] == members["id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = written(texts.mapInArrow(_sets(size), f"rep {kind}, own binary, sig binary"))
-
-    def side(column: str, value: str, name: str) -> DataFrame:
-        return sets.select(F.col("rep").alias(column), F.col(value).alias(name))
-
-    def with_both(pairs: DataFrame, value: str) -> DataFrame:
-        return pairs.join(side("a", value, "x"), "a").join(side("b", value, "y"), "b").select("a", "b", "x", "y")
-
-    ends = f"a {kind}, b {kind}"
-    confirm = lambda pairs: with_both(pairs, "own").mapInArrow(_confirm(over, under), ends)
-    first = written(confirm(with_both(pairs, "sig").mapInArrow(_alike(matches), ends)))
+    classes = named.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "keys")).alias("x"))
+    reps = written(classes.select(F.monotonically_increasing_id().alias("rep"), F.col("x.doc_id").alias("id"), "n", "d1", "d2", F.col("x.keys").alias("keys")))
+    lists = written(prefix_lists(reps, matches))
+    ends = lists.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    met = lists.join(ends, "key").select("rep", F.explode(F.array("lo", "hi")).alias("end")).where("rep <> end")
+    pairs = met.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
+    members = lists.join(ends.select("key"), "key", "left_semi").select("rep").distinct()
+    wanted = written(reps.join(members, "rep", "left_semi").select("rep", "id", "d1", "d2", "keys"))
+    texts = docs.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = written(texts.mapInArrow(_sets(size), f"id {kind}, d1 long, d2 long, own binary").join(wanted.select("rep", "id", "d1", "d2"), ["id", "d1", "d2"]).select("rep", "own").dropDuplicates(["rep"]))
+
+    def with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+        side = lambda column, name: table.select(F.col("rep").alias(column), F.col(value).alias(name))
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b): those with collisions enough that are links."""
+        retained = with_both(pairs, wanted, "keys").mapInArrow(_retained(matches), "a long, b long")
+        return with_both(retained, sets, "own").mapInArrow(_confirm(over, under), "a long, b long")
+
+    first = written(linked(pairs))
     comps = components(first)
-    labelled = written(lists.join(comps, lists["rep"] == comps["node"], "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
-    open_lists = labelled.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    rest = written(labelled.join(open_lists, "key"))
-    short = rest.where(F.col("c") <= SMALL).select("key", "rep", "comp")
-    x, y = short.alias("x"), short.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    second = confirm(with_both(cross, "sig").mapInArrow(_alike(matches), ends))
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
+    labelled = written(lists.join(ends.select("key"), "key", "left_semi").join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
+    parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    opened = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("c"), F.sum("w").alias("w")).where(F.col("main.c") < F.col("c"))
+    opened = opened.select("key", F.col("main.comp").alias("main"), "c", "w", (F.col("c") - F.col("main.c")).alias("s"))
+    rest = written(labelled.join(opened, "key").withColumn("stray", F.col("comp") != F.col("main")))
+    few = rest.where(F.col("s") <= STRAYS)
+    x, y = few.where("stray").alias("x"), few.alias("y")
+    apart = (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.stray") | (F.col("x.rep") < F.col("y.rep")))
+    alike = under * F.least("x.n", "y.n") >= over * F.greatest("x.n", "y.n")
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & alike).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    second = linked(cross)
+    most = lambda rows: F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col("w") * F.col(rows) / F.col("c") / BLOCK_SHINGLES)).cast("int")
+    many = rest.where(F.col("s") > STRAYS).select("key", "rep", "comp", "stray", most("s").alias("ps"), most("c").alias("qs"))
+    spot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = (
-        rest.where(F.col("c") > SMALL)
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "rep", "comp", "block")
-        .join(sets.select("rep", "own"), "rep")
+        many.where("stray").select("key", spot("ps").alias("p"), every("qs").alias("q"), "rep", "comp", "stray")
+        .unionByName(many.select("key", every("ps").alias("p"), spot("qs").alias("q"), "rep", "comp", F.lit(False).alias("stray")))
+        .join(sets, "rep")
     )
-    third = dealt.groupBy("key", "p", "q").applyInArrow(_forest(over, under), ends)
-    joined = components(first.unionByName(second).unionByName(third))
-    classes = named.select("doc_id", "n", "d1", "d2").join(reps.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).select("doc_id", "rep")
-    placed = classes.join(joined, classes["rep"] == joined["node"], "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id")).distinct()
+    third = dealt.groupBy("key", "p", "q").applyInArrow(_forest(over, under), "a long, b long")
+    # rows of one doc_id are one document, so the classes of its texts hang together
+    classed = written(named.select("doc_id", "n", "d1", "d2").join(reps.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).select("doc_id", "rep"))
+    several = classed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
+    fourth = classed.join(several, "doc_id").where("rep > a").select("a", F.col("rep").alias("b"))
+    joined = components(first.unionByName(second).unionByName(third).unionByName(fourth))
+    placed = reps.select("rep", "id").join(joined, F.col("rep") == F.col("node"), "left").select("rep", "id", F.coalesce("comp", "rep").alias("comp"))
+    least = placed.groupBy("comp").agg(F.min("id").alias("component_id"))
+    placed = classed.join(placed.join(least, "comp").select("rep", "component_id"), "rep").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return (
         scanned.select("doc_id", F.col("n").alias("n_shingles"))
         .join(placed, "doc_id", "left")

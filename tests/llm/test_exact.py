@@ -66,23 +66,25 @@ def test_empty_table(spark, tmp_path, name):
     assert len(got) == 0 and len(want) == 0
 
 
-def test_a_large_group_of_near_copies_is_linked_exactly(spark):
-    """More members than a block and than a short list: found by blocks, checked by brute force."""
+@pytest.mark.parametrize("strays", [0, 5, 1000])
+def test_a_large_group_of_near_copies_is_linked_exactly(spark, strays):
+    """Strays by pairs and by blocks, checked by brute force."""
     from brontide.llm import minhash
 
     rng = random.Random(8)
     base = [f"w{k}" for k in range(60)]
     texts = []
-    for _ in range(90):
+    for _ in range(120):
         own = list(base)
-        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 4))):
             own[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
         texts.append(" ".join(own))
-    small, minhash.BLOCK = minhash.BLOCK, 16
+    small = minhash.BLOCK, minhash.STRAYS
+    minhash.BLOCK, minhash.STRAYS = 16, strays
     try:
         got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, texts)).collect()}
     finally:
-        minhash.BLOCK = small
+        minhash.BLOCK, minhash.STRAYS = small
     sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
     parent = list(range(len(texts)))
 

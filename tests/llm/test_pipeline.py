@@ -1,3 +1,4 @@
+import math
 import random
 
 import corpus_pipeline
@@ -54,11 +55,11 @@ def test_near_stage_drops_copies_with_a_passage_added_cut_or_replaced(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == {0, 4}
 
 
-def test_signatures_are_read_by_the_least_similarity():
-    assert minhash.spread(85, 100) == (5, 86) and minhash.spread(80, 100) == (4, 78)
-    for over in range(20, 100, 5):
-        length, matches = minhash.spread(over, 100)
-        assert (1 - (over / 100) ** length) ** (minhash.COORDS // length) <= minhash.MISS and matches < over / 100 * minhash.COORDS
+def test_the_match_threshold_follows_the_least_similarity():
+    assert minhash.least_matches(85, 100) == 39 and minhash.least_matches(80, 100) == 35
+    for over in range(30, 100, 5):
+        s, m = over / 100, minhash.least_matches(over, 100)
+        assert sum(math.comb(minhash.COORDS, k) * s**k * (1 - s) ** (minhash.COORDS - k) for k in range(m)) <= minhash.MISS
 
 
 def test_line_stage_keeps_what_is_left_of_short_lines(spark):

@@ -58,3 +58,26 @@ def test_lines_of_repeated_and_null_ids(spark, seed):
     gone = {(r, k) for r, k, w in places if any((a, b) < (r, k) and (w == v or max(len(w), len(v)) >= 5 and one_edit(v, w)) for a, b, v in places)}
     want = Counter((d, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (rank[d, t], k) not in gone)) for d, t in rows)
     assert Counter((r["doc_id"], r["text"]) for r in linededup.dedup_lines(df).collect()) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies_of_repeated_and_null_ids(spark, seed):
+    """A row each; documents hang together by the links of all their texts."""
+    rng = random.Random(seed)
+    base = [line(rng, 60, 500) for _ in range(8)]
+    rows = [(2, "a b c d"), (1, "a b c d"), (2, "e f g h"), (3, "e f g h"), (2, "")]
+    for _ in range(50):
+        words = rng.choice(base).split()
+        for _ in range(rng.choice((0, 1, 2, 3))):
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((rng.choice((None, *range(10, 50))), " ".join(words)))
+    rows.append(rows[-1])
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for _, t in rows]
+    comp = {d: d for d, _ in rows if d is not None}
+    for _ in rows:
+        for (a, _), x in zip(rows, sets, strict=True):
+            for (b, _), y in zip(rows, sets, strict=True):
+                if a is not None and b is not None and x and y and 100 * len(x & y) >= 85 * len(x | y):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    got = Counter(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == Counter((d, len(s), comp.get(d), d is None or comp[d] == d) for (d, _), s in zip(rows, sets, strict=True))
