@@ -47,8 +47,8 @@ def test_lines_of_repeated_and_null_ids(spark, seed):
         rows.append((rng.choice((None, 1, 2, 3, *range(4, 60))), "\n".join(own)))
     rows += [rows[0], rows[1], (None, None), (7, "")]
     df = spark.createDataFrame(rows, SCHEMA)
-    named = {(r["doc_id"], r["text"]): (r["a"], r["b"]) for r in df.selectExpr("*", "xxhash64(text) a", "xxhash64(1, text) b").collect()}
-    rank = {key: k for k, key in enumerate(sorted(named, key=lambda x: (x[0] is not None, x[0] or 0, *named[x])))}
+    named = {(r["doc_id"], r["text"]): r["t"] for r in df.selectExpr("*", "xxhash64(text) t").collect()}
+    rank = {key: k for k, key in enumerate(sorted(named, key=lambda x: (x[0] is not None, x[0] or 0, named[x])))}
     places = []
     for (d, t), r in rank.items():
         for k, x in enumerate((t or "").split("\n")):
@@ -81,3 +81,24 @@ def test_near_copies_of_repeated_and_null_ids(spark, seed):
                     comp[a] = comp[b] = min(comp[a], comp[b])
     got = Counter(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == Counter((d, len(s), comp.get(d), d is None or comp[d] == d) for (d, _), s in zip(rows, sets, strict=True))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_of_repeated_and_null_ids(spark, seed):
+    rng = random.Random(seed)
+    base = [line(rng, n, 3000) for n in (36, 40, 50, 80)] + ["na " * 60, "ab cd " * 40, "a b c " * 30]
+    rows = [(None, line(rng, 60, 3000)), (None, line(rng, 60, 3000)), (None, line(rng, 37, 3000)), (-1, line(rng, 37, 3000)), (-1, base[0])]
+    for _ in range(40):
+        parts = [rng.choice(base) if rng.random() < 0.3 else line(rng, rng.choice((3, 20, 60)), 3000) for _ in range(3)]
+        rows.append((rng.choice((None, -1, 1, 2, 3)), " ".join(parts)))
+    rows += [rows[0], rows[7], (None, None), (5, "")]
+    windows = Counter()
+    for _, t in rows:
+        w = (t or "").split()
+        windows.update(tuple(w[k : k + 35]) for k in range(len(w) - 34))
+    want = Counter()
+    for d, t in rows:
+        w = (t or "").split()
+        gone = {j for k in range(len(w) - 34) if windows[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        want[d, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in substrings.dedup_substrings(spark.createDataFrame(rows, SCHEMA)).collect()) == want
