@@ -187,22 +187,67 @@ def test_audio_query(spark, tmp_path):
 
 def test_grammar():
     s = toxicity.Scorer()
-    names = lambda x: {f: n for f, n in zip(toxicity.FEATURES, s.clause(x), strict=True) if n}
+    names = lambda x: {f: n for f, n in zip(toxicity.FEATURES, s.clause(x)[1], strict=True) if n}
     assert names("ooIo") == {"insult": 1}
     assert names("YoI") == {"aimed": 1} and names("IoY") == {"aimed": 1}
     assert names("NoI") == {"denied": 1} and names("NooooooI") == {"insult": 1}
-    assert names("RoooooooooI") == {"quoted": 1}
+    assert names("RoooooooooI") == {"quoted": 1} and names("IooI") == {"insult": 2, "more": 1}
     assert names("ToY") == {"threat": 1} and names("To") == {} and names("NToY") == {"threat_denied": 1}
-
-
-def test_long_clauses_count_as_a_whole():
-    lexicon, scorer = toxicity.Lexicon(np.zeros(0, np.uint64)), toxicity.Scorer()
+    assert names("YooooooooooooT") == {"threat": 1} and names("NYooooYoooI") == {"aimed": 1}
+    assert s.clause("ooIoY") == (s.weight["aimed"], s.clause("IooY")[1])
+
+
+def plainly(marks, weight):
+    """The patterns of a clause found by looking around each mark, with its best way of reading them."""
+    n = dict.fromkeys(toxicity.FEATURES, 0)
+    total, before = 0.0, 0
+    for k, m in enumerate(marks):
+        if m not in "IT":
+            continue
+        ahead = "Y" in marks[k + 1 : k + 2 + toxicity.SPAN]
+        reach = lambda c: c in marks[:k] and marks[marks.rindex(c, 0, k) : k].count("o") < toxicity.SPAN  # noqa: B023, E731
+        if "R" in marks[:k] and not (reach("N")):
+            f = "quoted" if m == "I" else "threat_quoted"
+        elif reach("N"):
+            f = "denied" if m == "I" else "threat_denied"
+        elif m == "I":
+            f = "aimed" if reach("Y") or ahead and weight["aimed"] > weight["insult"] else "insult"
+        else:
+            f = "threat" if "Y" in marks[:k] or ahead and weight["threat"] > 0 else None
+        found = [f] if f else []
+        if f in ("aimed", "insult"):
+            found += ["more"] if before else []
+            before += 1
+        for f in found:
+            n[f] += 1
+            total += weight[f]
+    return total, tuple(n.values())
+
+
+def test_best_paths_match_a_plain_search():
+    rng = random.Random(12)
+    lexicon = toxicity.Lexicon([])
     word = dict(zip("oITYNR", "plain stupid kill you not said".split(), strict=True))
-    cases = [a + "o" * n + b for a in ("Y", "N", "R", "YN", "RY", "NYYYYYYYYYY", "oooooooY") for n in range(21) for b in ("T", "I", "ToI", "TooooooooooY", "IoooooY")]
-    got = toxicity.count_patterns(pa.array([" ".join(word[s] for s in c) for c in cases]), lexicon, scorer)
-    want = np.array([toxicity.Scorer().clause(c) for c in cases])
-    assert (got == want).all(), [c for c, g, w in zip(cases, got, want, strict=True) if (g != w).any()]
-    assert got[cases.index("Y" + "o" * 20 + "T"), toxicity.FEATURES.index("threat")] == 1
+    for weights in (toxicity.PRIOR, np.array([2.0, 1.0, 0.3, 0.3, -0.5, -1.0, 0.2, 0.3, 2.0])):
+        scorer = toxicity.Scorer(weights)
+        cases = ["".join(rng.choices("oITYNR", (rng.choice((3, 30)), 2, 2, 1, 1, 1), k=rng.randint(1, 60))) for _ in range(3000)]
+        cases += [a + "o" * n + b for a in ("Y", "N", "R", "YN", "RY", "NYYYYYYYYYY", "oooooooY") for n in range(21) for b in ("T", "I", "ToI", "TooooooooooY", "IoooooY")]
+        for c in cases:
+            want, got, cut = plainly(c, scorer.weight), scorer.best(c), scorer.clause(c)
+            assert got[1] == want[1] and abs(got[0] - want[0]) < 1e-9 and got[1] == cut[1] and abs(got[0] - cut[0]) < 1e-9, c
+        counts, top = toxicity.count_patterns(pa.array([" ".join(word[s] for s in c) for c in cases]), lexicon, toxicity.Scorer(weights))
+        assert (counts == np.array([scorer.best(c)[1] for c in cases])).all()
+        assert np.allclose(top, [max(0, scorer.best(c)[0]) if "I" in c or "T" in c else 0 for c in cases])
+
+
+def test_stems_and_words():
+    lexicon = toxicity.Lexicon(["lowei*", "chllan", "vejuté*"])
+    text = "LOWEIHR loweia lowei lowe chllan chllanu vejutéx vejut killing don't you".encode()
+    flat = toxicity.wh.LOWER[np.frombuffer(text, np.uint8)]
+    starts, ends, _ = toxicity.wh.word_spans(flat, np.array([0, len(flat)]), toxicity._WORD)
+    marks = lexicon.of(flat, starts, ends).tolist()
+    i, o = toxicity.INS, toxicity.PLAIN
+    assert marks == [i, i, i, o, i, o, i, o, toxicity.THR, toxicity.NEG, toxicity.TGT]
 
 
 def test_toxicity(spark):
@@ -212,7 +257,7 @@ def test_toxicity(spark):
         words = [f"w{rng.randrange(300)}" for _ in range(60)]
         toxic = k % 6 == 0
         for _ in range(4 if toxic else 0):
-            words[rng.randrange(60)] = rng.choice(("grobnik", "stupid", "flarp"))
+            words[rng.randrange(60)] = rng.choice(("grobnik", "stupid", "flarp" + rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("abcdefghij")))
         rows.append((k, " ".join(words)))
         marks.append((k, 1, int(toxic)))
     rows += [(None, "stupid"), (700, None), (701, ""), (5, rows[5][1]), (702, "you are " * 30000 + "stupid")]
