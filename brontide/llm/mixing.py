@@ -1,13 +1,13 @@
 """Operator 6 - mixing to target weights with soft membership.
 
 A classifier fitted on the labelled table gives every document a posterior over the domains; its tokens
-count for each domain by that share. Nonnegative document rates are fitted so that the expected tokens
-of every domain meet the targets: minimise the sum over domains of (mass - target)^2 / target by
-accelerated projected gradient from rates of one. The gradient is scaled by the document's tokens, so
-the rate depends on the posterior alone: it is fitted for bins of like posteriors, each with the sum of its
-tokens and their exact mean posterior, so the masses that the iterations see are those of the documents.
-Bins are a hundredth wide, and ten and a hundred times finer under 0.01 and 0.001, where rare domains lie. Each step sums the masses on the executors and brings one number
-a domain back.
+count for each domain by that share. Nonnegative document rates w are fitted so that the expected tokens
+A w of every domain meet the targets t: minimise (A w - t)' inv(G) (A w - t), G being the sum of tokens p p' over
+the documents, by accelerated projected gradient from rates of one. With rates weighed by tokens a gradient step of
+length one is the projection on A w = t, so few steps are needed. Each step is one pass over the documents' own
+posteriors: the executors apply the steps so far to every document, sum the masses and bring one number a
+domain back. The steps end when all targets are met to ``CLOSE`` or the rates no longer change, as for targets that
+no rates meet; what then is missing stands in ``target_error``.
 
 The labelled table: doc_id, quality, toxic. Domains: ``toxic`` where toxic is 1, else ``good`` or
 ``poor`` by quality. A hash of doc_id picks about ``SAMPLE`` labelled rows to fit on.
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from brontide.llm import wordhash as wh
 from brontide.llm.shared import keyed, whole_rows, written
@@ -32,7 +33,9 @@ from brontide.llm.shared import keyed, whole_rows, written
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.85, "poor": 0.13, "toxic": 0.02}
 SAMPLE, DIMS, SHAPES = 4000, 4096, 7
-ITERATIONS, CLOSE = 80, 1e-3
+ITERATIONS, CLOSE, STILL = 60, 1e-3, 1e-4
+#: Rows whose dense features are held at once.
+ROWS = 256
 
 
 def features(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +86,7 @@ class Classifier:
 def _sparse(batches):
     for batch in batches:
         at, value = [], []
-        for _, flat, offs in wh.slices(batch.column(1)):
+        for _, flat, offs in wh.slices(batch.column(1), rows=ROWS):
             x, _ = features(flat, offs)
             for row in x:
                 own = np.flatnonzero(row)
@@ -108,17 +111,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return model.fit(x, np.array([row["domain"] for row in rows]))
 
 
-def bin_of(p: np.ndarray) -> np.ndarray:
-    """The number of the bin of each of the posteriors (N, K)."""
-    step = np.where(p < 0.001, 1e-4, np.where(p < 0.01, 1e-3, 1e-2))
-    return np.rint(np.rint(p / step) * step * 10_000).astype(np.int64) @ 10_001 ** np.arange(p.shape[1], dtype=np.int64)
-
-
 def _soft(model):
     def run(batches):
         for batch in batches:
             tokens, parts = [], []
-            for _, flat, offs in wh.slices(batch.column(1)):
+            for _, flat, offs in wh.slices(batch.column(1), rows=ROWS):
                 x, n = features(flat, offs)
                 tokens.append(n)
                 parts.append(model.value.posteriors(x))
@@ -126,7 +123,7 @@ def _soft(model):
             p = p.astype(np.float64)
             p /= p.sum(axis=1, keepdims=True)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * len(DOMAINS), pa.int32()), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(tokens) if tokens else [], pa.int64()), lists, pa.array(bin_of(p), pa.int64())], names=["doc_id", "n_tokens", "posteriors", "bin"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(tokens) if tokens else [], pa.int64()), lists], names=["doc_id", "n_tokens", "posteriors"])
 
     return run
 
@@ -141,76 +138,80 @@ def rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndar
     return w, ahead
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(DOMAINS))
+
+
 def _masses(steps):
+    """Sums over documents: tokens by domain at the rates after the steps, the same at the point ahead, and the last step's squared change."""
+
     def run(batches):
-        total = np.zeros((2, len(DOMAINS)))
+        total, change = np.zeros((2, len(DOMAINS))), 0.0
         for batch in batches:
-            p = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(-1, len(DOMAINS))
-            total += np.stack([(np.array(batch.column(1), dtype=np.float64) * w) @ p for w in rates(p, steps)])
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(DOMAINS)), pa.int32()), pa.array(total[0]), pa.array(total[1])], names=["domain", "mass", "ahead"])
+            p, tokens = _matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            w, ahead = rates(p, steps)
+            total += np.stack([(tokens * x) @ p for x in (w, ahead)])
+            change += float(tokens @ (w - rates(p, steps[:-1])[0]) ** 2) if steps else 0.0
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(DOMAINS)), pa.int32()), pa.array(total[0]), pa.array(total[1]), pa.array([change] + [0.0] * (len(DOMAINS) - 1))], names=["domain", "mass", "ahead", "change"])
 
     return run
 
 
-def fit_rates(bins: DataFrame, targets: dict[str, float], iterations: int = ITERATIONS, close: float = CLOSE) -> list[tuple[np.ndarray, float]]:
-    """The steps of accelerated projected gradient descent, begun anew where the error grows. bins: posteriors (means over tokens), tokens."""
+def fit_rates(soft: DataFrame, targets: dict[str, float], iterations: int = ITERATIONS, close: float = CLOSE) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """The steps of accelerated projected gradient descent, begun anew where the error grows, over the documents soft (posteriors,
+    n_tokens), and the largest miss of a domain as a share of all tokens."""
 
     def masses(steps):
-        rows = bins.select("posteriors", "tokens").mapInArrow(_masses(steps), "domain int, mass double, ahead double").groupBy("domain").agg(F.sum("mass").alias("mass"), F.sum("ahead").alias("ahead")).collect()
+        rows = soft.select("posteriors", "n_tokens").mapInArrow(_masses(steps), "domain int, mass double, ahead double, change double").groupBy("domain").agg(*[F.sum(c).alias(c) for c in ("mass", "ahead", "change")]).collect()
         out = np.zeros((2, len(DOMAINS)))
         for r in rows:
             out[:, r["domain"]] = r["mass"], r["ahead"]
-        return out
+        return *out, sum(r["change"] for r in rows)
 
-    now, ahead = masses([])
+    now, ahead, _ = masses([])
     total = now.sum()
     aim = np.array([targets.get(d, 0.0) if m > 0 else 0.0 for d, m in zip(DOMAINS, now, strict=True)])
     if total <= 0 or aim.sum() <= 0:
-        return []
+        return [], 0.0
     want = aim / aim.sum() * total
-    least = np.where(want > 0, want, total / 100)  # a domain to be left out is pushed to zero on this scale
-    scale = np.sqrt(least)
-    # the curvature in the metric of tokens: the sum of tokens p p', over both scales
-    gram = bins.select(*[F.sum(F.col("tokens") * F.col("posteriors")[k] * F.col("posteriors")[j]).alias(f"g{k}{j}") for k in range(len(DOMAINS)) for j in range(len(DOMAINS))]).first()
-    curve = np.array([[gram[f"g{k}{j}"] / (scale[k] * scale[j]) for j in range(len(DOMAINS))] for k in range(len(DOMAINS))])
-    rate = 1.0 / np.linalg.eigvalsh(curve).max()
+    both = [(k, j) for k in range(len(DOMAINS)) for j in range(len(DOMAINS))]
+    gram = soft.select(*[F.sum(F.col("n_tokens") * F.col("posteriors")[k] * F.col("posteriors")[j]).alias(f"g{k}{j}") for k, j in both]).first()
+    inverse = np.linalg.pinv(np.array([gram[f"g{k}{j}"] for k, j in both]).reshape(len(DOMAINS), -1), rcond=1e-9, hermitian=True)
     steps: list[tuple[np.ndarray, float]] = []
     pace, last = 1.0, np.inf
-    for _ in range(iterations):
-        error = np.abs((now - want) / least).max()
-        if error < close:
+    while True:
+        miss = now - want
+        # a domain whose target is zero is held to a hundredth of the whole
+        if len(steps) == iterations or np.abs(miss / np.where(want > 0, want, total / 100)).max() < close:
             break
+        error = miss @ inverse @ miss
         if error > last:
             pace = 1.0
         last, faster = error, (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-        steps.append((rate * (ahead - want) / scale / scale, (pace - 1) / faster))
+        steps.append((inverse @ (ahead - want), (pace - 1) / faster))
         pace = faster
-        now, ahead = masses(steps)
-    return steps
+        now, ahead, change = masses(steps)
+        if np.sqrt(change / total) < STILL:
+            break
+    return steps, float(np.abs(now - want).max() / total)
 
 
 def _rated(steps):
     def run(batches):
         for batch in batches:
-            p = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(-1, len(DOMAINS))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rates(p, steps)[0])], names=["bin", "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(_matrix(batch.column(2)), steps)[0])], names=[*batch.schema.names, "rate"])
 
     return run
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = SAMPLE) -> DataFrame:
-    """docs' columns as one struct ``row``, n_tokens, posteriors (in the order of DOMAINS) and rate, a row for each document."""
+    """docs' columns as one struct ``row``, n_tokens, posteriors (in the order of DOMAINS), rate and target_error, a row for each document."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit_classifier(docs, labels, sample))
     kept = whole_rows(docs)
-    soft = written(kept.mapInArrow(_soft(model), keyed(kept, "n_tokens long, posteriors array<double>, bin long")).withColumnRenamed("doc_id", "row"))
-    part = lambda k: F.col("posteriors")[k]
-    mean = lambda k: F.coalesce(F.try_divide(F.sum(F.col("n_tokens") * part(k)), F.sum("n_tokens")), F.avg(part(k)))
-    bins = written(soft.groupBy("bin").agg(F.array(*map(mean, range(len(DOMAINS)))).alias("posteriors"), F.sum("n_tokens").cast("double").alias("tokens")))
-    steps = fit_rates(bins, targets or TARGETS)
-    rated = bins.select("posteriors", "bin").mapInArrow(_rated(steps), "bin long, rate double")
-    # the grid of bins is fixed, so there are at most some thirty thousand of them whatever the corpus
-    return soft.join(F.broadcast(rated), "bin").select("row", "n_tokens", "posteriors", "rate")
+    soft = written(kept.mapInArrow(_soft(model), keyed(kept, "n_tokens long, posteriors array<double>")).withColumnRenamed("doc_id", "row"))
+    steps, error = fit_rates(soft, targets or TARGETS)
+    return soft.mapInArrow(_rated(steps), StructType([*soft.schema.fields, StructField("rate", DoubleType())])).withColumn("target_error", F.lit(error))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
@@ -218,4 +219,4 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = mix(docs.select("doc_id", "text"), labels)
     best = F.array_position("posteriors", F.array_max("posteriors"))
-    return out.select("row.doc_id", "n_tokens", F.element_at(F.array(*map(F.lit, DOMAINS)), best.cast("int")).alias("domain"), *[F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate")
+    return out.select("row.doc_id", "n_tokens", F.element_at(F.array(*map(F.lit, DOMAINS)), best.cast("int")).alias("domain"), *[F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "target_error")

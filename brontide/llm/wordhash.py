@@ -59,13 +59,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES):
-    """(first row, bytes, offsets) of successive runs of rows of about ``most`` bytes; a longer text is a run of its own."""
+def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 30):
+    """(first row, bytes, offsets) of successive runs of at most ``rows`` rows of about ``most`` bytes; a longer text is a run of its own."""
     flat, offs = text_bytes(column)
     first, n = 0, len(offs) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offs, offs[first] + most, side="right")) - 1)
-        last = min(last, n)
+        last = min(last, n, first + rows)
         yield first, flat[offs[first] : offs[last]], offs[first : last + 1] - offs[first]
         first = last
 
