@@ -1,10 +1,14 @@
 """Operator 1 - language identification by a bidirectional gated recurrent network over bytes.
 
-Every whole text is cut into runs of ``STEPS`` bytes; both directions of the network read each run,
-every position gets a distribution over the languages from the two states there, and a document's
-score is the mean over its letter positions, in all runs. The network is trained in numpy by
-backpropagation through time, on a bounded sample of the labelled rows (``SAMPLE_DOCS`` in all, as many
-of each language as there are, chosen by a hash of doc_id), and goes to the tasks as a few kilobytes.
+Every whole text is read in runs of ``STEPS`` bytes, which overlap: both directions of the network read each run,
+every position gets a distribution over the languages from the two states there, and the positions in the
+middle of a run count, ``CONTEXT`` bytes or more from its ends, each letter of the text once. So no word is
+judged by a part of it only for lying at an edge. A document's score is the mean over its letter positions, in all runs.
+
+The network is trained in numpy by backpropagation through time, on a bounded sample of the labelled rows
+(``SAMPLE_DOCS`` in all, as many of each language as there are, chosen by a hash of doc_id). The sample stays on the
+executors; of each of its texts ``SAMPLE_RUNS`` runs, drawn from all over the text, come to the driver. The network
+goes to the tasks as a few kilobytes.
 
 Edge cases: a null text, or one without letters, is ``und`` with score 0. Equal scores go to the first
 language in name order. With no usable label every text is ``und``. A null doc_id is held out only if
@@ -13,21 +17,24 @@ its remainder is 2, which null is not. Repeated rows and extra columns don't mat
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brontide.llm import wordhash as wh
 from brontide.llm.shared import keyed
 
-STEPS, UNITS = 48, 8
+STEPS, CONTEXT, UNITS = 64, 8, 8
 SAMPLE_DOCS, SAMPLE_RUNS = 2400, 12
-LANGUAGES = 256
 _BLOCK = 2048
 _EPOCHS_RUNS, _BATCH, _RATE = 330, 192, 0.02
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+_MIDDLE = np.zeros((STEPS, 1), dtype=np.float32)
+_MIDDLE[CONTEXT : STEPS - CONTEXT] = 1
 
 
 class Network:
@@ -137,7 +144,7 @@ def train(runs: np.ndarray, target: np.ndarray, classes: int, steps: int = _EPOC
     for k in range(1, steps + 1):
         pick = np.concatenate([o[rng.integers(0, len(o), max(1, _BATCH // classes))] for o in own])
         codes = np.ascontiguousarray(runs[pick].T)
-        grads = net.gradients(codes, _LETTER[codes].astype(np.float32), target[pick], np.float32(1))
+        grads = net.gradients(codes, _LETTER[codes] * _MIDDLE, target[pick], np.float32(1))
         rate = _RATE * min(1, k / 20) * (1 - 0.9 * k / steps)
         for p, g, (m, v) in zip(net.params(), grads, moments, strict=True):
             g = np.clip(g, -1, 1)
@@ -147,28 +154,41 @@ def train(runs: np.ndarray, target: np.ndarray, classes: int, steps: int = _EPOC
     return net
 
 
-def _runs(flat: np.ndarray, offs: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """All runs (N, steps) of a slice's texts, padded by byte 0, and the text of each."""
-    size = np.diff(offs)
-    count = -(-size // steps)
+def _runs(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All runs (N, STEPS) of a slice's texts, whose middles tile the texts, padded by byte 0, and the text of each."""
+    size, stride = np.diff(offs), STEPS - 2 * CONTEXT
+    count = -(-size // stride)
     doc = np.repeat(np.arange(len(size)), count)
     k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    at = (offs[:-1][doc] + k * steps)[:, None] + np.arange(steps)[None, :]
-    inside = at < offs[1:][doc][:, None]
-    return np.where(inside, np.append(flat, 0)[np.minimum(at, len(flat))], 0).astype(np.uint8), doc
-
-
-def sample(docs: DataFrame, rows: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> list[tuple[str, str]]:
-    """(lang, text) of about ``rows`` labelled rows outside the held-out quarter, evenly over the languages."""
+    at = (offs[:-1][doc] + k * stride - CONTEXT)[:, None] + np.arange(STEPS)[None, :]
+    inside = (at < offs[1:][doc][:, None]) & (at >= offs[:-1][doc][:, None])
+    return np.where(inside, np.append(flat, 0)[np.where(inside, at, len(flat))], 0).astype(np.uint8), doc
+
+
+def _drawn(batches):
+    """lang and a run, for up to SAMPLE_RUNS runs of each text."""
+    for batch in batches:
+        langs, out = [], []
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            flat = np.frombuffer(text.encode(), dtype=np.uint8)
+            runs, _ = _runs(flat, np.array([0, len(flat)]))
+            rng = np.random.default_rng(zlib.crc32(flat.tobytes()))
+            for run in runs[rng.permutation(len(runs))[:SAMPLE_RUNS]]:
+                if _LETTER[run[CONTEXT : STEPS - CONTEXT]].any():
+                    langs.append(lang)
+                    out.append(run.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "run"])
+
+
+def sample(docs: DataFrame, rows: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
+    """(lang, run) of about ``rows`` labelled rows outside the held-out quarter, evenly over the languages."""
     seen = docs.where("lang is not null and text is not null").where(~held_out())
-    counts = seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
-        return []
-    each = max(1, rows // len(counts))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["count"]))])
+    counts = seen.groupBy("lang").agg(F.count("*").alias("n"))
+    # the number of languages is that of the labels in use, which the corpus' size doesn't change
+    share = F.broadcast(counts.select("lang", F.least(F.lit(1.0), F.greatest(F.lit(1.0), rows / F.count("*").over(Window.partitionBy())) / F.col("n")).alias("share")))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = seen.where(draw <= share[F.col("lang")]).orderBy(F.xxhash64("doc_id", "lang"), "text").limit(2 * rows)
-    return [(r["lang"], r["text"]) for r in picked.select("lang", "text").collect()]
+    picked = seen.join(share, "lang").where(draw <= F.col("share")).orderBy(F.xxhash64("doc_id", "lang"), "text").limit(2 * rows).select("lang", "text")
+    return [(r["lang"], r["run"]) for r in picked.mapInArrow(_drawn, "lang string, run binary").orderBy("lang", "run").collect()]
 
 
 def held_out():
@@ -176,23 +196,12 @@ def held_out():
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_DOCS) -> tuple[Network | None, list[str]]:
-    rng = np.random.default_rng(3)
-    parts, labels = [], []
-    rows_here = sample(docs.select("doc_id", "text", "lang"), rows)
-    names = sorted({lang for lang, _ in rows_here})
-    for lang, text in rows_here:
-        flat = np.frombuffer(text.encode(), dtype=np.uint8)
-        runs, _ = _runs(flat, np.array([0, len(flat)]), STEPS)
-        runs = runs[rng.permutation(len(runs))[:SAMPLE_RUNS]]
-        runs = runs[_LETTER[runs].any(axis=1)]
-        parts.append(runs)
-        labels += [names.index(lang)] * len(runs)
-    if not labels:
+    drawn = sample(docs.select("doc_id", "text", "lang"), rows)
+    names = sorted({lang for lang, _ in drawn})
+    if not names:
         return None, []
-    target = np.array(labels)
-    present = sorted(set(labels))
-    names = [names[c] for c in present]
-    return train(np.concatenate(parts), np.searchsorted(present, target), len(names)), names
+    number = {lang: k for k, lang in enumerate(names)}
+    return train(np.array([np.frombuffer(run, np.uint8) for _, run in drawn]), np.array([number[lang] for lang, _ in drawn]), len(names)), names
 
 
 def _predict(model):
@@ -210,10 +219,10 @@ def _predict(model):
                 plain[first : first + len(offs) - 1] = np.diff(sums[offs]) > 0
                 if net is None or not len(flat):
                     continue
-                runs, doc = _runs(flat, offs, STEPS)
+                runs, doc = _runs(flat, offs)
                 for a in range(0, len(runs), _BLOCK):
                     codes = np.ascontiguousarray(runs[a : a + _BLOCK].T)
-                    p = net.probabilities(codes, _LETTER[codes].astype(np.float32))
+                    p = net.probabilities(codes, _LETTER[codes] * _MIDDLE)
                     here = doc[a : a + _BLOCK]
                     at = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
                     np.add.at(total, first + here[at], np.add.reduceat(p.astype(np.float64), at, axis=1).T)

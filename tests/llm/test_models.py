@@ -108,6 +108,39 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_runs_count_each_byte_once():
+    texts = [b"", b"a", bytes(range(1, 200)) * 3, b"x" * 48, b"y" * 49]
+    offs = np.append(0, np.cumsum([len(t) for t in texts]))
+    runs, doc = langid._runs(np.frombuffer(b"".join(texts), np.uint8), offs)
+    middle = slice(langid.CONTEXT, langid.STEPS - langid.CONTEXT)
+    for k, t in enumerate(texts):
+        own = runs[doc == k]
+        assert own[:, middle].tobytes().rstrip(b"\0") == t
+        for a, b in itertools.pairwise(own):
+            assert (a[-2 * langid.CONTEXT :] == b[: 2 * langid.CONTEXT]).all()
+
+
+def test_scores_match_a_text_read_by_itself(spark):
+    """Pooled probabilities of whole texts against a plain loop over runs."""
+    rows = tongues(30, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net, names = langid.fit(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, (net, names)).collect()}
+    for d, text, _ in rows:
+        padded = bytes(langid.CONTEXT) + text.encode() + bytes(2 * langid.STEPS)
+        total, letters = np.zeros(len(names)), 0
+        for a in range(0, len(text.encode()), langid.STEPS - 2 * langid.CONTEXT):
+            run = np.frombuffer(padded[a : a + langid.STEPS], np.uint8)
+            z = net.logits(run[:, None])[:, :, 0]
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            for t in range(langid.CONTEXT, langid.STEPS - langid.CONTEXT):
+                if langid._LETTER[run[t]]:
+                    total += p[t]
+                    letters += 1
+        assert got[d][0] == names[int(total.argmax())] and abs(got[d][1] - total.max() / letters) < 1e-4
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
