@@ -237,7 +237,7 @@ def audio_columns(media: DataFrame) -> DataFrame:
     return media.mapInArrow(_parsed, keyed(media, _INFO))
 
 
-_DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_us long, n_frames long, tags string, frame_offsets string"
 
 
 def _digested(batches):
@@ -248,12 +248,15 @@ def _digested(batches):
             payload = payload_of(b, info)
             seek = zlib.crc32(np.array(info["offsets"], dtype="<i8").tobytes())
             feature = f"frames={len(info['offsets'])};samples={info['samples']};hertz={info['hertz']};bad_crc={info['bad_crc']};skipped={info['skipped']};vbr_frames={(info['vbr'] or {}).get('frames')};seek_crc32={seek:08x}"
-            rows.append((int(info["tags"]["bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(b), hashlib.sha256(b).hexdigest(), feature))
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            tags_here = ";".join(f"{k}={v}" for k, v in sorted(info["tags"].items()))
+            digests = int(info["tags"]["bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(b), hashlib.sha256(b).hexdigest(), feature
+            rows.append((*digests, info["samples"] * 1_000_000 // info["hertz"], len(info["offsets"]), tags_here, ",".join(map(str, info["offsets"]))))
+        kinds = [{"long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in _DIGEST.split(", ")]
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *(x.split()[0] for x in _DIGEST.split(", "))])
 
 
 def op3_mpeg_audio(spark, sf_dir: str) -> DataFrame:
+    """The payload's digests, read back from the stored streams, and what the parser tells of these: exact duration, tags and the offset of every frame."""
     media = to_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return media.mapInArrow(_digested, keyed(media, _DIGEST))

@@ -242,6 +242,8 @@ def test_audio_query(spark, tmp_path):
         raw = (t or "").encode()
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert (rows[k]["n_bytes"], rows[k]["payload_sha256"], rows[k]["tail_crc32"]) == (len(raw), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        info = mpeg.parse(mpeg.encode(t))
+        assert (rows[k]["duration_us"], rows[k]["frame_offsets"], rows[k]["tags"]) == (len(payload) * 1_000_000 // 16000, ",".join(map(str, info["offsets"])), f"bytes={len(raw)}")
     assert rows[2]["media_sha256"] == rows[3]["media_sha256"]
     assert mpeg.audio_columns(mpeg.to_media(docs_of(spark, texts))).where("n_frames = 0").count() == 0
 
