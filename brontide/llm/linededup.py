@@ -18,9 +18,10 @@ only at positions outside it. Exact copies are merged before. Texts are dealt by
 exchange serves the variants and the final removal.
 
 Edge cases: a null text stays null, an empty one empty, and an empty table gives an empty one. A row goes
-by its doc_id and 128 bits of its text's hash: rows equal in both are never earlier than each other and
+by its doc_id and a 64-bit hash of its text: rows equal in both are never earlier than each other and
 keep the same lines; rows of one doc_id with other texts are documents of their own, in the order of the
-hashes. A null doc_id is like any other, the first in order. Extra columns pass through, whatever their
+hashes (a million rows of one doc_id hold a clash once in thirty million tables). A null doc_id is like
+any other, the first in order. Extra columns pass through, whatever their
 names.
 """
 
@@ -172,10 +173,9 @@ def _verified(batches):
 
 def _whole_copies(docs: DataFrame) -> DataFrame:
     """The rows whose text has words and stands in an earlier row too."""
-    texts = docs.where(F.col("text").rlike(WORD)).select("row")
-    first = texts.groupBy("row.t1", "row.t2").agg(F.min("row").alias("o"), F.count("*").alias("c")).where("c > 1")
-    texts = texts.select("row", "row.t1", "row.t2")
-    return texts.join(first, ["t1", "t2"]).where(F.col("o") < F.col("row")).select("row")
+    texts = docs.where(F.col("text").rlike(WORD)).select("row", F.md5("text").alias("hash"))
+    first = texts.groupBy("hash").agg(F.min("row").alias("o"), F.count("*").alias("c")).where("c > 1")
+    return texts.join(first, "hash").where(F.col("o") < F.col("row")).select("row")
 
 
 def _dropped(docs: DataFrame, dealt: DataFrame, limits: tuple[int, int, int], whole_copies: bool) -> DataFrame:
@@ -195,18 +195,24 @@ def _dropped(docs: DataFrame, dealt: DataFrame, limits: tuple[int, int, int], wh
         .groupBy("row")
         .agg(F.collect_list(F.struct("line_no", "mask")).alias("wanted"))
     )
-    # the join reads all of dealt, so that its exchange is the one that the final join reads; the few lines it leaves are written
+    # the join reads all of dealt, so that its exchange is the one that the final join reads; the few lines it leaves are dealt again and read three times
     chosen = dealt.join(near, "row").select("row", "text", "rest", "wanted")
-    picked = written(chosen.mapInArrow(_pick, f"row {kind}, line_no int, mask int, line string").dropDuplicates(["row", "line_no"]))
+    picked = chosen.mapInArrow(_pick, f"row {kind}, line_no int, mask int, line string").dropDuplicates(["row", "line_no"])
     variants = picked.mapInArrow(_variants(limits[2]), f"row {kind}, line_no int, v1 long, v2 long, pos int")
+    # said once for all the joins below, so that they read one exchange
+    variants = variants.where("v1 is not null and v2 is not null and pos is not null")
+    # most variants are those of one line alone
+    met = variants.groupBy("v1").agg(F.count("*").alias("n")).where("n > 1").select("v1")
+    variants = variants.join(met, "v1", "left_semi")
     order = F.struct("row", "line_no")
     by_place = variants.groupBy("v1", "v2", "pos").agg(F.min(order).alias("m"))
     by_key = by_place.groupBy("v1", "v2").agg(F.min(F.when(F.col("pos") < 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.col("m"))).alias("part"))
     best = by_place.join(by_key, ["v1", "v2"]).select("v1", "v2", "pos", F.when(F.col("pos") < 0, F.col("part")).otherwise(_earlier(F.col("m"), F.col("whole"))).alias("best"))
     # a near copy's first place goes here, its other places go as copies of the first
     pairs = variants.join(best, ["v1", "v2", "pos"]).where(F.col("best") < order).groupBy("row", "line_no").agg(F.min("best").alias("best"))
-    earlier = picked.select(order.alias("best"), F.col("line").alias("y"))
-    late = pairs.join(picked.select("row", "line_no", F.col("line").alias("x")), ["row", "line_no"]).join(earlier, "best").select("row", "line_no", "x", "y").mapInArrow(_verified, f"row {kind}, line_no int")
+    # both joins by the columns that picked is dealt by
+    pairs = pairs.join(picked.select("row", "line_no", F.col("line").alias("x")), ["row", "line_no"]).select(F.struct("row", "line_no").alias("late"), "best.*", "x")
+    late = pairs.join(picked.select("row", "line_no", F.col("line").alias("y")), ["row", "line_no"]).select("late.*", "x", "y").mapInArrow(_verified, f"row {kind}, line_no int")
     again = distinct.where("c > 1").select("h1", "h2", "o")
     copies = lines.select("row", "line_no", "h1", "h2").join(again, ["h1", "h2"]).where(F.col("o") < order).select("row", "line_no")
     gone = copies.unionByName(late)
@@ -232,7 +238,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MI
     names = {c.lower() for c in docs.columns}
     fresh = lambda c: c if c not in names else fresh("_" + c)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.struct("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).alias("row")
+    # of the type that a written table has, so that joins need no cast, which would deal the texts twice
+    row = F.struct("doc_id", F.xxhash64("text").alias("t")).cast(f"struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()},t:bigint>").alias("row")
     dealt = docs.select(row, "text", (F.struct(*others) if others else F.lit(0)).alias("rest")).repartition("row")
     gone = _dropped(docs.select(row, "text"), dealt, (min_words, min_chars, near_words), whole_copies)
     gone = gone.select("row", F.col("lines").alias("gone_lines"), (F.col("whole") if whole_copies else F.lit(False)).alias("gone_whole"))
