@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,6 +22,12 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * 6371.0) * F.asin(F.sqrt(a))
 
 
+def km_between(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """The same of numbers."""
+    a = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * 6371.0 * math.asin(math.sqrt(a))
+
+
 def dewpoint_c(temp: Column, rh: Column) -> Column:
     """Magnus formula; humidity at least a thousandth of a percent. Null where the formula has no value (sentinels)."""
     g = F.log(F.greatest(rh, F.lit(1e-3)) / 100.0) + F.try_divide(17.62 * temp, 243.12 + temp)

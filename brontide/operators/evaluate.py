@@ -62,31 +62,43 @@ def mean_latency(results: DataFrame) -> DataFrame:
     return results.agg(F.round(F.avg(F.expr("try_cast(latency_ms as double)")), 2).alias("latency_ms_mean"))
 
 
-GRID = (0.97, 0.98, 0.985, 0.99, 0.995), (0.90, 0.93, 0.95, 0.97)
+#: Thresholds high and suspect, and limits of severity, to be tried.
+GRID = (0.97, 0.98, 0.985, 0.99, 0.995), (0.90, 0.93, 0.95, 0.97), ((3.0, 6.0, 10.0), (2.5, 5.0, 8.0), (3.5, 7.0, 12.0))
 
 
-def sweep(scores: DataFrame, highs: tuple = GRID[0], suspects: tuple = GRID[1]) -> DataFrame:
-    """scores (ml_score, label, is_storm) under every pair of thresholds with suspect < high, in one pass over the rows.
+def sweep(scores: DataFrame, highs: tuple = GRID[0], suspects: tuple = GRID[1], sigmas: tuple = GRID[2]) -> DataFrame:
+    """scores (ml_score, label, is_storm) under every combination of limits with suspect < high, in one pass over the rows.
 
-    The rows are summed up by score band before the pairs are joined, so the pass does not grow with their number.
+    The rows are summed up by score band and label before the combinations are joined, so the pass does not grow with their
+    number. Limits of severity change no flag; they are carried along.
     """
     cuts = sorted({*highs, *suspects})
     band = F.lit(0)
     for c in cuts:
         band = band + (F.col("ml_score") >= c).cast("int")
     faulty = F.col("label") != "NONE"
-    bands = scores.groupBy(band.alias("band")).agg(F.count_if(faulty).alias("faulty"), F.count_if(F.col("is_storm") & ~faulty).alias("storm"), F.count_if(~F.col("is_storm") & ~faulty).alias("clean"))
-    pairs = scores.sparkSession.createDataFrame([(h, s, cuts.index(h) + 1, cuts.index(s) + 1) for h in highs for s in suspects if s < h], "high double, suspect double, h int, s int")
-    hit, top = F.col("band") >= F.col("s"), F.col("band") >= F.col("h")
+    bands = scores.groupBy(band.alias("band")).agg(F.count_if(faulty).alias("faulty"), F.count_if(F.col("is_storm") & ~faulty).alias("storm"), F.count_if(~F.col("is_storm") & ~faulty).alias("clean"), *[F.count_if(F.col("label") == f).alias(f"n_{f}") for f in FAULTS])
+    pairs = scores.sparkSession.createDataFrame([(h, s, g, cuts.index(h) + 1, cuts.index(s) + 1) for h in highs for s in suspects if s < h for g in map(list, sigmas)], "high double, suspect double, sigma array<double>, h int, s int")
+    hit = F.col("band") >= F.col("s")
     n = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
-    # neighbours are taken to disagree exactly at faults, so clean and storm rows are never flagged
-    out = pairs.join(F.broadcast(bands), hit | ~hit).groupBy("high", "suspect").agg(n(hit, "faulty").alias("tp"), n(~hit, "faulty").alias("fn"), n(top, "faulty").alias("as_fault"))
-    out = out.withColumns({"precision": ratio(F.col("tp"), F.col("tp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "fp": F.lit(0).cast("long"), "storm_far": F.lit(0.0)})
-    p, r = F.col("precision"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
-    return out.withColumn("f1", ratio(2 * p * r, p + r))
+    # neighbours are taken to disagree exactly at faults, so clean and storm rows are never flagged: no row counts as fp or false alarm
+    out = pairs.join(F.broadcast(bands), hit | ~hit).groupBy("high", "suspect", "sigma").agg(n(hit, "faulty").alias("tp"), n(~hit, "faulty").alias("fn"), *[x for f in FAULTS for x in (n(hit, f"n_{f}").alias(f"hit_{f}"), n(F.lit(True), f"n_{f}").alias(f"all_{f}"))])
+    per_fault = F.map_from_entries(F.filter(F.array(*[F.when(F.col(f"all_{f}") > 0, F.struct(F.lit(f).alias("key"), F.round(F.col(f"hit_{f}") / F.col(f"all_{f}"), 4).alias("value"))) for f in FAULTS]), lambda x: x.isNotNull()))
+    out = out.withColumns({"precision": ratio(F.col("tp"), F.col("tp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "fp": F.lit(0).cast("long"), "storm_far": F.lit(0.0), "normal_far": F.lit(0.0), "per_fault_recall": per_fault})
+    p, r = F.try_divide(F.col("tp"), F.col("tp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
+    return out.withColumn("f1", ratio(2 * p * r, p + r)).drop(*[f"{k}_{f}" for f in FAULTS for k in ("hit", "all")])
 
 
 def best_pair(swept: DataFrame) -> DataFrame:
-    """The highest f1 among pairs with a storm rate up to 0.05, else up to 0.1, else all."""
+    """The highest f1 among combinations with a storm rate up to 0.05, else up to 0.1, else all."""
     tier = F.when(F.col("storm_far") <= 0.05, 0).when(F.col("storm_far") <= 0.1, 1).otherwise(2)
-    return swept.orderBy(tier, F.desc("f1"), "storm_far", "high", "suspect").limit(1)
+    return swept.orderBy(tier, F.desc("f1"), "storm_far", "high", "suspect", "sigma").limit(1)
+
+
+def scorecard_tiles(overall: DataFrame, latency: DataFrame) -> DataFrame:
+    """name, value, text: the overall rates as percentages and the mean check time, a dash where nothing was measured."""
+    named = "stack(3, 'False alarms during storms', false_alarm_rate_storm, 'False alarms, normal weather', false_alarm_rate_normal, 'Fault type named correctly', fault_type_accuracy) as (name, value)"
+    rates = overall.select(F.expr(named)).withColumn("text", F.format_string("%.1f%%", F.col("value") * 100))
+    time = latency.select(F.lit("Mean check time").alias("name"), F.col("latency_ms_mean").alias("value"), F.format_string("%.0f ms", "latency_ms_mean").alias("text"))
+    both = rates.unionByName(time)
+    return both.withColumn("text", F.when(F.col("value").isNotNull(), F.col("text")).otherwise("-"))

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from brontide.config import CONFIG, FEATURES, VARIABLES
 
 NODES = "variable string, tree int, node int, feature int, threshold double, left int, right int, size long, depth int"
-CALIBRATION = "variable string, score double"
-#: At most about so many calibration scores per variable.
-MOST_CALIBRATION = 50_000
+CALIBRATION = "variable string, score double, rows long"
+#: Scores are ranked to so many decimals, so that a calibration has no more than 10^5 distinct ones per variable whatever its rows.
+DIGITS = 5
 _EULER = 0.5772156649015329
 
 
@@ -100,7 +100,7 @@ class Forest:
         return 2.0 ** (-total / n / self.scale), part / n
 
 
-def score_forest(features: DataFrame, forest: Forest, calibration: dict[str, np.ndarray] | None = None, top: int = 3) -> DataFrame:
+def score_forest(features: DataFrame, forest: Forest, calibration: dict[str, tuple[np.ndarray, np.ndarray]] | None = None, top: int = 3) -> DataFrame:
     """station_id, ts, variable, raw, ml_score (percentile among the calibration, ties counted) and shap_top (labels and weights)."""
     shared = features.sparkSession.sparkContext.broadcast((forest, calibration or {}))
     kind = features.schema["ts"].dataType.simpleString()
@@ -117,8 +117,8 @@ def score_forest(features: DataFrame, forest: Forest, calibration: dict[str, np.
                 if len(own):
                     raw[own], part[own] = forest.walk(x[own], v)
                     k = known.get(v)
-                    if k is not None and len(k):
-                        rank[own] = np.searchsorted(k, raw[own], side="right") / len(k)
+                    if k is not None and len(k[0]):
+                        rank[own] = np.append(0, np.cumsum(k[1]))[np.searchsorted(k[0], np.round(raw[own], DIGITS), side="right")] / k[1].sum()
             best = np.argsort(-np.abs(part), axis=1, kind="stable")[:, :top]
             tops = [[{"label": FEATURES[j], "contribution": round(float(part[i, j]), 4)} for j in row] for i, row in enumerate(best)]
             yield pa.RecordBatch.from_arrays([batch["station_id"], batch["ts"], batch["variable"], pa.array(raw), pa.array(rank), pa.array(tops, pa.list_(pa.struct([("label", pa.string()), ("contribution", pa.float64())])))], names=["station_id", "ts", "variable", "raw", "ml_score", "shap_top"])
@@ -126,30 +126,52 @@ def score_forest(features: DataFrame, forest: Forest, calibration: dict[str, np.
     return features.select("station_id", "ts", "variable", *FEATURES).mapInArrow(run, f"station_id string, ts {kind}, variable string, raw double, ml_score double, shap_top array<struct<label:string,contribution:double>>")
 
 
-def calibrate(features: DataFrame, forest: Forest) -> dict[str, np.ndarray]:
-    """Sorted raw scores per variable, of a hash sample of about MOST_CALIBRATION rows each."""
-    n = features.count() / len(VARIABLES)
-    rows = features.where(F.pmod(F.xxhash64("ts", "station_id"), F.lit(1 << 30)) < int(min(1.0, MOST_CALIBRATION / max(1, n)) * (1 << 30)))
-    pdf = score_forest(rows, forest).select("variable", "raw").toPandas()
-    return {v: np.sort(g["raw"].to_numpy()) for v, g in pdf.groupby("variable")}
+def _by_variable(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    pdf = rows.toPandas().sort_values(["variable", "score"])
+    return {v: (g["score"].to_numpy(), g["rows"].to_numpy()) for v, g in pdf.groupby("variable")}
 
 
-def save_model(nodes: DataFrame, calibration: dict[str, np.ndarray], path: str) -> None:
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    rows = [(v, float(s)) for v, k in calibration.items() for s in k]
-    nodes.sparkSession.createDataFrame(rows, CALIBRATION).write.mode("overwrite").parquet(f"{path}/calibration")
+def calibrate(features: DataFrame, forest: Forest) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per variable the distinct scores of all rows, sorted, and the number of rows of each."""
+    scores = score_forest(features, forest).select("variable", F.col("raw").alias("score"))
+    rounded = scores.mapInArrow(_rounded, "variable string, score double")
+    return _by_variable(rounded.groupBy("variable", "score").agg(F.count("*").alias("rows")))
+
 
+def _rounded(batches):
+    """By numpy's rounding, as scoring does it."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(batch.column(1).to_numpy(zero_copy_only=False), DIGITS))], names=["variable", "score"])
 
-def load_model(spark, path: str) -> tuple[Forest, dict[str, np.ndarray]]:
-    pdf = spark.read.schema(CALIBRATION).parquet(f"{path}/calibration").toPandas()
-    return Forest(spark.read.schema(NODES).parquet(f"{path}/nodes")), {v: np.sort(g["score"].to_numpy()) for v, g in pdf.groupby("variable")}
+
+def save_model(nodes: DataFrame, calibration: dict[str, tuple[np.ndarray, np.ndarray]], path: str) -> None:
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    rows = [(v, float(s), int(n)) for v, k in calibration.items() for s, n in zip(*k, strict=True)]
+    nodes.sparkSession.createDataFrame(rows, CALIBRATION).write.mode("overwrite").parquet(f"{path}/calibration")
 
 
-def percentile_rank(scores: DataFrame, calibration: DataFrame) -> DataFrame:
-    """scores (variable, raw, ...) with ml_score: the share of the calibration (variable, score) that is not above raw."""
+def load_model(spark, path: str) -> tuple[Forest, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    return Forest(spark.read.schema(NODES).parquet(f"{path}/nodes")), _by_variable(spark.read.schema(CALIBRATION).parquet(f"{path}/calibration"))
+
+
+def percentile_rank(scores: DataFrame, calibration: DataFrame, buckets: int = 4096, side: str = "right") -> DataFrame:
+    """scores (variable, raw, ...) with ml_score: the share of the calibration (variable, score) that is not above raw, or
+    (side "left") below it.
+
+    Scores, mostly between 0 and 1, fall into buckets by size. Only the buckets' totals are summed up along a whole variable; within a
+    bucket the distinct scores are, so no task holds all of them.
+    """
+    bucket = lambda c: F.greatest(F.least(F.floor(F.col(c) * buckets), F.lit(buckets)), F.lit(-1))
+    steps = calibration.groupBy("variable", bucket("score").alias("bucket"), "score").agg(F.count("*").alias("k"))
+    totals = steps.groupBy("variable", "bucket").agg(F.sum("k").alias("k"))
+    below = F.sum("k").over(Window.partitionBy("variable").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    asked = scores.select("variable", F.col("raw").alias("score")).distinct().select("variable", bucket("score").alias("bucket"), "score", F.lit(0).cast("long").alias("k"), F.lit(True).alias("asked"))
+    both = asked.unionByName(steps.withColumn("asked", F.lit(False))).groupBy("variable", "bucket", "score").agg(F.sum("k").alias("k"), F.max("asked").alias("asked"))
+    upto = F.sum("k").over(Window.partitionBy("variable", "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = both.withColumn("upto", upto - (F.col("k") if side == "left" else F.lit(0))).where("asked").select("variable", "bucket", F.col("score").alias("raw"), "upto")
+    # every bucket asked for, also those without any calibration
+    sums = totals.unionByName(asked.select("variable", "bucket", "k")).groupBy("variable", "bucket").agg(F.sum("k").alias("k"))
+    base = sums.select("variable", "bucket", F.coalesce(below, F.lit(0)).alias("below"))
     total = calibration.groupBy("variable").agg(F.count("*").alias("total"))
-    steps = calibration.groupBy("variable", "score").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("variable").orderBy("score").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    both = scores.select("variable", F.col("raw").alias("score")).distinct().withColumn("k", F.lit(0).cast("long")).unionByName(steps)
-    rank = both.withColumn("upto", F.sum("k").over(w)).where("k = 0").select("variable", F.col("score").alias("raw"), "upto").distinct()
-    return scores.join(rank, ["variable", "raw"]).join(total, "variable").withColumn("ml_score", F.col("upto") / F.col("total")).drop("upto", "total")
+    rank = within.join(base, ["variable", "bucket"]).join(total, "variable").select("variable", "raw", ((F.col("below") + F.col("upto")) / F.col("total")).alias("ml_score"))
+    return scores.join(rank, ["variable", "raw"])

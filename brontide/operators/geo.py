@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from brontide.config import CONFIG
 from brontide.functions.scalars import haversine_km
+from brontide.sources.folders import written
 
 #: Kilometres of one degree of latitude at R = 6371.
 DEGREE = math.pi * 6371.0 / 180
 
 
-def neighbour_edges(stations: DataFrame, radius_km: float = CONFIG["radius_km"]) -> DataFrame:
-    """station_id, neighbour_id, distance_km (to 0.1 km, after the test), for all pairs within the radius.
+def neighbour_edges(stations: DataFrame, radius_km: float = CONFIG["radius_km"], digits: int | None = 1, seekers: DataFrame | None = None) -> DataFrame:
+    """station_id, neighbour_id, distance_km (to 0.1 km, after the test), for all pairs within the radius, or those of the seekers.
 
     Cells are bands of latitude one radius high, split by longitude in steps that span a radius at the band's
     latitude nearest the pole, wrapped at the date line; a pair within the radius lies in adjacent cells.
@@ -29,18 +30,38 @@ def neighbour_edges(stations: DataFrame, radius_km: float = CONFIG["radius_km"])
 
     s = stations.select("station_id", "lat", "lon", band.alias("band"))
     # a station is posted in its own cell; a seeker looks into the 3 x 3 cells around it, each band by its own width
-    seek = s.withColumn("b", F.explode(F.array(band - 1, band, band + 1)))
+    seek = (s if seekers is None else s.join(seekers.select("station_id"), "station_id", "left_semi")).withColumn("b", F.explode(F.array(band - 1, band, band + 1)))
     count = F.greatest(F.floor(360 / width(F.col("b"))), F.lit(1))
     cell = F.floor((F.col("lon") + 180) / (360 / count))
     seek = seek.withColumn("c", F.explode(F.array_distinct(F.array(*[F.pmod(cell + k, count) for k in (-1, 0, 1)])))).select("station_id", "lat", "lon", "b", "c")
     home = s.withColumnRenamed("band", "b").withColumn("c", F.pmod(cell, count)).select(F.col("station_id").alias("neighbour_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "b", "c")
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     pairs = seek.join(home, ["b", "c"]).where((F.col("station_id") != F.col("neighbour_id")) & (d <= radius_km))
-    return pairs.select("station_id", "neighbour_id", F.round(d, 1).alias("distance_km"))
+    return pairs.select("station_id", "neighbour_id", (d if digits is None else F.round(d, digits)).alias("distance_km"))
 
 
-def nearest_links(edges: DataFrame, k: int = 3) -> DataFrame:
-    """Undirected links of every station to its k nearest neighbours among the edges."""
+def nearest_links(stations: DataFrame, k: int = 3, radius_km: float = CONFIG["radius_km"]) -> DataFrame:
+    """Undirected links (a, b) of every station to its k nearest ones, by exact distance, however far they are.
+
+    Stations with k neighbours within the radius are done, as all others lie beyond; the rest look twice as far, up to half around the globe.
+    """
     w = Window.partitionBy("station_id").orderBy("distance_km", "neighbour_id")
-    near = edges.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
-    return near.select(F.least("station_id", "neighbour_id").alias("a"), F.greatest("station_id", "neighbour_id").alias("b")).distinct()
+    most = stations.count() - 1
+    left, out = None, None
+    while True:
+        near = written(neighbour_edges(stations, radius_km, None, left).withColumn("n", F.row_number().over(w)).where(F.col("n") <= k))
+        done = near.groupBy("station_id").count().where(F.col("count") >= min(k, most))
+        last = radius_km >= math.pi * 6371.0
+        found = (near if last else near.join(done, "station_id", "left_semi")).select("station_id", "neighbour_id")
+        out = found if out is None else out.unionByName(found)
+        left = written((stations if left is None else left).select("station_id").join(done, "station_id", "left_anti"))
+        if last or left.isEmpty():
+            break
+        radius_km *= 2
+    return out.select(F.least("station_id", "neighbour_id").alias("a"), F.greatest("station_id", "neighbour_id").alias("b")).distinct()
+
+
+def map_positions(stations: DataFrame) -> DataFrame:
+    """station_id, x, y: longitudes shrunk by the cosine of the mean latitude, so that distances hold around it."""
+    middle = stations.agg(F.cos(F.radians(F.avg("lat"))).alias("_scale"))
+    return stations.crossJoin(middle).select("station_id", (F.col("lon") * F.col("_scale")).alias("x"), F.col("lat").alias("y"))

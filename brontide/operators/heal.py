@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from brontide.config import CONFIG
 from brontide.functions.scalars import in_range
@@ -37,18 +38,17 @@ def trust_change(status="status", severity="severity"):
 def trust_scores(results: DataFrame) -> DataFrame:
     """results (station_id, variable, ts, status, severity) with trust: changes added in order of time, kept within 0 and 100.
 
-    A fold with two bounds is no window aggregate: each sensor's changes go through one pass in a task.
+    A fold with two bounds is no window aggregate: each sensor's changes go through one pass in a task, and its rows
+    pass through whole.
     """
-    small = results.select("station_id", "variable", "ts", trust_change().alias("d"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.take(pa.array(np.argsort(table["ts"].cast(pa.int64()).to_numpy(), kind="stable")))
         now, out = CONFIG["trust_start"], []
-        for d in table["d"].to_pylist():
+        for d in table["_change"].to_pylist():
             now = min(max(now + d, 0.0), 100.0)
             out.append(now)
-        return table.select(["station_id", "variable", "ts"]).append_column("trust", pa.array(out, pa.float64()))
+        return table.drop_columns(["_change"]).append_column("trust", pa.array(out, pa.float64()))
 
-    kind = results.schema["ts"].dataType.simpleString()
-    folded = small.groupBy("station_id", "variable").applyInArrow(run, f"station_id string, variable string, ts {kind}, trust double")
-    return results.join(folded, ["station_id", "variable", "ts"])
+    changes = results.withColumn("_change", trust_change())
+    return changes.groupBy("station_id", "variable").applyInArrow(run, StructType([*results.schema.fields, StructField("trust", DoubleType())]))

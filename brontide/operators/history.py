@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from brontide.config import CONFIG, VARIABLES
 from brontide.functions.scalars import by_variable, dewpoint_c
@@ -84,9 +85,9 @@ def usual_spread(patterns: DataFrame) -> DataFrame:
     """usual: the median so far of the six-row spreads up to six rows ago, or up to 12 rows the spread of all.
 
     A sorted list per sensor takes each spread in order: a growing window frame would sort all of it for every
-    row. A task holds one sensor's history, which grows with its years, not with the number of sensors.
+    row. A task holds one sensor's history, which grows with its years, not with the number of sensors. The rows
+    pass through whole, dealt as the windows before have them, so nothing is joined back.
     """
-    kind = patterns.schema
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         order = np.argsort(table["seen"].to_numpy(), kind="stable")
@@ -99,11 +100,9 @@ def usual_spread(patterns: DataFrame) -> DataFrame:
                 bisect.insort(known, spreads[k - 6])
             n = len(known)
             out.append(whole[k] if k + 1 <= 12 else (known[n // 2] + known[(n - 1) // 2]) / 2 if n else None)
-        return table.select(["station_id", "variable", "ts"]).append_column("usual", pa.array(out, pa.float64()))
+        return table.append_column("usual", pa.array(out, pa.float64()))
 
-    small = patterns.select("station_id", "variable", "ts", "seen", "loose6", "all_std")
-    spread = small.groupBy("station_id", "variable").applyInArrow(run, f"station_id string, variable string, ts {kind['ts'].dataType.simpleString()}, usual double")
-    return patterns.join(spread, ["station_id", "variable", "ts"], "left")
+    return patterns.groupBy("station_id", "variable").applyInArrow(run, StructType([*patterns.schema.fields, StructField("usual", DoubleType())]))
 
 
 def noise_limit(usual):

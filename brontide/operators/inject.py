@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brontide.config import CONFIG, FAULTS, VARIABLES
-from brontide.functions.scalars import haversine_km
+from brontide.functions.scalars import haversine_km, in_range, km_between
 
 EVENTS = "event_id string, station_id string, variable string, fault string, start timestamp, hours int, magnitude double"
 
@@ -20,30 +20,54 @@ def add_labels(readings: DataFrame) -> DataFrame:
     return readings.withColumns({k: c for k, c in new.items() if k not in readings.columns})
 
 
-def inject_faults(labelled: DataFrame, events: DataFrame, noise_seed: int = CONFIG["seed"]) -> DataFrame:
+def _uniform(key, start: int):
+    """A number in (0, 1) from eight hexadecimal digits of the key's MD5."""
+    return (F.conv(F.substring(F.md5(key), start, 8), 16, 10).cast("double") + 1) / 4294967298.0
+
+
+def normal_draw(*parts):
+    """A standard normal number for each combination of the parts, whatever the order of rows."""
+    key = F.concat_ws("|", *parts)
+    return F.sqrt(-2 * F.log(_uniform(key, 1))) * F.cos(2 * math.pi * _uniform(key, 9))
+
+
+def usual_step(labelled: DataFrame, variable: str) -> DataFrame:
+    """station_id, step: the deviation of the differences between one clean reading in range and the next."""
+    clean = labelled.where(F.col(f"label_{variable}") == "NONE").select("station_id", "ts", F.when(in_range(F.col(variable), F.lit(variable)), F.col(variable)).alias("v"))
+    w = Window.partitionBy("station_id").orderBy("ts")
+    return clean.withColumn("d", F.col("v") - F.lag("v").over(w)).groupBy("station_id").agg(F.stddev_samp("d").alias("step"))
+
+
+def inject_faults(labelled: DataFrame, events: DataFrame) -> DataFrame:
     """labelled (READINGS and label columns) with the events applied; an hour takes the first event by event_id.
 
-    magnitude: the jump, ramp end, stuck value (OUT_OF_RANGE), dropout value (null for null) or noise deviation.
+    magnitude: the jump, ramp end, stuck value (OUT_OF_RANGE), dropout value (null for null), or for NOISE a multiple of the
+    station's usual step. Where events have a column free_sign, a jump in humidity that is free goes to the side with room.
     """
-    unknown = events.where(~F.col("fault").isin(*FAULTS)).limit(1).count()
-    if unknown:
-        raise ValueError("unknown kind of fault")
-    hours = events.withColumn("ts", F.explode(F.sequence(F.col("start"), F.timestamp_seconds(F.unix_timestamp("start") + (F.col("hours") - 1) * 3600), F.expr("interval 1 hour"))))
-    hours = hours.groupBy("station_id", "ts", "variable").agg(F.min(F.struct("event_id", "fault", "start", "hours", "magnitude")).alias("e"))
+    if "free_sign" not in events.columns:
+        events = events.withColumn("free_sign", F.lit(False))
+    known = F.when(F.col("fault").isin(*FAULTS), F.col("fault")).otherwise(F.raise_error(F.concat(F.lit("unknown kind of fault: "), F.col("fault"))).cast("string"))
+    hours = events.withColumn("fault", known).withColumn("ts", F.explode(F.sequence(F.col("start"), F.timestamp_seconds(F.unix_timestamp("start") + (F.col("hours") - 1) * 3600), F.expr("interval 1 hour"))))
+    hours = hours.groupBy("station_id", "ts", "variable").agg(F.min(F.struct("event_id", "fault", "start", "hours", "magnitude", "free_sign")).alias("e"))
     out = labelled
     for v in VARIABLES:
         own = hours.where(F.col("variable") == v).select("station_id", "ts", F.col("e").alias("_e"))
-        out = out.join(own, ["station_id", "ts"], "left")
+        noisy = events.where((F.col("variable") == v) & (F.col("fault") == "NOISE")).select("station_id").distinct()
+        steps = usual_step(labelled.join(noisy, "station_id", "left_semi"), v)
+        out = out.join(own, ["station_id", "ts"], "left").join(steps.withColumnRenamed("step", "_step"), "station_id", "left")
         w = Window.partitionBy("station_id", "_e.event_id").orderBy("ts")
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         n, k, m, x = F.count("*").over(whole), F.row_number().over(w) - 1, F.col("_e.magnitude"), F.col(v)
         held = F.first(v, True).over(whole)
         fault = F.col("_e.fault")
+        jump = m
+        if v == "rh_pct":
+            jump = F.when(F.col("_e.free_sign"), F.when(F.avg(v).over(whole) > 50, -F.abs(m)).otherwise(F.abs(m))).otherwise(m)
         value = (
-            F.when(fault == "SPIKE", x + m)
+            F.when(fault == "SPIKE", x + jump)
             .when(fault == "FROZEN", held)
             .when(fault == "DRIFT", x + F.when(n > 1, m * k / (n - 1)).otherwise(m))
-            .when(fault == "NOISE", x + m * F.randn(noise_seed))
+            .when(fault == "NOISE", x + m * F.col("_step") * normal_draw(F.col("_e.event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
             .when(fault.isin("DROPOUT", "OUT_OF_RANGE"), m)
             .otherwise(x)
         )
@@ -53,59 +77,116 @@ def inject_faults(labelled: DataFrame, events: DataFrame, noise_seed: int = CONF
             v: F.when(fault.isNotNull(), F.col("_v")).otherwise(x),
             f"label_{v}": F.coalesce(fault, F.col(f"label_{v}")),
             "event_id": F.coalesce(F.col("_e.event_id"), F.col("event_id")),
-        }).drop("_v", "_e")
+        }).drop("_v", "_e", "_step")
     return out
 
 
-def inject_storm(labelled: DataFrame, stations: DataFrame, center: str, start, event_id: str = "STORM_001", strength: float = 1.0) -> DataFrame:
-    """A front that leaves ``center`` at ``start``: stations within the radius are reached in order of distance; labels stay NONE."""
+STORMS = "event_id string, center string, start timestamp, strength double, onset_h int, temp_drop double, rh_rise double, pressure_rise double"
+
+
+def inject_storms(labelled: DataFrame, stations: DataFrame, storms: DataFrame) -> DataFrame:
+    """Fronts (STORMS) that leave their centers: stations within the radius are reached in order of distance; labels stay NONE.
+
+    An hour of a station that several storms reach takes all of them, and the name of the last by event_id.
+    """
     s = CONFIG["storm"]
-    steps, onset = s["onset_h"] + s["relax_h"], s["onset_h"]
-    shape = [(k + 1) / onset if k < onset else math.exp(-(k - onset + 1) / s["tau_h"]) for k in range(steps)]
-    home = stations.where(F.col("station_id") == center).select(F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
+    k = F.col("k")
+    home = stations.select(F.col("station_id").alias("center"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
     km = haversine_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))
-    hit = stations.crossJoin(home).withColumn("km", km).where(F.col("km") <= s["radius_km"])
-    begin = F.unix_timestamp(F.lit(start).cast("timestamp")) + F.round(F.col("km") / s["speed_kmh"]) * 3600
-    wave = hit.select("station_id", F.posexplode(F.array(*[F.lit(x * strength) for x in shape])).alias("k", "share"), begin.alias("b")).select("station_id", F.timestamp_seconds(F.col("b") + F.col("k") * 3600).alias("ts"), "share")
+    # a row for each storm and station: storms are planned, so there are few
+    hit = stations.crossJoin(F.broadcast(storms.join(home, "center"))).withColumn("km", km).where(F.col("km") <= s["radius_km"])
+    begin = F.unix_timestamp("start") + F.round(F.col("km") / s["speed_kmh"]) * 3600
+    wave = hit.withColumn("b", begin).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("onset_h") + (s["relax_h"] - 1))))
+    share = F.col("strength") * F.when(k < F.col("onset_h"), (k + 1) / F.col("onset_h")).otherwise(F.exp(-(k - F.col("onset_h")) / s["tau_h"]))
+    wave = wave.select("station_id", F.timestamp_seconds(F.col("b") + k * 3600).alias("ts"), F.col("event_id").alias("_storm"), *[(share * F.col(c)).alias(f"_{c}") for c in ("temp_drop", "rh_rise", "pressure_rise")])
+    wave = wave.groupBy("station_id", "ts").agg(F.max("_storm").alias("_storm"), *[F.sum(f"_{c}").alias(f"_{c}") for c in ("temp_drop", "rh_rise", "pressure_rise")])
     out = labelled.join(wave, ["station_id", "ts"], "left")
-    x = F.col("share")
-    rh = F.greatest(F.least(F.col("rh_pct") + s["rh_rise"] * x, F.lit(100.0)), F.lit(0.0))
+    hit = F.col("_storm").isNotNull()
+    rh = F.greatest(F.least(F.col("rh_pct") + F.col("_rh_rise"), F.lit(100.0)), F.lit(0.0))
     return out.withColumns({
-        "temp_c": F.when(x.isNotNull(), F.col("temp_c") - s["temp_drop"] * x).otherwise(F.col("temp_c")),
-        "pressure_hpa": F.when(x.isNotNull(), F.col("pressure_hpa") + s["pressure_rise"] * x).otherwise(F.col("pressure_hpa")),
-        "rh_pct": F.when(x.isNotNull(), rh).otherwise(F.col("rh_pct")),
-        "event_id": F.when(x.isNotNull(), F.lit(event_id)).otherwise(F.col("event_id")),
-    }).drop("share")
+        "temp_c": F.when(hit, F.col("temp_c") - F.col("_temp_drop")).otherwise(F.col("temp_c")),
+        "pressure_hpa": F.when(hit, F.col("pressure_hpa") + F.col("_pressure_rise")).otherwise(F.col("pressure_hpa")),
+        "rh_pct": F.when(hit, rh).otherwise(F.col("rh_pct")),
+        "event_id": F.coalesce("_storm", "event_id"),
+    }).drop("_storm", "_temp_drop", "_rh_rise", "_pressure_rise")
+
+
+def inject_storm(labelled: DataFrame, stations: DataFrame, center: str, start, event_id: str = "STORM_001", strength: float = 1.0) -> DataFrame:
+    """One front of the usual size."""
+    s = CONFIG["storm"]
+    rows = [(event_id, center, strength, s["onset_h"], s["temp_drop"], s["rh_rise"], s["pressure_rise"])]
+    storm = labelled.sparkSession.createDataFrame(rows, "event_id string, center string, strength double, onset_h int, temp_drop double, rh_rise double, pressure_rise double")
+    return inject_storms(labelled, stations, storm.withColumn("start", F.lit(start).cast("timestamp")))
 
 
 DURATION = {"SPIKE": (1, 2), "FROZEN": (6, 48), "DRIFT": (72, 240), "DROPOUT": (1, 12), "NOISE": (6, 24), "OUT_OF_RANGE": (6, 48)}
 SIZE = {"SPIKE": {"temp_c": (5, 25), "pressure_hpa": (5, 40), "rh_pct": (20, 50)}, "DRIFT": {"temp_c": (2, 5), "pressure_hpa": (2, 6), "rh_pct": (8, 20)}}
 
 
-def plan_test_set(stations: list[str], first_hour: int, hours: int, per_fault: int = 40, seed: int = CONFIG["seed"], gap: int = 6, tries: int = 200) -> list[tuple]:
-    """Rows of EVENTS with start as seconds: kinds in turn, at random places that leave ``gap`` clear hours around every event of a station."""
+#: From and to, for the storms of a test set.
+STORM_SIZE = {"strength": (0.7, 1.3), "onset_h": (1, 2), "temp_drop": (4, 10), "rh_rise": (15, 35), "pressure_rise": (1, 4)}
+
+
+def plan_test_set(stations: list[tuple[str, float, float]], first_hour: int, hours: int, per_fault: int = 40, storms: int = 10, seed: int = CONFIG["seed"], gap: int = 6, tries: int = 200) -> tuple[list[tuple], list[tuple]]:
+    """Storms, then faults, for stations (name, lat, lon): rows of STORMS and of EVENTS with free_sign, their starts as seconds.
+
+    Kinds come in turn, at random places that leave ``gap`` clear hours around every event of a station; a storm keeps
+    its hours free at every station that it reaches.
+    """
     rng = random.Random(seed)
-    taken: dict[str, list[tuple[int, int]]] = {s: [] for s in stations}
+    taken: dict[str, list[tuple[int, int]]] = {s[0]: [] for s in stations}
+    names = [s[0] for s in stations]
+
+    def placed(length: int, choose) -> tuple[list[str], int] | None:
+        for _ in range(tries):
+            own, at = choose(), rng.randrange(max(1, hours - length))
+            if all(at + length + gap <= a or b + gap <= at for s in own for a, b in taken[s]):
+                for s in own:
+                    taken[s].append((at, at + length))
+                return own, at
+        return None
+
+    s = CONFIG["storm"]
+    length = STORM_SIZE["onset_h"][1] + s["relax_h"] + math.ceil(s["radius_km"] / s["speed_kmh"])
+    fronts = []
+    for _ in range(storms):
+        center = rng.choice(stations)
+        reached = [center[0], *(t[0] for t in stations if t is not center and km_between(*center[1:], *t[1:]) <= s["radius_km"])]
+        spot = placed(length, lambda: reached)  # noqa: B023
+        if spot:
+            draw = {k: rng.randint(*v) if k == "onset_h" else rng.uniform(*v) for k, v in STORM_SIZE.items()}
+            fronts.append((f"STORM_{len(fronts) + 1:03d}", center[0], first_hour + spot[1] * 3600, draw["strength"], draw["onset_h"], draw["temp_drop"], draw["rh_rise"], draw["pressure_rise"]))
     out = []
     for fault in FAULTS:
-        for k in range(per_fault):
+        count = 0
+        for _ in range(per_fault):
             variable, n = rng.choice(VARIABLES), rng.randint(*DURATION[fault])
-            for _ in range(tries):
-                station, at = rng.choice(stations), rng.randrange(max(1, hours - n))
-                if all(at + n + gap <= a or b + gap <= at for a, b in taken[station]):
-                    break
-            else:
+            spot = placed(n, lambda: [rng.choice(names)])
+            if spot is None:
                 continue
-            taken[station].append((at, at + n))
+            count += 1
             lo, hi = CONFIG["range"][variable]
             size = {
-                "DROPOUT": lambda: rng.choice([None, -9999.0, 0.0 if variable == "pressure_hpa" else -999.0]),  # noqa: B023
+                "DROPOUT": lambda: rng.choice([None, -9999.0, *([0.0] if variable == "pressure_hpa" else [])]),  # noqa: B023
                 "OUT_OF_RANGE": lambda: rng.choice([lo - CONFIG["margin"][variable], hi + CONFIG["margin"][variable]]),  # noqa: B023
                 "NOISE": lambda: rng.uniform(1.5, 4.0),
                 "FROZEN": lambda: 0.0,
             }.get(fault, lambda: rng.choice([-1, 1]) * rng.uniform(*SIZE[fault][variable]))()  # noqa: B023
-            out.append((f"{fault}_{k + 1:03d}", station, variable, fault, first_hour + at * 3600, n, size))
-    return out
+            out.append((f"{fault}_{count:03d}", spot[0][0], variable, fault, first_hour + spot[1] * 3600, n, size, fault == "SPIKE" and variable == "rh_pct"))
+    return fronts, out
+
+
+def build_test_set(readings: DataFrame, stations: DataFrame, per_fault: int = 40, storms: int = 10, seed: int = CONFIG["seed"]) -> DataFrame:
+    """Labelled readings with planned storms and faults. The plan needs the network's stations and the record's first and last hour, no readings."""
+    spark = readings.sparkSession
+    span = readings.agg(F.unix_timestamp(F.min("ts")).alias("a"), F.unix_timestamp(F.max("ts")).alias("b")).first()
+    places = [(r["station_id"], r["lat"], r["lon"]) for r in stations.select("station_id", "lat", "lon").orderBy("station_id").collect()]
+    if span["a"] is None or not places:
+        return add_labels(readings)
+    fronts, faults = plan_test_set(places, span["a"], (span["b"] - span["a"]) // 3600 + 1, per_fault, storms, seed)
+    at = lambda rows, kinds: spark.createDataFrame(rows, kinds).withColumn("start", F.timestamp_seconds("at")).drop("at")
+    out = inject_storms(add_labels(readings), stations, at(fronts, STORMS.replace("start timestamp", "at long")))
+    return inject_faults(out, at(faults, EVENTS.replace("start timestamp", "at long") + ", free_sign boolean"))
 
 
 def next_event_id(labelled: DataFrame, prefix: str) -> str:

@@ -48,6 +48,18 @@ def neighbour_anomaly(home: DataFrame, near: DataFrame) -> DataFrame:
     return x.groupBy("station_id", "ts", "variable").agg(array_median(F.flatten(F.collect_list("good"))).alias("near_anomaly"))
 
 
+def neighbour_signals(home: DataFrame, near: DataFrame) -> DataFrame:
+    """What spatial_check and neighbour_anomaly say, from one pass over the hours around: z, n, offset, consistent and near_anomaly."""
+    enough = F.size("all") >= CONFIG["min_neighbours"]
+    stats = near.withColumn("med", array_median(F.col("all"))).select("station_id", "ts", "variable", "good", "med", F.when(enough, F.size("all")).alias("n"), array_median(F.transform("all", lambda a: F.abs(a - F.col("med")))).alias("mad"))
+    x = _at_offsets(home.select("station_id", "ts", "variable", "anomaly"), stats)
+    z = (F.col("anomaly") - F.col("med")) / (1.4826 * F.col("mad") + by_variable(CONFIG["mad_floor"]))
+    best = F.min_by(F.struct("z", "n", "offset"), F.when(F.col("n").isNotNull(), F.struct(F.abs("z").alias("a"), "offset")))
+    g = x.withColumn("z", z).groupBy("station_id", "ts", "variable").agg(best.alias("b"), array_median(F.flatten(F.collect_list("good"))).alias("near_anomaly"))
+    consistent = F.when(F.col("b").isNotNull(), F.coalesce(F.abs("b.z") <= CONFIG["z"], F.lit(False)))
+    return g.select("station_id", "ts", "variable", "b.z", F.coalesce("b.n", F.lit(0)).alias("n"), "b.offset", consistent.alias("consistent"), "near_anomaly")
+
+
 def neighbour_median(readings_long: DataFrame, edges: DataFrame) -> DataFrame:
     """Median of the neighbours' in-range values by station, hour and variable."""
     n = readings_long.where(in_range(F.col("value"))).withColumnRenamed("station_id", "neighbour_id")

@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brontide.config import FLAGGED, VARIABLES
-from brontide.functions.scalars import worst_severity, worst_status
+from brontide.config import CONFIG, FLAGGED, VARIABLES
+from brontide.functions.scalars import dewpoint_c, in_range, worst_severity, worst_status
 from brontide.operators.history import by_sensor
+from brontide.operators.ingest import long_form
+from brontide.operators.spatial import neighbour_median
 
 HOUR = 3600
 RUN = "kind string, station_id string, variable string, status string, fault_type string, severity string, confidence double, value double, corrected double, start timestamp, end timestamp, trust_before double, trust_after double"
@@ -29,8 +31,12 @@ def run_numbers(df: DataFrame, window, *keys: str) -> DataFrame:
     return df.withColumn("run", F.sum(fresh.cast("int")).over(window))
 
 
+def _evidence(results: DataFrame) -> list[str]:
+    return [c for c in ("reasons", "scores") if c in results.columns]
+
+
 def fault_runs(results: DataFrame) -> DataFrame:
-    """One row for each stretch of consecutive flagged hours of a sensor with one kind of fault."""
+    """One row for each stretch of consecutive flagged hours of a sensor with one kind of fault; reasons and scores, where results have them, are those of its plainest hour."""
     flagged = results.where(F.col("status").isin(*FLAGGED)).withColumn("kind_of", F.coalesce("fault_type", F.lit("")))
     runs = run_numbers(flagged, by_sensor(), "kind_of")
     gap = F.abs(F.col("value") - F.col("corrected_value"))
@@ -40,23 +46,29 @@ def fault_runs(results: DataFrame) -> DataFrame:
         worst_status(F.col("status")).alias("status"),
         worst_severity(F.col("severity")).alias("severity"),
         F.max("confidence").alias("confidence"),
-        F.max_by(F.struct("value", "corrected_value"), order).alias("peak"),
+        F.max_by(F.struct("value", "corrected_value", *_evidence(results)), order).alias("peak"),
         F.min("ts").alias("start"),
         F.max("ts").alias("end"),
         F.max_by("trust", "ts").alias("trust_after"),
     )
     before = results.select("station_id", "variable", F.timestamp_seconds(_seconds("ts") + HOUR).alias("start"), F.col("trust").alias("trust_before"))
     return g.join(before, ["station_id", "variable", "start"], "left").select(
-        F.lit("fault").alias("kind"), "station_id", "variable", "status", F.expr("nullif(kind_of, '')").alias("fault_type"), "severity", "confidence", F.col("peak.value").alias("value"), F.col("peak.corrected_value").alias("corrected"), "start", "end", F.coalesce("trust_before", F.lit(100.0)).alias("trust_before"), "trust_after",
+        F.lit("fault").alias("kind"), "station_id", "variable", "status", F.expr("nullif(kind_of, '')").alias("fault_type"), "severity", "confidence", F.col("peak.value").alias("value"), F.col("peak.corrected_value").alias("corrected"), "start", "end", F.coalesce("trust_before", F.lit(100.0)).alias("trust_before"), "trust_after", *[F.col(f"peak.{c}").alias(c) for c in _evidence(results)],
     )
 
 
 def station_events(results: DataFrame) -> DataFrame:
-    """Stretches of consecutive hours with a genuine event at a station; confidence is the station's highest in all of them."""
-    hours = results.where(F.col("status") == "GENUINE_EVENT").groupBy("station_id", "ts").agg(F.max("confidence").alias("confidence"))
+    """Stretches of consecutive hours with a genuine event at a station; confidence is the station's highest in all of them.
+
+    Where results have them: the reasons of the first hour, and the scores of the last one, when the front has reached the neighbours
+    too; temperature speaks before the other variables, which come in order of name.
+    """
+    lead, have = F.struct((F.col("variable") != "temp_c").alias("k"), "variable"), _evidence(results)
+    hours = results.where(F.col("status") == "GENUINE_EVENT").groupBy("station_id", "ts").agg(F.max("confidence").alias("confidence"), *[F.min_by(c, lead).alias(c) for c in have])
     w = Window.partitionBy("station_id").orderBy("ts")
     runs = run_numbers(hours, w).withColumn("top", F.max("confidence").over(Window.partitionBy("station_id")))
-    return runs.groupBy("station_id", "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.max("top").alias("confidence")).drop("run")
+    told = [{"reasons": F.min_by, "scores": F.max_by}[c](c, "ts").alias(c) for c in have]
+    return runs.groupBy("station_id", "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.max("top").alias("confidence"), *told).drop("run")
 
 
 def weather_events(results: DataFrame) -> DataFrame:
@@ -70,13 +82,13 @@ def weather_events(results: DataFrame) -> DataFrame:
     events = run_numbers(hours, Window.orderBy("ts")).select(F.col("ts").alias("start"), F.col("run").alias("event"))
     lead = F.struct("start", "station_id")
     return parts.join(events, "start").groupBy("event").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("station_id", lead).alias("station_id"), F.min_by("confidence", lead).alias("confidence"), F.count("*").alias("parts"), F.array_join(F.transform(F.array_sort(F.collect_list(lead)), lambda s: s["station_id"]), ", ").alias("stations"),
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("station_id", lead).alias("station_id"), F.min_by("confidence", lead).alias("confidence"), *[F.min_by(c, lead).alias(c) for c in _evidence(results)], F.count("*").alias("parts"), F.array_join(F.transform(F.array_sort(F.collect_list(lead)), lambda s: s["station_id"]), ", ").alias("stations"),
     ).drop("event")
 
 
 def alerts(results: DataFrame) -> DataFrame:
     """Fault runs and weather events under one set of columns."""
-    w = weather_events(results).select(F.lit("weather").alias("kind"), "station_id", F.lit("GENUINE_EVENT").alias("status"), "confidence", "start", "end", "stations")
+    w = weather_events(results).select(F.lit("weather").alias("kind"), "station_id", F.lit("GENUINE_EVENT").alias("status"), "confidence", "start", "end", "stations", *_evidence(results))
     return fault_runs(results).unionByName(w, allowMissingColumns=True)
 
 
@@ -104,6 +116,24 @@ def kpis(results: DataFrame, now, step_ms: tuple = ()) -> DataFrame:
     return low.crossJoin(runs).crossJoin(events).select(F.col("l.trust").alias("lowest_trust"), F.col("l.station_id").alias("lowest_station"), F.col("l.variable").alias("lowest_variable"), "open_faults", "faults_24h", "events_24h", F.lit(sum(last) / len(last) if last else None).cast("double").alias("step_ms"))
 
 
+def trust_now(results: DataFrame, now) -> DataFrame:
+    return results.where(F.col("ts") == now).select("station_id", "variable", "trust")
+
+
+def retained(results: DataFrame, now, hours: int = 7 * 24) -> DataFrame:
+    """What a replay keeps: the results of the last hours."""
+    return results.where((F.col("ts") > F.timestamp_seconds(_seconds(now) - hours * HOUR)) & (F.col("ts") <= now))
+
+
+def evidence_flags(scores: DataFrame) -> DataFrame:
+    """Rows with a struct ``scores`` and the three checks behind a decision: true, false, or null where there is none yet."""
+    return scores.withColumns({
+        "physics_ok": F.col("scores.physics") < 0.5,
+        "neighbours_ok": F.abs("scores.spatial_z") <= CONFIG["z"],
+        "pattern_ok": F.col("scores.iforest") < CONFIG["high"],
+    })
+
+
 def maintenance(results: DataFrame, now, threshold: float = 50) -> DataFrame:
     """Sensors under the threshold now with the last fault seen."""
     last = results.where("status = 'SENSOR_FAULT' and fault_type is not null").groupBy("station_id", "variable").agg(F.max_by("fault_type", "ts").alias("last_fault"))
@@ -141,8 +171,18 @@ def link_states(results: DataFrame, links: DataFrame, now) -> DataFrame:
     return x.select("a", "b", F.when(f[0] | f[1], "fault").when(w[0] & w[1], "weather").otherwise("plain").alias("state"))
 
 
-def station_panel(readings_long: DataFrame, results: DataFrame, medians: DataFrame, station: str, now, hours: int = 48) -> DataFrame:
-    """A station's last hours: reported value, the corrected one where flagged, and the neighbours' median."""
-    within = (F.col("station_id") == station) & (F.col("ts") > F.timestamp_seconds(_seconds(now) - hours * HOUR)) & (F.col("ts") <= now)
-    r = results.where(within).select("station_id", "ts", "variable", "status", F.when(F.col("status").isin(*FLAGGED), F.col("corrected_value")).alias("corrected"))
-    return readings_long.where(within).join(r, ["station_id", "ts", "variable"], "left").join(medians, ["station_id", "ts", "variable"], "left")
+def station_panel(readings: DataFrame, results: DataFrame, edges: DataFrame, station: str, now, hours: int = 48) -> DataFrame:
+    """A station's last hours, a row for each hour and variable of its readings: what it reported in range, the corrected value and the
+    place of a mark where it was flagged, the neighbours' median, whether weather was at the station, and on temperature rows the dewpoint."""
+    within = (F.col("ts") > F.timestamp_seconds(_seconds(now) - hours * HOUR)) & (F.col("ts") <= now)
+    home = within & (F.col("station_id") == station)
+    keys = ["station_id", "ts", "variable"]
+    ok = {v: F.when(in_range(F.col(v), F.lit(v)), F.col(v)) for v in VARIABLES}
+    own = readings.where(home).withColumn("_dew", dewpoint_c(ok["temp_c"], ok["rh_pct"]))
+    long = long_form(own, ("_dew",)).withColumns({"reported": F.when(in_range(F.col("value")), F.col("value")), "dewpoint": F.when(F.col("variable") == "temp_c", F.col("_dew"))}).drop("_dew")
+    flagged = F.col("status").isin(*FLAGGED)
+    r = results.where(home).select(*keys, "status", "fault_type", F.when(flagged, F.col("corrected_value")).alias("corrected"))
+    weather = results.where(home & (F.col("status") == "GENUINE_EVENT")).select("station_id", "ts").distinct().withColumn("weather", F.lit(True))
+    near = neighbour_median(long_form(readings.where(within)), edges.where(F.col("station_id") == station))
+    out = long.join(r, keys, "left").join(weather, ["station_id", "ts"], "left").join(near, keys, "left")
+    return out.withColumns({"weather": F.coalesce("weather", F.lit(False)), "mark": F.when(flagged, F.coalesce("reported", "corrected"))})

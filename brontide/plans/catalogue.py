@@ -91,6 +91,8 @@ def _results(spark, sf_dir: str) -> DataFrame:
         F.when(e % 10 < 3, F.when(third == 0, "SPIKE").when(third == 1, "FROZEN").otherwise("DRIFT")).otherwise("NONE").alias("label"),
         F.when(storm, "STORM_001").when(e % 10 < 3, F.concat(F.lit("F_"), F.floor(hk / 5).cast("string"))).otherwise("").alias("event_id"),
         (F.col("value") - 0.25).alias("true_value"),
+        F.array(F.concat(F.lit("reason "), F.col("variable"), F.lit(" "), (e % 13).cast("string"))).alias("reasons"),
+        F.struct(F.when(e % 4 == 0, 1.0).when(e % 4 == 1, 0.5).otherwise(0.0).alias("physics"), ((e * 7919 + vi * 613) % 1000 / 1000.0).alias("iforest"), F.when(e % 5 > 0, (e % 9 - 4).cast("double")).alias("spatial_z")).alias("scores"),
     )
 
 
@@ -138,11 +140,22 @@ def q_gap_length(spark, d):
     return _out(ingest.gap_lengths(ingest.hourly_grid(_readings(spark, d)), "temp_c"), F.col("gap").cast("long").alias("gap"))
 
 
-@query(_GRID + rf""", n as (select *, row_number() over (partition by station_id order by ts) n from gl),
-p as (select *, last_value(case when temp_c is not null then struct_pack(n := n, v := temp_c) end ignore nulls) over (partition by station_id order by ts rows between unbounded preceding and current row) a, first_value(case when temp_c is not null then struct_pack(n := n, v := temp_c) end ignore nulls) over (partition by station_id order by ts rows between current row and unbounded following) b from n)
-select station_id, {TS}, round(case when temp_c is not null then temp_c when gap0 <= 2 then a.v + (b.v - a.v) * (n - a.n) / (b.n - a.n) end, 6) temp_c from p""")
+def _filled(v: str) -> str:
+    w = "over (partition by station_id order by ts rows between"
+    pair = f"case when {v} is not null then struct_pack(n := n, v := {v}) end ignore nulls"
+    return f"last_value({pair}) {w} unbounded preceding and current row) a_{v}, first_value({pair}) {w} current row and unbounded following) b_{v}"
+
+
+_GAPS = ", ".join(f"case when {v} is null then count(*) over (partition by station_id, run_{v}) end gap_{v}" for v in VARIABLES)
+_STARTS = ", ".join(f"sum(f_{v}) over (partition by station_id order by ts) run_{v}" for v in VARIABLES)
+_TURNS = ", ".join(f"case when lag({v} is null) over (partition by station_id order by ts) = ({v} is null) then 0 else 1 end f_{v}" for v in VARIABLES)
+_VALUES = ", ".join(f"round(case when {v} is not null then {v} when gap_{v} <= 2 then a_{v}.v + (b_{v}.v - a_{v}.v) * (n - a_{v}.n) / (b_{v}.n - a_{v}.n) end, 6) {v}" for v in VARIABLES)
+
+
+@query(_GRID + rf""", t as (select *, {_TURNS}, row_number() over (partition by station_id order by ts) n from g), u as (select *, {_STARTS} from t), v as (select *, {_GAPS} from u), p as (select *, {", ".join(map(_filled, VARIABLES))} from v)
+select station_id, {TS}, {_VALUES} from p""")
 def q_interpolate(spark, d):
-    return _out(ingest.interpolate(ingest.hourly_grid(_readings(spark, d))), _r("temp_c"))
+    return _out(ingest.interpolate(ingest.hourly_grid(_readings(spark, d))), *map(_r, VARIABLES))
 
 
 @query("select station_id, round(count(temp_c) / count(*), 6) temp_c, round(count(pressure_hpa) / count(*), 6) pressure_hpa, round(count(rh_pct) / count(*), 6) rh_pct, least(count(temp_c), count(pressure_hpa), count(rh_pct)) / count(*) >= 0.8 kept from readings group by 1")
@@ -175,9 +188,19 @@ def q_haversine_edges(spark, d):
     return geo.neighbour_edges(_stations(spark, d, None), 20.0)
 
 
-@query("select distinct least(station_id, neighbour_id) a, greatest(station_id, neighbour_id) b from (select * from (select *, round(km, 1) d from edges) qualify row_number() over (partition by station_id order by d, neighbour_id) <= 3)")
+@query("select distinct least(station_id, neighbour_id) a, greatest(station_id, neighbour_id) b from (select * from pairs qualify row_number() over (partition by station_id order by km, neighbour_id) <= 3)")
 def q_knn_links(spark, d):
-    return geo.nearest_links(_edges(spark, d))
+    return geo.nearest_links(_stations(spark, d, None))
+
+
+@query("select station_id, round(lon * (select cos(radians(avg(lat))) from stations), 6) x, lat y from stations")
+def q_map_positions(spark, d):
+    return geo.map_positions(_stations(spark, d, None)).select("station_id", _r("x"), "y")
+
+
+@query(rf"""select station_id, {TS}, temp_c from readings where station_id in ('ST-1', 'ST-2') and ts < (select min(ts) from readings where station_id in ('ST-1', 'ST-2')) + interval 31 day""")
+def q_sample(spark, d):
+    return _out(src.sample_of(_readings(spark, d)), "temp_c")
 
 
 @query(rf"select station_id, {TS}, round(dewpoint, 6) dewpoint from wide")
@@ -190,10 +213,9 @@ def q_deltas(spark, d):
     return _out(_history(spark, d), "variable", (F.col("value") - F.col("lag1")).alias("diff_1"), (F.col("value") - F.col("lag3")).alias("diff_3"))
 
 
-@query(rf"select station_id, {TS}, variable, round(stddev_samp(value) over (partition by station_id, variable order by ts rows 5 preceding), 6) std_6, round(stddev_samp(value) over (partition by station_id, variable order by ts rows 23 preceding), 6) std_24 from lng")
+@query(rf"select station_id, {TS}, variable, round(coalesce(stddev_samp(value) over (partition by station_id, variable order by ts rows 5 preceding), 0), 6) std_6, round(coalesce(stddev_samp(value) over (partition by station_id, variable order by ts rows 23 preceding), 0), 6) std_24 from lng")
 def q_rolling_std(spark, d):
-    s = lambda n: F.round(F.stddev_samp("value").over(history.by_sensor().rowsBetween(1 - n, 0)), 6).alias(f"std_{n}")
-    return _out(_long(spark, d), "variable", s(6), s(24))
+    return _out(feats.feature_frame(_readings(spark, d), _clim(spark, d)), "variable", _r("std_6"), _r("std_24"))
 
 
 _RUN = ", rc as (select *, case when coalesce(value = lag(value) over (partition by station_id, variable order by ts), false) then 0 else 1 end fresh from lng), rn as (select *, sum(fresh) over (partition by station_id, variable order by ts) run from rc), rl as (select *, row_number() over (partition by station_id, variable, run order by ts) run_length from rn)"
@@ -205,10 +227,10 @@ def q_same_value_run(spark, d):
 
 
 @query(_RUN + rf""" select h.station_id, strftime(h.ts, '%Y-%m-%d %H:%M:%S') ts, h.variable, coalesce(h.value, 0) as value, coalesce(h.value - lag1, 0) diff_1, coalesce(h.value - lag3, 0) diff_3, run_length::double run_length, round(coalesce(dev_sigma, 0), 6) dev_sigma,
-round(coalesce(h.dewpoint, 0), 6) dewpoint_value, round(coalesce(h.dewpoint - h.prev_dewpoint, 0), 6) dewpoint_delta, round(sin(2 * pi() * (hour(h.ts) + minute(h.ts) / 60) / 24), 6) hour_sin from hist h join rl using (station_id, ts, variable)""")
+round(coalesce(h.dewpoint, 0), 6) dewpoint_value, round(coalesce(h.dewpoint - h.prev_dewpoint, 0), 6) dewpoint_delta, round(sin(2 * pi() * (hour(h.ts) + minute(h.ts) / 60) / 24), 6) + 0 hour_sin, round(cos(2 * pi() * (hour(h.ts) + minute(h.ts) / 60) / 24), 6) + 0 hour_cos, round(coalesce(stddev_samp(h.value) over w6, 0), 6) std_6, round(coalesce(stddev_samp(h.value) over w24, 0), 6) std_24 from hist h join rl using (station_id, ts, variable) window w6 as (partition by h.station_id, h.variable order by h.ts rows 5 preceding), w24 as (partition by h.station_id, h.variable order by h.ts rows 23 preceding)""")
 def q_feature_frame(spark, d):
     f = feats.feature_frame(_readings(spark, d), _clim(spark, d))
-    return _out(f, "variable", "value", "diff_1", "diff_3", "run_length", _r("dev_sigma"), _r("dewpoint_value"), _r("dewpoint_delta"), _r("hour_sin"))
+    return _out(f, "variable", "value", "diff_1", "diff_3", "run_length", _r("dev_sigma"), _r("dewpoint_value"), _r("dewpoint_delta"), (F.round("hour_sin", 6) + 0).alias("hour_sin"), (F.round("hour_cos", 6) + 0).alias("hour_cos"), _r("std_6"), _r("std_24"))
 
 
 def _rule(name: str, columns: tuple):
@@ -241,10 +263,11 @@ def q_neighbour_median(spark, d):
     return _out(spatial.neighbour_median(_long(spark, d).drop("event_id"), _edges(spark, d)), "variable", "median")
 
 
-@query(rf"select station_id, {TS}, variable, round(residual6, 6) residual6, round(std6, 6) std6 from pat where residual6 is not null and value > -999 and lag1 > -999 and lag2 > -999 and lag3 > -999 and std6 < 1000")
+@query(rf"select station_id, {TS}, variable, round(residual6, case when std6 < 1000 then 6 else 2 end) residual6, round(std6, case when std6 < 1000 then 6 else 2 end) std6 from pat")
 def q_detrend_noise(spark, d):
-    p = history.pattern_columns(_history(spark, d)).where("residual6 is not null and value > -999 and lag1 > -999 and lag2 > -999 and lag3 > -999 and std6 < 1000")
-    return _out(p, "variable", _r("residual6"), _r("std6"))
+    """Six digits, or two where a sentinel makes the spread run into thousands."""
+    fine = lambda c: F.when(F.col("std6") < 1000, F.round(c, 6)).otherwise(F.round(c, 2)).alias(c)
+    return _out(history.pattern_columns(_history(spark, d)), "variable", fine("residual6"), fine("std6"))
 
 
 @query(rf"select station_id, {TS}, variable, baseline from pat")
@@ -276,7 +299,7 @@ def q_fingerprint(spark, d):
 
 @query(rf"select station_id, {TS}, variable, round(corrected, 4) corrected_value from imp where status in ('SENSOR_FAULT', 'SUSPECT')")
 def q_impute(spark, d):
-    x = heal.impute(heal.extrapolate(fusion.decide(_signals(spark, d))))
+    x = heal.impute(fusion.decide(_signals(spark, d)))
     return _out(x.where("status in ('SENSOR_FAULT', 'SUSPECT')"), "variable", _r("corrected_value", digits=4))
 
 
@@ -290,11 +313,18 @@ def q_trust_band(spark, d):
     return heal.trust_scores(fusion.decide(_signals(spark, d))).groupBy(trust_band(F.col("trust")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query(rf"""select f.station_id, strftime(f.ts, '%Y-%m-%d %H:%M:%S') ts, f.variable, f.status, case when f.status <> 'NORMAL' then f.fault_type end fault_type, f.severity, case when f.status in ('SENSOR_FAULT', 'SUSPECT') then round(f.corrected, 4) end corrected_value, t.trust, case when is_hard then 1.0 when is_soft then 0.5 else 0.0 end physics
+@query(rf"""select f.station_id, strftime(f.ts, '%Y-%m-%d %H:%M:%S') ts, f.variable, f.status, case when f.status <> 'NORMAL' then f.fault_type end fault_type, f.severity, case when f.status in ('SENSOR_FAULT', 'SUSPECT') then round(f.corrected, 4) end corrected_value, t.trust, case when is_hard then 1.0 when is_soft then 0.5 else 0.0 end physics, round(f.confidence, 4) confidence, nullif(split_part(rule_ids, ',', 1), '') physics_rule, f.ml iforest, round(f.z, 6) spatial_z, round(coalesce(f.dev_sigma, 0), 6) dev_sigma, f.value as value
 from imp f join trust t using (station_id, ts, variable)""")
 def q_detect(spark, d):
     r = detect.verdicts(_signals(spark, d))
-    return _out(r, "variable", "status", "fault_type", "severity", _r("corrected_value", digits=4), "trust", F.col("scores.physics").alias("physics"))
+    return _out(r, "variable", "status", "fault_type", "severity", _r("corrected_value", digits=4), "trust", F.col("scores.physics").alias("physics"), "confidence", F.col("scores.physics_rule").alias("physics_rule"), F.col("scores.iforest").alias("iforest"), F.round("scores.spatial_z", 6).alias("spatial_z"), F.round("scores.dev_sigma", 6).alias("dev_sigma"), "value")
+
+
+@query()
+def q_detect_full(spark, d):
+    """The whole detector with its own climatology, forest of 200 trees and calibration, fitted on the readings."""
+    r = detect.detect(_readings(spark, d).drop("event_id"), _stations(spark, d))
+    return _out(r, "variable", "value", "status", "fault_type", "confidence", "severity", F.array_join("reasons", " | ").alias("reasons"), "corrected_value", "trust", F.to_json("shap_top").alias("shap_top"), F.col("scores.iforest").alias("iforest"))
 
 
 @query("select station_id, ['NORMAL', 'GENUINE_EVENT', 'SUSPECT', 'SENSOR_FAULT'][max(case status when 'NORMAL' then 1 when 'GENUINE_EVENT' then 2 when 'SUSPECT' then 3 else 4 end)] status, min(trust) trust from res, now where ts = t group by 1")
@@ -329,11 +359,69 @@ def q_alert_feed(spark, d):
     return summary.alert_feed(r, _now(r)).select("kind", "station_id", "variable", "fault_type", "status", "active", _time("start"))
 
 
-@query("""select (select min(trust) from res, now where ts = t) lowest_trust, (select count(*) from fruns where status = 'SENSOR_FAULT') runs_all, (select count(*) from wev) events_all""")
+_DAY = """, day as (select * from res, now where ts > t - interval 24 hour),
+dfr as (select *, sum(fresh) over (partition by station_id, variable order by ts) run from (select *, case when coalesce(lag(coalesce(fault_type, '')) over w = coalesce(fault_type, '') and ts - lag(ts) over w = interval 1 hour, false) then 0 else 1 end fresh from day where status in ('SUSPECT', 'SENSOR_FAULT') window w as (partition by station_id, variable order by ts))),
+druns as (select max(ts) e, bool_or(status = 'SENSOR_FAULT') fault from dfr group by station_id, variable, run),
+dgh as (select distinct station_id, ts from day where status = 'GENUINE_EVENT'),
+dsev as (select station_id, min(ts) s, max(ts) e from (select *, sum(fresh) over (partition by station_id order by ts) run from (select *, case when ts - lag(ts) over (partition by station_id order by ts) = interval 1 hour then 0 else 1 end fresh from dgh)) group by station_id, run),
+dwev as (select case when s <= max(e) over (order by s, station_id rows between unbounded preceding and 1 preceding) + interval 1 hour then 0 else 1 end fresh from dsev)"""
+
+
+@query(_DAY + """ select l.trust lowest_trust, l.station_id lowest_station, l.variable lowest_variable, (select count(*) from druns, now where fault and e = t) open_faults, (select count(*) from druns where fault) faults_24h, (select coalesce(sum(fresh), 0)::bigint from dwev) events_24h, 20.0::double step_ms, (select count(*) from fruns where status = 'SENSOR_FAULT') runs_all, (select count(*) from wev) events_all
+from (select trust, station_id, variable from res, now where ts = t order by trust, station_id, variable limit 1) l""")
 def q_kpis(spark, d):
     r = _results(spark, d)
     whole = summary.fault_runs(r).where("status = 'SENSOR_FAULT'").agg(F.count("*").alias("runs_all")).crossJoin(summary.weather_events(r).agg(F.count("*").alias("events_all")))
-    return summary.kpis(r, _now(r)).select("lowest_trust").crossJoin(whole)
+    return summary.kpis(r, _now(r), (10.0, 30.0)).crossJoin(whole)
+
+
+@query("select station_id, variable, trust from res, now where ts = t")
+def q_trust_now(spark, d):
+    r = _results(spark, d)
+    return summary.trust_now(r, _now(r))
+
+
+@query(rf"select station_id, {TS}, variable, status from res, now where ts > t - interval 168 hour and ts <= t")
+def q_retained(spark, d):
+    r = _results(spark, d)
+    return _out(summary.retained(r, _now(r)), "variable", "status")
+
+
+_EVIDENCE = "case when eid % 4 = 0 then 1.0 when eid % 4 = 1 then 0.5 else 0.0 end::double physics, ((eid * 7919 + vi * 613) % 1000) / 1000.0::double iforest, case when eid % 5 > 0 then (eid % 9 - 4)::double end spatial_z"
+
+
+@query(rf"select station_id, {TS}, variable, physics < 0.5 physics_ok, abs(spatial_z) <= 3 neighbours_ok, iforest < 0.97 pattern_ok from (select *, {_EVIDENCE} from res)")
+def q_evidence(spark, d):
+    return _out(summary.evidence_flags(_results(spark, d)), "variable", "physics_ok", "neighbours_ok", "pattern_ok")
+
+
+@query(rf""", ev as (select *, {_EVIDENCE} from res), fg as (select f.*, 'reason ' || f.variable || ' ' || (f.eid % 13) reason, {_EVIDENCE} from frun f)
+select station_id, variable, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, p.reason reasons, p.f iforest, p.z spatial_z from (select *, arg_max(struct_pack(reason := reason, f := iforest, z := spatial_z), struct_pack(a := coalesce(abs(value - corrected_value), 0), b := case when abs(value - corrected_value) > 0 then -epoch(ts) else epoch(ts) end)) over (partition by station_id, variable, kind, run) p from fg) group by station_id, variable, kind, run, p""")
+def q_run_evidence(spark, d):
+    r = summary.fault_runs(_results(spark, d))
+    return r.select("station_id", "variable", _time("start"), F.array_join("reasons", ",").alias("reasons"), F.col("scores.iforest").alias("iforest"), F.col("scores.spatial_z").alias("spatial_z"))
+
+
+@query(rf""", ev as (select *, 'reason ' || variable || ' ' || (eid % 13) reason, {_EVIDENCE} from res where status = 'GENUINE_EVENT'),
+pick as (select * from ev qualify row_number() over (partition by station_id, ts order by variable <> 'temp_c', variable) = 1),
+told as (select v.station_id, v.s, v.e, a.reason, b.iforest, b.spatial_z from sev v join pick a on a.station_id = v.station_id and a.ts = v.s join pick b on b.station_id = v.station_id and b.ts = v.e)
+select w.station_id, strftime(w.s, '%Y-%m-%d %H:%M:%S') as start, t.reason reasons, t.iforest, t.spatial_z from wev w join told t on t.station_id = w.station_id and t.s = w.s""")
+def q_event_evidence(spark, d):
+    w = summary.weather_events(_results(spark, d))
+    return w.select("station_id", _time("start"), F.array_join("reasons", ",").alias("reasons"), F.col("scores.iforest").alias("iforest"), F.col("scores.spatial_z").alias("spatial_z"))
+
+
+@query(rf""", near as (select n.ts, n.variable, quantile_cont(n.value, 0.5) median from edges e join lng n on n.station_id = e.neighbour_id join limits l on l.variable = n.variable where e.station_id = 'ST-3' and n.value between lo and hi group by all),
+w as (select distinct ts, true weather from res where station_id = 'ST-3' and status = 'GENUINE_EVENT'),
+own as (select ts, case when temp_c between -30 and 55 then temp_c end t, case when rh_pct between 0 and 102 then rh_pct end h from readings where station_id = 'ST-3'),
+dw as (select ts, 243.12 * g / nullif(17.62 - g, 0) dewpoint from (select ts, ln(greatest(h, 0.001) / 100.0) + 17.62 * t / nullif(243.12 + t, 0) g from own)),
+p as (select x.station_id, x.ts, x.variable, case when x.value between lo and hi then x.value end reported, case when x.variable = 'temp_c' then round(dw.dewpoint, 6) end dewpoint, r.status, r.fault_type, case when r.status in ('SUSPECT', 'SENSOR_FAULT') then r.corrected_value end corrected, coalesce(weather, false) weather, median
+  from lng x join limits l on l.variable = x.variable cross join now join res r on r.station_id = x.station_id and r.ts = x.ts and r.variable = x.variable left join w on w.ts = x.ts left join near n on n.ts = x.ts and n.variable = x.variable left join dw on dw.ts = x.ts where x.station_id = 'ST-3' and x.ts > t - interval 48 hour)
+select station_id, {TS}, variable, reported, dewpoint, status, fault_type, corrected, weather, median, case when status in ('SUSPECT', 'SENSOR_FAULT') then coalesce(reported, corrected) end mark from p""")
+def q_station_panel(spark, d):
+    r = _results(spark, d)
+    p = summary.station_panel(_readings(spark, d).drop("event_id"), r, _edges(spark, d), "ST-3", _now(r))
+    return _out(p, "variable", "reported", _r("dewpoint"), "status", "fault_type", "corrected", "weather", "median", "mark")
 
 
 @query("""select r.station_id, r.variable, r.trust, l.fault_type last_fault from res r join now on r.ts = t left join (select station_id, variable, arg_max(fault_type, ts) fault_type from res where status = 'SENSOR_FAULT' and fault_type is not null group by all) l on l.station_id = r.station_id and l.variable = r.variable where r.trust < 50""")
@@ -342,10 +430,10 @@ def q_maintenance(spark, d):
     return summary.maintenance(r, _now(r))
 
 
-@query("""select strftime(s, '%Y-%m-%d %H:%M') as start, strftime(e, '%Y-%m-%d %H:%M') as "end", cast((epoch(e) - epoch(s)) / 3600 + 1 as bigint) as hours, r.station_id || ' ' || coalesce(st.name, '') station, variable sensor, status, coalesce(fault_type, '') fault_type, coalesce(severity, '') severity, peak.v reported, peak.c corrected from fruns r left join stations st on st.station_id = r.station_id and st.s_suppkey < 8
-union all select strftime(s, '%Y-%m-%d %H:%M'), strftime(e, '%Y-%m-%d %H:%M'), cast((epoch(e) - epoch(s)) / 3600 + 1 as bigint), stations, '', 'GENUINE_EVENT', '', '', null, null from wev""")
+@query("""select strftime(s, '%Y-%m-%d %H:%M') as start, strftime(e, '%Y-%m-%d %H:%M') as "end", cast((epoch(e) - epoch(s)) / 3600 + 1 as bigint) as hours, r.station_id || ' ' || coalesce(st.name, '') station, variable sensor, status, coalesce(fault_type, '') fault_type, coalesce(severity, '') severity, round(confidence, 2) confidence, peak.v reported, peak.c corrected from fruns r left join stations st on st.station_id = r.station_id and st.s_suppkey < 8
+union all select strftime(s, '%Y-%m-%d %H:%M'), strftime(e, '%Y-%m-%d %H:%M'), cast((epoch(e) - epoch(s)) / 3600 + 1 as bigint), stations, '', 'GENUINE_EVENT', '', '', round(confidence, 2), null, null from wev""")
 def q_alert_log(spark, d):
-    return summary.alert_log(_results(spark, d), _stations(spark, d)).drop("confidence")
+    return summary.alert_log(_results(spark, d), _stations(spark, d))
 
 
 @query("""select s.station_id, v.variable, strftime(r.ts, '%Y-%m-%d %H:%M:%S') ts, r.status from stations s cross join limits v left join (select * from res, now where ts > t - interval 72 hour and ts <= t) r on r.station_id = s.station_id and r.variable = v.variable where s.s_suppkey < 8""")
@@ -354,12 +442,12 @@ def q_health_matrix(spark, d):
     return _out(summary.health_matrix(r, _stations(spark, d), _now(r)), "variable", "status")
 
 
-@query("""select x.a, x.b, case when sa = 'SENSOR_FAULT' or sb = 'SENSOR_FAULT' then 'fault' when sa = 'GENUINE_EVENT' and sb = 'GENUINE_EVENT' then 'weather' else 'plain' end state from (select l.a, l.b, p.status sa, q.status sb from (select distinct least(station_id, neighbour_id) a, greatest(station_id, neighbour_id) b from (select * from (select *, round(km, 1) d from edges) qualify row_number() over (partition by station_id order by d, neighbour_id) <= 3)) l
+@query("""select x.a, x.b, case when sa = 'SENSOR_FAULT' or sb = 'SENSOR_FAULT' then 'fault' when sa = 'GENUINE_EVENT' and sb = 'GENUINE_EVENT' then 'weather' else 'plain' end state from (select l.a, l.b, p.status sa, q.status sb from (select distinct least(station_id, neighbour_id) a, greatest(station_id, neighbour_id) b from (select * from edges qualify row_number() over (partition by station_id order by km, neighbour_id) <= 3)) l
 left join (select station_id, ['NORMAL', 'GENUINE_EVENT', 'SUSPECT', 'SENSOR_FAULT'][max(case status when 'NORMAL' then 1 when 'GENUINE_EVENT' then 2 when 'SUSPECT' then 3 else 4 end)] status from res, now where ts = t group by 1) p on p.station_id = l.a
 left join (select station_id, ['NORMAL', 'GENUINE_EVENT', 'SUSPECT', 'SENSOR_FAULT'][max(case status when 'NORMAL' then 1 when 'GENUINE_EVENT' then 2 when 'SUSPECT' then 3 else 4 end)] status from res, now where ts = t group by 1) q on q.station_id = l.b) x""")
 def q_link_states(spark, d):
     r = _results(spark, d)
-    return summary.link_states(r, geo.nearest_links(_edges(spark, d)), _now(r))
+    return summary.link_states(r, geo.nearest_links(_stations(spark, d)), _now(r))
 
 
 @query(rf"select station_id, {TS}, variable, label, event_name event_id, true_value, status from res where status <> 'NORMAL'")
@@ -369,12 +457,22 @@ def q_align(spark, d):
     return _out(evaluate.align(r.drop("label", "event_id", "true_value"), wide).where("status <> 'NORMAL'"), "variable", "label", "event_id", "true_value", "status")
 
 
-@query("""select f.fault_type, coalesce(tp, 0) tp, coalesce(fp, 0) fp, coalesce(fn, 0) fn, round(case when coalesce(tp, 0) + coalesce(fp, 0) > 0 then tp / (tp + coalesce(fp, 0)) else 0 end, 3) as precision, round(case when coalesce(tp, 0) + coalesce(fn, 0) > 0 then tp / (tp + fn) else 0 end, 3) recall
+@query("""select fault_type, tp, fp, fn, tp + fn events, round(pr, 4) as precision, round(rc, 4) recall, round(case when round(pr, 4) + round(rc, 4) > 0 then 2 * round(pr, 4) * round(rc, 4) / (round(pr, 4) + round(rc, 4)) else 0 end, 4) f1
+from (select f.fault_type, coalesce(tp, 0) tp, coalesce(fp, 0) fp, coalesce(fn, 0) fn, case when coalesce(tp, 0) + coalesce(fp, 0) > 0 then tp / (tp + coalesce(fp, 0)) else 0 end pr, case when coalesce(tp, 0) + coalesce(fn, 0) > 0 then tp / (tp + fn) else 0 end rc
 from (values ('SPIKE'), ('FROZEN'), ('DRIFT'), ('DROPOUT'), ('NOISE'), ('OUT_OF_RANGE')) f(fault_type)
 left join (select label, count(*) filter (hit) tp, count(*) filter (not hit) fn from (select label, variable, event_name, bool_or(status in ('SUSPECT', 'SENSOR_FAULT')) hit from res where label <> 'NONE' group by all) group by 1) h on h.label = f.fault_type
-left join (select fault_type, sum(fresh)::bigint fp from (select fault_type, case when ts - lag(ts) over (partition by station_id, variable, fault_type order by ts) = interval 1 hour then 0 else 1 end fresh from res where status in ('SUSPECT', 'SENSOR_FAULT') and label = 'NONE' and fault_type is not null) group by 1) p on p.fault_type = f.fault_type""")
+left join (select fault_type, sum(fresh)::bigint fp from (select fault_type, case when ts - lag(ts) over (partition by station_id, variable, fault_type order by ts) = interval 1 hour then 0 else 1 end fresh from res where status in ('SUSPECT', 'SENSOR_FAULT') and label = 'NONE' and fault_type is not null) group by 1) p on p.fault_type = f.fault_type)""")
 def q_scorecard(spark, d):
-    return evaluate.fault_scores(_results(spark, d)).select("fault_type", "tp", "fp", "fn", _r("precision", digits=3), _r("recall", digits=3))
+    return evaluate.fault_scores(_results(spark, d)).select("fault_type", "tp", "fp", "fn", "events", "precision", "recall", "f1")
+
+
+@query("""select unnest(['False alarms during storms', 'False alarms, normal weather', 'Fault type named correctly', 'Mean check time']) as name, unnest([s, n, a, l]) as value, unnest([printf('%.1f%%', s * 100), printf('%.1f%%', n * 100), printf('%.1f%%', a * 100), printf('%.0f ms', l)]) as text
+from (select round(count(*) filter (status = 'SENSOR_FAULT' and label = 'NONE' and storm) / greatest(count(*) filter (label = 'NONE' and storm), 1), 4) s, round(count(*) filter (status = 'SENSOR_FAULT' and label = 'NONE' and not storm) / greatest(count(*) filter (label = 'NONE' and not storm), 1), 4) n,
+round(count(*) filter (flagged and label <> 'NONE' and fault_type = label) / nullif(count(*) filter (flagged and label <> 'NONE'), 0), 4) a, round(avg(eid % 40), 2) l from (select *, event_name like 'STORM%' storm, status in ('SUSPECT', 'SENSOR_FAULT') flagged from res))""")
+def q_scorecard_tiles(spark, d):
+    r = _results(spark, d)
+    latency = evaluate.mean_latency(_long(spark, d).select((F.col("event_id") % 40).cast("string").alias("latency_ms")))
+    return evaluate.scorecard_tiles(evaluate.overall_rates(r), latency)
 
 
 @query("""select round(count(*) filter (status = 'SENSOR_FAULT' and label = 'NONE' and not storm) / greatest(count(*) filter (label = 'NONE' and not storm), 1), 3) far_normal, round(count(*) filter (status = 'SENSOR_FAULT' and label = 'NONE' and storm) / greatest(count(*) filter (label = 'NONE' and storm), 1), 3) far_storm,
@@ -392,79 +490,136 @@ def q_impute_mae(spark, d):
 _SCORES = ", sc as (select *, ((eid * 7919 + vi * 613) % 1000) / 1000.0::double ml from res)"
 
 
-@query(_SCORES + """ select high, suspect, count(*) filter (ml >= suspect and label <> 'NONE') tp, count(*) filter (ml < suspect and label <> 'NONE') fn, round(count(*) filter (ml >= suspect and label <> 'NONE') / count(*) filter (label <> 'NONE'), 3) recall
-from sc cross join (values (0.97::double), (0.98), (0.985), (0.99), (0.995)) h(high) cross join (values (0.9::double), (0.93), (0.95), (0.97)) s(suspect) where suspect < high group by all""")
-def q_threshold_sweep(spark, d):
+_SWEPT = _SCORES + """, swept as (select high, suspect, sigma, count(*) filter (ml >= suspect and label <> 'NONE') tp, count(*) filter (ml < suspect and label <> 'NONE') fn, count(*) filter (ml >= suspect and label <> 'NONE') / count(*) filter (label <> 'NONE') r,
+round(count(*) filter (ml >= suspect and label = 'SPIKE') / nullif(count(*) filter (label = 'SPIKE'), 0), 4) recall_spike, round(count(*) filter (ml >= suspect and label = 'FROZEN') / nullif(count(*) filter (label = 'FROZEN'), 0), 4) recall_frozen, round(count(*) filter (ml >= suspect and label = 'DRIFT') / nullif(count(*) filter (label = 'DRIFT'), 0), 4) recall_drift
+from sc cross join (values (0.97::double), (0.98), (0.985), (0.99), (0.995)) h(high) cross join (values (0.9::double), (0.93), (0.95), (0.97)) s(suspect) cross join (values ('3.0,6.0,10.0'), ('2.5,5.0,8.0'), ('3.5,7.0,12.0')) g(sigma) where suspect < high group by all),
+swept2 as (select high, suspect, sigma, tp, fn, 0 fp, round(case when tp > 0 then 1 else 0 end, 4)::double as precision, round(r, 4) recall, round(case when r > 0 then 2 * r / (1 + r) else 0 end, 4) f1, 0.0::double storm_far, 0.0::double normal_far, recall_spike, recall_frozen, recall_drift from swept)"""
+
+
+def _swept(spark, d):
     r = _results(spark, d).join(_long(spark, d).select("station_id", "ts", "variable", F.col("event_id").alias("eid")), ["station_id", "ts", "variable"])
-    r = r.withColumn("ml_score", ((F.col("eid") * 7919 + by_variable(dict(zip(VARIABLES, (0, 1, 2), strict=True))) * 613) % 1000) / 1000.0).withColumn("is_storm", F.col("event_id").startswith("STORM"))
-    return evaluate.sweep(r).select("high", "suspect", "tp", "fn", _r("recall", digits=3))
+    r = r.withColumn("ml_score", F.col("scores.iforest")).withColumn("is_storm", F.col("event_id").startswith("STORM"))
+    return evaluate.sweep(r)
+
+
+def _sweep_columns(swept):
+    kinds = [F.element_at("per_fault_recall", f).alias(f"recall_{f.lower()}") for f in ("SPIKE", "FROZEN", "DRIFT")]
+    return swept.select("high", "suspect", F.array_join(F.col("sigma").cast("array<string>"), ",").alias("sigma"), "tp", "fn", F.col("fp").cast("int").alias("fp"), "precision", "recall", "f1", "storm_far", "normal_far", *kinds)
 
 
-@query(_SCORES + rf", cal as (select variable, ml score from sc where eid % 3 = 0) select s.station_id, strftime(s.ts, '%Y-%m-%d %H:%M:%S') ts, s.variable, round((select count(*) from cal c where c.variable = s.variable and c.score <= s.ml) / (select count(*) from cal c where c.variable = s.variable), 6) ml_score from sc s where s.eid % 50 = 0")
+@query(_SWEPT + " select * from swept2")
+def q_threshold_sweep(spark, d):
+    return _sweep_columns(_swept(spark, d))
+
+
+@query(_SWEPT + """ select * from swept2 order by f1 desc, storm_far, high, suspect, string_split(sigma, ',')::double[] limit 1""")
+def q_best_thresholds(spark, d):
+    return _sweep_columns(evaluate.best_pair(_swept(spark, d)))
+
+
+@query(_SCORES + rf""", u as (select variable, ml, count(*) filter (eid % 3 = 0) c from sc group by all), v as (select *, sum(c) over (partition by variable order by ml) upto, sum(c) over (partition by variable) total from u)
+select s.station_id, strftime(s.ts, '%Y-%m-%d %H:%M:%S') ts, s.variable, round(upto / total, 6) ml_score, round((upto - c) / total, 6) below from sc s join v on v.variable = s.variable and v.ml = s.ml""")
 def q_percentile_rank(spark, d):
+    """Every row among the calibration of a third of them, from both sides."""
     r = _long(spark, d).withColumn("raw", ((F.col("event_id") * 7919 + by_variable(dict(zip(VARIABLES, (0, 1, 2), strict=True))) * 613) % 1000) / 1000.0)
     cal = r.where("event_id % 3 = 0").select("variable", F.col("raw").alias("score"))
-    return _out(trees.percentile_rank(r.where("event_id % 50 = 0"), cal), "variable", _r("ml_score"))
+    both = trees.percentile_rank(trees.percentile_rank(r, cal).withColumnRenamed("ml_score", "upto"), cal, side="left")
+    return _out(both, "variable", F.round("upto", 6).alias("ml_score"), F.round("ml_score", 6).alias("below"))
 
 
 _T0 = "2024-01-08 00:00:00"
 
 
-def _injected(fault: str, hours: int, magnitude: str):
+def _quoted(rows: list[tuple]) -> str:
+    one = lambda x: "null" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x!r}::double" if isinstance(x, float) else str(x)
+    return ", ".join(f"({', '.join(map(one, r))})" for r in rows)
+
+
+def _injection_sql(faults: list[tuple], storms: list[tuple] = ()) -> str:
+    """The injected readings: storms (event_id, center, second, strength, onset, temp, rh, pressure), then faults (event_id, station, variable, fault, second, hours, magnitude, free)."""
+    none = [("", "", 0, 0.0, 1, 0.0, 0.0, 0.0)]
+    out = rf""", storm(event_name, center, second, strength, onset, temp_drop, rh_rise, pressure_rise) as (values {_quoted(storms or none)}),
+reach as (select s.*, st.station_id, 2 * 6371.0 * asin(sqrt(pow(sin(radians(st.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(st.lat)) * pow(sin(radians(st.lon - c.lon) / 2), 2))) km from storm s join stations c on c.station_id = s.center join stations st on st.s_suppkey < 8),
+wave as (select station_id, to_timestamp(second + 3600 * (cast(round(km / 30) as bigint) + k))::timestamp ts, event_name, strength * case when k < onset then (k + 1) / onset else exp(-(k - onset) / 3) end sh, temp_drop, rh_rise, pressure_rise from (select *, unnest(range(0, onset + 6)) k from reach where km <= 80)),
+fault(event_name, station_id, variable, fault, second, hours, magnitude, free) as (values {_quoted(faults)}),
+b as (select r.station_id, r.ts, event_name storm, case when sh is not null then temp_c - temp_drop * sh else temp_c end temp_c, case when sh is not null then pressure_hpa + pressure_rise * sh else pressure_hpa end pressure_hpa, case when sh is not null then greatest(least(rh_pct + rh_rise * sh, 100), 0) else rh_pct end rh_pct from readings r left join wave w on w.station_id = r.station_id and w.ts = r.ts)"""
+    for v, (lo, hi) in CONFIG["range"].items():
+        jump = f"case when free then case when avg({v}) over e > 50 then -abs(magnitude) else abs(magnitude) end else magnitude end" if v == "rh_pct" else "magnitude"
+        u = lambda a: f"(('0x' || substr(md5(key), {a}, 8))::bigint + 1) / 4294967298.0::double"
+        value = f"""case fault when 'SPIKE' then {v} + {jump} when 'FROZEN' then first_value({v} ignore nulls) over e when 'DRIFT' then {v} + case when count(*) over e > 1 then magnitude * (row_number() over f - 1) / (count(*) over e - 1) else magnitude end
+when 'NOISE' then {v} + magnitude * step * sqrt(-2 * ln({u(1)})) * cos(2 * pi() * {u(9)}) when 'DROPOUT' then magnitude when 'OUT_OF_RANGE' then magnitude else {v} end"""
+        clipped = f"case when fault in ('SPIKE', 'DRIFT', 'NOISE') then greatest(least({value}, 100), 0) else {value} end" if v == "rh_pct" else value
+        out += rf""",
+s_{v} as (select station_id, stddev_samp(d) step from (select station_id, x - lag(x) over (partition by station_id order by ts) d from (select station_id, ts, case when {v} between {lo} and {hi} then {v} end x from b)) group by 1),
+i_{v} as (select station_id, ts, fault, event_name, {clipped} x from (select b.*, f.*exclude (station_id), f.event_name || '|' || strftime(b.ts, '%Y-%m-%d %H:%M:%S') as key, step from b left join fault f on f.station_id = b.station_id and f.variable = '{v}' and epoch(b.ts) >= second and epoch(b.ts) < second + 3600 * hours left join s_{v} on s_{v}.station_id = b.station_id) y
+  window e as (partition by station_id, event_name order by ts rows between unbounded preceding and unbounded following), f as (partition by station_id, event_name order by ts))"""
+    shown = ", ".join(f"round(i_{v}.x, 6) {v}, coalesce(i_{v}.fault, 'NONE') label_{v}" for v in VARIABLES)
+    return out + rf""" select b.station_id, strftime(b.ts, '%Y-%m-%d %H:%M:%S') ts, {shown}, coalesce({', '.join(f'i_{v}.event_name' for v in reversed(VARIABLES))}, storm, '') event_id from b {' '.join(f'join i_{v} on i_{v}.station_id = b.station_id and i_{v}.ts = b.ts' for v in VARIABLES)}"""
+
+
+def _shown(out: DataFrame) -> DataFrame:
+    return _out(out, *map(_r, VARIABLES), *[f"label_{v}" for v in VARIABLES], "event_id")
+
+
+def _seconds(rows: list[tuple], kinds: str, spark) -> DataFrame:
+    return spark.createDataFrame(rows, kinds.replace("start timestamp", "at long")).withColumn("start", F.timestamp_seconds("at")).drop("at")
+
+
+_AT = 1704672000
+
+
+def _injected(fault: str, hours: int, magnitude: float | None, variable: str = "temp_c", free: bool = False):
+    rows = [("E_001", "ST-4", variable, fault, _AT, hours, magnitude, free)]
+
     def run(spark, d):
-        events = spark.createDataFrame([("E_001", "ST-4", "temp_c", fault, hours, None if magnitude == "null" else float(magnitude))], "event_id string, station_id string, variable string, fault string, hours int, magnitude double").withColumn("start", F.to_timestamp(F.lit(_T0)))
-        out = inject.inject_faults(inject.add_labels(_readings(spark, d).drop("event_id")), events)
-        return _out(out.where("station_id = 'ST-4'"), _r("temp_c"), "label_temp_c", "event_id")
+        return _shown(inject.inject_faults(inject.add_labels(_readings(spark, d).drop("event_id")), _seconds(rows, inject.EVENTS + ", free_sign boolean", spark)))
 
-    hit = f"ts >= timestamp '{_T0}' and ts < timestamp '{_T0}' + interval {hours} hour"
-    value = {
-        "SPIKE": f"temp_c + {magnitude}",
-        "FROZEN": f"first_value(temp_c ignore nulls) over (partition by {hit} order by ts rows between unbounded preceding and unbounded following)",
-        "DRIFT": f"temp_c + {magnitude} * (row_number() over (partition by {hit} order by ts) - 1) / greatest(count(*) over (partition by {hit}) - 1, 1)",
-    }.get(fault, f"cast({magnitude} as double)")
-    run.__name__ = f"q_inject_{fault.lower()}"
-    query(rf"select station_id, {TS}, round(case when {hit} then {value} else temp_c end, 6) temp_c, case when {hit} then '{fault}' else 'NONE' end label_temp_c, case when {hit} then 'E_001' else '' end event_id from readings where station_id = 'ST-4'")(run)
+    run.__name__ = f"q_inject_{fault.lower()}" + ("_rh" if variable == "rh_pct" else "")
+    query(_injection_sql(rows))(run)
 
 
-for _fault in (("SPIKE", 2, "12.5"), ("FROZEN", 20, "0"), ("DRIFT", 73, "4"), ("DROPOUT", 8, "null"), ("OUT_OF_RANGE", 10, "60")):
+for _fault in (("SPIKE", 2, 12.5), ("SPIKE", 2, 30.0, "rh_pct", True), ("FROZEN", 20, 0.0), ("DRIFT", 73, 4.0), ("DROPOUT", 8, None), ("OUT_OF_RANGE", 10, 60.0), ("NOISE", 24, 3.0), ("NOISE", 24, 3.0, "rh_pct")):
     _injected(*_fault)
 
 
-@query(rf"""select r.station_id, strftime(r.ts, '%Y-%m-%d %H:%M:%S') ts, round(case when sh is not null then temp_c - 7 * sh else temp_c end, 6) temp_c, round(case when sh is not null then pressure_hpa + 2.5 * sh else pressure_hpa end, 6) pressure_hpa, round(case when sh is not null then greatest(least(rh_pct + 25 * sh, 100), 0) else rh_pct end, 6) rh_pct, case when sh is not null then 'STORM_001' else '' end event_id
-from readings r left join (select station_id, timestamp '{_T0}' + to_hours(cast(round(km / 30) as int) + k) ts, case when k < 2 then (k + 1) / 2 else exp(-(k - 1) / 3) end sh from (select neighbour_id station_id, km from edges where station_id = 'ST-1' and km <= 80 union all select 'ST-1', 0) s cross join (select unnest(range(0, 8)) k)) w on w.station_id = r.station_id and w.ts = r.ts""")
+@query(_injection_sql([("", "", "", "", 0, 0, 0.0, False)], [("STORM_001", "ST-1", _AT, 1.0, 2, 7.0, 25.0, 2.5)]))
 def q_inject_storm(spark, d):
-    out = inject.inject_storm(inject.add_labels(_readings(spark, d).drop("event_id")), _stations(spark, d), "ST-1", _T0)
-    return _out(out, *[_r(v) for v in VARIABLES], "event_id")
+    return _shown(inject.inject_storm(inject.add_labels(_readings(spark, d).drop("event_id")), _stations(spark, d), "ST-1", _T0))
 
 
-@query()
-def q_inject_noise(spark, d):
-    events = spark.createDataFrame([("NOISE_001", "ST-4", "temp_c", "NOISE", 24, 3.0)], "event_id string, station_id string, variable string, fault string, hours int, magnitude double").withColumn("start", F.to_timestamp(F.lit(_T0)))
-    return _out(inject.inject_faults(inject.add_labels(_readings(spark, d).drop("event_id")), events).where("label_temp_c = 'NOISE'"), "temp_c", "label_temp_c", "event_id")
+#: The network of the tables as the plan of a test set takes it, and a plan for a month of it.
+_PLACES = [(f"ST-{k + 1}", 28 + (k * 37 % 64) / 128, 77 + (k * 11 % 64) / 128) for k in range(8)]
+_FRONTS, _FAULTS = inject.plan_test_set(_PLACES, 1704067200, 720, per_fault=4, storms=3)
 
 
-@query()
+@query(_injection_sql(_FAULTS, _FRONTS))
 def q_build_test_set(spark, d):
-    rows = inject.plan_test_set([f"ST-{k}" for k in range(1, 9)], 1704067200, 720, per_fault=4)
-    events = spark.createDataFrame(rows, "event_id string, station_id string, variable string, fault string, at long, hours int, magnitude double").withColumn("start", F.timestamp_seconds("at")).drop("at")
-    out = inject.inject_faults(inject.add_labels(_readings(spark, d).drop("event_id")), events)
-    return out.where("event_id <> ''").groupBy("event_id").agg(F.count("*").alias("hours")).orderBy("event_id")
+    """Three storms and four faults of each kind, as far as they find room."""
+    out = inject.inject_storms(inject.add_labels(_readings(spark, d).drop("event_id")), _stations(spark, d), _seconds(_FRONTS, inject.STORMS, spark))
+    return _shown(inject.inject_faults(out, _seconds(_FAULTS, inject.EVENTS + ", free_sign boolean", spark)))
 
 
 @query()
 def q_iforest_score(spark, d):
     f = feats.feature_frame(_readings(spark, d), _clim(spark, d))
-    forest = trees.Forest(trees.fit_forest(f, trees=25))
+    forest = trees.Forest(trees.fit_forest(f))
     return _out(trees.score_forest(f, forest, trees.calibrate(f, forest)), "variable", "raw", "ml_score")
 
 
-@query()
+_REASONS = """[case when missing then variable || ' is missing or a dropout value' end, case when out_of_range then variable || '=' || printf('%.2f', round(value, 2)) || ' is outside the physical range' end,
+case when roc_soft or roc_hard then variable || ' changed by ' || printf('%.2f', round(abs(value - lag1), 2)) || ' since the last reading' end, case when dewpoint_max then 'The implied dewpoint of ' || printf('%.1f', round(dewpoint, 1)) || ' °C is more than air can hold' end,
+case when dewpoint_jump then 'The implied dewpoint changed by ' || printf('%.1f', round(abs(dewpoint - prev_dewpoint), 1)) || ' °C' end, case when flatline then variable || ' has stayed at ' || printf('%.2f', round(value, 2)) end,
+case when apart then 'Temperature jumped by ' || printf('%.1f', round(abs(value - lag1), 1)) || ' °C alone' end, case when n > 0 then n::bigint || ' neighbouring stations ' || case when consistent then 'agree' else 'disagree' end || ' (z = ' || printf('%.1f', round(coalesce(z, 0), 1)) || ')' end]"""
+
+
+@query(rf"select station_id, {TS}, variable, status, case when len(rs) > 0 then array_to_string(rs[1:4], ' | ') when ml >= 0.95 then 'The pattern is very unusual for this sensor' else 'No single strong signal' end reasons from (select *, list_filter({_REASONS}, lambda x: x is not null) rs from dec where status <> 'NORMAL')")
 def q_explain(spark, d):
     x = fusion.explain(fusion.decide(_signals(spark, d))).where("status <> 'NORMAL'")
     return _out(x, "variable", "status", F.array_join("reasons", " | ").alias("reasons"))
 
 
-@query()
+@query(rf""", rf as (select station_id, variable, list(d order by ts) ds, list(ts order by ts) tss from (select station_id, variable, ts, case when status = 'SENSOR_FAULT' then -(case severity when 'MEDIUM' then 5 when 'HIGH' then 10 when 'CRITICAL' then 20 else 2 end)::double when status = 'NORMAL' then 0.5 else 0 end d from res) group by all),
+rp as (select station_id, variable, unnest(tss) ts, unnest(list_transform(range(1, len(ds) + 1), lambda i: list_reduce(list_prepend(100.0::double, ds[1:i]), lambda a, x: least(greatest(a + x, 0), 100)))) trust from rf) select station_id, {TS}, variable, trust from rp""")
 def q_stream_replay(spark, d):
     """Trust by keyed state over a stream of the fixed results, one file at a time."""
     base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"

@@ -19,19 +19,22 @@ RESULT = ("station_id", "ts", "variable", "value", "status", "fault_type", "conf
 
 
 def signals(readings: DataFrame, clim: DataFrame, edges: DataFrame, keep: tuple = ()) -> DataFrame:
-    """One row for each sensor and hour with rules, climatology, neighbours' verdict and pattern columns."""
+    """One row for each sensor and hour with rules, climatology, neighbours' verdict, pattern columns and extrapolation.
+
+    The history is computed once: all of its windows share one deal by station, and what neighbours say needs the
+    anomalies alone, which come straight from the readings.
+    """
     x = physics.check_physics(physics.rule_flags(history.sensor_history(readings, keep)))
-    x = history.usual_spread(history.pattern_columns(x))
-    x = with_climatology(x, clim)
-    near = spatial.around(x, edges)
-    x = x.join(spatial.spatial_check(x, near), ["station_id", "ts", "variable"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return x.join(spatial.neighbour_anomaly(x, near), ["station_id", "ts", "variable"], "left")
+    x = heal.extrapolate(history.usual_spread(history.pattern_columns(x)))
+    anomalies = with_climatology(long_form(readings), clim)
+    near = spatial.neighbour_signals(anomalies, spatial.around(anomalies, edges))
+    return with_climatology(x, clim).join(near, ["station_id", "ts", "variable"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def verdicts(sig: DataFrame, **limits) -> DataFrame:
     """sig and ml_score -> RESULT; what only flagged rows need is a case that others don't enter."""
     x = fusion.explain(fusion.fingerprint(fusion.decide(sig, **limits)))
-    x = heal.impute(heal.extrapolate(x))
+    x = heal.impute(x)
     normal, fixed = F.col("status") == "NORMAL", F.col("status").isin("SENSOR_FAULT", "SUSPECT")
     none = lambda c, kind: F.when(~normal, F.col(c)).otherwise(F.lit(None).cast(kind))
     top = F.col("shap_top") if "shap_top" in x.columns else F.array().cast("array<struct<label:string,contribution:double>>")

@@ -41,6 +41,21 @@ def land(readings: DataFrame, path: str) -> None:
     readings.join(kept, "station_id", "left_semi").write.mode("overwrite").partitionBy("station_id").parquet(path)
 
 
+def sample_of(readings: DataFrame, stations: int = 2, days: int = 31) -> DataFrame:
+    """The first stations by name, and the first days of their record together."""
+    first = readings.select("station_id").distinct().orderBy("station_id").limit(stations)
+    own = readings.join(F.broadcast(first), "station_id", "left_semi")
+    begin = own.agg(F.min("ts").alias("_begin"))
+    return own.crossJoin(F.broadcast(begin)).where(F.unix_timestamp("ts") < F.unix_timestamp("_begin") + days * 86400).drop("_begin")
+
+
+def scan_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """A metrics file as one row: per_fault by kind, the false alarm rates, accuracy of kinds, imputation errors and mean latency."""
+    score = "struct<precision:double,recall:double,f1:double,events:long,tp:long,fp:long,fn:long>"
+    kind = f"per_fault map<string,{score}>, false_alarm_rate_normal double, false_alarm_rate_storm double, fault_type_accuracy double, impute_mae map<string,double>, latency_ms_mean double"
+    return spark.read.schema(kind).option("multiLine", "true").json(path)
+
+
 def export_csv(log: DataFrame, path: str) -> None:
     log.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 

@@ -1,13 +1,14 @@
 """Known cases of the sensor operators on hand-made rows."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from brontide.config import VARIABLES
 from brontide.functions.scalars import dewpoint_c, haversine_km, severity
-from brontide.operators import climatology, evaluate, forest, fusion, geo, heal, history, ingest, inject, physics, summary
+from brontide.operators import climatology, evaluate, forest, fusion, geo, heal, history, ingest, inject, physics, spatial, summary
 from brontide.operators.features import feature_frame
 from brontide.plans import detect
 from brontide.sources import readings as src
@@ -136,17 +137,92 @@ def test_preview_reads_labels(spark):
 
 def test_unknown_fault_is_refused(spark):
     events = spark.createDataFrame([("X", "A", "temp_c", "MELTED", 1, 0.0)], "event_id string, station_id string, variable string, fault string, hours int, magnitude double").withColumn("start", F.current_timestamp())
-    with pytest.raises(ValueError, match="unknown"):
-        inject.inject_faults(inject.add_labels(network(spark, 5)), events)
+    with pytest.raises(Exception, match="unknown kind of fault: MELTED"):
+        inject.inject_faults(inject.add_labels(network(spark, 5)), events).collect()
 
 
 def test_planned_events_leave_gaps():
-    rows = inject.plan_test_set(["A", "B"], 0, 5000, per_fault=5)
-    for s in ("A", "B"):
-        own = sorted((r[4] // 3600, r[4] // 3600 + r[5]) for r in rows if r[1] == s)
+    places = [(s, lat, lon) for s, _, lat, lon, _ in STATIONS]
+    storms, faults = inject.plan_test_set(places, 0, 5000, per_fault=5, storms=4)
+    assert len(storms) == 4 and len(faults) > 20 and all(r[7] == (r[2] == "rh_pct" and r[3] == "SPIKE") for r in faults)
+    for s in ("A", "B", "C"):
+        # all stations lie within a storm's reach, and it takes at most eleven hours
+        own = sorted([(r[4] // 3600, r[4] // 3600 + r[5]) for r in faults if r[1] == s] + [(r[2] // 3600, r[2] // 3600 + 11) for r in storms])
         assert all(b + 6 <= c for (_, b), (c, _) in zip(own, own[1:], strict=False))
 
 
+def test_test_set_holds_storms_and_faults(spark):
+    out = inject.build_test_set(network(spark, 900), stations(spark), per_fault=1, storms=2)
+    by = {r[0]: r[1] for r in out.groupBy("event_id").count().collect()}
+    assert {"STORM_001", "STORM_002"} < by.keys() and sum(k.startswith(("STORM", "")) for k in by) == len(by) and out.count() == 2700
+    assert out.where("event_id like 'STORM%' and label_temp_c <> 'NONE'").count() == 0
+    calm = out.join(network(spark, 900).select("station_id", "ts", F.col("temp_c").alias("t")), ["station_id", "ts"])
+    assert calm.where("event_id = '' and temp_c <> t").count() == 0 and calm.where("event_id like 'STORM%' and temp_c >= t").count() == 0
+
+
+def test_noise_is_scaled_by_the_usual_step(spark):
+    rows = [("A", k, 20.0 + 3 * (k % 2), 1000.0, 50.0) for k in range(600)]
+    r = spark.createDataFrame(rows, "station_id string, k int, temp_c double, pressure_hpa double, rh_pct double").select("station_id", F.timestamp_seconds(F.col("k") * 3600).alias("ts"), *VARIABLES)
+    events = spark.createDataFrame([("N", "A", "temp_c", "NOISE", 600, 2.0)], "event_id string, station_id string, variable string, fault string, hours int, magnitude double").withColumn("start", F.timestamp_seconds(F.lit(0)))
+    out = inject.inject_faults(inject.add_labels(r), events)
+    d = out.agg(F.stddev_samp(F.col("temp_c") - F.col("orig_temp_c")), F.avg(F.col("temp_c") - F.col("orig_temp_c"))).first()
+    assert 5.3 < d[0] < 6.7 and abs(d[1]) < 0.8  # steps of 3 up and down deviate by 3
+    assert [x["temp_c"] for x in out.orderBy("ts").collect()] == [x["temp_c"] for x in inject.inject_faults(inject.add_labels(r.repartition(7)), events).orderBy("ts").collect()]
+
+
+def test_remote_stations_have_links_too(spark):
+    rows = [*STATIONS, ("X", "X", -33.9, 151.2, 10), ("Y", "Y", 64.1, -21.9, 10)]
+    got = {(r["a"], r["b"]) for r in geo.nearest_links(spark.createDataFrame(rows, src.STATIONS), 2).collect()}
+    km = lambda p, q: math.acos(min(1.0, math.sin(math.radians(p[2])) * math.sin(math.radians(q[2])) + math.cos(math.radians(p[2])) * math.cos(math.radians(q[2])) * math.cos(math.radians(p[3] - q[3]))))
+    want = {tuple(sorted((p[0], q[0]))) for p in rows for q in sorted((q for q in rows if q is not p), key=lambda q: km(p, q))[:2]}
+    assert got == want
+    alone = spark.createDataFrame(rows[:1], src.STATIONS)
+    assert geo.nearest_links(alone).count() == 0 and geo.nearest_links(alone.limit(0)).count() == 0
+
+
+def test_neighbours_in_one_pass_say_what_they_say_apart(spark):
+    r = network(spark, 60).where("not (station_id = 'B' and hour(ts) % 7 = 0)")
+    a = climatology.with_climatology(ingest.long_form(r), climatology.fit_climatology(ingest.long_form(network(spark))))
+    near = spatial.around(a, geo.neighbour_edges(stations(spark)))
+    keys = ["station_id", "ts", "variable"]
+    both = spatial.neighbour_signals(a, near).orderBy(*keys)
+    apart = spatial.neighbour_anomaly(a, near).join(spatial.spatial_check(a, near), keys, "left").withColumn("n", F.coalesce("n", F.lit(0))).select(*both.columns).orderBy(*keys)
+    assert both.collect() == apart.collect()
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 4096])
+def test_percentile_ranks_match_counting(spark, buckets):
+    rng = random.Random(buckets)
+    values = [round(rng.uniform(-0.2, 1.3), 2) for _ in range(300)]
+    cal = spark.createDataFrame([(v, s) for v in ("a", "b") for s in values], "variable string, score double")
+    asked = [round(rng.uniform(-0.4, 1.5), 2) for _ in range(80)]
+    rows = spark.createDataFrame([(rng.choice("ab"), x, k) for k, x in enumerate(asked)], "variable string, raw double, k int")
+    for side in ("left", "right"):
+        got = {r["k"]: r["ml_score"] for r in forest.percentile_rank(rows, cal, buckets, side).collect()}
+        assert got == {k: sum(s < x or side == "right" and s == x for s in values) / 300 for k, x in enumerate(asked)}
+
+
+def test_calibration_counts_every_row(spark):
+    r = network(spark, 100)
+    f = feature_frame(r, climatology.fit_climatology(ingest.long_form(r)))
+    model = forest.Forest(forest.fit_forest(f, trees=10))
+    known = forest.calibrate(f, model)
+    assert {v: int(k[1].sum()) for v, k in known.items()} == dict.fromkeys(VARIABLES, 300)
+    raw = {v: sorted(round(x["raw"], forest.DIGITS) for x in forest.score_forest(f, model).where(F.col("variable") == v).collect()) for v in VARIABLES}
+    for x in forest.score_forest(f, model, known).sample(0.2, 1).collect():
+        assert abs(x["ml_score"] - sum(s <= round(x["raw"], forest.DIGITS) for s in raw[x["variable"]]) / 300) < 1e-9
+
+
+def test_metrics_file_and_sample(spark, tmp_path):
+    (tmp_path / "metrics.json").write_text('{"per_fault": {"SPIKE": {"precision": 0.9, "recall": 0.8, "f1": 0.85, "events": 10}}, "false_alarm_rate_normal": 0.01, "false_alarm_rate_storm": null, "fault_type_accuracy": null, "impute_mae": {"temp_c": 0.5}, "latency_ms_mean": 4.0}')
+    m = src.scan_metrics(spark, f"file://{tmp_path}/metrics.json")
+    assert m.first()["per_fault"]["SPIKE"]["f1"] == 0.85
+    tiles = {r["name"]: r["text"] for r in evaluate.scorecard_tiles(m, m).collect()}
+    assert tiles == {"False alarms during storms": "-", "False alarms, normal weather": "1.0%", "Fault type named correctly": "-", "Mean check time": "4 ms"}
+    s = src.sample_of(network(spark, 900), 2, 31)
+    assert {r[0] for r in s.select("station_id").distinct().collect()} == {"A", "B"} and s.count() == 2 * 31 * 24
+
+
 def test_forest_round_trip_and_order(spark, tmp_path):
     r = network(spark, 240)
     f = feature_frame(r, climatology.fit_climatology(ingest.long_form(r)))
