@@ -35,20 +35,26 @@ def trust_change(status="status", severity="severity"):
     return F.when(F.col(status) == "SENSOR_FAULT", -penalty[F.coalesce(severity, F.lit("LOW"))]).when(F.col(status) == "NORMAL", CONFIG["trust_recovery"]).otherwise(0.0)
 
 
-def trust_scores(results: DataFrame) -> DataFrame:
-    """results (station_id, variable, ts, status, severity) with trust: changes added in order of time, kept within 0 and 100.
+def trust_scores(results: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """results (station_id, variable, ts, status, severity) with trust: changes added in order of time, kept within 0 and 100,
+    from the usual start or from that of each sensor in start (station_id, variable, trust).
 
     A fold with two bounds is no window aggregate: each sensor's changes go through one pass in a task, and its rows
     pass through whole.
     """
 
+    given = start is not None
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.take(pa.array(np.argsort(table["ts"].cast(pa.int64()).to_numpy(), kind="stable")))
-        now, out = CONFIG["trust_start"], []
+        known = table["_start"][0].as_py() if given and table.num_rows else None
+        now, out = CONFIG["trust_start"] if known is None else known, []
         for d in table["_change"].to_pylist():
             now = min(max(now + d, 0.0), 100.0)
             out.append(now)
-        return table.drop_columns(["_change"]).append_column("trust", pa.array(out, pa.float64()))
+        return table.drop_columns([c for c in ("_change", "_start") if c in table.column_names]).append_column("trust", pa.array(out, pa.float64()))
 
     changes = results.withColumn("_change", trust_change())
+    if given:
+        changes = changes.join(start.select("station_id", "variable", F.col("trust").alias("_start")), ["station_id", "variable"], "left")
     return changes.groupBy("station_id", "variable").applyInArrow(run, StructType([*results.schema.fields, StructField("trust", DoubleType())]))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brontide.config import CONFIG
+from brontide.config import CONFIG, VARIABLES
 from brontide.functions.scalars import array_median, by_variable, in_range
+from brontide.operators.climatology import with_climatology
+from brontide.operators.ingest import long_form
 
 
 def around(anomalies: DataFrame, edges: DataFrame) -> DataFrame:
@@ -50,9 +52,13 @@ def neighbour_anomaly(home: DataFrame, near: DataFrame) -> DataFrame:
 
 def neighbour_signals(home: DataFrame, near: DataFrame) -> DataFrame:
     """What spatial_check and neighbour_anomaly say, from one pass over the hours around: z, n, offset, consistent and near_anomaly."""
-    enough = F.size("all") >= CONFIG["min_neighbours"]
-    stats = near.withColumn("med", array_median(F.col("all"))).select("station_id", "ts", "variable", "good", "med", F.when(enough, F.size("all")).alias("n"), array_median(F.transform("all", lambda a: F.abs(a - F.col("med")))).alias("mad"))
-    x = _at_offsets(home.select("station_id", "ts", "variable", "anomaly"), stats)
+    return _verdicts(_at_offsets(home.select("station_id", "ts", "variable", "anomaly"), near.select("station_id", "ts", "variable", "all", "good")))
+
+
+def _verdicts(x: DataFrame) -> DataFrame:
+    """x: a home reading's anomaly beside its neighbours' at each offset."""
+    n = F.when(F.size("all") >= CONFIG["min_neighbours"], F.size("all"))
+    x = x.withColumn("med", array_median(F.col("all"))).withColumns({"n": n, "mad": array_median(F.transform("all", lambda a: F.abs(a - F.col("med"))))})
     z = (F.col("anomaly") - F.col("med")) / (1.4826 * F.col("mad") + by_variable(CONFIG["mad_floor"]))
     best = F.min_by(F.struct("z", "n", "offset"), F.when(F.col("n").isNotNull(), F.struct(F.abs("z").alias("a"), "offset")))
     g = x.withColumn("z", z).groupBy("station_id", "ts", "variable").agg(best.alias("b"), array_median(F.flatten(F.collect_list("good"))).alias("near_anomaly"))
@@ -60,6 +66,27 @@ def neighbour_signals(home: DataFrame, near: DataFrame) -> DataFrame:
     return g.select("station_id", "ts", "variable", "b.z", F.coalesce("b.n", F.lit(0)).alias("n"), "b.offset", consistent.alias("consistent"), "near_anomaly")
 
 
+def asof_signals(readings: DataFrame, clim: DataFrame, edges: DataFrame, tolerance_s: int = 1800) -> DataFrame:
+    """neighbour_signals of readings at any times: at each offset a neighbour speaks by its reading nearest to that time, the earlier of
+    two equally near ones, if it is within the tolerance; its usual value is that of the hour asked for.
+
+    Readings are posted in slots of the tolerance's length and the two beside, so the join is one of equal slots.
+    """
+    h = CONFIG["window_h"]
+    slot = lambda c: F.floor(F.unix_micros(c) / (tolerance_s * 1_000_000))
+    home = with_climatology(long_form(readings), clim).select("station_id", "ts", "variable", "anomaly")
+    asked = readings.select("station_id", "ts").distinct().withColumn("offset", F.explode(F.array(*[F.lit(k) for k in range(-h, h + 1)])))
+    asked = asked.withColumn("target", F.timestamp_micros(F.unix_micros("ts") + F.col("offset") * 3_600_000_000)).join(edges.select("station_id", "neighbour_id"), "station_id").withColumn("slot", slot("target"))
+    posted = readings.select(F.col("station_id").alias("neighbour_id"), F.col("ts").alias("at"), F.struct(*VARIABLES).alias("r"), F.explode(F.sequence(slot("ts") - 1, slot("ts") + 1)).alias("slot"))
+    away = F.abs(F.unix_micros("at") - F.unix_micros("target"))
+    met = asked.join(posted, ["neighbour_id", "slot"]).where(away <= tolerance_s * 1_000_000)
+    nearest = met.groupBy("station_id", "ts", "offset", "target", "neighbour_id").agg(F.min_by("r", F.struct(away.alias("a"), "at")).alias("r"))
+    values = long_form(nearest.select(F.col("neighbour_id").alias("station_id"), F.col("target").alias("ts"), F.col("station_id").alias("home"), F.col("ts").alias("home_ts"), "offset", "r.*"), ("home", "home_ts", "offset"))
+    told = with_climatology(values, clim).where("anomaly is not null").withColumn("ok", in_range(F.col("value")))
+    near = told.groupBy(F.col("home").alias("station_id"), F.col("home_ts").alias("ts"), "variable", "offset").agg(F.collect_list("anomaly").alias("all"), F.collect_list(F.when(F.col("ok"), F.col("anomaly"))).alias("good"))
+    return _verdicts(home.join(near, ["station_id", "ts", "variable"]))
+
+
 def neighbour_median(readings_long: DataFrame, edges: DataFrame) -> DataFrame:
     """Median of the neighbours' in-range values by station, hour and variable."""
     n = readings_long.where(in_range(F.col("value"))).withColumnRenamed("station_id", "neighbour_id")

@@ -17,6 +17,7 @@ from brontide.plans import detect
 from brontide.plans.oracles import TS, sql
 from brontide.sources import readings as src
 from brontide.sources.folders import shared_folder
+from brontide.streaming.detector import detect_stream
 from brontide.streaming.replay import replay
 
 QUERIES: dict = {}
@@ -72,7 +73,11 @@ def _physics(spark, sf_dir: str) -> DataFrame:
 def _signals(spark, sf_dir: str) -> DataFrame:
     """All signals with a fixed stand-in for the model's score."""
     s = detect.signals(_readings(spark, sf_dir), _clim(spark, sf_dir), _edges(spark, sf_dir), ("event_id",))
-    return s.withColumn("ml_score", ((F.col("event_id") * 7919 + by_variable(dict(zip(VARIABLES, (0, 1, 2), strict=True))) * 613) % 1000) / 1000.0)
+    return s.withColumn("ml_score", _stand_in())
+
+
+def _stand_in():
+    return ((F.col("event_id") * 7919 + by_variable(dict(zip(VARIABLES, (0, 1, 2), strict=True))) * 613) % 1000) / 1000.0
 
 
 def _results(spark, sf_dir: str) -> DataFrame:
@@ -258,6 +263,24 @@ def q_spatial_z(spark, d):
     return _out(spatial.spatial_check(a, spatial.around(a, _edges(spark, d))), "variable", _r("z"), F.col("n").cast("long").alias("n"), F.col("offset").cast("long").alias("off"), "consistent")
 
 
+@query(rf""", raw as (select a.station_id, r1.raw_ts ts, a.variable, a.value, a.anomaly, l.lo, l.hi, l.mad_floor from anom a join r1 on r1.event_id = a.event_id join limits l on l.variable = a.variable),
+ask as (select r.station_id, r.ts, r.variable, r.anomaly, r.mad_floor, k as off, r.ts + to_hours(k) target, e.neighbour_id from raw r cross join (select unnest(range(-2, 3)) k) o join edges e on e.station_id = r.station_id),
+hit as (select a.*, b.value, b.lo, b.hi from ask a join raw b on b.station_id = a.neighbour_id and b.variable = a.variable and b.ts >= a.target - interval 30 minute and b.ts <= a.target + interval 30 minute qualify row_number() over (partition by a.station_id, a.ts, a.variable, a.off, a.neighbour_id order by abs(epoch_us(b.ts) - epoch_us(a.target)), b.ts) = 1),
+told as (select h.*, h.value - c.mean a from hit h join clim c on c.station_id = h.neighbour_id and c.m = month(h.target) and c.hr = hour(h.target) and c.variable = h.variable where h.value is not null and c.mean is not null),
+st as (select station_id, ts, variable, off, any_value(anomaly) anomaly, any_value(mad_floor) mad_floor, list(a) all_a, list(a) filter (value between lo and hi) good from told group by all),
+zs as (select *, case when len(all_a) >= 2 then len(all_a) end n, list_median(all_a) med from st),
+zz as (select *, (anomaly - med) / (1.4826 * list_median(list_transform(all_a, lambda x: abs(x - med))) + mad_floor) z from zs),
+b as (select station_id, ts, variable, z, n, off from zz where n is not null qualify row_number() over (partition by station_id, ts, variable order by abs(z) nulls first, off) = 1),
+g as (select station_id, ts, variable, list_median(flatten(list(good))) near_anomaly from st group by all)
+select g.station_id, strftime(g.ts, '%Y-%m-%d %H:%M:%S') ts, g.variable, round(z, 6) z, coalesce(n, 0)::bigint n, off::bigint as off, case when n is not null then coalesce(abs(z) <= 3, false) end consistent, round(near_anomaly, 6) near_anomaly from g left join b using (station_id, ts, variable)""")
+def q_spatial_asof(spark, d):
+    """Readings at the times of their events, which are on no grid."""
+    times = _table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    raw = _readings(spark, d).join(times, "event_id").select("station_id", F.col("at").alias("ts"), *VARIABLES)
+    s = spatial.asof_signals(raw, _clim(spark, d), _edges(spark, d))
+    return _out(s, "variable", _r("z"), F.col("n").cast("long").alias("n"), F.col("offset").cast("long").alias("off"), "consistent", _r("near_anomaly"))
+
+
 @query(rf"select e.station_id, strftime(n.ts, '%Y-%m-%d %H:%M:%S') ts, n.variable, quantile_cont(n.value, 0.5) median from edges e join lng n on n.station_id = e.neighbour_id join limits l on l.variable = n.variable where n.value between lo and hi group by all")
 def q_neighbour_median(spark, d):
     return _out(spatial.neighbour_median(_long(spark, d).drop("event_id"), _edges(spark, d)), "variable", "median")
@@ -327,6 +350,29 @@ def q_detect_full(spark, d):
     return _out(r, "variable", "value", "status", "fault_type", "confidence", "severity", F.array_join("reasons", " | ").alias("reasons"), "corrected_value", "trust", F.to_json("shap_top").alias("shap_top"), F.col("scores.iforest").alias("iforest"))
 
 
+@query(rf"""select f.station_id, strftime(f.ts, '%Y-%m-%d %H:%M:%S') ts, f.variable, f.status, case when f.status <> 'NORMAL' then f.fault_type end fault_type, f.severity, case when f.status in ('SENSOR_FAULT', 'SUSPECT') then round(f.corrected, 4) end corrected_value, t.trust
+from imp f join trust t using (station_id, ts, variable) where f.ts <= (select max(ts) from readings) - interval 2 hour""")
+def q_stream_detect(spark, d):
+    """The detector over a stream of two files, with the stand-in score, up to the look-ahead."""
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    r = _readings(spark, d)
+    half = F.col("ts") < F.lit("2024-01-18 05:00:00").cast("timestamp")
+    for part in (half, ~half):
+        r.where(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    score = lambda readings: ingest.long_form(readings, ("event_id",)).select("station_id", "ts", "variable", _stand_in().alias("ml_score"))
+    schema = "station_id string, ts timestamp, event_id long, temp_c double, pressure_hpa double, rh_pct double"
+    out = detect_stream(spark, f"{base}/in", schema, _edges(spark, d), _clim(spark, d), score, f"{base}/run", 24 * 366, ("event_id",))
+    return _out(out, "variable", "status", "fault_type", "severity", _r("corrected_value", digits=4), "trust")
+
+
+@query(rf"""select f.station_id, strftime(f.ts, '%Y-%m-%d %H:%M:%S') ts, f.variable, f.value as value, f.status, is_hard, is_hard or is_soft is_soft from dec f where f.ts > timestamp '2024-01-21 00:00:00' and f.ts <= timestamp '2024-01-22 00:00:00'""")
+def q_detect_at(spark, d):
+    """The last day before a jump, from readings kept for long enough."""
+    score = lambda readings: ingest.long_form(readings, ("event_id",)).select("station_id", "ts", "variable", _stand_in().alias("ml_score"))
+    out = detect.detect_at(_readings(spark, d), _edges(spark, d), _clim(spark, d), score, F.lit("2024-01-22 00:00:00").cast("timestamp"), keep_h=24 * 366)
+    return _out(out, "variable", "value", "status", (F.col("scores.physics") == 1.0).alias("is_hard"), (F.col("scores.physics") >= 0.5).alias("is_soft"))
+
+
 @query("select station_id, ['NORMAL', 'GENUINE_EVENT', 'SUSPECT', 'SENSOR_FAULT'][max(case status when 'NORMAL' then 1 when 'GENUINE_EVENT' then 2 when 'SUSPECT' then 3 else 4 end)] status, min(trust) trust from res, now where ts = t group by 1")
 def q_station_status(spark, d):
     r = _results(spark, d)
@@ -599,6 +645,18 @@ def q_build_test_set(spark, d):
     return _shown(inject.inject_faults(out, _seconds(_FAULTS, inject.EVENTS + ", free_sign boolean", spark)))
 
 
+_PREVIEW = [("E_001", "ST-4", "temp_c", "SPIKE", _AT, 2, 12.5, False), ("E_002", "ST-2", "pressure_hpa", "FROZEN", _AT, 30, 0.0, False), ("E_003", "ST-5", "rh_pct", "DROPOUT", _AT, 8, None, False), ("E_004", "ST-7", "temp_c", "DRIFT", _AT, 40, 3.0, False)]
+
+
+@query(rf""", hit(event_name, station_id, variable, label, second, hours) as (values {_quoted([r[:6] for r in _PREVIEW])}), w as (select x.station_id, x.ts, x.variable, h.label from lng x join hit h on h.station_id = x.station_id and h.variable = x.variable and epoch(x.ts) >= second and epoch(x.ts) < second + 3600 * hours)
+select station_id, {TS}, variable, label fault_type from w""")
+def q_preview(spark, d):
+    """The preview flags exactly the labelled rows, whatever it calls them."""
+    labelled = inject.inject_faults(inject.add_labels(_readings(spark, d).drop("event_id")), _seconds(_PREVIEW, inject.EVENTS + ", free_sign boolean", spark))
+    p = detect.preview(labelled, _edges(spark, d)).where(F.col("status").isin("SENSOR_FAULT", "SUSPECT") & F.col("trust").isNotNull() & F.col("severity").isNotNull())
+    return _out(p, "variable", "fault_type")
+
+
 @query()
 def q_iforest_score(spark, d):
     f = feats.feature_frame(_readings(spark, d), _clim(spark, d))

@@ -31,8 +31,8 @@ def signals(readings: DataFrame, clim: DataFrame, edges: DataFrame, keep: tuple
     return with_climatology(x, clim).join(near, ["station_id", "ts", "variable"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def verdicts(sig: DataFrame, **limits) -> DataFrame:
-    """sig and ml_score -> RESULT; what only flagged rows need is a case that others don't enter."""
+def verdicts(sig: DataFrame, start: DataFrame | None = None, **limits) -> DataFrame:
+    """sig and ml_score -> RESULT; what only flagged rows need is a case that others don't enter. start: trust to go on from."""
     x = fusion.explain(fusion.fingerprint(fusion.decide(sig, **limits)))
     x = heal.impute(x)
     normal, fixed = F.col("status") == "NORMAL", F.col("status").isin("SENSOR_FAULT", "SUSPECT")
@@ -51,19 +51,39 @@ def verdicts(sig: DataFrame, **limits) -> DataFrame:
             F.coalesce("dev_sigma", F.lit(0.0)).alias("dev_sigma"),
         ),
     })
-    return heal.trust_scores(x).select(*RESULT, *[c for c in ("event_id",) if c in x.columns])
+    return heal.trust_scores(x, start).select(*RESULT, *[c for c in ("event_id",) if c in x.columns])
 
 
-def detect(readings: DataFrame, stations: DataFrame, train: DataFrame | None = None, trees: int = 200) -> DataFrame:
+class Model:
+    """What training leaves: climatology, forest and the calibration of its scores."""
+
+    def __init__(self, train: DataFrame, trees: int = CONFIG["trees"]):
+        self.clim = fit_climatology(long_form(train).where(in_range(F.col("value"))))
+        features = feature_frame(train, self.clim)
+        self.forest = Forest(fit_forest(features, trees=trees))
+        self.calibration = calibrate(features, self.forest)
+
+    def score(self, readings: DataFrame) -> DataFrame:
+        """station_id, ts, variable, ml_score and shap_top."""
+        return score_forest(feature_frame(readings, self.clim), self.forest, self.calibration).drop("raw")
+
+
+def judged(readings: DataFrame, edges: DataFrame, clim: DataFrame, score, keep: tuple = ()) -> DataFrame:
+    """Signals and the model's scores of all sensors and hours."""
+    return signals(readings, clim, edges, keep).join(score(readings), ["station_id", "ts", "variable"])
+
+
+def detect(readings: DataFrame, stations: DataFrame, train: DataFrame | None = None, trees: int = CONFIG["trees"]) -> DataFrame:
     """READINGS -> RESULT with climatology and forest fitted on ``train`` (default: the readings themselves)."""
-    train = readings if train is None else train
-    clean = long_form(train).where(in_range(F.col("value")))
-    clim = fit_climatology(clean)
-    features = feature_frame(train, clim)
-    forest = Forest(fit_forest(features, trees=trees))
-    scored = score_forest(feature_frame(readings, clim), forest, calibrate(features, forest)).drop("raw")
-    sig = signals(readings, clim, neighbour_edges(stations))
-    return verdicts(sig.join(scored, ["station_id", "ts", "variable"]))
+    model = Model(readings if train is None else train, trees)
+    return verdicts(judged(readings, neighbour_edges(stations), model.clim, model.score))
+
+
+def detect_at(readings: DataFrame, edges: DataFrame, clim: DataFrame, score, now, warmup_h: int = 24, keep_h: int = 7 * 24) -> DataFrame:
+    """RESULT of the last ``warmup_h`` hours up to now, as after a jump of a replay: from the kept readings before, and the two hours ahead that neighbours' hours reach."""
+    seconds = lambda h: F.timestamp_seconds(F.unix_timestamp(now) + h * 3600)
+    near = readings.where((F.col("ts") > seconds(-keep_h)) & (F.col("ts") <= seconds(CONFIG["window_h"])))
+    return verdicts(judged(near, edges, clim, score).where((F.col("ts") > seconds(-warmup_h)) & (F.col("ts") <= now)))
 
 
 def preview(labelled: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,10 +97,26 @@ def preview(labelled: DataFrame, edges: DataFrame) -> DataFrame:
     z = (F.col("value") - F.col("med")) / (1.4826 * F.col("mad") + by_variable(CONFIG["mad_floor"]))
     backed = F.col("hard") | F.col("soft") | F.coalesce(F.abs(z) > CONFIG["z"], F.lit(False))
     faulty, storm = F.col("label") != "NONE", F.coalesce(F.col("event_id").startswith("STORM"), F.lit(False))
-    return x.select(
+    grade = F.create_map(*[F.lit(v) for kv in PREVIEW_SEVERITY.items() for v in kv])
+    step = F.col("value") - F.col("lag1")
+    facts = F.array_compact(F.array(
+        F.when(F.col("missing"), F.concat("variable", F.lit(" is missing or a dropout value"))),
+        F.when(F.abs(step) > 0, F.format_string("%s changed by %.2f since the last reading", "variable", step)),
+        F.when(F.col("flatline"), F.format_string("%s has stayed at %.2f", "variable", "value")),
+        F.when(F.col("med").isNotNull() & ~F.col("missing"), F.format_string("%.2f away from the neighbours' median", F.col("value") - F.col("med"))),
+    ))
+    out = x.select(
         "station_id", "ts", "variable", "value",
         F.when(faulty & backed, "SENSOR_FAULT").when(faulty, "SUSPECT").when(storm, "GENUINE_EVENT").otherwise("NORMAL").alias("status"),
         F.when(faulty, F.col("label")).alias("fault_type"),
         F.when(faulty & backed, 0.9).when(faulty, 0.5).when(storm, 0.85).otherwise(0.0).alias("confidence"),
+        F.when(faulty & backed, grade[F.col("label")]).when(faulty, "MEDIUM").alias("severity"),
         F.when(faulty, F.col("true_value")).alias("corrected_value"),
+        F.when(faulty | storm, facts).otherwise(F.array().cast("array<string>")).alias("reasons"),
+        F.when(faulty | storm, F.struct(F.when(F.col("hard"), 1.0).when(F.col("soft"), 0.5).otherwise(0.0).alias("physics"), F.get("rule_ids", F.lit(0)).alias("physics_rule"), z.alias("spatial_z"))).alias("scores"),
     )
+    return heal.trust_scores(out)
+
+
+#: How grave a confirmed fault of each kind is in the preview.
+PREVIEW_SEVERITY = {"SPIKE": "CRITICAL", "OUT_OF_RANGE": "CRITICAL", "DROPOUT": "HIGH", "FROZEN": "HIGH", "NOISE": "MEDIUM", "DRIFT": "MEDIUM"}
