@@ -272,13 +272,13 @@ zs as (select *, case when len(all_a) >= 2 then len(all_a) end n, list_median(al
 zz as (select *, (anomaly - med) / (1.4826 * list_median(list_transform(all_a, lambda x: abs(x - med))) + mad_floor) z from zs),
 b as (select station_id, ts, variable, z, n, off from zz where n is not null qualify row_number() over (partition by station_id, ts, variable order by abs(z) nulls first, off) = 1),
 g as (select station_id, ts, variable, list_median(flatten(list(good))) near_anomaly from st group by all)
-select g.station_id, strftime(g.ts, '%Y-%m-%d %H:%M:%S') ts, g.variable, round(z, 6) z, coalesce(n, 0)::bigint n, off::bigint as off, case when n is not null then coalesce(abs(z) <= 3, false) end consistent, round(near_anomaly, 6) near_anomaly from g left join b using (station_id, ts, variable)""")
+select g.station_id, strftime(g.ts, '%Y-%m-%d %H:%M:%S') ts, g.variable, round(z, 6) z, coalesce(n, 0)::bigint n, coalesce(off, -99)::bigint as off, case when n is not null then coalesce(abs(z) <= 3, false) end consistent, round(near_anomaly, 6) near_anomaly from g left join b using (station_id, ts, variable)""")
 def q_spatial_asof(spark, d):
     """Readings at the times of their events, which are on no grid."""
     times = _table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
     raw = _readings(spark, d).join(times, "event_id").select("station_id", F.col("at").alias("ts"), *VARIABLES)
     s = spatial.asof_signals(raw, _clim(spark, d), _edges(spark, d))
-    return _out(s, "variable", _r("z"), F.col("n").cast("long").alias("n"), F.col("offset").cast("long").alias("off"), "consistent", _r("near_anomaly"))
+    return _out(s, "variable", _r("z"), F.col("n").cast("long").alias("n"), F.coalesce("offset", F.lit(-99)).cast("long").alias("off"), "consistent", _r("near_anomaly"))
 
 
 @query(rf"select e.station_id, strftime(n.ts, '%Y-%m-%d %H:%M:%S') ts, n.variable, quantile_cont(n.value, 0.5) median from edges e join lng n on n.station_id = e.neighbour_id join limits l on l.variable = n.variable where n.value between lo and hi group by all")
