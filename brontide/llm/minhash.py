@@ -34,7 +34,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brontide.llm import wordhash as wh
@@ -104,39 +104,19 @@ def _sets(size: int):
         for batch in batches:
             sets, digests = [], []
             for own in shingle_sets(batch.column(1), size):
-                sets.append(own.tobytes())
+                sets.append(own)
                 digests.append(_digests(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), pa.array(sets, pa.binary())], names=["id", "d1", "d2", "own"])
+            ends = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), lists], names=["id", "d1", "d2", "own"])
 
     return run
 
 
-def _linked(x: np.ndarray, y: np.ndarray, over: int, under: int) -> bool:
-    if under * min(len(x), len(y)) < over * max(len(x), len(y)):
-        return False
-    both = len(x) + len(y) - len(np.union1d(x, y))
-    return under * both >= over * (len(x) + len(y) - both)
-
-
-def _confirm(over: int, under: int):
-    def run(batches):
-        for batch in batches:
-            ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), over, under) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
-def _retained(matches: int):
-    """Pairs whose signatures collide often enough."""
-
-    def run(batches):
-        for batch in batches:
-            x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDS) for k in (2, 3))
-            ok = (x == y).sum(axis=1) >= matches
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
-
-    return run
+def _both() -> Column:
+    """The size of the intersection of the sets x and y."""
+    return F.size(F.array_intersect("x", "y"))
 
 
 def overlaps(sets: list[np.ndarray], half: int) -> np.ndarray:
@@ -163,7 +143,7 @@ def _forest(over: int, under: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """Links that join components between a block of strays and one of members."""
         reps, comps = table["rep"].to_pylist(), table["comp"].to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in table["own"].to_pylist()]
+        sets = [x.values.to_numpy() for x in table["own"]]
         stray = np.array(table["stray"].to_pylist(), dtype=bool)
         x, y = np.flatnonzero(stray), np.flatnonzero(~stray)
         parent = {c: c for c in comps}
@@ -235,7 +215,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, over: int = OVER, unde
     members = lists.join(ends.select("key"), "key", "left_semi").select("rep").distinct()
     wanted = written(reps.join(members, "rep", "left_semi").select("rep", "id", "d1", "d2", "keys"))
     texts = docs.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_sets(size), f"id {kind}, d1 long, d2 long, own binary").join(wanted.select("rep", "id", "d1", "d2"), ["id", "d1", "d2"]).select("rep", "own").dropDuplicates(["rep"]))
+    sets = written(texts.mapInArrow(_sets(size), f"id {kind}, d1 long, d2 long, own array<long>").join(wanted.select("rep", "id", "d1", "d2"), ["id", "d1", "d2"]).select("rep", "own").dropDuplicates(["rep"]))
 
     def with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
         side = lambda column, name: table.select(F.col("rep").alias(column), F.col(value).alias(name))
@@ -243,8 +223,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, over: int = OVER, unde
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b): those with collisions enough that are links."""
-        retained = with_both(pairs, wanted, "keys").mapInArrow(_retained(matches), "a long, b long")
-        return with_both(retained, sets, "own").mapInArrow(_confirm(over, under), "a long, b long")
+        # a key holds its coordinate, so equal keys are agreeing coordinates
+        retained = with_both(pairs, wanted, "keys").where(_both() >= matches).select("a", "b")
+        # under * both >= over * either, with both said once
+        return with_both(retained, sets, "own").where((under + over) * _both() >= over * (F.size("x") + F.size("y"))).select("a", "b")
 
     first = written(linked(pairs))
     comps = components(first)
