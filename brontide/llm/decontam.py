@@ -139,7 +139,7 @@ def _spans_of(index):
     return run
 
 
-def contamination_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contamination_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS, digest: bool = False) -> DataFrame:
     """doc_id, n_words, hit spans (word starts and ends, sorted by start) and the items that occur, one row per document.
 
     docs: doc_id, text; bench: item_id, text. With more than one block, the passes over a row are merged by its id and text.
@@ -150,13 +150,16 @@ def contamination_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
     total = sizes.agg(F.sum("w")).first()[0] or 0
     blocks = max(1, int(-(-total // block_words)))
     docs = docs.select("doc_id", "text") if blocks == 1 else docs.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("doc_id"), "text")
-    schema = keyed(docs, _SPANS)
+    told = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    schema = keyed(docs, told if digest and blocks == 1 else _SPANS)
     parts = []
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         rows = sorted({(r[0], r[1]) for r in own.select("item_id", "text").collect()})
         index = spark.sparkContext.broadcast(_Index(rows, window, gram))
-        parts.append(docs.mapInArrow(_spans_of(index), schema))
+        spans = _spans_of(index)
+        # with one block, spans and digests come from one pass through a worker
+        parts.append(docs.mapInArrow((lambda batches, spans=spans: _digest(spans(batches))) if digest and blocks == 1 else spans, schema))
     if blocks == 1:
         return parts[0]
     out = parts[0]
@@ -170,7 +173,8 @@ def contamination_spans(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
         (F.count("*") / blocks).cast("int").alias("copies"),
     )
     # equal rows were merged: each gets its row again
-    return merged.select("doc_id.doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    merged = merged.select("doc_id.doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    return merged.mapInArrow(_digest, keyed(merged, told)) if digest else merged
 
 
 def _digest(batches):
@@ -189,8 +193,7 @@ def _digest(batches):
 
 def decontaminate(docs: DataFrame, bench: DataFrame, **params) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spans = contamination_spans(docs, bench, **params)
-    return spans.mapInArrow(_digest, keyed(spans, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"))
+    return contamination_spans(docs, bench, digest=True, **params)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
