@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brontide.llm import decontam, langid, licenses, linededup, minhash, mixing, mpeg, pii, substrings, toxicity
+from brontide.llm import decontam, dialogs, fuzzyhash, langid, licenses, linededup, minhash, mixing, mpeg, pii, search, substrings, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_pii": pii.op9_pii,
     "op10_line_dedup": linededup.op10_line_dedup,
+    "op11_wand_search": search.op11_wand_search,
+    "op12_piecewise_hash": fuzzyhash.op12_piecewise_hash,
+    "op13_conversation_repair": dialogs.op13_conversation_repair,
 }
 
 ORACLES = {
@@ -23,4 +26,6 @@ ORACLES = {
     "op7_substring_dedup": substrings.OP7_SQL,
     "op8_license_scan": licenses.OP8_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
+    "op11_wand_search": search.OP11_SQL,
+    "op13_conversation_repair": dialogs.OP13_SQL,
 }
