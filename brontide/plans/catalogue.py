@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brontide.config import CONFIG, VARIABLES
+from brontide.config import CONFIG, FEATURES, VARIABLES
 from brontide.functions.scalars import by_variable, dewpoint_c, severity, trust_band
 from brontide.operators import climatology, evaluate, fusion, geo, heal, history, ingest, inject, physics, spatial, summary
 from brontide.operators import features as feats
@@ -231,8 +231,11 @@ def q_same_value_run(spark, d):
     return _out(history.same_value_run(_long(spark, d)), "variable", F.col("run").cast("long").alias("run"))
 
 
-@query(_RUN + rf""" select h.station_id, strftime(h.ts, '%Y-%m-%d %H:%M:%S') ts, h.variable, coalesce(h.value, 0) as value, coalesce(h.value - lag1, 0) diff_1, coalesce(h.value - lag3, 0) diff_3, run_length::double run_length, round(coalesce(dev_sigma, 0), 6) dev_sigma,
-round(coalesce(h.dewpoint, 0), 6) dewpoint_value, round(coalesce(h.dewpoint - h.prev_dewpoint, 0), 6) dewpoint_delta, round(sin(2 * pi() * (hour(h.ts) + minute(h.ts) / 60) / 24), 6) + 0 hour_sin, round(cos(2 * pi() * (hour(h.ts) + minute(h.ts) / 60) / 24), 6) + 0 hour_cos, round(coalesce(stddev_samp(h.value) over w6, 0), 6) std_6, round(coalesce(stddev_samp(h.value) over w24, 0), 6) std_24 from hist h join rl using (station_id, ts, variable) window w6 as (partition by h.station_id, h.variable order by h.ts rows 5 preceding), w24 as (partition by h.station_id, h.variable order by h.ts rows 23 preceding)""")
+_FEATURES_SQL = _RUN + rf""", ff as (select h.station_id, strftime(h.ts, '%Y-%m-%d %H:%M:%S') ts, h.variable, coalesce(h.value, 0) as value, coalesce(h.value - lag1, 0) diff_1, coalesce(h.value - lag3, 0) diff_3, run_length::double run_length, round(coalesce(dev_sigma, 0), 6) dev_sigma,
+round(coalesce(h.dewpoint, 0), 6) dewpoint_value, round(coalesce(h.dewpoint - h.prev_dewpoint, 0), 6) dewpoint_delta, round(sin(2 * pi() * (hour(h.ts) + minute(h.ts) / 60) / 24), 6) + 0 hour_sin, round(cos(2 * pi() * (hour(h.ts) + minute(h.ts) / 60) / 24), 6) + 0 hour_cos, round(coalesce(stddev_samp(h.value) over w6, 0), 6) std_6, round(coalesce(stddev_samp(h.value) over w24, 0), 6) std_24 from hist h join rl using (station_id, ts, variable) window w6 as (partition by h.station_id, h.variable order by h.ts rows 5 preceding), w24 as (partition by h.station_id, h.variable order by h.ts rows 23 preceding))"""
+
+
+@query(_FEATURES_SQL + " select * from ff")
 def q_feature_frame(spark, d):
     f = feats.feature_frame(_readings(spark, d), _clim(spark, d))
     return _out(f, "variable", "value", "diff_1", "diff_3", "run_length", _r("dev_sigma"), _r("dewpoint_value"), _r("dewpoint_delta"), (F.round("hour_sin", 6) + 0).alias("hour_sin"), (F.round("hour_cos", 6) + 0).alias("hour_cos"), _r("std_6"), _r("std_24"))
@@ -657,11 +660,49 @@ def q_preview(spark, d):
     return _out(p, "variable", "fault_type")
 
 
-@query()
+def _forest_sql(trees: int, subsample: int, seed: int) -> str:
+    """The forest grown and asked level by level: rows of each tree's sample by node, and all rows by the node they stand at."""
+    x = [f"x{k}" for k in range(len(FEATURES))]
+    hexed = lambda a: f"('0x' || substr(md5({seed} || '|' || variable || '|' || tree || '|' || node), {a}, 8))::bigint / 4294967296.0::double"
+    picked = lambda f: f"case {f} {' '.join(f'when {k} then {c}' for k, c in enumerate(x))} end"
+    usual = lambda n: f"case when {n} > 2 then 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1)::double / {n} when {n} = 2 then 1 else 0 end"
+    out = rf""", fx as (select row_number() over () rid, station_id, ts, variable, {seed} || '|' || station_id || '|' || ts || '.000000|' || variable as key, count(*) over (partition by variable) n, {", ".join(f"round({f}, 6)::double {c}" for f, c in zip(FEATURES, x, strict=True))} from ff),
+pool as (select * from fx where n <= {2 * trees * subsample} or substr(md5(key), 1, 8) < printf('%08x', cast(floor({2.0 * trees * subsample} / n * 4294967296.0) as bigint))),
+hashed as (select rid, variable, station_id, ts, b, md5(key || '|' || b) h from pool, (select unnest(range({-(-trees // 4)})) b)),
+s0 as (select variable, tree, 1 node, {", ".join(x)} from (select rid, 4 * b + k tree from (select *, substr(h, 8 * k + 1, 8) d from hashed, (select unnest(range(4)) k)) where 4 * b + k < {trees} qualify row_number() over (partition by variable, b, k order by d, station_id, ts) <= {subsample}) join fx using (rid)),
+a0 as (select rid, variable, tree, 1 node from fx, (select unnest(range({trees})) tree))"""
+    levels = (subsample - 1).bit_length()
+    for d in range(levels + 1):
+        lows, highs = (", ".join(f"{f}({c})" for c in x) for f in ("min", "max"))
+        out += rf""",
+n{d} as materialized (select *, {hexed(1)} u, {hexed(9)} w, list_filter(range({len(x)}), lambda k: hi[1 + k] > lo[1 + k]) free from (select variable, tree, node, count(*) size, [{lows}] lo, [{highs}] hi from s{d} group by all)),
+c{d} as materialized (select variable, tree, node, size, case when size > 1 and len(free) > 0 {"and false" if d == levels else ""} then free[1 + floor(u * len(free))::int] end f, w, lo, hi from n{d}),
+k{d} as materialized (select variable, tree, node, size, f, lo[1 + f] + w * (hi[1 + f] - lo[1 + f]) cut, {d} + {usual("size")} len from c{d})"""
+        if d < levels:
+            out += rf""",
+s{d + 1} as materialized (select s.variable, s.tree, 2 * node + case when {picked("f")} < cut then 0 else 1 end node, {", ".join(x)} from s{d} s join k{d} using (variable, tree, node) where f is not null),
+a{d + 1} as materialized (select a.rid, a.variable, a.tree, 2 * node + case when {picked("f")} < cut then 0 else 1 end node from a{d} a join k{d} using (variable, tree, node) join fx using (rid) where f is not null)"""
+    ends = " union all ".join(f"select rid, len from a{d} join k{d} using (variable, tree, node) where f is null" for d in range(levels + 1))
+    return out + rf""", raws as (select rid, variable, pow(2, -sum(len) / any_value(usual)) raw from ({ends}) join fx using (rid) join (select variable, sum({usual("size")}) usual from k0 group by 1) using (variable) group by 1, 2),
+ranked as (select *, count(*) over (partition by variable order by round(raw, 5))::double / count(*) over (partition by variable) ml_score from raws)
+select f.station_id, f.ts, f.variable, round(raw, 6) raw, round(ml_score, 6) ml_score from ranked join fx f using (rid)"""
+
+
+@query(_FEATURES_SQL + _forest_sql(CONFIG["trees"], CONFIG["subsample"], CONFIG["seed"]))
 def q_iforest_score(spark, d):
     f = feats.feature_frame(_readings(spark, d), _clim(spark, d))
     forest = trees.Forest(trees.fit_forest(f))
-    return _out(trees.score_forest(f, forest, trees.calibrate(f, forest)), "variable", "raw", "ml_score")
+    return _out(trees.score_forest(f, forest, trees.calibrate(f, forest)), "variable", _r("raw"), _r("ml_score"))
+
+
+@query()
+def q_contributions(spark, d):
+    """Shapley values of the features of all readings that are not normal, by size."""
+    f = feats.feature_frame(_readings(spark, d), _clim(spark, d))
+    forest = trees.Forest(trees.fit_forest(f))
+    scored = trees.score_forest(f, forest).join(fusion.decide(_signals(spark, d)).select("station_id", "ts", "variable", "status"), ["station_id", "ts", "variable"])
+    x = trees.contributions(scored.where("status <> 'NORMAL'"), forest, len(FEATURES))
+    return _out(x.select("*", F.posexplode("shap_top").alias("place", "part")), "variable", "status", "place", F.col("part.label").alias("label"), F.col("part.contribution").alias("contribution"))
 
 
 _REASONS = """[case when missing then variable || ' is missing or a dropout value' end, case when out_of_range then variable || '=' || printf('%.2f', round(value, 2)) || ' is outside the physical range' end,

@@ -11,7 +11,7 @@ from brontide.operators import fusion, heal, history, physics, spatial
 from brontide.operators.climatology import fit_climatology, with_climatology
 from brontide.operators.evaluate import truth_rows
 from brontide.operators.features import feature_frame
-from brontide.operators.forest import Forest, calibrate, fit_forest, score_forest
+from brontide.operators.forest import TOP, Forest, calibrate, contributions, fit_forest, score_forest
 from brontide.operators.geo import neighbour_edges
 from brontide.operators.ingest import long_form
 
@@ -31,17 +31,19 @@ def signals(readings: DataFrame, clim: DataFrame, edges: DataFrame, keep: tuple
     return with_climatology(x, clim).join(near, ["station_id", "ts", "variable"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def verdicts(sig: DataFrame, start: DataFrame | None = None, **limits) -> DataFrame:
-    """sig and ml_score -> RESULT; what only flagged rows need is a case that others don't enter. start: trust to go on from."""
-    x = fusion.explain(fusion.fingerprint(fusion.decide(sig, **limits)))
+def verdicts(sig: DataFrame, start: DataFrame | None = None, forest: Forest | None = None, **limits) -> DataFrame:
+    """sig and ml_score -> RESULT; what only flagged rows need is a case that others don't enter. start: trust to go on from; forest: what
+    explains the scores, from the features beside them."""
+    x = fusion.decide(sig, **limits)
+    x = fusion.explain(fusion.fingerprint(x if forest is None else contributions(x, forest)))
     x = heal.impute(x)
     normal, fixed = F.col("status") == "NORMAL", F.col("status").isin("SENSOR_FAULT", "SUSPECT")
     none = lambda c, kind: F.when(~normal, F.col(c)).otherwise(F.lit(None).cast(kind))
-    top = F.col("shap_top") if "shap_top" in x.columns else F.array().cast("array<struct<label:string,contribution:double>>")
+    top = F.col("shap_top") if "shap_top" in x.columns else F.array().cast(TOP)
     x = x.withColumns({
         "fault_type": none("fault_type", "string"),
         "reasons": F.when(normal, F.array().cast("array<string>")).otherwise(F.col("reasons")),
-        "shap_top": F.when(normal, F.array().cast("array<struct<label:string,contribution:double>>")).otherwise(top),
+        "shap_top": F.when(normal, F.array().cast(TOP)).otherwise(top),
         "corrected_value": F.when(fixed, F.col("corrected_value")),
         "scores": F.struct(
             F.when(F.col("hard"), 1.0).when(F.col("soft"), 0.5).otherwise(0.0).alias("physics"),
@@ -64,7 +66,7 @@ class Model:
         self.calibration = calibrate(features, self.forest)
 
     def score(self, readings: DataFrame) -> DataFrame:
-        """station_id, ts, variable, ml_score and shap_top."""
+        """station_id, ts, variable, ml_score and the features that explain it."""
         return score_forest(feature_frame(readings, self.clim), self.forest, self.calibration).drop("raw")
 
 
@@ -76,7 +78,7 @@ def judged(readings: DataFrame, edges: DataFrame, clim: DataFrame, score, keep:
 def detect(readings: DataFrame, stations: DataFrame, train: DataFrame | None = None, trees: int = CONFIG["trees"]) -> DataFrame:
     """READINGS -> RESULT with climatology and forest fitted on ``train`` (default: the readings themselves)."""
     model = Model(readings if train is None else train, trees)
-    return verdicts(judged(readings, neighbour_edges(stations), model.clim, model.score))
+    return verdicts(judged(readings, neighbour_edges(stations), model.clim, model.score), forest=model.forest)
 
 
 def detect_at(readings: DataFrame, edges: DataFrame, clim: DataFrame, score, now, warmup_h: int = 24, keep_h: int = 7 * 24) -> DataFrame:
