@@ -66,6 +66,18 @@ def _verdicts(x: DataFrame) -> DataFrame:
     return g.select("station_id", "ts", "variable", "b.z", F.coalesce("b.n", F.lit(0)).alias("n"), "b.offset", consistent.alias("consistent"), "near_anomaly")
 
 
+def judge_around(df: DataFrame) -> DataFrame:
+    """df (anomaly, around: the neighbours' anomalies by offset) with what neighbour_signals says."""
+    floor = by_variable(CONFIG["mad_floor"])
+    enough = F.filter("around", lambda o: F.size(o["all"]) >= CONFIG["min_neighbours"])
+    middle = F.transform(enough, lambda o: F.struct(o["offset"].alias("offset"), F.size(o["all"]).alias("n"), o["all"].alias("all"), array_median(o["all"]).alias("med")))
+    told = F.transform(middle, lambda o: F.struct(o["offset"].alias("offset"), o["n"].alias("n"), ((F.col("anomaly") - o["med"]) / (1.4826 * array_median(F.transform(o["all"], lambda a: F.abs(a - o["med"]))) + floor)).alias("z")))
+    best = F.array_min(F.transform(told, lambda o: F.struct(F.abs(o["z"]).alias("away"), o["offset"].alias("offset"), o["n"].alias("n"), o["z"].alias("z"))))
+    x = df.withColumn("best", best).withColumn("near_anomaly", array_median(F.flatten(F.transform("around", lambda o: o["good"]))))
+    consistent = F.when(F.col("best").isNotNull(), F.coalesce(F.abs("best.z") <= CONFIG["z"], F.lit(False)))
+    return x.withColumns({"z": F.col("best.z"), "n": F.coalesce("best.n", F.lit(0)), "offset": F.col("best.offset"), "consistent": consistent}).drop("best", "around")
+
+
 def asof_signals(readings: DataFrame, clim: DataFrame, edges: DataFrame, tolerance_s: int = 1800) -> DataFrame:
     """neighbour_signals of readings at any times: at each offset a neighbour speaks by its reading nearest to that time, the earlier of
     two equally near ones, if it is within the tolerance; its usual value is that of the hour asked for.

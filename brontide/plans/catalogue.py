@@ -356,16 +356,19 @@ def q_detect_full(spark, d):
 @query(rf"""select f.station_id, strftime(f.ts, '%Y-%m-%d %H:%M:%S') ts, f.variable, f.status, case when f.status <> 'NORMAL' then f.fault_type end fault_type, f.severity, case when f.status in ('SENSOR_FAULT', 'SUSPECT') then round(f.corrected, 4) end corrected_value, t.trust
 from imp f join trust t using (station_id, ts, variable) where f.ts <= (select max(ts) from readings) - interval 2 hour""")
 def q_stream_detect(spark, d):
-    """The detector over a stream of two files, with the stand-in score, up to the look-ahead."""
+    """The detector over a stream of three files, two of them out of order by weeks, with the stand-in score, up to the look-ahead; at the end all clocks tick on."""
     base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    r = _readings(spark, d)
-    half = F.col("ts") < F.lit("2024-01-18 05:00:00").cast("timestamp")
-    for part in (half, ~half):
-        r.where(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    score = lambda readings: ingest.long_form(readings, ("event_id",)).select("station_id", "ts", "variable", _stand_in().alias("ml_score"))
-    schema = "station_id string, ts timestamp, event_id long, temp_c double, pressure_hpa double, rh_pct double"
-    out = detect_stream(spark, f"{base}/in", schema, _edges(spark, d), _clim(spark, d), score, f"{base}/run", 24 * 366, ("event_id",))
-    return _out(out, "variable", "status", "fault_type", "severity", _r("corrected_value", digits=4), "trust")
+    r = _readings(spark, d).withColumn("tick", F.lit(False))
+    early, odd = F.col("ts") < F.lit("2024-01-18 05:00:00").cast("timestamp"), F.hour("ts") % 6 == 1
+    last = r.agg(F.max("ts")).first()[0]
+    ticks = r.select("station_id").distinct().select("station_id", (F.lit(last) + F.expr("interval 20 days")).alias("ts"), *[F.lit(None).cast(t).alias(c) for c, t in (("event_id", "long"), *((v, "double") for v in VARIABLES))], F.lit(True).alias("tick"))
+    columns = ("station_id", "ts", "event_id", *VARIABLES, "tick")
+    for part in (r.where(early & ~odd), r.where(early & odd), r.where(~early).select(*columns).unionByName(ticks)):
+        part.select(*columns).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    schema = "station_id string, ts timestamp, event_id long, temp_c double, pressure_hpa double, rh_pct double, tick boolean"
+    score = lambda signals: signals.withColumn("ml_score", _stand_in())
+    out = detect_stream(spark, f"{base}/in", schema, _edges(spark, d), _clim(spark, d), score, f"{base}/run", {"event_id": "bigint"}, late_h=24 * 20)
+    return _out(out.where(F.col("ts") <= F.lit(last) - F.expr("interval 2 hours")), "variable", "status", "fault_type", "severity", _r("corrected_value", digits=4), "trust")
 
 
 @query(rf"""select f.station_id, strftime(f.ts, '%Y-%m-%d %H:%M:%S') ts, f.variable, f.value as value, f.status, is_hard, is_hard or is_soft is_soft from dec f where f.ts > timestamp '2024-01-21 00:00:00' and f.ts <= timestamp '2024-01-22 00:00:00'""")

@@ -31,12 +31,11 @@ def signals(readings: DataFrame, clim: DataFrame, edges: DataFrame, keep: tuple
     return with_climatology(x, clim).join(near, ["station_id", "ts", "variable"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def verdicts(sig: DataFrame, start: DataFrame | None = None, forest: Forest | None = None, **limits) -> DataFrame:
-    """sig and ml_score -> RESULT; what only flagged rows need is a case that others don't enter. start: trust to go on from; forest: what
-    explains the scores, from the features beside them."""
+def findings(sig: DataFrame, forest: Forest | None = None, keep: tuple = (), **limits) -> DataFrame:
+    """sig and ml_score -> RESULT without trust; what only flagged rows need is a case that others don't enter. forest: what explains the
+    scores, from the features beside them."""
     x = fusion.decide(sig, **limits)
-    x = fusion.explain(fusion.fingerprint(x if forest is None else contributions(x, forest)))
-    x = heal.impute(x)
+    x = heal.impute(fusion.explain(fusion.fingerprint(x if forest is None else contributions(x, forest))))
     normal, fixed = F.col("status") == "NORMAL", F.col("status").isin("SENSOR_FAULT", "SUSPECT")
     none = lambda c, kind: F.when(~normal, F.col(c)).otherwise(F.lit(None).cast(kind))
     top = F.col("shap_top") if "shap_top" in x.columns else F.array().cast(TOP)
@@ -53,7 +52,13 @@ def verdicts(sig: DataFrame, start: DataFrame | None = None, forest: Forest | No
             F.coalesce("dev_sigma", F.lit(0.0)).alias("dev_sigma"),
         ),
     })
-    return heal.trust_scores(x, start).select(*RESULT, *[c for c in ("event_id",) if c in x.columns])
+    return x.select(*[c for c in RESULT if c != "trust"], *keep, *[c for c in ("event_id",) if c in x.columns])
+
+
+def verdicts(sig: DataFrame, start: DataFrame | None = None, forest: Forest | None = None, **limits) -> DataFrame:
+    """sig and ml_score -> RESULT. start: trust to go on from."""
+    x = heal.trust_scores(findings(sig, forest, **limits), start)
+    return x.select(*RESULT, *[c for c in ("event_id",) if c in x.columns])
 
 
 class Model:

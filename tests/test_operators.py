@@ -226,7 +226,7 @@ def test_metrics_file_and_sample(spark, tmp_path):
 def test_forest_round_trip_and_order(spark, tmp_path):
     r = network(spark, 240)
     f = feature_frame(r, climatology.fit_climatology(ingest.long_form(r)))
-    nodes = forest.fit_forest(f, trees=20)
+    nodes = forest.fit_forest(f, trees=100)
     model = forest.Forest(nodes)
     known = forest.calibrate(f, model)
     forest.save_model(nodes, known, f"file://{tmp_path}/model")
@@ -234,7 +234,7 @@ def test_forest_round_trip_and_order(spark, tmp_path):
     odd = f.where("variable = 'temp_c'").limit(50).withColumn("value", F.lit(90.0)).withColumn("diff_1", F.lit(60.0)).withColumn("dev_sigma", F.lit(150.0))
     a = forest.score_forest(odd, model, known).agg(F.avg("ml_score")).first()[0]
     b = forest.score_forest(odd, again, known2).agg(F.avg("ml_score")).first()[0]
-    assert a == b and a > 0.95
+    assert a == b and a > 0.9
 
 
 def test_landing_and_exports(spark, tmp_path):
