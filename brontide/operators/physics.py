@@ -16,7 +16,7 @@ def rule_flags(history: DataFrame) -> DataFrame:
     v, var = F.col("value"), F.col("variable")
     lo, hi = (by_variable({x: CONFIG["range"][x][k] for x in VARIABLES}) for k in (0, 1))
     soft, hard = (by_variable({x: CONFIG["rate"][x][k] for x in VARIABLES}) for k in (0, 1))
-    hours = F.greatest((F.unix_timestamp("ts") - F.unix_timestamp("prev_ts")) / 3600.0, F.lit(1e-9))
+    hours = F.greatest((F.unix_micros("ts") - F.unix_micros("prev_ts")) / 3.6e9, F.lit(1e-9))
     rate = F.abs(v - F.col("lag1")) / hours
     missing = is_missing(v)
     then = lambda c: ~missing & F.coalesce(c, F.lit(False))

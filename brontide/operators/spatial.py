@@ -99,6 +99,27 @@ def asof_signals(readings: DataFrame, clim: DataFrame, edges: DataFrame, toleran
     return _verdicts(home.join(near, ["station_id", "ts", "variable"]))
 
 
+def interval_anomaly(anomalies: DataFrame, edges: DataFrame) -> DataFrame:
+    """station_id, ts, variable and the median anomaly (near_anomaly) of all in-range neighbour readings within the hours around, at any times.
+
+    Slots are as long as the hours on one side, so a reading's slot and the two beside it hold all that is near: an equi-join that posts each home time three times, and
+    each neighbour's reading once.
+    """
+    reach = CONFIG["window_h"] * 3_600_000_000
+    slot = F.floor(F.unix_micros("ts") / reach)
+    asked = anomalies.select("station_id", "ts").distinct().withColumn("slot", F.explode(F.sequence(slot - 1, slot + 1))).join(edges.select("station_id", "neighbour_id"), "station_id")
+    told = anomalies.where(F.col("anomaly").isNotNull() & in_range(F.col("value"))).select(F.col("station_id").alias("neighbour_id"), F.col("ts").alias("at"), "variable", "anomaly", slot.alias("slot"))
+    met = asked.join(told, ["neighbour_id", "slot"]).where(F.abs(F.unix_micros("at") - F.unix_micros("ts")) <= reach)
+    return met.groupBy("station_id", "ts", "variable").agg(array_median(F.collect_list("anomaly")).alias("near_anomaly"))
+
+
+def offgrid_signals(readings: DataFrame, clim: DataFrame, edges: DataFrame, tolerance_s: int = 1800) -> DataFrame:
+    """neighbour_signals of readings at any times: agreement by the nearest readings at each offset, and near_anomaly of all readings around."""
+    z = asof_signals(readings, clim, edges, tolerance_s).drop("near_anomaly")
+    near = interval_anomaly(with_climatology(long_form(readings), clim), edges)
+    return z.join(near, ["station_id", "ts", "variable"], "full")
+
+
 def neighbour_median(readings_long: DataFrame, edges: DataFrame) -> DataFrame:
     """Median of the neighbours' in-range values by station, hour and variable."""
     n = readings_long.where(in_range(F.col("value"))).withColumnRenamed("station_id", "neighbour_id")

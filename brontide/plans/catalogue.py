@@ -14,7 +14,7 @@ from brontide.operators import climatology, evaluate, fusion, geo, heal, history
 from brontide.operators import features as feats
 from brontide.operators import forest as trees
 from brontide.plans import detect
-from brontide.plans.oracles import TS, sql
+from brontide.plans.oracles import OFF_GRID, TS, sql
 from brontide.sources import readings as src
 from brontide.sources.folders import shared_folder
 from brontide.streaming.detector import detect_stream
@@ -24,11 +24,11 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(select: str | None = None):
+def query(select: str | None = None, chain=sql):
     def add(f):
         QUERIES[f.__name__] = f
         if select is not None:
-            ORACLES[f.__name__] = sql(select)
+            ORACLES[f.__name__] = chain(select)
         return f
 
     return add
@@ -42,6 +42,12 @@ def _readings(spark, sf_dir: str) -> DataFrame:
     return src.events_as_readings(_table(spark, sf_dir, "events"))
 
 
+def _raw(spark, sf_dir: str) -> DataFrame:
+    """The readings at the times of their events, which are on no grid."""
+    times = _table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    return _readings(spark, sf_dir).join(times, "event_id").select("station_id", F.col("at").alias("ts"), "event_id", *VARIABLES)
+
+
 def _stations(spark, sf_dir: str, below: int | None = 8) -> DataFrame:
     return src.suppliers_as_stations(_table(spark, sf_dir, "supplier"), below)
 
@@ -278,8 +284,7 @@ g as (select station_id, ts, variable, list_median(flatten(list(good))) near_ano
 select g.station_id, strftime(g.ts, '%Y-%m-%d %H:%M:%S') ts, g.variable, round(z, 6) z, coalesce(n, 0)::bigint n, coalesce(off, -99)::bigint as off, case when n is not null then coalesce(abs(z) <= 3, false) end consistent, round(near_anomaly, 6) near_anomaly from g left join b using (station_id, ts, variable)""")
 def q_spatial_asof(spark, d):
     """Readings at the times of their events, which are on no grid."""
-    times = _table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
-    raw = _readings(spark, d).join(times, "event_id").select("station_id", F.col("at").alias("ts"), *VARIABLES)
+    raw = _raw(spark, d).drop("event_id")
     s = spatial.asof_signals(raw, _clim(spark, d), _edges(spark, d))
     return _out(s, "variable", _r("z"), F.col("n").cast("long").alias("n"), F.coalesce("offset", F.lit(-99)).cast("long").alias("off"), "consistent", _r("near_anomaly"))
 
@@ -339,13 +344,33 @@ def q_trust_band(spark, d):
     return heal.trust_scores(fusion.decide(_signals(spark, d))).groupBy(trust_band(F.col("trust")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query(rf"""select f.station_id, strftime(f.ts, '%Y-%m-%d %H:%M:%S') ts, f.variable, f.status, case when f.status <> 'NORMAL' then f.fault_type end fault_type, f.severity, case when f.status in ('SENSOR_FAULT', 'SUSPECT') then round(f.corrected, 4) end corrected_value, t.trust, case when is_hard then 1.0 when is_soft then 0.5 else 0.0 end physics, round(f.confidence, 4) confidence, nullif(split_part(rule_ids, ',', 1), '') physics_rule, f.ml iforest, round(f.z, 6) spatial_z, round(coalesce(f.dev_sigma, 0), 6) dev_sigma, f.value as value
-from imp f join trust t using (station_id, ts, variable)""")
-def q_detect(spark, d):
-    r = detect.verdicts(_signals(spark, d))
+_DETECTED = """select f.station_id, strftime(f.ts, '%Y-%m-%d %H:%M:%S') ts, f.variable, f.status, case when f.status <> 'NORMAL' then f.fault_type end fault_type, f.severity, case when f.status in ('SENSOR_FAULT', 'SUSPECT') then round(f.corrected, 4) end corrected_value, t.trust, case when is_hard then 1.0 when is_soft then 0.5 else 0.0 end physics, round(f.confidence, 4) confidence, nullif(split_part(rule_ids, ',', 1), '') physics_rule, f.ml iforest, round(f.z, 6) spatial_z, round(coalesce(f.dev_sigma, 0), 6) dev_sigma, f.value as value
+from imp f join trust t using (station_id, ts, variable)"""
+
+
+def _detected(r: DataFrame) -> DataFrame:
     return _out(r, "variable", "status", "fault_type", "severity", _r("corrected_value", digits=4), "trust", F.col("scores.physics").alias("physics"), "confidence", F.col("scores.physics_rule").alias("physics_rule"), F.col("scores.iforest").alias("iforest"), F.round("scores.spatial_z", 6).alias("spatial_z"), F.round("scores.dev_sigma", 6).alias("dev_sigma"), "value")
 
 
+@query(_DETECTED)
+def q_detect(spark, d):
+    return _detected(detect.verdicts(_signals(spark, d)))
+
+
+@query(rf"select station_id, {TS}, variable, round(near_anomaly, 6) near_anomaly from nearby", chain=lambda select: OFF_GRID + select)
+def q_interval_anomaly(spark, d):
+    """What all neighbours' readings within two hours say, of readings at the times of their events."""
+    raw = climatology.with_climatology(ingest.long_form(_raw(spark, d)), _clim(spark, d))
+    return _out(spatial.interval_anomaly(raw, _edges(spark, d)), "variable", _r("near_anomaly"))
+
+
+@query(_DETECTED.replace("round(f.corrected, 4)", "round(f.corrected + 1e-7, 4)"), chain=lambda select: OFF_GRID + select)
+def q_detect_offgrid(spark, d):
+    """The detector on readings at the times of their events; corrected values a hair higher, as many are halves of the last digit shown."""
+    s = detect.signals(_raw(spark, d), _clim(spark, d), _edges(spark, d), ("event_id",), on_grid=False)
+    return _detected(detect.verdicts(s.withColumn("ml_score", _stand_in())).withColumn("corrected_value", F.col("corrected_value") + 1e-7))
+
+
 @query()
 def q_detect_full(spark, d):
     """The whole detector with its own climatology, forest of 200 trees and calibration, fitted on the readings."""

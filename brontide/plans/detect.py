@@ -18,16 +18,20 @@ from brontide.operators.ingest import long_form
 RESULT = ("station_id", "ts", "variable", "value", "status", "fault_type", "confidence", "severity", "reasons", "shap_top", "corrected_value", "trust", "scores")
 
 
-def signals(readings: DataFrame, clim: DataFrame, edges: DataFrame, keep: tuple = ()) -> DataFrame:
+def signals(readings: DataFrame, clim: DataFrame, edges: DataFrame, keep: tuple = (), on_grid: bool = True) -> DataFrame:
     """One row for each sensor and hour with rules, climatology, neighbours' verdict, pattern columns and extrapolation.
 
     The history is computed once: all of its windows share one deal by station, and what neighbours say needs the
-    anomalies alone, which come straight from the readings.
+    anomalies alone, which come straight from the readings. On a grid of hours neighbours are joined by equal hours; off it
+    by the nearest reading to each hour around, and by all readings around for what a value should have been.
     """
     x = physics.check_physics(physics.rule_flags(history.sensor_history(readings, keep)))
     x = heal.extrapolate(history.usual_spread(history.pattern_columns(x)))
-    anomalies = with_climatology(long_form(readings), clim)
-    near = spatial.neighbour_signals(anomalies, spatial.around(anomalies, edges))
+    if on_grid:
+        anomalies = with_climatology(long_form(readings), clim)
+        near = spatial.neighbour_signals(anomalies, spatial.around(anomalies, edges))
+    else:
+        near = spatial.offgrid_signals(readings, clim, edges)
     return with_climatology(x, clim).join(near, ["station_id", "ts", "variable"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -75,15 +79,15 @@ class Model:
         return score_forest(feature_frame(readings, self.clim), self.forest, self.calibration).drop("raw")
 
 
-def judged(readings: DataFrame, edges: DataFrame, clim: DataFrame, score, keep: tuple = ()) -> DataFrame:
+def judged(readings: DataFrame, edges: DataFrame, clim: DataFrame, score, keep: tuple = (), on_grid: bool = True) -> DataFrame:
     """Signals and the model's scores of all sensors and hours."""
-    return signals(readings, clim, edges, keep).join(score(readings), ["station_id", "ts", "variable"])
+    return signals(readings, clim, edges, keep, on_grid).join(score(readings), ["station_id", "ts", "variable"])
 
 
-def detect(readings: DataFrame, stations: DataFrame, train: DataFrame | None = None, trees: int = CONFIG["trees"]) -> DataFrame:
-    """READINGS -> RESULT with climatology and forest fitted on ``train`` (default: the readings themselves)."""
+def detect(readings: DataFrame, stations: DataFrame, train: DataFrame | None = None, trees: int = CONFIG["trees"], on_grid: bool = True) -> DataFrame:
+    """READINGS -> RESULT with climatology and forest fitted on ``train`` (default: the readings themselves). on_grid: readings are at full hours."""
     model = Model(readings if train is None else train, trees)
-    return verdicts(judged(readings, neighbour_edges(stations), model.clim, model.score), forest=model.forest)
+    return verdicts(judged(readings, neighbour_edges(stations), model.clim, model.score, on_grid=on_grid), forest=model.forest)
 
 
 def detect_at(readings: DataFrame, edges: DataFrame, clim: DataFrame, score, now, warmup_h: int = 24, keep_h: int = 7 * 24) -> DataFrame:

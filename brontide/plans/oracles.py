@@ -86,3 +86,21 @@ TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') ts"
 
 def sql(select: str) -> str:
     return CHAIN + select
+
+
+def _off_grid() -> str:
+    """CHAIN for readings at the times of their events: neighbours by the nearest reading within half an hour of each hour around, and by all readings within two hours."""
+    before, rest = CHAIN.split("nb as (", 1)
+    after = rest.split("\npat as (", 1)[1]
+    near = """ask as (select a.station_id, a.ts, a.variable, a.anomaly, k as off, a.ts + to_hours(k) target, e.neighbour_id from anom a cross join (select unnest(range(-2, 3)) k) o join edges e on e.station_id = a.station_id),
+hit as (select a.*, b.value from ask a join anom b on b.station_id = a.neighbour_id and b.variable = a.variable and b.ts >= a.target - interval 30 minute and b.ts <= a.target + interval 30 minute qualify row_number() over (partition by a.station_id, a.ts, a.variable, a.off, a.neighbour_id order by abs(epoch_us(b.ts) - epoch_us(a.target)), b.ts) = 1),
+told as (select h.*, h.value - c.mean a from hit h join clim c on c.station_id = h.neighbour_id and c.m = month(h.target) and c.hr = hour(h.target) and c.variable = h.variable where h.value is not null and c.mean is not null),
+zs as (select *, list_median(all_a) med from (select station_id, ts, variable, off, any_value(anomaly) anomaly, list(a) all_a, count(*) n from told group by all) where n >= 2),
+zz as (select *, (anomaly - med) / (1.4826 * list_median(list_transform(all_a, lambda x: abs(x - med))) + mad_floor) z from zs join limits using (variable)),
+spat as (select station_id, ts, variable, z, n, off, coalesce(abs(z) <= 3, false) consistent from zz qualify row_number() over (partition by station_id, ts, variable order by abs(z) nulls first, off) = 1),
+nearby as (select h.station_id, h.ts, h.variable, list_median(list(b.anomaly)) near_anomaly from anom h join edges e on e.station_id = h.station_id join anom b on b.station_id = e.neighbour_id and b.variable = h.variable and b.ts >= h.ts - interval 2 hour and b.ts <= h.ts + interval 2 hour join limits l on l.variable = b.variable where b.value between l.lo and l.hi and b.anomaly is not null group by all),
+pat as ("""
+    return before.replace("station_id, hts ts, event_id, hk", "station_id, raw_ts ts, event_id, hk") + near + after
+
+
+OFF_GRID = _off_grid()
