@@ -190,5 +190,6 @@ def build_test_set(readings: DataFrame, stations: DataFrame, per_fault: int = 40
 
 
 def next_event_id(labelled: DataFrame, prefix: str) -> str:
+    """The name of the next event of a kind: one more than there are."""
     n = labelled.where(F.col("event_id").startswith(prefix)).agg(F.countDistinct("event_id")).first()[0]
     return f"{prefix}_{n + 1:03d}"

@@ -71,15 +71,30 @@ def station_events(results: DataFrame) -> DataFrame:
     return runs.groupBy("station_id", "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.max("top").alias("confidence"), *told).drop("run")
 
 
-def weather_events(results: DataFrame) -> DataFrame:
-    """Stretches that overlap or follow within an hour are one event, whatever the stations.
+#: Seconds of a slice of the record.
+SLICE_S = 32 * 86400
+
+
+def joined_intervals(intervals: DataFrame, gap_s: int = HOUR, slice_s: int = SLICE_S) -> DataFrame:
+    """start, event for each distinct start of ``intervals`` (start, end): intervals that overlap, or follow within the gap, have one event, numbered in order of time.
 
-    Covered hours that touch form an event. The one window without a partition runs over the distinct hours of the
-    record, a few thousand a year, not over rows.
+    In two levels: slices of the record each know how far their intervals reach and how many events begin in them, and what a slice
+    needs of all before it is the furthest end and a count. Only these few numbers, one row for each slice, are summed up along the whole record.
     """
+    x = intervals.groupBy("start").agg(F.max("end").alias("end")).withColumn("slice", F.floor(_seconds("start") / slice_s))
+    whole = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    reach = x.groupBy("slice").agg(F.max("end").alias("end")).select("slice", F.max("end").over(whole).alias("before"))
+    own = Window.partitionBy("slice").orderBy("start")
+    reached = F.greatest(F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("before"))
+    x = x.join(reach, "slice").withColumn("fresh", F.when(_seconds("start") <= _seconds(reached) + gap_s, 0).otherwise(1))
+    begun = x.groupBy("slice").agg(F.sum("fresh").alias("n")).select("slice", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("first"))
+    return x.withColumn("own", F.sum("fresh").over(own)).join(begun, "slice").select("start", (F.col("first") + F.col("own")).alias("event"))
+
+
+def weather_events(results: DataFrame) -> DataFrame:
+    """Stretches that overlap or follow within an hour are one event, whatever the stations."""
     parts = station_events(results)
-    hours = parts.select(F.explode(F.sequence("start", "end", F.expr("interval 1 hour"))).alias("ts")).distinct()
-    events = run_numbers(hours, Window.orderBy("ts")).select(F.col("ts").alias("start"), F.col("run").alias("event"))
+    events = joined_intervals(parts.select("start", "end"))
     lead = F.struct("start", "station_id")
     return parts.join(events, "start").groupBy("event").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("station_id", lead).alias("station_id"), F.min_by("confidence", lead).alias("confidence"), *[F.min_by(c, lead).alias(c) for c in _evidence(results)], F.count("*").alias("parts"), F.array_join(F.transform(F.array_sort(F.collect_list(lead)), lambda s: s["station_id"]), ", ").alias("stations"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brontide.config import CONFIG, FEATURES, VARIABLES
 from brontide.functions.scalars import by_variable, dewpoint_c, severity, trust_band
-from brontide.operators import climatology, evaluate, fusion, geo, heal, history, ingest, inject, physics, spatial, summary
+from brontide.operators import climatology, evaluate, fusion, geo, heal, history, ingest, inject, overlay, physics, spatial, summary
 from brontide.operators import features as feats
 from brontide.operators import forest as trees
 from brontide.plans import detect
@@ -676,6 +676,29 @@ def q_build_test_set(spark, d):
     return _shown(inject.inject_faults(out, _seconds(_FAULTS, inject.EVENTS + ", free_sign boolean", spark)))
 
 
+_NEXT = _AT + 3600
+_FAULTED = _injection_sql([("OUT_OF_RANGE_001", "ST-4", "temp_c", "OUT_OF_RANGE", _NEXT, 1, 55.0, False), ("FROZEN_001", "ST-2", "rh_pct", "FROZEN", _NEXT, 12, 0.0, False)], [("STORM_001", "ST-1", _NEXT, 1.2, 2, 7.0, 25.0, 2.5)])
+
+
+@query(_FAULTED.replace(" select b.station_id, strftime", ", laid as (select b.station_id, strftime", 1) + """)
+select 'applied' step, station_id, ts, temp_c, pressure_hpa, rh_pct, replace(label_temp_c, 'OUT_OF_RANGE', 'SPIKE') label_temp_c, label_rh_pct, replace(event_id, 'OUT_OF_RANGE', 'SPIKE') event_id from laid
+union all select 'refused', 'ST-1', null, null, null, null, null, null, null union all select 'refused', 'ST-none', null, null, null, null, null, null, null
+union all select 'cleared', station_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), round(temp_c, 6), round(pressure_hpa, 6), round(rh_pct, 6), 'NONE', 'NONE', '' from readings""")
+def q_replay_injections(spark, d):
+    """A storm, a spike and a freeze from the next hour on; a second storm and a spike without a reading are refused; then all is cleared."""
+    lay = overlay.Overlay(_readings(spark, d).drop("event_id"), _stations(spark, d))
+    lay.inject_storm(_T0, "ST-1")
+    refused = ["ST-1"] if lay.inject_storm("2024-01-08 04:00:00", "ST-1") is None else []
+    lay.inject_spike(_T0, "ST-4")
+    lay.inject_freeze(_T0, "ST-2")
+    refused += ["ST-none"] if lay.inject_spike(_T0, "ST-none") is None else []
+    shown = lambda step: _shown(lay.readings()).select(F.lit(step).alias("step"), "station_id", "ts", *VARIABLES, "label_temp_c", "label_rh_pct", "event_id")
+    applied = shown("applied")
+    none = spark.createDataFrame([("refused", s, *([None] * 7)) for s in refused], applied.schema)
+    lay.clear()
+    return applied.unionByName(none).unionByName(shown("cleared"))
+
+
 _PREVIEW = [("E_001", "ST-4", "temp_c", "SPIKE", _AT, 2, 12.5, False), ("E_002", "ST-2", "pressure_hpa", "FROZEN", _AT, 30, 0.0, False), ("E_003", "ST-5", "rh_pct", "DROPOUT", _AT, 8, None, False), ("E_004", "ST-7", "temp_c", "DRIFT", _AT, 40, 3.0, False)]
 
 

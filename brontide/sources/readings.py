@@ -56,6 +56,21 @@ def scan_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(kind).option("multiLine", "true").json(path)
 
 
+def save_test_set(labelled: DataFrame, path: str) -> None:
+    """Labelled readings by year and month of their time, one file for each."""
+    dated = labelled.withColumns({"year": F.year("ts"), "month": F.month("ts")})
+    dated.repartition("year", "month").write.mode("overwrite").partitionBy("year", "month").parquet(path)
+
+
+def scan_test_set(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("year", "month")
+
+
+def save_scores(scores: DataFrame, path: str) -> None:
+    """Batch scores (station_id, ts, variable, raw, ml_score) by variable."""
+    scores.select("station_id", "ts", "variable", "raw", "ml_score").repartition("variable").sortWithinPartitions("station_id", "ts").write.mode("overwrite").partitionBy("variable").parquet(path)
+
+
 def export_csv(log: DataFrame, path: str) -> None:
     log.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
