@@ -296,22 +296,21 @@ def load_model(spark, path: str) -> tuple[Forest, dict[str, tuple[np.ndarray, np
 
 def percentile_rank(scores: DataFrame, calibration: DataFrame, buckets: int = 4096, side: str = "right") -> DataFrame:
     """scores (variable, raw, ...) with ml_score: the share of the calibration (variable, score) that is not above raw, or
-    (side "left") below it.
+    (side "left") below it; side "both" gives the one as ml_score and the other as below.
 
-    Scores, mostly between 0 and 1, fall into buckets by size. Only the buckets' totals are summed up along a whole variable; within a
-    bucket the distinct scores are, so no task holds all of them.
+    Scores, mostly between 0 and 1, fall into buckets by size; distinct scores asked for and known are counted together and ranked within
+    their bucket, once for both sides. Only the buckets' totals are summed up along a whole variable, so no task holds all scores.
     """
-    bucket = lambda c: F.greatest(F.least(F.floor(F.col(c) * buckets), F.lit(buckets)), F.lit(-1))
-    steps = calibration.groupBy("variable", bucket("score").alias("bucket"), "score").agg(F.count("*").alias("k"))
-    totals = steps.groupBy("variable", "bucket").agg(F.sum("k").alias("k"))
-    below = F.sum("k").over(Window.partitionBy("variable").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    asked = scores.select("variable", F.col("raw").alias("score")).distinct().select("variable", bucket("score").alias("bucket"), "score", F.lit(0).cast("long").alias("k"), F.lit(True).alias("asked"))
-    both = asked.unionByName(steps.withColumn("asked", F.lit(False))).groupBy("variable", "bucket", "score").agg(F.sum("k").alias("k"), F.max("asked").alias("asked"))
+    bucket = F.greatest(F.least(F.floor(F.col("score") * buckets), F.lit(buckets)), F.lit(-1)).alias("bucket")
+    asked = scores.select("variable", F.col("raw").alias("score"), F.lit(0).cast("long").alias("k"), F.lit(True).alias("asked"))
+    known = calibration.select("variable", "score", F.lit(1).cast("long").alias("k"), F.lit(False).alias("asked"))
+    own = asked.unionByName(known).groupBy("variable", bucket, "score").agg(F.sum("k").alias("k"), F.max("asked").alias("asked"))
     upto = F.sum("k").over(Window.partitionBy("variable", "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    within = both.withColumn("upto", upto - (F.col("k") if side == "left" else F.lit(0))).where("asked").select("variable", "bucket", F.col("score").alias("raw"), "upto")
-    # every bucket asked for, also those without any calibration
-    sums = totals.unionByName(asked.select("variable", "bucket", "k")).groupBy("variable", "bucket").agg(F.sum("k").alias("k"))
-    base = sums.select("variable", "bucket", F.coalesce(below, F.lit(0)).alias("below"))
-    total = calibration.groupBy("variable").agg(F.count("*").alias("total"))
-    rank = within.join(base, ["variable", "bucket"]).join(total, "variable").select("variable", "raw", ((F.col("below") + F.col("upto")) / F.col("total")).alias("ml_score"))
-    return scores.join(rank, ["variable", "raw"])
+    own = written(own.withColumn("upto", upto))
+    totals = own.groupBy("variable", "bucket").agg(F.sum("k").alias("n"))
+    along = Window.partitionBy("variable")
+    base = totals.select("variable", "bucket", F.coalesce(F.sum("n").over(along.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("under"), F.sum("n").over(along).alias("total"))
+    ranked = own.where("asked").join(base, ["variable", "bucket"]).where("total > 0")
+    share = {"right": (F.col("under") + F.col("upto")) / F.col("total"), "left": (F.col("under") + F.col("upto") - F.col("k")) / F.col("total")}
+    columns = [share["right"].alias("ml_score"), share["left"].alias("below")] if side == "both" else [share[side].alias("ml_score")]
+    return scores.join(ranked.select("variable", F.col("score").alias("raw"), *columns), ["variable", "raw"])

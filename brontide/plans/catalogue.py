@@ -14,7 +14,7 @@ from brontide.operators import climatology, evaluate, fusion, geo, heal, history
 from brontide.operators import features as feats
 from brontide.operators import forest as trees
 from brontide.plans import detect
-from brontide.plans.oracles import OFF_GRID, TS, sql
+from brontide.plans.oracles import OFF_GRID, TS, over_injected, sql
 from brontide.sources import readings as src
 from brontide.sources.folders import shared_folder
 from brontide.streaming.detector import detect_stream
@@ -600,8 +600,7 @@ def q_percentile_rank(spark, d):
     """Every row among the calibration of a third of them, from both sides."""
     r = _long(spark, d).withColumn("raw", ((F.col("event_id") * 7919 + by_variable(dict(zip(VARIABLES, (0, 1, 2), strict=True))) * 613) % 1000) / 1000.0)
     cal = r.where("event_id % 3 = 0").select("variable", F.col("raw").alias("score"))
-    both = trees.percentile_rank(trees.percentile_rank(r, cal).withColumnRenamed("ml_score", "upto"), cal, side="left")
-    return _out(both, "variable", F.round("upto", 6).alias("ml_score"), F.round("ml_score", 6).alias("below"))
+    return _out(trees.percentile_rank(r, cal, side="both"), "variable", _r("ml_score"), _r("below"))
 
 
 _T0 = "2024-01-08 00:00:00"
@@ -702,13 +701,27 @@ def q_replay_injections(spark, d):
 _PREVIEW = [("E_001", "ST-4", "temp_c", "SPIKE", _AT, 2, 12.5, False), ("E_002", "ST-2", "pressure_hpa", "FROZEN", _AT, 30, 0.0, False), ("E_003", "ST-5", "rh_pct", "DROPOUT", _AT, 8, None, False), ("E_004", "ST-7", "temp_c", "DRIFT", _AT, 40, 3.0, False)]
 
 
-@query(rf""", hit(event_name, station_id, variable, label, second, hours) as (values {_quoted([r[:6] for r in _PREVIEW])}), w as (select x.station_id, x.ts, x.variable, h.label from lng x join hit h on h.station_id = x.station_id and h.variable = x.variable and epoch(x.ts) >= second and epoch(x.ts) < second + 3600 * hours)
-select station_id, {TS}, variable, label fault_type from w""")
+_PREVIEW_SQL = """, truth as (select station_id, ts, 'temp_c' variable, label_temp_c label, event_name, was_temp_c true_value from laid union all select station_id, ts, 'pressure_hpa', label_pressure_hpa, event_name, was_pressure_hpa from laid union all select station_id, ts, 'rh_pct', label_rh_pct, event_name, was_rh_pct from laid),
+nm as (select station_id, ts, variable, med, list_median(list_transform(vs, lambda x: abs(x - med))) mad from (select *, list_median(vs) med from (select e.station_id, n.ts, n.variable, list(n.value) vs from edges e join lng n on n.station_id = e.neighbour_id join limits l on l.variable = n.variable where n.value between lo and hi group by all) where len(vs) >= 2)),
+px as (select p.*, t.label, t.true_value, coalesce(t.event_name like 'STORM%', false) storm, m.med, (p.value - m.med) / (1.4826 * m.mad + p.mad_floor) z from phys p join truth t using (station_id, ts, variable) left join nm m using (station_id, ts, variable)),
+pv as (select *, label <> 'NONE' faulty, is_hard or is_soft or coalesce(abs(z) > 3, false) backed from px),
+ps as (select *, case when faulty and backed then 'SENSOR_FAULT' when faulty then 'SUSPECT' when storm then 'GENUINE_EVENT' else 'NORMAL' end status,
+  case when faulty and backed then case label when 'SPIKE' then 'CRITICAL' when 'OUT_OF_RANGE' then 'CRITICAL' when 'DROPOUT' then 'HIGH' when 'FROZEN' then 'HIGH' else 'MEDIUM' end when faulty then 'MEDIUM' end severity,
+  case when faulty or storm then list_filter([case when missing then variable || ' is missing or a dropout value' end, case when abs(value - lag1) > 0 then variable || ' changed by ' || printf('%.2f', round(value - lag1, 2)) || ' since the last reading' end, case when flatline then variable || ' has stayed at ' || printf('%.2f', round(value, 2)) end, case when med is not null and not missing then printf('%.2f', round(value - med, 2)) || ' away from the neighbours'' median' end], lambda x: x is not null) else [] end facts from pv),
+pd as (select station_id, variable, list(d order by ts) ds, list(ts order by ts) tss from (select station_id, variable, ts, case when status = 'SENSOR_FAULT' then -(case severity when 'MEDIUM' then 5 when 'HIGH' then 10 else 20 end)::double when status = 'NORMAL' then 0.5 else 0 end d from ps) group by all),
+pt as (select station_id, variable, unnest(tss) ts, unnest(list_transform(range(1, len(ds) + 1), lambda i: list_reduce(list_prepend(100.0::double, ds[1:i]), lambda a, x: least(greatest(a + x, 0), 100)))) trust from pd)
+select station_id, strftime(ts, '%Y-%m-%d %H:%M:%S') ts, variable, round(value, 6) as value, status, case when faulty then label end fault_type, case when faulty and backed then 0.9 when faulty then 0.5 when storm then 0.85 else 0.0 end::double confidence, severity, case when faulty then true_value end corrected_value, array_to_string(facts, ' | ') reasons,
+  case when faulty or storm then case when is_hard then 1.0 when is_soft then 0.5 else 0.0 end::double end physics, case when faulty or storm then round(z, 6) end spatial_z, trust from ps join pt using (station_id, ts, variable)"""
+_PREVIEW_STORM = [("STORM_001", "ST-1", _AT + 86400, 1.0, 2, 7.0, 25.0, 2.5)]
+
+
+@query(over_injected(_injection_sql(_PREVIEW, _PREVIEW_STORM), _PREVIEW_SQL), chain=lambda select: select)
 def q_preview(spark, d):
-    """The preview flags exactly the labelled rows, whatever it calls them."""
-    labelled = inject.inject_faults(inject.add_labels(_readings(spark, d).drop("event_id")), _seconds(_PREVIEW, inject.EVENTS + ", free_sign boolean", spark))
-    p = detect.preview(labelled, _edges(spark, d)).where(F.col("status").isin("SENSOR_FAULT", "SUSPECT") & F.col("trust").isNotNull() & F.col("severity").isNotNull())
-    return _out(p, "variable", "fault_type")
+    """The preview over four faults and a storm, all of its columns."""
+    stormy = inject.inject_storms(inject.add_labels(_readings(spark, d).drop("event_id")), _stations(spark, d), _seconds(_PREVIEW_STORM, inject.STORMS, spark))
+    labelled = inject.inject_faults(stormy, _seconds(_PREVIEW, inject.EVENTS + ", free_sign boolean", spark))
+    p = detect.preview(labelled, _edges(spark, d))
+    return _out(p, "variable", _r("value"), "status", "fault_type", "confidence", "severity", "corrected_value", F.array_join("reasons", " | ").alias("reasons"), F.col("scores.physics").alias("physics"), F.round("scores.spatial_z", 6).alias("spatial_z"), "trust")
 
 
 def _forest_sql(trees: int, subsample: int, seed: int) -> str:
