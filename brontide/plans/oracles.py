@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 CHAIN = r"""
 with r0 as (select 'ST-' || (user_id % 8 + 1) station_id, date_trunc('hour', ts) hts, event_id, ts raw_ts, hour(ts) h, cast(round(value * 100) as bigint) cents from events),
 r1 as (select *, abs(h - 14) o, day(hts) * 24 + hour(hts) hk from r0 qualify row_number() over (partition by station_id, hts order by raw_ts, event_id) = 1),
@@ -109,6 +111,7 @@ OFF_GRID = _off_grid()
 def over_injected(injection: str, select: str) -> str:
     """CHAIN over readings that an injection has changed (laid: its result, with what was there before as true values and the kinds of fault as labels)."""
     head, tail = CHAIN.split("\ndew as (", 1)
-    changed = injection.replace(" select b.station_id, strftime", " laid0 as (select b.station_id, b.ts, strftime", 1)
+    # the values themselves, not those shown
+    changed = re.sub(r"round\((i_\w+\.x), 6\)", r"\1", injection).replace(" select b.station_id, strftime", " laid0 as (select b.station_id, b.ts, strftime", 1)
     laid = """, laid as (select l.station_id, l.ts, r.event_id, r.hk, l.temp_c, l.pressure_hpa, l.rh_pct, l.label_temp_c, l.label_pressure_hpa, l.label_rh_pct, l.event_id event_name, r.temp_c was_temp_c, r.pressure_hpa was_pressure_hpa, r.rh_pct was_rh_pct from laid0 l join readings r on r.station_id = l.station_id and r.ts = l.ts)"""
     return head.rstrip(",") + changed.replace(" laid0 as", ", laid0 as", 1) + ")" + laid + ",\ndew as (" + tail.replace("from readings)", "from laid)", 1) + select
