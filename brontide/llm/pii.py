@@ -42,7 +42,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_HINT = re.compile(r"[0-9@]|[\[({<](?i:at)[\])}>]|(?i:\bdot\b)")
+#: What every span that ``plausible`` lets through has in it: a digit, an ``@``, or a written at with a written or plain dot in reach.
+_HINT = re.compile(r"[0-9@]|\b(?i:at)\b(?=\W*\w[^@]{0,64}?\W*(?:\.|\b(?i:dot)\b)\W*\w)")
 _DIGIT = re.compile("[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 
@@ -79,8 +80,8 @@ def plausible(kind: str, found: str) -> bool:
 
 
 _DIGIT_RUNS = re.compile("[0-9]+")
-#: Some letters, a written or plain at, and a written or plain dot after it.
-_WRITTEN = re.compile(r"[^\s@]+\W*(?:@|\b(?i:at)\b)\W*\w[^@]*?\W*(?:\.|\b(?i:dot)\b)\W*\w+", re.DOTALL)
+#: Some letters, a written or plain at, and a written or plain dot no more than a window after it.
+_WRITTEN = re.compile(r"[^\s@]+\W*(?:@|\b(?i:at)\b)\W*\w[^@]{0,64}?\W*(?:\.|\b(?i:dot)\b)\W*\w+", re.DOTALL)
 
 
 def _emails(text: str):

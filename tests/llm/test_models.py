@@ -184,6 +184,18 @@ def test_pii_adds_what_the_patterns_miss(spark, net):
     assert pii.find_pii(docs.limit(0), net).count() == 0
 
 
+def test_the_gate_keeps_no_span_from_the_network(net, monkeypatch):
+    """What is accepted where every window is read lies where the gate reads, too: no unrelated digit is needed."""
+    plain, more = (pii.all_spans(net, [f"write to jo.smith at home.org please{x}"])[0][1] for x in ("", " 12"))
+    assert plain == more == [("email", 9, 29)]
+    lines = [t for t, _ in pii.made_up(1000, seed=78)]
+    read = [pii.stretches(t) for t in lines]
+    monkeypatch.setattr(pii, "stretches", lambda t: [(0, max(2, -(-len(t) // 32) + 1))] if t else [])
+    for text, own, (base, whole) in zip(lines, read, pii.all_spans(net, lines), strict=True):
+        for _, a, b in set(whole) - set(base):
+            assert any(x * 32 <= a and b <= y * 32 for x, y in own), text
+
+
 def test_the_size_of_blocks_changes_no_span(net):
     lines = pii.made_up(150, seed=5)
     texts = [" ".join(t for t, _ in lines), " 12 ".join(t for t, _ in lines[:60]), "", "a", "1 " * 3000, *(t for t, _ in lines[:20])]
