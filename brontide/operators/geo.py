@@ -40,6 +40,11 @@ def neighbour_edges(stations: DataFrame, radius_km: float = CONFIG["radius_km"],
     return pairs.select("station_id", "neighbour_id", (d if digits is None else F.round(d, digits)).alias("distance_km"))
 
 
+def nearest_first(edges: DataFrame) -> DataFrame:
+    """edges with place: 1 for a station's nearest neighbour; of equally far ones the lesser name comes first."""
+    return edges.withColumn("place", F.row_number().over(Window.partitionBy("station_id").orderBy("distance_km", "neighbour_id")))
+
+
 def nearest_links(stations: DataFrame, k: int = 3, radius_km: float = CONFIG["radius_km"]) -> DataFrame:
     """Undirected links (a, b) of every station to its k nearest ones, by exact distance, however far they are.
 

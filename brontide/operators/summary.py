@@ -157,7 +157,7 @@ def maintenance(results: DataFrame, now, threshold: float = 50) -> DataFrame:
 
 
 def alert_log(results: DataFrame, stations: DataFrame, tz: str = "UTC") -> DataFrame:
-    """Every alert as text and numbers for export."""
+    """Every alert as text and numbers for export, the newest first."""
     local = lambda c: F.date_format(F.from_utc_timestamp(c, tz), "yyyy-MM-dd HH:mm")
     a = alerts(results).join(stations.select("station_id", "name"), "station_id", "left")
     weather = F.col("kind") == "weather"
@@ -166,7 +166,7 @@ def alert_log(results: DataFrame, stations: DataFrame, tz: str = "UTC") -> DataF
         F.when(weather, F.col("stations")).otherwise(F.concat_ws(" ", "station_id", F.coalesce("name", F.lit("")))).alias("station"),
         F.when(weather, "").otherwise(F.col("variable")).alias("sensor"), "status", F.coalesce("fault_type", F.lit("")).alias("fault_type"), F.coalesce("severity", F.lit("")).alias("severity"),
         F.round("confidence", 2).alias("confidence"), F.col("value").alias("reported"), "corrected",
-    )
+    ).orderBy(F.desc("start"), "end", "station", "sensor", "fault_type")
 
 
 def health_matrix(results: DataFrame, stations: DataFrame, now, hours: int = 72) -> DataFrame:

@@ -17,6 +17,7 @@ from brontide.plans import detect
 from brontide.plans.oracles import OFF_GRID, TS, over_injected, sql
 from brontide.sources import readings as src
 from brontide.sources.folders import shared_folder
+from brontide.streaming.cursor import Cursor
 from brontide.streaming.detector import detect_stream
 from brontide.streaming.replay import replay
 
@@ -404,6 +405,27 @@ def q_detect_at(spark, d):
     return _out(out, "variable", "value", "status", (F.col("scores.physics") == 1.0).alias("is_hard"), (F.col("scores.physics") >= 0.5).alias("is_soft"))
 
 
+@query(rf""", hrs as (select ts, row_number() over (order by ts) - 1 i from (select distinct ts from readings)), jp as (select min(i) p from hrs where ts >= timestamp '2024-01-15 00:00:00'),
+span as (select min(ts) a, max(ts) b from hrs, jp where i between p - 24 and p + 40), own as (select d.* from dec d, span where ts between a and b),
+pd as (select station_id, variable, list(d order by ts) ds, list(ts order by ts) tss from (select station_id, variable, ts, case when status = 'SENSOR_FAULT' then -(case severity when 'MEDIUM' then 5 when 'HIGH' then 10 when 'CRITICAL' then 20 else 2 end)::double when status = 'NORMAL' then 0.5 else 0 end d from own) group by all),
+pt as (select station_id, variable, unnest(tss) ts, unnest(list_transform(range(1, len(ds) + 1), lambda i: list_reduce(list_prepend(100.0::double, ds[1:i]), lambda a, x: least(greatest(a + x, 0), 100)))) trust from pd)
+select station_id, {TS}, variable, value as value, status, round(confidence, 4) confidence, severity, is_hard, trust from own join pt using (station_id, ts, variable), span where epoch(ts) > epoch(b) - 48 * 3600""")
+def q_replay_cursor(spark, d):
+    """A jump, then 1 and 39 hours on; of the results the last 48 hours stay."""
+    score = lambda readings: ingest.long_form(readings, ("event_id",)).select("station_id", "ts", "variable", _stand_in().alias("ml_score"))
+    c = Cursor(_readings(spark, d), _edges(spark, d), _clim(spark, d), score, keep_h=48)
+    c.jump("2024-01-15 00:00:00")
+    c.advance()
+    c.advance(39)
+    return _out(c.results, "variable", "value", "status", "confidence", "severity", (F.col("scores.physics") == 1.0).alias("is_hard"), "trust")
+
+
+@query("select station_id, neighbour_id, round(km, 1) distance_km, row_number() over (partition by station_id order by km, neighbour_id) place from pairs where km <= 20")
+def q_neighbours_ranked(spark, d):
+    e = geo.nearest_first(geo.neighbour_edges(_stations(spark, d, None), 20.0, digits=None))
+    return e.select("station_id", "neighbour_id", _r("distance_km", digits=1), F.col("place").cast("long").alias("place"))
+
+
 @query("select station_id, ['NORMAL', 'GENUINE_EVENT', 'SUSPECT', 'SENSOR_FAULT'][max(case status when 'NORMAL' then 1 when 'GENUINE_EVENT' then 2 when 'SUSPECT' then 3 else 4 end)] status, min(trust) trust from res, now where ts = t group by 1")
 def q_station_status(spark, d):
     r = _results(spark, d)
