@@ -43,42 +43,43 @@ def inject_faults(labelled: DataFrame, events: DataFrame) -> DataFrame:
 
     magnitude: the jump, ramp end, stuck value (OUT_OF_RANGE), dropout value (null for null), or for NOISE a multiple of the
     station's usual step. Where events have a column free_sign, a jump in humidity that is free goes to the side with room.
+
+    New values are worked out on the events' own hours, all variables together, and joined to the readings once.
     """
     if "free_sign" not in events.columns:
         events = events.withColumn("free_sign", F.lit(False))
     known = F.when(F.col("fault").isin(*FAULTS), F.col("fault")).otherwise(F.raise_error(F.concat(F.lit("unknown kind of fault: "), F.col("fault"))).cast("string"))
     hours = events.withColumn("fault", known).withColumn("ts", F.explode(F.sequence(F.col("start"), F.timestamp_seconds(F.unix_timestamp("start") + (F.col("hours") - 1) * 3600), F.expr("interval 1 hour"))))
-    hours = hours.groupBy("station_id", "ts", "variable").agg(F.min(F.struct("event_id", "fault", "start", "hours", "magnitude", "free_sign")).alias("e"))
-    out = labelled
+    hours = hours.groupBy("station_id", "ts", "variable").agg(F.min(F.struct("event_id", "fault", "magnitude", "free_sign")).alias("e"))
+    steps = None
     for v in VARIABLES:
-        own = hours.where(F.col("variable") == v).select("station_id", "ts", F.col("e").alias("_e"))
         noisy = events.where((F.col("variable") == v) & (F.col("fault") == "NOISE")).select("station_id").distinct()
-        steps = usual_step(labelled.join(noisy, "station_id", "left_semi"), v)
-        out = out.join(own, ["station_id", "ts"], "left").join(steps.withColumnRenamed("step", "_step"), "station_id", "left")
-        w = Window.partitionBy("station_id", "_e.event_id").orderBy("ts")
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        n, k, m, x = F.count("*").over(whole), F.row_number().over(w) - 1, F.col("_e.magnitude"), F.col(v)
-        held = F.first(v, True).over(whole)
-        fault = F.col("_e.fault")
-        jump = m
-        if v == "rh_pct":
-            jump = F.when(F.col("_e.free_sign"), F.when(F.avg(v).over(whole) > 50, -F.abs(m)).otherwise(F.abs(m))).otherwise(m)
-        value = (
-            F.when(fault == "SPIKE", x + jump)
-            .when(fault == "FROZEN", held)
-            .when(fault == "DRIFT", x + F.when(n > 1, m * k / (n - 1)).otherwise(m))
-            .when(fault == "NOISE", x + m * F.col("_step") * normal_draw(F.col("_e.event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
-            .when(fault.isin("DROPOUT", "OUT_OF_RANGE"), m)
-            .otherwise(x)
-        )
-        if v == "rh_pct":
-            value = F.when(fault.isin("SPIKE", "DRIFT", "NOISE"), F.greatest(F.least(value, F.lit(100.0)), F.lit(0.0))).otherwise(value)
-        out = out.withColumn("_v", value).withColumns({
-            v: F.when(fault.isNotNull(), F.col("_v")).otherwise(x),
-            f"label_{v}": F.coalesce(fault, F.col(f"label_{v}")),
-            "event_id": F.coalesce(F.col("_e.event_id"), F.col("event_id")),
-        }).drop("_v", "_e", "_step")
-    return out
+        own = usual_step(labelled.join(noisy, "station_id", "left_semi"), v).withColumn("variable", F.lit(v))
+        steps = own if steps is None else steps.unionByName(own)
+    now = F.coalesce(*[F.when(F.col("variable") == v, F.col(v)) for v in VARIABLES])
+    x = hours.join(labelled.select("station_id", "ts", *VARIABLES), ["station_id", "ts"]).withColumn("x", now).join(steps, ["station_id", "variable"], "left")
+    w = Window.partitionBy("station_id", "variable", "e.event_id").orderBy("ts")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n, k, m, fault = F.count("*").over(whole), F.row_number().over(w) - 1, F.col("e.magnitude"), F.col("e.fault")
+    rh = F.col("variable") == "rh_pct"
+    jump = F.when(rh & F.col("e.free_sign"), F.when(F.avg("x").over(whole) > 50, -F.abs(m)).otherwise(F.abs(m))).otherwise(m)
+    value = (
+        F.when(fault == "SPIKE", F.col("x") + jump)
+        .when(fault == "FROZEN", F.first("x", True).over(whole))
+        .when(fault == "DRIFT", F.col("x") + F.when(n > 1, m * k / (n - 1)).otherwise(m))
+        .when(fault == "NOISE", F.col("x") + m * F.col("step") * normal_draw(F.col("e.event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
+        .when(fault.isin("DROPOUT", "OUT_OF_RANGE"), m)
+    )
+    x = x.withColumn("new", value)
+    x = x.withColumn("new", F.when(rh & fault.isin("SPIKE", "DRIFT", "NOISE"), F.greatest(F.least("new", F.lit(100.0)), F.lit(0.0))).otherwise(F.col("new")))
+    told = x.groupBy("station_id", "ts").agg(*[F.max(F.when(F.col("variable") == v, F.struct(F.col("e.event_id").alias("event_id"), F.col("e.fault").alias("fault"), "new"))).alias(f"_{v}") for v in VARIABLES])
+    hit = {v: F.col(f"_{v}").isNotNull() for v in VARIABLES}
+    return labelled.join(told, ["station_id", "ts"], "left").withColumns(
+        {v: F.when(hit[v], F.col(f"_{v}.new")).otherwise(F.col(v)) for v in VARIABLES}
+        | {f"label_{v}": F.coalesce(F.col(f"_{v}.fault"), F.col(f"label_{v}")) for v in VARIABLES}
+        # of faults of several variables in an hour the last one names it
+        | {"event_id": F.coalesce(*[F.col(f"_{v}.event_id") for v in reversed(VARIABLES)], F.col("event_id"))}
+    ).drop(*[f"_{v}" for v in VARIABLES])
 
 
 STORMS = "event_id string, center string, start timestamp, strength double, onset_h int, temp_drop double, rh_rise double, pressure_rise double"
