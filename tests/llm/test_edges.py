@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from brontide.llm import decontam, langid, licenses, linededup, minhash, mixing, mpeg, pii, substrings, toxicity
+from brontide.llm import decontam, dialogs, fuzzyhash, langid, licenses, linededup, minhash, mixing, mpeg, pii, search, substrings, toxicity
 
 NAMES = ("row", "name", "key", "r", "c", "rep", "n", "marks", "node", "comp", "t", "id", "domain", "posteriors", "rate", "w", "rest", "gone_id", "lines", "items", "score", "base", "line_no", "h1", "media", "n_tokens")
 TEXTS = [None, "", " \n\n ", "word", "the same line of words in two texts that repeat it here", "the same line of words in two texts that repeat it here\nand one more line", "mail a.b@c.org or 4111 1111 1111 1111", "you stupid clown", "x" * 200_000, "many words " * 20_000, "Released under the MIT License."]
@@ -39,10 +39,11 @@ def run(name, docs, labels, bench):
         "licenses": lambda: licenses.scan_licenses(docs),
         "pii": lambda: pii.find_pii(docs, pii.train([], steps=3, made=60)),
         "lines": lambda: linededup.dedup_lines(docs),
+        "hashes": lambda: fuzzyhash.edited(docs),
     }[name]()
 
 
-ALL = ("language", "decontamination", "audio", "toxicity", "near", "mixing", "substrings", "licenses", "pii", "lines")
+ALL = ("language", "decontamination", "audio", "toxicity", "near", "mixing", "substrings", "licenses", "pii", "lines", "hashes")
 
 
 @pytest.mark.parametrize("name", ALL)
@@ -74,3 +75,20 @@ def test_verdicts(odd, labels, bench):
     assert gone == [(-1, 0), (-1, 0), (4, 1), (4, 1), (4, 1), (5, 1)]
     found = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(odd).collect()}
     assert found[10] == "mit" and found[0] == ""
+
+
+def test_search_of_odd_rows(odd, bench):
+    """Words of an item are found in every row that has them, repeated ones each; null and empty items find nothing."""
+    found = search.search(odd, bench.withColumn("rank", bench["text"])).collect()
+    assert {r["item_id"] for r in found} == {1, None}
+    assert sorted(r["doc_id"] or -1 for r in found if r["item_id"] == 1) == [-1, 4, 4, 4, 5] and {r["doc_id"] for r in found if r["item_id"] is None} == {3}
+
+
+def test_conversations_of_odd_rows(spark):
+    """Columns named as the operator's own are ignored; a row for each conv_id, null too."""
+    names = ("piece", "kind", "place", "told", "edit", "symbol", "n", "first", "costs", "audit", "sha")
+    rows = [(c, t, r, x, *([None] * len(names))) for c, t, r, x in ((1, 1, "user", "a" * 2_000_000), (1, None, None, None), (None, 2, "assistant", "Yes."), (None, 2, "assistant", "Yes."), (2, 5, "", ""))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = {r["conv_id"]: r for r in dialogs.repair(df).collect()}
+    assert set(got) == {1, 2, None} and got[None]["duplicate"] == 1 and got[1]["blank"] == 1 and got[1]["truncated"] == 1 and got[2]["audit"] == "D"
+    assert len(dialogs.repair(df, dialogs.damage(df)).collect()) == 3
