@@ -13,6 +13,7 @@ from brontide.functions.scalars import dewpoint_c, in_range, worst_severity, wor
 from brontide.operators.history import by_sensor
 from brontide.operators.ingest import long_form
 from brontide.operators.spatial import neighbour_median
+from brontide.sources.folders import written
 
 HOUR = 3600
 RUN = "kind string, station_id string, variable string, status string, fault_type string, severity string, confidence double, value double, corrected double, start timestamp, end timestamp, trust_before double, trust_after double"
@@ -80,8 +81,9 @@ def joined_intervals(intervals: DataFrame, gap_s: int = HOUR, slice_s: int = SLI
 
     In two levels: slices of the record each know how far their intervals reach and how many events begin in them, and what a slice
     needs of all before it is the furthest end and a count. Only these few numbers, one row for each slice, are summed up along the whole record.
+    The distinct starts, a few thousand a year, are written once, so that the intervals are worked out once.
     """
-    x = intervals.groupBy("start").agg(F.max("end").alias("end")).withColumn("slice", F.floor(_seconds("start") / slice_s))
+    x = written(intervals.groupBy("start").agg(F.max("end").alias("end")).withColumn("slice", F.floor(_seconds("start") / slice_s)))
     whole = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     reach = x.groupBy("slice").agg(F.max("end").alias("end")).select("slice", F.max("end").over(whole).alias("before"))
     own = Window.partitionBy("slice").orderBy("start")
@@ -121,14 +123,30 @@ def station_status(results: DataFrame, now) -> DataFrame:
     return results.where(F.col("ts") == now).groupBy("station_id").agg(worst_status(F.col("status")).alias("status"), F.min("trust").alias("trust"))
 
 
+def fault_counts(results: DataFrame, now) -> DataFrame:
+    """One row: runs of flagged hours that hold a fault, and those of them that reach to now."""
+    flagged = results.where(F.col("status").isin(*FLAGGED)).select("station_id", "variable", "ts", "status", F.coalesce("fault_type", F.lit("")).alias("kind_of"))
+    runs = run_numbers(flagged, by_sensor(), "kind_of").groupBy("station_id", "variable", "run").agg(F.max(F.col("status") == "SENSOR_FAULT").alias("fault"), F.max("ts").alias("end"))
+    return runs.where("fault").agg(F.count("*").alias("faults"), F.coalesce(F.sum((F.col("end") == now).cast("long")), F.lit(0)).alias("open"))
+
+
+def event_count(results: DataFrame) -> DataFrame:
+    """One row: how many weather events there are. They cover the hours that some station has a genuine event in."""
+    hours = results.where(F.col("status") == "GENUINE_EVENT").select(F.col("ts").alias("start"), F.col("ts").alias("end"))
+    return joined_intervals(hours).agg(F.count_distinct("event").alias("events"))
+
+
 def kpis(results: DataFrame, now, step_ms: tuple = ()) -> DataFrame:
     """One row: the least trusted sensor, open faults, faults and events of the last 24 hours, mean step time of the last 24 steps."""
     day = results.where(F.col("ts") > F.timestamp_seconds(_seconds(now) - 24 * HOUR))
-    low = results.where(F.col("ts") == now).agg(F.min(F.struct("trust", "station_id", "variable")).alias("l"))
-    runs = fault_runs(day).where("status = 'SENSOR_FAULT'").agg(F.count("*").alias("faults_24h"), F.coalesce(F.sum((F.col("end") == now).cast("long")), F.lit(0)).alias("open_faults"))
-    events = weather_events(day).agg(F.count("*").alias("events_24h"))
+    low = day.where(F.col("ts") == now).agg(F.min(F.struct("trust", "station_id", "variable")).alias("l"))
+    # a day has few distinct hours, so one window goes over them
+    hours = day.where(F.col("status") == "GENUINE_EVENT").select("ts").distinct()
+    fresh = _seconds("ts") > F.coalesce(_seconds(F.lag("ts").over(Window.orderBy("ts"))) + HOUR, F.lit(0))
+    events = hours.select(fresh.alias("fresh")).agg(F.count_if("fresh").alias("events_24h"))
     last = step_ms[-24:]
-    return low.crossJoin(runs).crossJoin(events).select(F.col("l.trust").alias("lowest_trust"), F.col("l.station_id").alias("lowest_station"), F.col("l.variable").alias("lowest_variable"), "open_faults", "faults_24h", "events_24h", F.lit(sum(last) / len(last) if last else None).cast("double").alias("step_ms"))
+    one = low.crossJoin(fault_counts(day, now)).crossJoin(events)
+    return one.select(F.col("l.trust").alias("lowest_trust"), F.col("l.station_id").alias("lowest_station"), F.col("l.variable").alias("lowest_variable"), F.col("open").alias("open_faults"), F.col("faults").alias("faults_24h"), "events_24h", F.lit(sum(last) / len(last) if last else None).cast("double").alias("step_ms"))
 
 
 def trust_now(results: DataFrame, now) -> DataFrame:

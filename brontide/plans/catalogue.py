@@ -470,7 +470,7 @@ dwev as (select case when s <= max(e) over (order by s, station_id rows between
 from (select trust, station_id, variable from res, now where ts = t order by trust, station_id, variable limit 1) l""")
 def q_kpis(spark, d):
     r = _results(spark, d)
-    whole = summary.fault_runs(r).where("status = 'SENSOR_FAULT'").agg(F.count("*").alias("runs_all")).crossJoin(summary.weather_events(r).agg(F.count("*").alias("events_all")))
+    whole = summary.fault_counts(r, _now(r)).select(F.col("faults").alias("runs_all")).crossJoin(summary.event_count(r).withColumnRenamed("events", "events_all"))
     return summary.kpis(r, _now(r), (10.0, 30.0)).crossJoin(whole)
 
 
