@@ -229,15 +229,41 @@ def score_forest(features: DataFrame, forest: Forest, calibration: dict[str, tup
                 own = np.flatnonzero(names == v)
                 if len(own):
                     raw[own] = forest.score(x[own], v)
-                    k = known.get(v)
-                    if k is not None and len(k[0]):
-                        rank[own] = np.append(0, np.cumsum(k[1]))[np.searchsorted(k[0], np.round(raw[own], DIGITS), side="right")] / k[1].sum()
+                    rank[own] = ranks(raw[own], known.get(v))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch["station_id"], batch["ts"], batch["variable"], pa.array(raw), pa.array(rank), lists], names=["station_id", "ts", "variable", "raw", "ml_score", "features"])
 
     return _fixed(features, "station_id", "ts", "variable").mapInArrow(run, f"station_id string, ts {kind}, variable string, raw double, ml_score double, features array<double>")
 
 
+def score_rows(rows: DataFrame, forest: Forest, calibration: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """rows (variable, features, ...) with ml_score; they pass through whole, so a stream can be scored."""
+    shared = rows.sparkSession.sparkContext.broadcast((forest, calibration))
+
+    def run(batches):
+        forest, known = shared.value
+        for batch in batches:
+            names, rank = np.array(batch["variable"].to_pylist(), dtype=object), np.zeros(batch.num_rows)
+            for v in VARIABLES:
+                own = np.flatnonzero(names == v)
+                if len(own):
+                    rank[own] = ranks(forest.score(_features_of(batch, own), v), known.get(v))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank)], names=[*batch.schema.names, "ml_score"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL("ml_score double").fields]))
+
+
+def ranks(raw: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """The share of a calibration (distinct scores and rows of each) that is not above each raw score; 0 without one."""
+    if known is None or not len(known[0]):
+        return np.zeros(len(raw))
+    return np.append(0, np.cumsum(known[1]))[np.searchsorted(known[0], np.round(raw, DIGITS), side="right")] / known[1].sum()
+
+
+def _features_of(batch: pa.RecordBatch, own: np.ndarray) -> np.ndarray:
+    return batch["features"].take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+
+
 TOP = "array<struct<label:string,contribution:double>>"
 
 
@@ -256,8 +282,7 @@ def contributions(rows: DataFrame, forest: Forest, top: int = 3) -> DataFrame:
             for v in VARIABLES:
                 own = np.flatnonzero((names == v) & asked)
                 if len(own):
-                    x = batch["features"].take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-                    size = np.abs(shared.value.shapley(x, v))
+                    size = np.abs(shared.value.shapley(_features_of(batch, own), v))
                     for i, by, part in zip(own, np.argsort(-size, axis=1, kind="stable")[:, :top], size, strict=True):
                         tops[i] = [{"label": FEATURES[j], "contribution": round(float(part[j]), 4)} for j in by]
             told = pa.array(tops, pa.list_(pa.struct([("label", pa.string()), ("contribution", pa.float64())])))

@@ -10,8 +10,8 @@ from brontide.functions.scalars import array_median, by_variable, in_range
 from brontide.operators import fusion, heal, history, physics, spatial
 from brontide.operators.climatology import fit_climatology, with_climatology
 from brontide.operators.evaluate import truth_rows
-from brontide.operators.features import feature_frame
-from brontide.operators.forest import TOP, Forest, calibrate, contributions, fit_forest, score_forest
+from brontide.operators.features import feature_frame, signal_features
+from brontide.operators.forest import TOP, Forest, calibrate, contributions, fit_forest, score_forest, score_rows
 from brontide.operators.geo import neighbour_edges
 from brontide.operators.ingest import long_form
 
@@ -78,6 +78,10 @@ class Model:
         """station_id, ts, variable, ml_score and the features that explain it."""
         return score_forest(feature_frame(readings, self.clim), self.forest, self.calibration).drop("raw")
 
+    def score_signals(self, signals: DataFrame) -> DataFrame:
+        """signals, of a stream too, with ml_score and features."""
+        return score_rows(signal_features(signals), self.forest, self.calibration)
+
 
 def judged(readings: DataFrame, edges: DataFrame, clim: DataFrame, score, keep: tuple = (), on_grid: bool = True) -> DataFrame:
     """Signals and the model's scores of all sensors and hours."""

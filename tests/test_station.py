@@ -136,3 +136,19 @@ def test_stream_with_a_clock_ahead_and_late_rows(spark, net, tmp_path):
     assert waits[0] > max(k[1] for k in other).replace(hour=0) - timedelta(days=2) and len(mine) > 0.9 * len(other)
     aside = spark.read.parquet(f"file://{tmp_path}/run/late").collect()
     assert {str(a["ts"]) for a in aside} == {"2023-01-01 05:00:00"} and len(aside) == 3
+
+
+def test_stream_with_its_own_model(spark, net, tmp_path):
+    """Scores, features and Shapley values of the stream are those of one plan."""
+    r, edges, _ = net
+    r = r.where("ts < '2024-01-12'")
+    model = detect.Model(r.drop("event_id"), trees=15)
+    half = F.col("ts") < "2024-01-07"
+    for part in (r.where(half), r.where(~half)):
+        part.select("station_id", "ts", "event_id", *VARIABLES).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    got = detect_stream(spark, f"file://{tmp_path}/in", SCHEMA, edges, model.clim, model.score_signals, f"file://{tmp_path}/run", forest=model.forest)
+    want = detect.verdicts(detect.judged(r.drop("event_id"), edges, model.clim, model.score), forest=model.forest)
+    shown = lambda x: {(a["station_id"], a["ts"], a["variable"]): (a["status"], a["fault_type"], round(a["scores"]["iforest"], 9), [(c["label"], c["contribution"]) for c in a["shap_top"]]) for a in x.collect()}
+    mine, other = shown(got), shown(want)
+    assert len(mine) > 200 and [(k, v, other[k]) for k, v in mine.items() if v != other[k]] == []
+    assert sum(bool(v[3]) for v in mine.values()) > 3
