@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brontide.config import CONFIG, FAULTS, VARIABLES
-from brontide.functions.scalars import haversine_km, in_range, km_between
+from brontide.functions.scalars import in_range, km_between
+from brontide.operators.geo import neighbour_edges
 
 EVENTS = "event_id string, station_id string, variable string, fault string, start timestamp, hours int, magnitude double"
 
@@ -92,10 +93,11 @@ def inject_storms(labelled: DataFrame, stations: DataFrame, storms: DataFrame) -
     """
     s = CONFIG["storm"]
     k = F.col("k")
-    home = stations.select(F.col("station_id").alias("center"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
-    km = haversine_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))
-    # a row for each storm and station: storms are planned, so there are few
-    hit = stations.crossJoin(F.broadcast(storms.join(home, "center"))).withColumn("km", km).where(F.col("km") <= s["radius_km"])
+    # stations within the radius are found by cells, so nothing is crossed or broadcast
+    centers = storms.select(F.col("center").alias("station_id")).distinct()
+    away = neighbour_edges(stations, s["radius_km"], digits=None, seekers=centers).select(F.col("station_id").alias("center"), F.col("neighbour_id").alias("station_id"), F.col("distance_km").alias("km"))
+    own = stations.join(centers, "station_id", "left_semi").select(F.col("station_id").alias("center"), "station_id", F.lit(0.0).alias("km"))
+    hit = storms.join(away.unionByName(own), "center")
     begin = F.unix_timestamp("start") + F.round(F.col("km") / s["speed_kmh"]) * 3600
     wave = hit.withColumn("b", begin).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("onset_h") + (s["relax_h"] - 1))))
     share = F.col("strength") * F.when(k < F.col("onset_h"), (k + 1) / F.col("onset_h")).otherwise(F.exp(-(k - F.col("onset_h")) / s["tau_h"]))

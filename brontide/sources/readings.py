@@ -12,8 +12,16 @@ READINGS = "station_id string, ts timestamp, temp_c double, pressure_hpa double,
 STATIONS = "station_id string, name string, lat double, lon double, elevation_m int"
 
 
+def check_zone(spark: SparkSession) -> None:
+    """Hours and months of readings are UTC's, so the session must have a zone that shows them so, in winter and summer."""
+    shown = spark.range(1).select(*[F.date_format(F.timestamp_seconds(F.lit(t)), "yyyy-MM-dd HH:mm") for t in (1704067200, 1719792000)]).first()
+    if tuple(shown) != ("2024-01-01 00:00", "2024-07-01 00:00"):
+        raise ValueError(f"spark.sql.session.timeZone must be UTC, not {spark.conf.get('spark.sql.session.timeZone')}")
+
+
 def scan_readings(spark: SparkSession, path: str) -> DataFrame:
     """Parquet files below a folder, all of them, with a fixed schema; NaN becomes null."""
+    check_zone(spark)
     df = spark.read.schema(READINGS).option("recursiveFileLookup", "true").parquet(path)
     return df.select("station_id", "ts", *[no_nan(F.col(v)).alias(v) for v in VARIABLES])
 
@@ -26,7 +34,8 @@ def hourly_payload(payloads: DataFrame) -> DataFrame:
     """station_id, body (JSON of parallel arrays as the archive service returns them) -> READINGS."""
     kind = "struct<hourly:struct<time:array<string>,temperature_2m:array<double>,pressure_msl:array<double>,relative_humidity_2m:array<double>>>"
     rows = payloads.select("station_id", F.from_json("body", kind).alias("b")).select("station_id", F.explode(F.arrays_zip("b.hourly.time", "b.hourly.temperature_2m", "b.hourly.pressure_msl", "b.hourly.relative_humidity_2m")).alias("r"))
-    return rows.select("station_id", F.to_timestamp("r.time").alias("ts"), F.col("r.temperature_2m").alias("temp_c"), F.col("r.pressure_msl").alias("pressure_hpa"), F.col("r.relative_humidity_2m").alias("rh_pct"))
+    # the service's times are UTC, whatever the session's zone
+    return rows.select("station_id", F.to_timestamp(F.concat(F.substring("r.time", 1, 16), F.lit("Z")), "yyyy-MM-dd'T'HH:mmX").alias("ts"), F.col("r.temperature_2m").alias("temp_c"), F.col("r.pressure_msl").alias("pressure_hpa"), F.col("r.relative_humidity_2m").alias("rh_pct"))
 
 
 def coverage(readings: DataFrame) -> DataFrame:

@@ -71,9 +71,13 @@ def test_times_are_utc_whatever_the_zone(spark, url):
     try:
         spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
         got = archive.fetch(spark, url, STATIONS[:1], "2023-01-01", "2023-01-01", pause=0.01).select(F.unix_timestamp("ts")).collect()
+        body = json.dumps({"hourly": {"time": ["2023-01-01T00:00", "2023-01-01T12:00"]} | {f: [1.0, 2.0] for f in archive.FIELDS.values()}})
+        landed = src.hourly_payload(spark.createDataFrame([("A", body)], "station_id string, body string")).select(F.unix_timestamp("ts")).collect()
+        with pytest.raises(ValueError, match="must be UTC"):
+            src.scan_readings(spark, "file:///nowhere")
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
-    assert sorted(r[0] for r in got) == [1672531200, 1672574400]
+    assert sorted(r[0] for r in got) == sorted(r[0] for r in landed) == [1672531200, 1672574400]
 
 
 def test_failure_may_fail(spark, url):
