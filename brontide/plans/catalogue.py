@@ -397,18 +397,21 @@ def q_stream_detect(spark, d):
     return _out(out.where(F.col("ts") <= F.lit(last) - F.expr("interval 2 hours")), "variable", "status", "fault_type", "severity", _r("corrected_value", digits=4), "trust")
 
 
-@query(rf"""select f.station_id, strftime(f.ts, '%Y-%m-%d %H:%M:%S') ts, f.variable, f.value as value, f.status, is_hard, is_hard or is_soft is_soft from dec f where f.ts > timestamp '2024-01-21 00:00:00' and f.ts <= timestamp '2024-01-22 00:00:00'""")
+#: Trust from the usual start over the rows of own.
+_OWN_TRUST = """pd as (select station_id, variable, list(d order by ts) ds, list(ts order by ts) tss from (select station_id, variable, ts, case when status = 'SENSOR_FAULT' then -(case severity when 'MEDIUM' then 5 when 'HIGH' then 10 when 'CRITICAL' then 20 else 2 end)::double when status = 'NORMAL' then 0.5 else 0 end d from own) group by all),
+pt as (select station_id, variable, unnest(tss) ts, unnest(list_transform(range(1, len(ds) + 1), lambda i: list_reduce(list_prepend(100.0::double, ds[1:i]), lambda a, x: least(greatest(a + x, 0), 100)))) trust from pd)"""
+
+
+@query(", own as (select * from imp where ts > timestamp '2024-01-21 00:00:00' and ts <= timestamp '2024-01-22 00:00:00'), " + _OWN_TRUST + " " + _DETECTED.replace("from imp f join trust t", "from own f join pt t"))
 def q_detect_at(spark, d):
-    """The last day before a jump, from readings kept for long enough."""
+    """The last day before a jump, from readings kept for long enough, with trust as for new sensors."""
     score = lambda readings: ingest.long_form(readings, ("event_id",)).select("station_id", "ts", "variable", _stand_in().alias("ml_score"))
-    out = detect.detect_at(_readings(spark, d), _edges(spark, d), _clim(spark, d), score, F.lit("2024-01-22 00:00:00").cast("timestamp"), keep_h=24 * 366)
-    return _out(out, "variable", "value", "status", (F.col("scores.physics") == 1.0).alias("is_hard"), (F.col("scores.physics") >= 0.5).alias("is_soft"))
+    return _detected(detect.detect_at(_readings(spark, d), _edges(spark, d), _clim(spark, d), score, F.lit("2024-01-22 00:00:00").cast("timestamp"), keep_h=24 * 366))
 
 
 @query(rf""", hrs as (select ts, row_number() over (order by ts) - 1 i from (select distinct ts from readings)), jp as (select min(i) p from hrs where ts >= timestamp '2024-01-15 00:00:00'),
 span as (select min(ts) a, max(ts) b from hrs, jp where i between p - 24 and p + 40), own as (select d.* from dec d, span where ts between a and b),
-pd as (select station_id, variable, list(d order by ts) ds, list(ts order by ts) tss from (select station_id, variable, ts, case when status = 'SENSOR_FAULT' then -(case severity when 'MEDIUM' then 5 when 'HIGH' then 10 when 'CRITICAL' then 20 else 2 end)::double when status = 'NORMAL' then 0.5 else 0 end d from own) group by all),
-pt as (select station_id, variable, unnest(tss) ts, unnest(list_transform(range(1, len(ds) + 1), lambda i: list_reduce(list_prepend(100.0::double, ds[1:i]), lambda a, x: least(greatest(a + x, 0), 100)))) trust from pd)
+{_OWN_TRUST}
 select station_id, {TS}, variable, value as value, status, round(confidence, 4) confidence, severity, is_hard, trust from own join pt using (station_id, ts, variable), span where epoch(ts) > epoch(b) - 48 * 3600""")
 def q_replay_cursor(spark, d):
     """A jump, then 1 and 39 hours on; of the results the last 48 hours stay."""
