@@ -3,8 +3,8 @@
 Both sides keep the minimum k-gram hash of every sliding run of ``window - k + 1`` k-grams, so two
 texts that share ``window`` consecutive words always share a fingerprint. Document fingerprints are
 joined with the benchmark's inside the scan of the documents: the benchmark goes to the tasks in
-blocks of a checked size (``BLOCK_WORDS`` words), one pass for each block, and the passes' hit spans
-are merged per document. Each hit is extended over all windows around the fingerprint and confirmed
+blocks of about ``BLOCK_WORDS`` words (an item of more is in one block whole), one pass for each block, and the
+passes' hit spans are merged per document. Each hit is extended over all windows around the fingerprint and confirmed
 word by word. Items of fewer words than a window are matched whole, by fingerprints of their own length.
 
 Edge cases: a null or empty text, or one without words, has no words, no hits and no items. An empty
