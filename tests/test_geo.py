@@ -72,3 +72,15 @@ def test_neighbours_around_a_pole(spark):
     rows = [(f"P{k}", "", lat, lon, 0) for k, (lat, lon) in enumerate((s * lat, lon) for s in (1, -1) for lat in (89.98, 89.95, 90.0) for lon in (-170.0, -60.0, 0.0, 10.0, 120.0))]
     got = {(r[0], r[1]) for r in geo.neighbour_edges(spark.createDataFrame(rows, src.STATIONS), 5.0).collect()}
     assert got == {(p[0], q[0]) for p in rows for q in rows if p is not q and km(p, q) <= 5.0}
+
+
+def test_edges_of_crowded_places(spark):
+    began, n = time.time(), 6000
+    edges = geo.neighbour_edges(crowded(spark, 4 * n, 4), 20.0)
+    got = edges.groupBy("distance_km", F.spark_partition_id().alias("task")).count().collect()
+    sums = {d: sum(r["count"] for r in got if r[0] == d) for d in {r[0] for r in got}}
+    assert sums == {0.0: 4 * n * (n - 1), round(km((0, 0, 28, 77), (0, 0, 28.125, 77.125)), 1): 6 * n * n}
+    # few short rows are dealt before they become many, so tasks share the pairs
+    tasks = [sum(r["count"] for r in got if r["task"] == t) for t in {r["task"] for r in got}]
+    assert len(tasks) == 4 and max(tasks) < 2 * sum(tasks) / 4
+    assert time.time() - began < 60  # a distance for each of 576 million pairs takes longer
