@@ -84,3 +84,14 @@ def test_edges_of_crowded_places(spark):
     tasks = [sum(r["count"] for r in got if r["task"] == t) for t in {r["task"] for r in got}]
     assert len(tasks) == 4 and max(tasks) < 2 * sum(tasks) / 4
     assert time.time() - began < 60  # a distance for each of 576 million pairs takes longer
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_edges_and_rankings_of_odd_rows(spark, repeat):
+    rows = odd_rows(repeat)
+    stations = spark.createDataFrame(rows, src.STATIONS)
+    want = sorted((p[0], q[0], round(km(p, q), 1)) for p in rows for q in rows if p[0] and q[0] and p[0] != q[0] and km(p, q) <= 20.0)
+    assert sorted(tuple(r) for r in geo.neighbour_edges(stations, 20.0).collect()) == want
+    ranking = sorted(tuple(r) for r in geo.neighbours_ranked(stations, 20.0, 1).select("station_id", "neighbour_id", "place").collect())
+    near = [(name, sorted((km(p, q), q[0]) for p in rows if p[0] == name for q in rows if q[0] and q[0] != name and km(p, q) <= 20.0)) for name in {r[0] for r in rows if r[0]}]
+    assert ranking == sorted((name, q, n) for name, of in near for n, (_, q) in enumerate(of, 1))
