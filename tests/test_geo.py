@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brontide.operators import geo
+from brontide.plans import catalogue
 from brontide.sources import readings as src
 
 
@@ -95,3 +96,14 @@ def test_edges_and_rankings_of_odd_rows(spark, repeat):
     ranking = sorted(tuple(r) for r in geo.neighbours_ranked(stations, 20.0, 1).select("station_id", "neighbour_id", "place").collect())
     near = [(name, sorted((km(p, q), q[0]) for p in rows if p[0] == name for q in rows if q[0] and q[0] != name and km(p, q) <= 20.0)) for name in {r[0] for r in rows if r[0]}]
     assert ranking == sorted((name, q, n) for name, of in near for n, (_, q) in enumerate(of, 1))
+
+
+def test_ranking_of_crowded_places(spark, tmp_path):
+    began, n = time.time(), 20000
+    spark.range(n).select(F.col("id").alias("s_suppkey"), F.lit("").alias("s_name")).write.parquet(f"{tmp_path}/supplier.parquet")
+    at = [(0, 0, 28 + (k * 37 % 64) / 128, 77 + (k * 11 % 64) / 128) for k in range(64)]
+    here = [n // 64 + (k < n % 64) for k in range(64)]
+    near = [sum(here[j] for j in range(64) if km(at[k], at[j]) <= 20.0) - 1 for k in range(64)]
+    r = catalogue.q_neighbours_ranked(spark, str(tmp_path)).agg(F.count("*"), F.sum("place")).first()
+    assert tuple(r) == (sum(h * m for h, m in zip(here, near, strict=True)), sum(h * m * (m + 1) // 2 for h, m in zip(here, near, strict=True)))
+    assert time.time() - began < 60  # sorting all pairs takes longer
