@@ -16,8 +16,9 @@ from brontide.sources.folders import written
 
 #: Kilometres of one degree of latitude at R = 6371.
 DEGREE = math.pi * 6371.0 / 180
-#: About so many stations make a block; blocks of adjacent cells are what tasks are dealt.
-BLOCK = 1024
+#: So many stations make a block at most; blocks of adjacent cells are what tasks are dealt. A task holds all pairs of
+#: two blocks before it passes them on, so they must stay few.
+BLOCK = 256
 
 
 def _high(radius_km: float) -> float:
@@ -36,9 +37,12 @@ def _cell(lon: Column, b: Column, high) -> tuple[Column, Column]:
 
 
 def _blocks(posted: DataFrame, name: str) -> DataFrame:
-    """b, c, name: the stations of a cell in blocks, each place with its ids. One deal by cell serves all of it."""
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("b", "c")) / BLOCK)
-    dealt = posted.withColumn("block", F.pmod(F.xxhash64("lat", "lon", "station_id"), blocks))
+    """b, c, name: the stations of a cell in blocks, each place with its ids. One deal by cell serves all of it.
+
+    Blocks are cut from the stations in order of places, so that a block of a crowded cell holds few places.
+    """
+    n = F.row_number().over(Window.partitionBy("b", "c").orderBy("lat", "lon", "station_id"))
+    dealt = posted.withColumn("block", F.floor((n - 1) / BLOCK))
     places = dealt.groupBy("b", "c", "block", "lat", "lon").agg(F.collect_list("station_id").alias("ids"))
     return places.groupBy("b", "c", "block").agg(F.collect_list(F.struct("lat", "lon", "ids")).alias(name)).drop("block")
 

@@ -87,6 +87,24 @@ def test_edges_of_crowded_places(spark):
     assert time.time() - began < 60  # a distance for each of 576 million pairs takes longer
 
 
+def test_blocks_of_crowded_cells_are_small_and_in_order_of_places(spark):
+    posted = crowded(spark, 12000, 3).select("station_id", "lat", "lon", F.lit(0).alias("b"), F.lit(0).alias("c"))
+    blocks = [[(p["lat"], p["lon"], p["ids"]) for p in r["home"]] for r in geo._blocks(posted, "home").collect()]
+    # a task holds all pairs of two blocks at once: a million of them kept it busy collecting garbage
+    assert max(sum(len(p[2]) for p in b) for b in blocks) <= 256
+    assert sum(map(len, blocks)) <= len(blocks) + 2  # blocks cut places, and don't mix them
+    assert sorted(s for b in blocks for p in b for s in p[2]) == sorted(f"ST-{k}" for k in range(12000))
+    assert all((float(s[3:]) % 3) / 8 == p[0] - 28 for b in blocks for p in b for s in p[2])
+
+
+@pytest.mark.parametrize("block", [1, 7])
+def test_edges_of_odd_rows_in_blocks_that_cut_places(spark, monkeypatch, block):
+    monkeypatch.setattr(geo, "BLOCK", block)
+    rows = odd_rows(True)
+    want = sorted((p[0], q[0], round(km(p, q), 1)) for p in rows for q in rows if p[0] and q[0] and p[0] != q[0] and km(p, q) <= 20.0)
+    assert sorted(tuple(r) for r in geo.neighbour_edges(spark.createDataFrame(rows, src.STATIONS), 20.0).collect()) == want
+
+
 @pytest.mark.parametrize("repeat", [False, True])
 def test_edges_and_rankings_of_odd_rows(spark, repeat):
     rows = odd_rows(repeat)
