@@ -125,3 +125,34 @@ def test_ranking_of_crowded_places(spark, tmp_path):
     r = catalogue.q_neighbours_ranked(spark, str(tmp_path)).agg(F.count("*"), F.sum("place")).first()
     assert tuple(r) == (sum(h * m for h, m in zip(here, near, strict=True)), sum(h * m * (m + 1) // 2 for h, m in zip(here, near, strict=True)))
     assert time.time() - began < 60  # sorting all pairs takes longer
+
+
+@pytest.mark.parametrize("tile", [1, 7])
+def test_rankings_of_odd_rows_in_tiles(spark, monkeypatch, tile):
+    monkeypatch.setattr(geo, "TILE", tile)
+    rows = odd_rows(True)
+    near = [(name, sorted((km(p, q), q[0]) for p in rows if p[0] == name for q in rows if q[0] and q[0] != name and km(p, q) <= 20.0)) for name in {r[0] for r in rows if r[0]}]
+    want = sorted((name, q, round(d, 1), n) for name, of in near for n, (d, q) in enumerate(of, 1))
+    assert sorted(tuple(r) for r in geo.neighbours_ranked(spark.createDataFrame(rows, src.STATIONS), 20.0, 1).select("station_id", "neighbour_id", "distance_km", "place").collect()) == want
+
+
+def shuffled(spark, group):
+    """Bytes that the tasks of each stage of a job group gave to a shuffle."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = spark.sparkContext.statusTracker(), spark._jsc.sc().statusStore()
+    for stage in {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}:
+        tasks = store.taskList(stage, 0, 1000)
+        yield [tasks.apply(k).taskMetrics().get().shuffleWriteMetrics().bytesWritten() for k in range(tasks.size())]
+
+
+def test_ranking_of_one_crowded_place_is_shared_by_tasks(spark):
+    n = 12000
+    spark.sparkContext.setJobGroup("one place", "")
+    try:
+        r = geo.neighbours_ranked(crowded(spark, n, 1), 20.0, 1).agg(F.count("*"), F.sum("place"), F.sum("distance_km")).first()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tuple(r) == (n * (n - 1), n * n * (n - 1) // 2, 0.0)
+    # what meets grows with the square of a place's stations, so one task must not deal it
+    stages = [x for x in shuffled(spark, "one place") if sum(x) > 1e6]
+    assert stages and all(max(x) < sum(x) / 2 for x in stages), stages
